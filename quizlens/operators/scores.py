@@ -103,6 +103,25 @@ def originality_corpus(questions: DataFrame, corpus: DataFrame, key_col: str = "
     return _novelty(questions, [key_col], counts, [question_col], out_col)
 
 
+def _paired_counts(qrows: DataFrame, keys: list[str], question_col: str,
+                   srows: DataFrame, sheet_col: str, stop_words, lemmas) -> DataFrame:
+    """``(keys..., _skey, _n, _seen)`` for question rows paired with sheet texts.
+
+    ``qrows`` carries ``keys``, ``_skey`` and the question; ``srows`` one row
+    per distinct ``_skey`` with its text.  The match is a shuffle join on
+    ``(_skey, trigram)``, which spreads a sheet cited by a third of all
+    questions over every partition instead of one task.
+    """
+    st = (trigram_rows(srows, ["_skey"], sheet_col, stop_words, lemmas)
+          .distinct()
+          .withColumn("_hit", F.lit(1)))
+    q = qrows.where(F.col(question_col).isNotNull() & F.col("_skey").isNotNull())
+    qt = trigram_rows(q, keys + ["_skey"], question_col, stop_words, lemmas)
+    return (qt.join(st, ["_skey", "trigram"], "left")
+            .groupBy(*keys, "_skey")
+            .agg(F.count(F.lit(1)).alias("_n"), F.count("_hit").alias("_seen")))
+
+
 def originality_paired(mcqs: DataFrame, sheets: DataFrame, key_col: str = "mcq_id",
                        id_col: str = "id", question_col: str = "question",
                        sheet_col: str = "content_gpt", out_col: str = "originality",
@@ -112,28 +131,35 @@ def originality_paired(mcqs: DataFrame, sheets: DataFrame, key_col: str = "mcq_i
 
     Returns ``mcqs`` left-joined to ``sheets`` on ``id_col`` (rows multiply
     for duplicate sheet ids, as a left merge does) with the score added.
-    Each sheet row is tokenised once however many questions cite it; the
-    pairing is a shuffle join on ``(sheet, trigram)``, which spreads a sheet
-    cited by a third of all questions across every partition.
+    Each sheet row is tokenised once however many questions cite it.
+    ``key_col`` must identify a question row.
     """
     sk = (sheets.select(id_col, sheet_col)
           .withColumn("_skey", F.sha2(F.col(sheet_col), 256)))
     merged = mcqs.join(sk, id_col, "left")
     cited = mcqs.select(id_col).distinct()
-    st = (trigram_rows(sk.where(F.col("_skey").isNotNull()).join(cited, id_col, "left_semi"),
-                       ["_skey"], sheet_col, stop_words, lemmas)
-          .distinct()
-          .withColumn("_hit", F.lit(1)))
-    qt = trigram_rows(mcqs.where(F.col(question_col).isNotNull()), [key_col], question_col,
-                      stop_words, lemmas)
-    pairs = merged.where(F.col("_skey").isNotNull()).select(key_col, "_skey").distinct()
-    counts = (qt.join(pairs, key_col)
-              .join(st, ["_skey", "trigram"], "left")
-              .groupBy(key_col, "_skey")
-              .agg(F.count(F.lit(1)).alias("_n"), F.count("_hit").alias("_seen")))
+    srows = sk.where(F.col("_skey").isNotNull()).join(cited, id_col, "left_semi")
+    counts = _paired_counts(merged.select(key_col, "_skey", question_col), [key_col], question_col,
+                            srows.select("_skey", sheet_col), sheet_col, stop_words, lemmas)
     return _novelty(merged, [key_col, "_skey"], counts, [question_col, sheet_col], out_col).drop("_skey")
 
 
+def originality_rowwise(df: DataFrame, key_col: str = "mcq_id", question_col: str = "question",
+                        sheet_col: str = "content_gpt", out_col: str = "originality",
+                        stop_words=T.ENGLISH_STOP_WORDS,
+                        lemmas: dict[str, str] | None = None) -> DataFrame:
+    """T4 on a table that already holds each question's sheet text.
+
+    Distinct sheet texts (by SHA-256) are tokenised once; ``(key_col, sheet
+    text)`` must identify a row.
+    """
+    keyed = df.withColumn("_skey", F.sha2(F.col(sheet_col), 256))
+    srows = keyed.where(F.col("_skey").isNotNull()).select("_skey", sheet_col).dropDuplicates(["_skey"])
+    counts = _paired_counts(keyed.select(key_col, "_skey", question_col), [key_col], question_col,
+                            srows, sheet_col, stop_words, lemmas)
+    return _novelty(keyed, [key_col, "_skey"], counts, [question_col, sheet_col], out_col).drop("_skey")
+
+
 def trigram_difference(mcqs: DataFrame, sheets: DataFrame, key_col: str = "mcq_id",
                        id_col: str = "id", question_col: str = "question",
                        sheet_col: str = "content_gpt") -> DataFrame:

@@ -68,7 +68,8 @@ def q_attach_sheet(spark, sf):
 _QT = f"""qtok AS (SELECT mcq_id, {O.tokens('question')} AS tk FROM mcqs WHERE question IS NOT NULL),
 qt AS (SELECT DISTINCT mcq_id, unnest({O.trigrams('tk')}) AS trigram FROM qtok)"""
 
-@register("originality_paired", fx.cte("mcqs", "sheets") + f""",
+def _paired_sql(extra: str = "") -> str:
+    return fx.cte("mcqs", "sheets") + f""",
 sk AS (SELECT id, content_gpt, sha256(content_gpt) AS skey FROM sheets),
 merged AS (SELECT m.mcq_id, m.id, m.question, sk.content_gpt, sk.skey FROM mcqs m LEFT JOIN sk ON m.id = sk.id),
 stok AS (SELECT skey, {O.tokens('content_gpt')} AS tk FROM sk WHERE skey IS NOT NULL),
@@ -81,8 +82,11 @@ counts AS (SELECT p.mcq_id, p.skey, count(*) AS n, count(st.trigram) AS seen
            GROUP BY p.mcq_id, p.skey)
 SELECT m.mcq_id, m.id,
        CASE WHEN m.question IS NULL OR m.content_gpt IS NULL THEN NULL
-            WHEN c.n IS NULL THEN 0.0 ELSE (c.n - c.seen) / c.n END AS originality
-FROM merged m LEFT JOIN counts c ON m.mcq_id = c.mcq_id AND m.skey = c.skey""")
+            WHEN c.n IS NULL THEN 0.0 ELSE (c.n - c.seen) / c.n END AS originality{extra}
+FROM merged m LEFT JOIN counts c ON m.mcq_id = c.mcq_id AND m.skey = c.skey"""
+
+
+@register("originality_paired", _paired_sql())
 def q_originality_paired(spark, sf):
     return scores.originality_paired(_mcqs(spark, sf), _sheets(spark, sf)).select("mcq_id", "id", "originality")
 
@@ -100,3 +104,529 @@ FROM mcqs m LEFT JOIN counts c ON m.mcq_id = c.mcq_id""")
 def q_originality_corpus(spark, sf):
     return (scores.originality_corpus(_mcqs(spark, sf), _sheets(spark, sf))
             .select("mcq_id", "originality_corpus"))
+
+
+# ------------------------------------------------------------ helpers
+
+from quizlens.functions import prompts as PR  # noqa: E402
+from quizlens.functions import text as TX  # noqa: E402
+from quizlens.operators import models, responses, sheets as sheet_ops, tables  # noqa: E402
+from quizlens.plans import jobs, stubs  # noqa: E402
+from quizlens.session import scratch_path  # noqa: E402
+from quizlens.sources import files  # noqa: E402
+
+_S = ", ".join  # column list helper for SQL
+_MCQ_FIELDS = responses.MCQ_FIELDS
+
+
+def _fx(spark, sf, name):
+    return fx.load(spark, sf, name)
+
+
+def _tree_root(spark, sf) -> str:
+    """Materialise the sheets_raw fixture as a folder tree of .txt files."""
+    root = scratch_path(spark, "sheet-tree")
+    files.write_text_tree(_fx(spark, sf, "sheets_raw"), root)
+    return root
+
+
+def _split_list(spark) -> DataFrame:
+    path = scratch_path(spark, "split") + "/test_folders.json"
+    files.write_text_file(spark, path, fx.TEST_FOLDERS_JSON)
+    return files.read_split_list(spark, path)
+
+
+_FOLDERS_SQL = _S(O.lit(f) for f in fx.TEST_FOLDERS)
+
+
+# ------------------------------------------------------------ S, P1, P2, J
+
+@register("read_sheet_tree", fx.cte("sheets_raw") + """
+SELECT folder, id, content_raw FROM sheets_raw""")
+def q_read_sheet_tree(spark, sf):
+    return files.read_sheet_tree(spark, _tree_root(spark, sf))
+
+
+_META_SQL = fx.cte("sheets_raw") + ",\n" + O.metadata_ctes() + f"""
+SELECT folder, id, {O.metadata_select()} FROM md4"""
+
+
+@register("extract_sheet_metadata", _META_SQL)
+def q_extract_sheet_metadata(spark, sf):
+    return (sheet_ops.extract_sheet_metadata(_fx(spark, sf, "sheets_raw"))
+            .select("folder", "id", "content_cleaned", "rubric"))
+
+
+_KEPT_SQL = f"SELECT * FROM ({_META_SQL}) WHERE rubric IS NULL OR rubric <> 'Multimedia content'"
+
+
+@register("drop_multimedia", _KEPT_SQL)
+def q_drop_multimedia(spark, sf):
+    return sheet_ops.drop_multimedia(q_extract_sheet_metadata(spark, sf))
+
+
+@register("ingest_sheets", _KEPT_SQL)
+def q_ingest_sheets(spark, sf):
+    return (jobs.ingest_sheets(spark, _tree_root(spark, sf))
+            .select("folder", "id", "content_cleaned", "rubric"))
+
+
+@register("read_csv_table", fx.cte("mcqs") + f"""
+SELECT {_S(f"nullif({c}, '') AS {c}" for c in ("id",) + _MCQ_FIELDS)} FROM mcqs""")
+def q_read_csv_table(spark, sf):
+    path = scratch_path(spark, "mcqs-csv")
+    files.write_csv_table(_fx(spark, sf, "mcqs").drop("mcq_id"), path)
+    return files.read_csv_table(spark, path, files.MCQS_SCHEMA)
+
+
+@register("write_csv_table", fx.cte("sheets") + """
+SELECT folder, id, nullif(content_gpt, '') AS content_gpt FROM sheets""")
+def q_write_csv_table(spark, sf):
+    path = scratch_path(spark, "sheets-csv")
+    files.write_csv_table(_fx(spark, sf, "sheets"), path)
+    return files.read_csv_table(spark, path, files.SHEETS_SCHEMA)
+
+
+@register("read_json_records", fx.cte("exam_items") + """
+SELECT id, question, cop, opa, opb, opc, opd FROM exam_items""")
+def q_read_json_records(spark, sf):
+    path = scratch_path(spark, "exam-json")
+    files.write_json_records(_fx(spark, sf, "exam_items"), path)
+    return files.read_json_records(spark, path, files.EXAM_SCHEMA)
+
+
+@register("test_split", fx.cte("sheets") + f"""
+SELECT folder, id, content_gpt FROM sheets WHERE folder IN ({_FOLDERS_SQL})""")
+def q_test_split(spark, sf):
+    return joins.test_split(_sheets(spark, sf), _split_list(spark))
+
+
+@register("train_split", fx.cte("sheets") + f"""
+SELECT folder, id, content_gpt FROM sheets WHERE folder IS NULL OR folder NOT IN ({_FOLDERS_SQL})""")
+def q_train_split(spark, sf):
+    return joins.train_split(_sheets(spark, sf), _split_list(spark))
+
+
+@register("semi_join_sheets", fx.cte("mcqs", "sheets") + """
+SELECT folder, id FROM sheets WHERE id IN (SELECT id FROM mcqs)""")
+def q_semi_join_sheets(spark, sf):
+    return joins.semi_join_sheets(_sheets(spark, sf), _mcqs(spark, sf)).select("folder", "id")
+
+
+@register("semi_join_mcqs", fx.cte("mcqs", "sheets") + """
+SELECT mcq_id, id FROM mcqs WHERE id IN (SELECT id FROM sheets)""")
+def q_semi_join_mcqs(spark, sf):
+    return joins.semi_join_mcqs(_mcqs(spark, sf), _sheets(spark, sf)).select("mcq_id", "id")
+
+
+@register("key_coverage", fx.cte("mcqs", "sheets") + """,
+q AS (SELECT id, count(*) AS q_rows FROM mcqs GROUP BY id),
+s AS (SELECT id, count(*) AS s_rows FROM sheets GROUP BY id),
+b AS (SELECT q.q_rows, s.s_rows FROM q FULL OUTER JOIN s ON q.id = s.id)
+SELECT 'mcq_rows' AS measure, CAST(coalesce(sum(q_rows), 0) AS BIGINT) AS value FROM b
+UNION ALL SELECT 'sheet_rows', CAST(coalesce(sum(s_rows), 0) AS BIGINT) FROM b
+UNION ALL SELECT 'mcq_ids', count(q_rows) FROM b
+UNION ALL SELECT 'sheet_ids', count(s_rows) FROM b
+UNION ALL SELECT 'mcq_ids_without_sheet', count(*) FILTER (WHERE s_rows IS NULL) FROM b
+UNION ALL SELECT 'sheet_ids_without_mcq', count(*) FILTER (WHERE q_rows IS NULL) FROM b
+UNION ALL SELECT 'duplicated_sheet_ids', count(*) FILTER (WHERE s_rows > 1) FROM b""")
+def q_key_coverage(spark, sf):
+    return joins.key_coverage(_mcqs(spark, sf), _sheets(spark, sf))
+
+
+# ------------------------------------------------------------ R, P4-P8, A1
+
+_MCQ_VALID = O.strict_record("response", _MCQ_FIELDS)
+_ANS_VALID = O.strict_record("response", (responses.ANSWER_FIELD,))
+
+
+def _validated_mcqs(spark, sf):
+    return responses.validate_mcq_json(_fx(spark, sf, "model_outputs"), "response", "mcq")
+
+
+@register("validate_mcq_json", fx.cte("model_outputs") + f"""
+SELECT id, {_MCQ_VALID} AS valid, {_S(O.field('response', f, _MCQ_VALID) + ' AS ' + f for f in _MCQ_FIELDS)}
+FROM model_outputs""")
+def q_validate_mcq_json(spark, sf):
+    v = _validated_mcqs(spark, sf)
+    return v.select("id", F.col("mcq").isNotNull().alias("valid"), *[F.col(f"mcq.{f}").alias(f) for f in _MCQ_FIELDS])
+
+
+@register("flatten_mcq", fx.cte("model_outputs") + f"""
+SELECT CAST(id AS VARCHAR) AS id, {_S(O.field('response', f, _MCQ_VALID) + ' AS ' + f for f in _MCQ_FIELDS)}
+FROM model_outputs""")
+def q_flatten_mcq(spark, sf):
+    v = _validated_mcqs(spark, sf).withColumn("id", F.col("id").cast("string"))
+    return responses.flatten_mcq(v, "mcq", "id")
+
+
+@register("fill_invalid_mcq", fx.cte("model_outputs") + f"""
+SELECT id, {_S("coalesce(" + O.field('response', f, _MCQ_VALID) + ", '') AS " + f for f in _MCQ_FIELDS)}
+FROM model_outputs""")
+def q_fill_invalid_mcq(spark, sf):
+    return responses.flatten_mcq(responses.fill_invalid_mcq(_validated_mcqs(spark, sf)), "mcq", "id")
+
+
+@register("find_invalid", fx.cte("model_outputs") + f"""
+SELECT id FROM model_outputs WHERE NOT {_MCQ_VALID}""")
+def q_find_invalid(spark, sf):
+    return responses.find_invalid(_validated_mcqs(spark, sf))
+
+
+def _answers(spark, sf):
+    v = responses.validate_answer_json(_fx(spark, sf, "answer_outputs"), "response", "answer")
+    return v.withColumn("answer_option", F.col("answer")[responses.ANSWER_FIELD])
+
+
+_ANS_OPTION = O.field("response", responses.ANSWER_FIELD, _ANS_VALID)
+_REMAP_SQL = ("CASE upper(a) " + " ".join(f"WHEN {O.lit(k)} THEN {O.lit(v)}" for k, v in responses.ANSWER_REMAP.items())
+              + " ELSE upper(a) END")
+
+
+@register("validate_answer_json", fx.cte("answer_outputs") + f"""
+SELECT id, temperature, {_ANS_OPTION} AS answer_option FROM answer_outputs""")
+def q_validate_answer_json(spark, sf):
+    return _answers(spark, sf).select("id", "temperature", "answer_option")
+
+
+@register("remap_values", fx.cte("answer_outputs") + f"""
+SELECT id, temperature, {_REMAP_SQL} AS model_answer FROM (SELECT id, temperature, {_ANS_OPTION} AS a FROM answer_outputs)""")
+def q_remap_values(spark, sf):
+    up = responses.normalise_answer(_answers(spark, sf), "answer_option", "model_answer")
+    return responses.remap_values(up, "model_answer").select("id", "temperature", "model_answer")
+
+
+@register("normalise_answer", fx.cte("answer_outputs") + f"""
+SELECT id, temperature, model_answer, substring(ltrim(model_answer, {O.WS_CHARS}), 1, 1) AS first_letter FROM (
+  SELECT id, temperature, {_REMAP_SQL} AS model_answer FROM (SELECT id, temperature, {_ANS_OPTION} AS a FROM answer_outputs))""")
+def q_normalise_answer(spark, sf):
+    df = models.model_answers(_fx(spark, sf, "answer_outputs"), "response", "model_answer")
+    df = responses.normalise_answer(df, "model_answer", "first_letter", first_letter=True)
+    return df.select("id", "temperature", "model_answer", "first_letter")
+
+
+@register("distinct_values", fx.cte("answer_outputs") + f"""
+SELECT DISTINCT {_REMAP_SQL} AS model_answer FROM (SELECT {_ANS_OPTION} AS a FROM answer_outputs)""")
+def q_distinct_values(spark, sf):
+    df = models.model_answers(_fx(spark, sf, "answer_outputs"), "response", "model_answer")
+    return tables.distinct_values(df, "model_answer")
+
+
+@register("response_report", fx.cte("answer_outputs") + f"""
+SELECT temperature, count(*) AS n_rows, count(*) FILTER (WHERE {_ANS_VALID}) AS n_valid,
+       count(*) FILTER (WHERE NOT {_ANS_VALID}) AS n_invalid
+FROM answer_outputs GROUP BY temperature""")
+def q_response_report(spark, sf):
+    return responses.response_report(_answers(spark, sf), "answer", ["temperature"])
+
+
+_PARSE_M = r"regexp_extract(response, '(?s)(\{.*\})', 1)"
+
+
+@register("parse_response", fx.cte("model_outputs") + f"""
+SELECT id, CASE WHEN m <> '' AND coalesce(json_valid(m), false) THEN
+    CASE WHEN NOT json_exists(m, '$.answer') THEN m
+         WHEN json_type(m, '$.answer') = 'NULL' THEN NULL
+         WHEN json_type(m, '$.answer') = 'VARCHAR' THEN m ->> '$.answer'
+         ELSE CAST(json_extract(m, '$.answer') AS VARCHAR) END
+  ELSE {O.strip('response')} END AS parsed
+FROM (SELECT id, response, {_PARSE_M} AS m FROM model_outputs)""")
+def q_parse_response(spark, sf):
+    return responses.parse_response(_fx(spark, sf, "model_outputs")).select("id", "parsed")
+
+
+# ------------------------------------------------------------ P3, O1-O4, T6, T7
+
+@register("project_columns", fx.cte("mcqs") + f"""
+SELECT {_S(("id",) + _MCQ_FIELDS)} FROM mcqs""")
+def q_project_columns(spark, sf):
+    return tables.project_columns(_mcqs(spark, sf), ["id", *_MCQ_FIELDS])
+
+
+@register("restore_order", fx.cte("mcqs") + f"""
+SELECT mcq_id, {O.readability('question')} AS readability FROM mcqs ORDER BY mcq_id""")
+def q_restore_order(spark, sf):
+    return tables.restore_order(scores.readability(_mcqs(spark, sf)).select("mcq_id", "readability"), ["mcq_id"])
+
+
+HEAD_ROWS = 50
+
+
+@register("head_n", fx.cte("mcqs") + f"""
+SELECT mcq_id, id FROM mcqs ORDER BY mcq_id LIMIT {HEAD_ROWS}""")
+def q_head_n(spark, sf):
+    return tables.head_n(_mcqs(spark, sf).select("mcq_id", "id"), HEAD_ROWS, ["mcq_id"])
+
+
+@register("union_batches", fx.cte("answer_outputs") + f"""
+SELECT id, temperature, {_ANS_OPTION} AS answer_option, CAST(NULL AS VARCHAR) AS note
+FROM answer_outputs WHERE temperature < 0.6
+UNION ALL
+SELECT id, temperature, {_ANS_OPTION} AS answer_option, 'last run' AS note
+FROM answer_outputs WHERE temperature > 0.6""")
+def q_union_batches(spark, sf):
+    a = _answers(spark, sf).select("id", "temperature", "answer_option")
+    runs = [a.where(F.col("temperature") == t) for t in (0.1, 0.5)]
+    runs.append(a.where(F.col("temperature") == 0.7).withColumn("note", F.lit("last run")))
+    return tables.union_batches(runs)
+
+
+@register("set_difference", fx.cte("mcqs", "sheets") + f""",
+qtok AS (SELECT mcq_id, id, {O.tokens('question')} AS tk FROM mcqs WHERE question IS NOT NULL),
+qt AS (SELECT DISTINCT mcq_id, id, unnest({O.trigrams('tk')}) AS trigram FROM qtok),
+stok AS (SELECT id, {O.tokens('content_gpt')} AS tk FROM sheets
+         WHERE content_gpt IS NOT NULL AND id IN (SELECT id FROM mcqs)),
+st AS (SELECT DISTINCT id, unnest({O.trigrams('tk')}) AS trigram FROM stok)
+SELECT mcq_id, trigram FROM qt
+WHERE id IN (SELECT id FROM sheets WHERE content_gpt IS NOT NULL)
+  AND NOT EXISTS (SELECT 1 FROM st WHERE st.id = qt.id AND st.trigram = qt.trigram)""")
+def q_set_difference(spark, sf):
+    return scores.trigram_difference(_mcqs(spark, sf), _sheets(spark, sf))
+
+
+@register("content_tokens", fx.cte("mcqs") + f""",
+qtok AS (SELECT mcq_id, {O.tokens('question')} AS tk FROM mcqs)
+SELECT mcq_id, CAST(generate_subscripts(tk, 1) - 1 AS INTEGER) AS pos, unnest(tk) AS token FROM qtok""")
+def q_content_tokens(spark, sf):
+    m = _mcqs(spark, sf)
+    return m.select("mcq_id", F.posexplode(TX.content_tokens("question")).alias("pos", "token"))
+
+
+LENGTH_BOUNDS = (8, 60)
+
+
+@register("length_score", fx.cte("mcqs") + f"""
+SELECT mcq_id, CASE WHEN n IS NULL THEN NULL
+  WHEN n >= {LENGTH_BOUNDS[0]} AND n <= {LENGTH_BOUNDS[1]} THEN 1.0
+  WHEN n > {LENGTH_BOUNDS[1]} THEN ({float(LENGTH_BOUNDS[1])}::DOUBLE / n) * ({float(LENGTH_BOUNDS[1])}::DOUBLE / n)
+  ELSE (n / {float(LENGTH_BOUNDS[0])}::DOUBLE) * (n / {float(LENGTH_BOUNDS[0])}::DOUBLE) END AS length_score
+FROM (SELECT mcq_id, {O.word_count('question')} AS n FROM mcqs)""")
+def q_length_score(spark, sf):
+    return scores.length_score(_mcqs(spark, sf), *LENGTH_BOUNDS).select("mcq_id", "length_score")
+
+
+# ------------------------------------------------------------ T8, T9, A3
+
+def _half(spark, sf) -> int:
+    return fx.table(spark, sf, "embeddings").count() // 2
+
+
+_HALF_SQL = "(SELECT count(*) // 2 FROM embeddings)"
+_ALL_SQL = "(SELECT count(*) FROM embeddings)"
+
+
+@register("relevance", fx.cte("mcqs") + f"""
+SELECT m.mcq_id, round({O.cosine('q.embedding', 's.embedding')}, 6) AS relevance
+FROM mcqs m
+LEFT JOIN embeddings q ON q.vec_id = m.mcq_id
+LEFT JOIN embeddings s ON s.vec_id = m.mcq_id + {_HALF_SQL}""")
+def q_relevance(spark, sf):
+    half = _half(spark, sf)
+    emb = fx.table(spark, sf, "embeddings")
+    qv = emb.select(F.col("vec_id").alias("mcq_id"), F.col("embedding").alias("q_vec"))
+    sv = emb.select((F.col("vec_id") - F.lit(half)).alias("mcq_id"), F.col("embedding").alias("s_vec"))
+    pairs = _mcqs(spark, sf).select("mcq_id").join(qv, "mcq_id", "left").join(sv, "mcq_id", "left")
+    return (scores.relevance(pairs, "q_vec", "s_vec")
+            .select("mcq_id", F.round("relevance", 6).alias("relevance")))
+
+
+def _option_vectors(spark, sf) -> DataFrame:
+    n = fx.table(spark, sf, "embeddings").count()
+    emb = fx.table(spark, sf, "embeddings").select("vec_id", "embedding")
+    m = _mcqs(spark, sf)
+    opts = m.select("mcq_id", F.inline(F.array(*[
+        F.struct(F.lit(l).alias("letter"), ((F.col("mcq_id") * 4 + k) % n).alias("vec_id"))
+        for k, l in enumerate(scores.OPTION_LETTERS)])))
+    return opts.join(emb, "vec_id", "left").select("mcq_id", "letter", "embedding")
+
+
+_OV_SQL = ",\nov AS (" + " UNION ALL ".join(
+    f"SELECT m.mcq_id, '{l}' AS letter, e.embedding FROM mcqs m LEFT JOIN embeddings e "
+    f"ON e.vec_id = (4 * m.mcq_id + {k}) % {_ALL_SQL}" for k, l in enumerate("abcd")) + ")"
+
+_AMB_SQL = fx.cte("mcqs") + _OV_SQL + f""",
+sims AS (SELECT m.mcq_id, {O.cosine('c.embedding', 'o.embedding')} AS sim
+         FROM mcqs m JOIN ov c ON c.mcq_id = m.mcq_id AND c.letter = lower(m.correct_option)
+         JOIN ov o ON o.mcq_id = m.mcq_id AND o.letter <> lower(m.correct_option))"""
+
+
+@register("ambiguity", _AMB_SQL + """
+SELECT m.mcq_id, CASE WHEN m.correct_option IS NULL THEN NULL
+  WHEN lower(m.correct_option) NOT IN ('a', 'b', 'c', 'd') THEN 0.0
+  ELSE round((SELECT sum(sim) FROM sims WHERE sims.mcq_id = m.mcq_id) / 3, 6) END AS ambiguity
+FROM mcqs m""")
+def q_ambiguity(spark, sf):
+    out = scores.ambiguity(_mcqs(spark, sf), _option_vectors(spark, sf))
+    return out.select("mcq_id", F.round("ambiguity", 6).alias("ambiguity"))
+
+
+@register("mean_over_options", _AMB_SQL + """
+SELECT m.mcq_id, CASE WHEN m.correct_option IS NULL THEN NULL
+  WHEN lower(m.correct_option) NOT IN ('a', 'b', 'c', 'd') THEN 0.0
+  ELSE round((SELECT avg(sim) FROM sims WHERE sims.mcq_id = m.mcq_id), 6) END AS mean_similarity
+FROM mcqs m""")
+def q_mean_over_options(spark, sf):
+    """A3 in exploded form: one cosine per (question, other option), averaged per question."""
+    from quizlens.functions.vectors import cosine
+
+    m = _mcqs(spark, sf).select("mcq_id", F.lower("correct_option").alias("c"))
+    ov = _option_vectors(spark, sf)
+    correct = ov.join(m, "mcq_id").where(F.col("letter") == F.col("c")).select(
+        "mcq_id", F.col("embedding").alias("c_vec"))
+    sims = (ov.join(m, "mcq_id").where(F.col("letter") != F.col("c"))
+            .join(correct, "mcq_id").select("mcq_id", cosine("c_vec", "embedding").alias("sim")))
+    means = sims.groupBy("mcq_id").agg(F.avg("sim").alias("_mean"))
+    c = F.col("c")
+    score = (F.when(c.isNull(), F.lit(None).cast("double"))
+             .when(~c.isin(*scores.OPTION_LETTERS), F.lit(0.0))
+             .otherwise(F.round("_mean", 6)))
+    return m.join(means, "mcq_id", "left").select("mcq_id", score.alias("mean_similarity"))
+
+
+# ------------------------------------------------------------ summary, job A
+
+def _scored(spark, sf):
+    m = _mcqs(spark, sf)
+    return m.withColumns({"readability": TX.readability("question"),
+                          "starts_with_negation": TX.starts_with_negation("question"),
+                          "is_question": TX.is_question("question"),
+                          "length_score": TX.length_score("question", *LENGTH_BOUNDS)})
+
+
+_SUMMARY_COLS = ("readability", "starts_with_negation", "is_question", "length_score")
+
+
+def _length_sql(n: str) -> str:
+    lo, hi = (float(x) for x in LENGTH_BOUNDS)
+    return (f"CASE WHEN {n} IS NULL THEN NULL WHEN {n} >= {lo} AND {n} <= {hi} THEN 1.0 "
+            f"WHEN {n} > {hi} THEN ({hi}::DOUBLE / {n}) * ({hi}::DOUBLE / {n}) "
+            f"ELSE ({n} / {lo}::DOUBLE) * ({n} / {lo}::DOUBLE) END")
+
+
+_SUMMARY_SQL = fx.cte("mcqs") + f""",
+sc AS (SELECT {O.readability('question')} AS readability,
+              CAST({O.negation('question')} AS DOUBLE) AS starts_with_negation,
+              CAST({O.question('question')} AS DOUBLE) AS is_question,
+              {_length_sql(O.word_count('question'))} AS length_score FROM mcqs)
+""" + "\nUNION ALL\n".join(
+    f"SELECT '{c}' AS score, count(*) AS n_rows, count(*) FILTER (WHERE {c} IS NULL) AS n_null, "
+    f"round(avg({c}), 6) AS mean, round(min({c}), 6) AS min, round(max({c}), 6) AS max FROM sc"
+    for c in _SUMMARY_COLS)
+
+
+@register("score_summary", _SUMMARY_SQL)
+def q_score_summary(spark, sf):
+    s = scores.score_summary(_scored(spark, sf), list(_SUMMARY_COLS))
+    return s.select("score", "n_rows", "n_null", F.round("mean", 6).alias("mean"),
+                    F.round("min", 6).alias("min"), F.round("max", 6).alias("max"))
+
+
+@register("score_questions", _paired_sql(f""",
+       {O.readability('m.question')} AS readability, {O.negation('m.question')} AS starts_with_negation,
+       {O.question('m.question')} AS is_question"""))
+def q_score_questions(spark, sf):
+    df = jobs.score_questions(_mcqs(spark, sf), _sheets(spark, sf), compute_relevance=False,
+                              compute_ambiguity=False)
+    return df.select("mcq_id", "id", "originality", "readability", "starts_with_negation", "is_question")
+
+
+# ------------------------------------------------------------ G1-G3
+
+_JUDGE_SQL_PARTS = ["'Context:' || chr(10) || '-----' || chr(10)", "coalesce(s.content_gpt, '')",
+                    "chr(10) || '-----' || chr(10)", "'-----' || chr(10)", "'Question:' || chr(10)",
+                    "coalesce(m.question, '')", "chr(10)", "'Options:' || chr(10)",
+                    "'a) '", "coalesce(m.option_a, '')", "chr(10) || 'b) '", "coalesce(m.option_b, '')",
+                    "chr(10) || 'c) '", "coalesce(m.option_c, '')", "chr(10) || 'd) '", "coalesce(m.option_d, '')",
+                    "chr(10)", "'Correct option: '", "coalesce(m.correct_option, '')", "chr(10)",
+                    "'-----' || chr(10)"]
+
+
+@register("build_judge_prompt", fx.cte("mcqs", "sheets") + f"""
+SELECT m.mcq_id, {' || '.join(_JUDGE_SQL_PARTS)} AS prompt
+FROM mcqs m LEFT JOIN sheets s ON m.id = s.id""")
+def q_build_judge_prompt(spark, sf):
+    df = joins.attach_sheet(_mcqs(spark, sf), _sheets(spark, sf))
+    return df.select("mcq_id", PR.judge_prompt(context_col="content_gpt").alias("prompt"))
+
+
+@register("build_generation_prompt", fx.cte("sheets") + f"""
+SELECT id, {O.lit(PR.GENERATION_TEMPLATE_HEAD)} || coalesce(content_gpt, '') || {O.lit(PR.GENERATION_TEMPLATE_TAIL)} AS prompt
+FROM sheets""")
+def q_build_generation_prompt(spark, sf):
+    return _sheets(spark, sf).select("id", PR.generation_prompt("content_gpt").alias("prompt"))
+
+
+_EXAM_SQL_PARTS = [O.lit(PR.EXAM_TEMPLATE_HEAD), "coalesce(question, '')", O.lit(PR.EXAM_TEMPLATE_OPTIONS)]
+for _label, _c in zip(PR.EXAM_OPTION_LABELS, ("opa", "opb", "opc", "opd")):
+    _EXAM_SQL_PARTS += [O.lit(_label), f"coalesce({_c}, '')"]
+_EXAM_SQL_PARTS.append(O.lit(PR.EXAM_TEMPLATE_TAIL))
+
+
+@register("build_exam_prompt", fx.cte("exam_items") + f"""
+SELECT id, {' || '.join(_EXAM_SQL_PARTS)} AS prompt FROM exam_items""")
+def q_build_exam_prompt(spark, sf):
+    return _fx(spark, sf, "exam_items").select("id", PR.exam_prompt().alias("prompt"))
+
+
+# ------------------------------------------------------------ model-backed (rows-only)
+
+JUDGE_SYSTEM = "Rate the question from 1 to 5. Answer with one digit."
+
+
+@register("llm_map")
+def q_llm_map(spark, sf):
+    df = _mcqs(spark, sf).select("mcq_id", PR.judge_prompt().alias("prompt"))
+    return models.llm_map(df, "prompt", "verdict", stubs.StubJudge(fail_every=13),
+                          system=JUDGE_SYSTEM).select("mcq_id", "verdict")
+
+
+@register("embed_texts")
+def q_embed_texts(spark, sf):
+    return models.embed_texts(_sheets(spark, sf), "content_gpt", stubs.HashEmbedder(64)).select("id", "embedding")
+
+
+@register("clean_sheets")
+def q_clean_sheets(spark, sf):
+    kept = sheet_ops.drop_multimedia(sheet_ops.extract_sheet_metadata(_fx(spark, sf, "sheets_raw")))
+    return models.clean_sheets(kept, stubs.StubCleaner()).select("id", "content_gpt")
+
+
+@register("generate_questions")
+def q_generate_questions(spark, sf):
+    base = joins.test_split(_sheets(spark, sf), _split_list(spark))
+    return models.generate_questions(base.select("id", "content_gpt"), stubs.StubGenerator()).select(
+        "id", "temperature", "response")
+
+
+@register("generate_questions_job")
+def q_generate_questions_job(spark, sf):
+    return jobs.generate_questions_job(_sheets(spark, sf), _split_list(spark), stubs.StubGenerator())
+
+
+def _criterion(fn, out_col, **kw):
+    def q(spark, sf):
+        df = joins.attach_sheet(_mcqs(spark, sf), _sheets(spark, sf))
+        return fn(df, JUDGE_SYSTEM, stubs.StubJudge(), out_col, **kw).select("mcq_id", out_col)
+    return q
+
+
+register("answerability")(_criterion(models.answerability, "gpt_answer"))
+register("disclosure")(_criterion(models.disclosure, "disclosure"))
+register("difficulty")(_criterion(models.difficulty, "difficulty"))
+register("distractors_quality")(_criterion(models.distractors_quality, "distractors_quality"))
+
+
+@register("answer_exam")
+def q_answer_exam(spark, sf):
+    return jobs.answer_exams(_fx(spark, sf, "exam_items"), stubs.StubExamAnswerer()).select(
+        "id", "run", "temperature", "model_answer")
+
+
+@register("score_questions_full")
+def q_score_questions_full(spark, sf):
+    return jobs.score_questions(
+        _mcqs(spark, sf), _sheets(spark, sf), compute_corpus_originality=True,
+        completer=stubs.StubJudge(), embedder=stubs.HashEmbedder(64),
+        answerability_system_prompt=JUDGE_SYSTEM, disclosure_system_prompt=JUDGE_SYSTEM,
+        difficulty_system_prompt=JUDGE_SYSTEM, distractors_quality_system_prompt=JUDGE_SYSTEM,
+    ).drop("question", "content_gpt")

@@ -89,3 +89,37 @@ def cosine(a: str, b: str) -> str:
     na = f"sqrt(list_dot_product(CAST({a} AS DOUBLE[]), CAST({a} AS DOUBLE[])))"
     nb = f"sqrt(list_dot_product(CAST({b} AS DOUBLE[]), CAST({b} AS DOUBLE[])))"
     return f"({dot(a, b)} / greatest({na} * {nb}, 1e-8))"
+
+
+def metadata_ctes(src: str = "sheets_raw", col: str = "content_raw") -> str:
+    """CTEs ``md1..md3`` restating the metadata-block rules over ``src``."""
+    props = (f"list_transform(list_filter(list_transform(string_split(substring({col}, s, e + 2 - s), chr(10)), "
+             f"lambda l: {strip('l')}), lambda l: contains(l, '=')), "
+             f"lambda l: {{'k': trim(split_part(l, '=', 1), '|'), "
+             f"'v': rtrim({strip('substring(l, strpos(l, ' + lit('=') + ') + 1)')}, ',}}')}})")
+    return f"""md1 AS (SELECT *, strpos({col}, '{{{{knowledge objective') AS s FROM {src}),
+md2 AS (SELECT *, CASE WHEN s > 0 THEN strpos(substring({col}, s), '}}}}') ELSE 0 END AS rel FROM md1),
+md3 AS (SELECT *, (s > 0 AND rel > 0) AS has_block, s + rel - 1 AS e FROM md2),
+md4 AS (SELECT *, CASE WHEN has_block THEN {props} END AS props,
+               CASE WHEN has_block THEN {strip(f'substring({col}, e + 2)')} END AS rest FROM md3)"""
+
+
+def metadata_select(col: str = "content_raw", keys=("Item_parent", "Title", "Description", "Item", "Rubric")) -> str:
+    def last(k):
+        return f"list_filter(props, lambda p: p.k = {lit(k)})[-1].v"
+    parts = ", ".join(f"CASE WHEN length({last(k)}) > 0 THEN {lit('**' + k + ':** ')} || {last(k)} END" for k in keys)
+    body = f"concat_ws(';' || chr(10), {parts})"
+    return (f"CASE WHEN has_block THEN (CASE WHEN length({body}) > 0 THEN {body} || ';' || chr(10) || chr(10) ELSE '' END) || rest "
+            f"ELSE {col} END AS content_cleaned, "
+            f"CASE WHEN {col} IS NULL THEN NULL WHEN has_block THEN coalesce({last('Rubric')}, '') ELSE '' END AS rubric")
+
+
+def strict_record(x: str, fields) -> str:
+    """Struct-free form: a boolean validity test of a strict JSON object with string fields."""
+    cond = " AND ".join(f"coalesce(json_type({x}, '$.{f}') = 'VARCHAR', false)" for f in fields)
+    return (f"(coalesce(json_valid({x}), false) AND "
+            f"CASE WHEN json_valid({x}) THEN json_type({x}) = 'OBJECT' AND {cond} ELSE false END)")
+
+
+def field(x: str, f: str, valid: str) -> str:
+    return f"CASE WHEN {valid} THEN {x} ->> '$.{f}' END"
