@@ -128,17 +128,31 @@ def syllable_count(c: str | Column) -> Column:
     return runs + vowelless
 
 
-def readability(c: str | Column) -> Column:
-    """Flesch-Kincaid grade; NULL when there are no words or no sentence marks."""
-    w = word_count(c)
-    s = sentence_count(c)
-    y = syllable_count(c)
+def readability_counts(c: str | Column) -> Column:
+    """struct<w, s, y>: words, sentence marks, syllables of a text."""
+    return F.struct(word_count(c).alias("w"), sentence_count(c).alias("s"),
+                    syllable_count(c).alias("y"))
+
+
+def readability_from_counts(counts: str | Column) -> Column:
+    """Flesch-Kincaid grade from :func:`readability_counts`."""
+    k = _col(counts)
+    w, s, y = k["w"], k["s"], k["y"]
     score = (F.lit(FK_WORDS_PER_SENTENCE) * (w / s)
              + F.lit(FK_SYLLABLES_PER_WORD) * (y / w)
              - F.lit(FK_OFFSET))
     return F.when((w > 0) & (s > 0), score)
 
 
+def readability(c: str | Column) -> Column:
+    """Flesch-Kincaid grade; NULL when there are no words or no sentence marks.
+
+    One expression (usable anywhere a Column is); the DataFrame operator
+    projects the counts first so each regex pass runs once per row.
+    """
+    return readability_from_counts(readability_counts(c))
+
+
 def _starts_with_word(c: str | Column, words) -> Column:
     pattern = f"(?iu)^(?:{_alternation(words)})(?![{WORD_CLASS}])"
     return py_strip(c).rlike(pattern)

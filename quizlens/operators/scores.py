@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from quizlens.functions import text as T
 from quizlens.functions.vectors import cosine
-from quizlens.plans.sizing import DEFAULT_BROADCAST_ROWS, broadcast_if_small, cut_lineage
+from quizlens.plans.sizing import DEFAULT_BROADCAST_ROWS, cut_lineage
 
 OPTION_LETTERS = ("a", "b", "c", "d")
 
@@ -32,7 +32,9 @@ def is_question(df: DataFrame, question_col: str = "question",
 
 def readability(df: DataFrame, question_col: str = "question",
                 out_col: str = "readability") -> DataFrame:
-    return df.withColumn(out_col, T.readability(question_col))
+    """Counts projected first, then the grade: each regex pass runs once."""
+    counted = df.withColumn("_fk", T.readability_counts(question_col))
+    return counted.withColumn(out_col, T.readability_from_counts("_fk")).drop("_fk")
 
 
 def length_score(df: DataFrame, lower: float, upper: float,
@@ -50,15 +52,23 @@ def relevance(df: DataFrame, question_vec_col: str, sheet_vec_col: str,
 
 def trigram_rows(df: DataFrame, key_cols: list[str], text_col: str,
                  stop_words=T.ENGLISH_STOP_WORDS, lemmas: dict[str, str] | None = None,
-                 out_col: str = "trigram") -> DataFrame:
+                 out_col: str = "trigram", with_count: bool = False) -> DataFrame:
     """``(key_cols..., trigram)``, distinct per row, one output row per trigram.
 
     The token array is projected on its own first so the regex pipeline runs
     once per row; the trigram array is built with ``slice``/``arrays_zip``
     and de-duplicated inside the row before exploding (a map-side distinct).
+    ``with_count`` adds ``_n``, the row's number of distinct trigrams, to
+    every output row (so no second pass or group-by is needed for it).
     """
     toks = df.select(*key_cols, T.content_tokens(text_col, stop_words, lemmas).alias("_tokens"))
-    return toks.select(*key_cols, F.explode(T.trigram_array("_tokens")).alias(out_col))
+    tri = toks.select(*key_cols, T.trigram_array("_tokens").alias("_tri"))
+    extra = [F.size("_tri").alias("_n")] if with_count else []
+    # explode_outer + a null filter rather than explode: for explode Catalyst
+    # infers ``size(array) > 0`` and pushes it below the projections, inlining
+    # the whole token pipeline (several times) into the scan stage.
+    rows = tri.select(*key_cols, *extra, F.explode_outer("_tri").alias(out_col))
+    return rows.where(F.col(out_col).isNotNull())
 
 
 def _novelty(df: DataFrame, keys: list[str], counts: DataFrame,
@@ -81,45 +91,68 @@ def originality_corpus(questions: DataFrame, corpus: DataFrame, key_col: str = "
                        broadcast_rows: int = DEFAULT_BROADCAST_ROWS) -> DataFrame:
     """Share of a question's distinct trigrams found in no sheet of the corpus (T5).
 
-    Plan: the question trigrams are materialised once (checkpoint), their
-    distinct vocabulary is measured and, when small, broadcast, so the corpus
-    is scanned, tokenised and probed without being shuffled; only corpus
-    trigrams that some question uses leave the map side.  Beyond the bound
-    both sides meet in a sort-merge semi join after a partial distinct.
+    Two plans, chosen by a proven bound on the question trigrams (at most
+    one per two characters of question text, summed in one cheap pass):
+
+    * small question side - the question vocabulary is broadcast, the corpus
+      is tokenised and probed map-side without being shuffled, and only the
+      matching corpus trigrams (a subset of that vocabulary) move;
+    * otherwise - corpus trigrams are de-duplicated (partial aggregation
+      first) and left-joined to the question trigrams in a sort-merge join.
     """
-    qt = cut_lineage(trigram_rows(questions.where(F.col(question_col).isNotNull()),
-                                  [key_col], question_col, stop_words, lemmas))
-    vocab, small = broadcast_if_small(qt.select("trigram").distinct(), broadcast_rows)
+    q = questions.where(F.col(question_col).isNotNull())
+    qt = trigram_rows(q, [key_col], question_col, stop_words, lemmas)
     ct = trigram_rows(corpus.where(F.col(corpus_col).isNotNull()), [], corpus_col, stop_words, lemmas)
-    if not small:
-        ct = ct.distinct()
-    hits = ct.join(vocab, "trigram", "left_semi").distinct().withColumn("_hit", F.lit(1))
-    if small:
-        # hits is a subset of the checked vocabulary, so it is bounded too.
-        hits = F.broadcast(hits)
-    counts = (qt.join(hits, "trigram", "left")
+    if trigram_bound(q, question_col) <= broadcast_rows:
+        vocab = F.broadcast(qt.select("trigram").distinct())
+        hits = F.broadcast(ct.join(vocab, "trigram", "left_semi").distinct())
+    else:
+        # Both sides grow with the data: never broadcast on an estimate.
+        hits = ct.distinct().hint("merge")
+    counts = (qt.join(hits.withColumn("_hit", F.lit(1)), "trigram", "left")
               .groupBy(key_col)
               .agg(F.count(F.lit(1)).alias("_n"), F.count("_hit").alias("_seen")))
     return _novelty(questions, [key_col], counts, [question_col], out_col)
 
 
-def _paired_counts(qrows: DataFrame, keys: list[str], question_col: str,
-                   srows: DataFrame, sheet_col: str, stop_words, lemmas) -> DataFrame:
-    """``(keys..., _skey, _n, _seen)`` for question rows paired with sheet texts.
+def trigram_bound(df: DataFrame, text_col: str) -> int:
+    """Upper bound on the trigram rows of a text column: every token takes at
+    least one character plus a separator, so a text of length L yields at most
+    ``(L + 1) // 2`` tokens and no more trigrams than that."""
+    row = df.agg(F.sum(F.floor((F.length(text_col) + 1) / 2)).alias("b")).first()
+    return int(row["b"] or 0)
+
+
+def _sheet_matches(qt: DataFrame, key_col: str, srows: DataFrame, sheet_col: str,
+                   stop_words, lemmas) -> tuple[DataFrame, DataFrame]:
+    """Per-question trigram counts and per-(question, sheet text) matches.
 
-    ``qrows`` carries ``keys``, ``_skey`` and the question; ``srows`` one row
-    per distinct ``_skey`` with its text.  The match is a shuffle join on
-    ``(_skey, trigram)``, which spreads a sheet cited by a third of all
-    questions over every partition instead of one task.
+    ``qt`` holds ``(key, id, _n, trigram)``; ``srows`` one row per sheet text
+    with ``id`` and ``_skey``.  One left shuffle join on ``(id, trigram)``
+    feeds both counts: a sheet cited by a third of all questions is spread
+    over every partition by its trigrams instead of landing in one task.
+    Returns ``(n: (key, _n), seen: (key, _skey, _seen))``.
     """
-    st = (trigram_rows(srows, ["_skey"], sheet_col, stop_words, lemmas)
-          .distinct()
-          .withColumn("_hit", F.lit(1)))
-    q = qrows.where(F.col(question_col).isNotNull() & F.col("_skey").isNotNull())
-    qt = trigram_rows(q, keys + ["_skey"], question_col, stop_words, lemmas)
-    return (qt.join(st, ["_skey", "trigram"], "left")
-            .groupBy(*keys, "_skey")
-            .agg(F.count(F.lit(1)).alias("_n"), F.count("_hit").alias("_seen")))
+    st = (trigram_rows(srows, ["id", "_skey"], sheet_col, stop_words, lemmas)
+          .repartition("id", "trigram")          # the join's partitioning, reused by the distinct
+          .dropDuplicates(["id", "_skey", "trigram"]))
+    per_pair = (qt.join(st.hint("merge"), ["id", "trigram"], "left")
+                .groupBy(key_col, "_skey")
+                .agg(F.max("_n").alias("_n"), F.count(F.lit(1)).alias("_seen")))
+    # At most (1 + sheets per id) rows per question: materialise it once in
+    # the shared checkpoint folder so both results read it instead of
+    # re-running the tokenise/join pipeline for each.
+    per_pair = cut_lineage(per_pair)
+    n = per_pair.groupBy(key_col).agg(F.max("_n").alias("_n"))
+    seen = per_pair.where(F.col("_skey").isNotNull()).select(key_col, "_skey", "_seen")
+    return n, seen
+
+
+def _paired_score(question_col: str, sheet_col: str) -> Column:
+    seen = F.coalesce(F.col("_seen"), F.lit(0))
+    return (F.when(F.col(question_col).isNull() | F.col(sheet_col).isNull(), F.lit(None).cast("double"))
+            .when(F.col("_n").isNull(), F.lit(0.0))
+            .otherwise((F.col("_n") - seen) / F.col("_n")))
 
 
 def originality_paired(mcqs: DataFrame, sheets: DataFrame, key_col: str = "mcq_id",
@@ -131,17 +164,26 @@ def originality_paired(mcqs: DataFrame, sheets: DataFrame, key_col: str = "mcq_i
 
     Returns ``mcqs`` left-joined to ``sheets`` on ``id_col`` (rows multiply
     for duplicate sheet ids, as a left merge does) with the score added.
-    Each sheet row is tokenised once however many questions cite it.
-    ``key_col`` must identify a question row.
+    Questions are tokenised once straight from their table, each cited sheet
+    row once however many questions cite it.  ``key_col`` must identify a
+    question row.
     """
-    sk = (sheets.select(id_col, sheet_col)
+    sk = (sheets.select(F.col(id_col).alias("id"), sheet_col)
           .withColumn("_skey", F.sha2(F.col(sheet_col), 256)))
-    merged = mcqs.join(sk, id_col, "left")
-    cited = mcqs.select(id_col).distinct()
-    srows = sk.where(F.col("_skey").isNotNull()).join(cited, id_col, "left_semi")
-    counts = _paired_counts(merged.select(key_col, "_skey", question_col), [key_col], question_col,
-                            srows.select("_skey", sheet_col), sheet_col, stop_words, lemmas)
-    return _novelty(merged, [key_col, "_skey"], counts, [question_col, sheet_col], out_col).drop("_skey")
+    q = mcqs.select(key_col, F.col(id_col).alias("id"), question_col).where(F.col(question_col).isNotNull())
+    # Both sides are tokenised on their scan partitions, before any shuffle;
+    # sheets no question cites drop out in the (id, trigram) join itself.
+    qt = trigram_rows(q, [key_col, "id"], question_col, stop_words, lemmas, with_count=True)
+    n, seen = _sheet_matches(qt, key_col, sk.where(F.col("_skey").isNotNull()), sheet_col,
+                             stop_words, lemmas)
+    # Scores on a narrow (question, sheet text) table first, so the wide rows
+    # (question and sheet texts) take part in two shuffles only.
+    pairs = (mcqs.select(key_col, F.col(id_col).alias("id"))
+             .join(sk.select("id", "_skey"), "id").drop("id"))
+    narrow = pairs.join(n, key_col, "left").join(seen, [key_col, "_skey"], "left")
+    merged = mcqs.join(sk.withColumnRenamed("id", id_col), id_col, "left")
+    out = merged.join(narrow, [key_col, "_skey"], "left")
+    return out.withColumn(out_col, _paired_score(question_col, sheet_col)).drop("_skey", "_n", "_seen")
 
 
 def originality_rowwise(df: DataFrame, key_col: str = "mcq_id", question_col: str = "question",
@@ -150,27 +192,34 @@ def originality_rowwise(df: DataFrame, key_col: str = "mcq_id", question_col: st
                         lemmas: dict[str, str] | None = None) -> DataFrame:
     """T4 on a table that already holds each question's sheet text.
 
-    Distinct sheet texts (by SHA-256) are tokenised once; ``(key_col, sheet
-    text)`` must identify a row.
+    Distinct sheet texts (by SHA-256) are tokenised once; ``key_col`` must
+    identify a row.
     """
     keyed = df.withColumn("_skey", F.sha2(F.col(sheet_col), 256))
-    srows = keyed.where(F.col("_skey").isNotNull()).select("_skey", sheet_col).dropDuplicates(["_skey"])
-    counts = _paired_counts(keyed.select(key_col, "_skey", question_col), [key_col], question_col,
-                            srows, sheet_col, stop_words, lemmas)
-    return _novelty(keyed, [key_col, "_skey"], counts, [question_col, sheet_col], out_col).drop("_skey")
+    q = keyed.where(F.col(question_col).isNotNull() & F.col("_skey").isNotNull())
+    qt = trigram_rows(q.withColumn("id", F.col("_skey")), [key_col, "id"], question_col,
+                      stop_words, lemmas, with_count=True)
+    srows = (keyed.where(F.col("_skey").isNotNull()).select("_skey", sheet_col)
+             .dropDuplicates(["_skey"]).withColumn("id", F.col("_skey")))
+    n, seen = _sheet_matches(qt, key_col, srows, sheet_col, stop_words, lemmas)
+    out = keyed.join(n, key_col, "left").join(seen, [key_col, "_skey"], "left")
+    return out.withColumn(out_col, _paired_score(question_col, sheet_col)).drop("_skey", "_n", "_seen")
 
 
 def trigram_difference(mcqs: DataFrame, sheets: DataFrame, key_col: str = "mcq_id",
                        id_col: str = "id", question_col: str = "question",
                        sheet_col: str = "content_gpt") -> DataFrame:
-    """Question trigrams missing from the question's sheet, one row each."""
+    """Question trigrams missing from the question's sheet, one row each.
+
+    Questions whose sheet is absent (or has no text) have no difference set.
+    Both texts are tokenised before any shuffle; the anti join runs on
+    ``(id, trigram)``.
+    """
     qt = trigram_rows(mcqs.where(F.col(question_col).isNotNull()), [key_col, id_col], question_col)
-    st = trigram_rows(sheets.where(F.col(sheet_col).isNotNull()).join(mcqs.select(id_col).distinct(),
-                                                                       id_col, "left_semi"),
-                      [id_col], sheet_col).distinct()
+    st = trigram_rows(sheets.where(F.col(sheet_col).isNotNull()), [id_col], sheet_col).distinct()
     present = sheets.where(F.col(sheet_col).isNotNull()).select(id_col).distinct()
     return (qt.join(present, id_col, "left_semi")
-            .join(st, [id_col, "trigram"], "left_anti")
+            .join(st.hint("merge"), [id_col, "trigram"], "left_anti")
             .select(key_col, "trigram"))
 
 

@@ -70,6 +70,21 @@ def score_questions(mcqs: DataFrame, sheets: DataFrame | None = None, *,
     row yields NULL in the affected score only.
     """
     sheet = lisa_sheet_col
+    # Row-local text scores first, on the question table's own partitions:
+    # the regex work then runs before any shuffle and only small score
+    # columns travel through the joins.
+    exprs = {}
+    if compute_readability:
+        exprs["_fk"] = TX.readability_counts(question_col)
+    if compute_negation:
+        exprs[negation_col] = TX.starts_with_negation(question_col)
+    if compute_is_question:
+        exprs[is_question_col] = TX.is_question(question_col)
+    if exprs:
+        mcqs = mcqs.withColumns(exprs)
+    if compute_readability:
+        mcqs = mcqs.withColumn(readability_col, TX.readability_from_counts("_fk")).drop("_fk")
+
     if merge:
         if sheets is None:
             raise ValueError("merge=True needs the sheets table")
@@ -87,16 +102,6 @@ def score_questions(mcqs: DataFrame, sheets: DataFrame | None = None, *,
         corpus = sheets if sheets is not None else df.select(sheet)
         df = scores.originality_corpus(df, corpus, key_col, question_col, sheet, corpus_originality_col)
 
-    exprs = {}
-    if compute_readability:
-        exprs[readability_col] = TX.readability(question_col)
-    if compute_negation:
-        exprs[negation_col] = TX.starts_with_negation(question_col)
-    if compute_is_question:
-        exprs[is_question_col] = TX.is_question(question_col)
-    if exprs:
-        df = df.withColumns(exprs)
-
     if compute_relevance or compute_ambiguity:
         vt = _vectors_for(df, vectors, embedder, question_col, sheet,
                           (option_a_col, option_b_col, option_c_col, option_d_col))

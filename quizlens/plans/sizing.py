@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# Largest side we broadcast, in rows.  Each call site states its own row
-# width assumption; 2M short keys is a hash table of a few tens of MB.
-DEFAULT_BROADCAST_ROWS = 2_000_000
+# Largest side we broadcast, in rows of short keys (a trigram string is a few
+# tens of bytes): 1M rows is a hash relation of roughly 50-100 MB.
+DEFAULT_BROADCAST_ROWS = 1_000_000
 
 
 def at_most(df: DataFrame, max_rows: int) -> bool:
@@ -33,3 +33,17 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     the upstream work runs once and a lost executor does not recompute it.
     """
     return df.checkpoint(eager=True)
+
+
+def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
+    """Round-robin ``df`` over the cluster only when it has too few partitions.
+
+    CPU-heavy row-local work (tokenising, regex scores) runs one task per
+    input split; a table stored as one large row group would otherwise run
+    on a single core.  At scale the scan already yields far more splits than
+    cores, so this adds no shuffle there.
+    """
+    target = min_partitions or df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() >= target:
+        return df
+    return df.repartition(target)
