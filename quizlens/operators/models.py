@@ -28,6 +28,7 @@ from pyspark.sql import types as T
 
 from quizlens.functions import prompts as P
 from quizlens.operators import responses as R
+from quizlens.session import ship_package
 
 CompleterFactory = Callable[[], Callable]
 EmbedderFactory = Callable[[], Callable]
@@ -112,6 +113,7 @@ def llm_map(df: DataFrame, prompt: str | Column, out_col: str, completer: Comple
     number of concurrent call tasks (default: the session's parallelism).
     """
     spark = df.sparkSession
+    ship_package(spark)
     p_col = F.col(prompt) if isinstance(prompt, str) else prompt
     s_col = F.lit(system) if system is None or isinstance(system, str) else system
     if isinstance(temperature, (int, float)):
@@ -158,6 +160,7 @@ def embed_texts(df: DataFrame, text_col: str, embedder: EmbedderFactory,
 
     NULL text embeds as the empty string (as an empty distractor does).
     """
+    ship_package(df.sparkSession)
     n = partitions or df.sparkSession.sparkContext.defaultParallelism
     keyed = df.withColumn("_text", F.coalesce(F.col(text_col).cast("string"), F.lit("")))
     texts = keyed.select("_text").distinct()

@@ -82,3 +82,33 @@ def local_path(path: str) -> str:
 def makedirs(path: str) -> None:
     if is_local_path(path):
         os.makedirs(local_path(path), exist_ok=True)
+
+
+_SHIPPED: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make ``quizlens`` importable on every executor (once per application).
+
+    Operators that run Python on the executors (model calls, embeddings,
+    file writers) pickle functions by reference to this package; on a
+    cluster the executors only have it if it is shipped, so it is zipped on
+    the driver and handed to ``SparkContext.addPyFile``.
+    """
+    import zipfile
+
+    sc = spark.sparkContext
+    app = sc.applicationId
+    if app in _SHIPPED:
+        return
+    pkg_dir = os.path.dirname(os.path.abspath(__file__))
+    out_dir = tempfile.mkdtemp(prefix="quizlens-pkg-")
+    archive = os.path.join(out_dir, "quizlens.zip")
+    with zipfile.ZipFile(archive, "w", zipfile.ZIP_DEFLATED) as zf:
+        for root, _dirs, files in os.walk(pkg_dir):
+            for name in files:
+                if name.endswith(".py"):
+                    full = os.path.join(root, name)
+                    zf.write(full, os.path.relpath(full, os.path.dirname(pkg_dir)))
+    sc.addPyFile(archive)
+    _SHIPPED.add(app)

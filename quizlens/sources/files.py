@@ -13,6 +13,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quizlens.session import ship_package
+
 SHEETS_RAW_SCHEMA = "folder string, id string, content_raw string"
 SHEETS_SCHEMA = "folder string, id string, content_gpt string"
 MCQS_SCHEMA = ("id string, question string, option_a string, option_b string, option_c string, "
@@ -40,7 +42,9 @@ def read_sheet_tree(spark: SparkSession, root: str) -> DataFrame:
 
     Only ``.txt`` files directly inside first-level folders count; the id is
     the file name without its last extension; content is read whole (UTF-8).
-    Spark's file listing skips names starting with ``_`` or ``.``.
+    Spark's file listing skips names starting with ``_`` or ``.``.  Many
+    matched files are listed by a distributed Spark job, and small files are
+    packed several to a task.
     """
     pattern = f"{root.rstrip('/')}/*/*.txt"
     raw = spark.read.text(pattern, wholetext=True)
@@ -78,6 +82,7 @@ def write_json_records(df: DataFrame, path: str) -> int:
     themselves (any filesystem pyarrow can open), nothing passes through the
     driver but one count per partition.
     """
+    ship_package(df.sparkSession)
     rows = df.select(F.to_json(F.struct(*df.columns)).alias("_json"))
 
     def write(batches):
@@ -123,6 +128,7 @@ def write_text_tree(df: DataFrame, root: str, folder_col: str = "folder", id_col
 
     Each task writes its own rows straight to the target filesystem.
     """
+    ship_package(df.sparkSession)
     rows = df.select(folder_col, id_col, content_col)
 
     def write(batches):
