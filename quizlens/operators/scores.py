@@ -51,7 +51,7 @@ def relevance(df: DataFrame, question_vec_col: str, sheet_vec_col: str,
 # ---------------------------------------------------------------- trigrams
 
 def trigram_rows(df: DataFrame, key_cols: list[str], text_col: str,
-                 stop_words=T.ENGLISH_STOP_WORDS, lemmas: dict[str, str] | None = None,
+                 stop_words=T.ENGLISH_STOP_WORDS, lemmas: dict[str, str] | DataFrame | None = None,
                  out_col: str = "trigram", with_count: bool = False) -> DataFrame:
     """``(key_cols..., trigram)``, distinct per row, one output row per trigram.
 
@@ -60,7 +60,13 @@ def trigram_rows(df: DataFrame, key_cols: list[str], text_col: str,
     and de-duplicated inside the row before exploding (a map-side distinct).
     ``with_count`` adds ``_n``, the row's number of distinct trigrams, to
     every output row (so no second pass or group-by is needed for it).
+
+    ``lemmas`` may be a small dict (applied as a literal map inside the row)
+    or a ``(form, lemma)`` DataFrame of any size, see
+    :func:`_trigram_rows_lemma_table`.
     """
+    if isinstance(lemmas, DataFrame):
+        return _trigram_rows_lemma_table(df, key_cols, text_col, stop_words, lemmas, out_col, with_count)
     toks = df.select(*key_cols, T.content_tokens(text_col, stop_words, lemmas).alias("_tokens"))
     tri = toks.select(*key_cols, T.trigram_array("_tokens").alias("_tri"))
     extra = [F.size("_tri").alias("_n")] if with_count else []
@@ -71,6 +77,44 @@ def trigram_rows(df: DataFrame, key_cols: list[str], text_col: str,
     return rows.where(F.col(out_col).isNotNull())
 
 
+LEMMA_BROADCAST_ROWS = 500_000
+
+
+def _trigram_rows_lemma_table(df: DataFrame, key_cols: list[str], text_col: str, stop_words,
+                              lemmas: DataFrame, out_col: str, with_count: bool) -> DataFrame:
+    """Trigrams of lemmatised tokens with a ``(form, lemma)`` table.
+
+    Tokens (stop words already removed) are exploded with their positions and
+    joined to the table - broadcast when its size is proven small, a
+    sort-merge join otherwise.  Each token is then emitted into the three
+    trigrams it belongs to and the trigrams are rebuilt by a group-by on
+    ``(row, start)``: every group holds exactly three rows, whatever the
+    length of a text.  Rows are identified by ``key_cols`` (or by the text's
+    SHA-256 when there are none; equal texts give equal trigrams).
+    """
+    from quizlens.plans.sizing import broadcast_if_small
+
+    keys = list(key_cols) or ["_rowkey"]
+    base = df if key_cols else df.withColumn("_rowkey", F.sha2(F.col(text_col), 256))
+    toks = base.select(*keys, T.content_tokens(text_col, stop_words).alias("_tokens"))
+    pos = toks.select(*keys, F.posexplode_outer("_tokens").alias("_pos", "_tok")).where(F.col("_tok").isNotNull())
+    table = (lemmas.select(F.col("form").alias("_tok"), F.col("lemma").alias("_lem"))
+             .dropDuplicates(["_tok"]))
+    table, _ = broadcast_if_small(table, LEMMA_BROADCAST_ROWS)
+    lem = pos.join(table, "_tok", "left").select(*keys, "_pos", F.coalesce("_lem", "_tok").alias("_w"))
+    slots = F.array(*[F.struct((F.col("_pos") - k).alias("_start"), F.lit(k).alias("_slot"), F.col("_w").alias("_w"))
+                      for k in range(3)])
+    emitted = lem.select(*keys, F.inline(slots)).where(F.col("_start") >= 0)
+    grouped = (emitted.groupBy(*keys, "_start")
+               .agg(F.array_sort(F.collect_set(F.struct("_slot", "_w"))).alias("_ws")))
+    full = grouped.where(F.size("_ws") == 3)
+    tri = full.select(*keys, F.concat_ws(" ", *[F.col("_ws")[i]["_w"] for i in range(3)]).alias(out_col)).distinct()
+    if with_count:
+        n = tri.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+        tri = tri.join(n, keys)
+    return tri.drop("_rowkey") if not key_cols else tri
+
+
 def _novelty(df: DataFrame, keys: list[str], counts: DataFrame,
              text_cols: list[str], out_col: str) -> DataFrame:
     """Attach ``(n - seen) / n`` per key; 0.0 without trigrams, NULL on NULL text."""
@@ -87,7 +131,7 @@ def _novelty(df: DataFrame, keys: list[str], counts: DataFrame,
 def originality_corpus(questions: DataFrame, corpus: DataFrame, key_col: str = "mcq_id",
                        question_col: str = "question", corpus_col: str = "content_gpt",
                        out_col: str = "originality_corpus", stop_words=T.ENGLISH_STOP_WORDS,
-                       lemmas: dict[str, str] | None = None,
+                       lemmas: dict[str, str] | DataFrame | None = None,
                        broadcast_rows: int = DEFAULT_BROADCAST_ROWS) -> DataFrame:
     """Share of a question's distinct trigrams found in no sheet of the corpus (T5).
 
@@ -159,7 +203,7 @@ def originality_paired(mcqs: DataFrame, sheets: DataFrame, key_col: str = "mcq_i
                        id_col: str = "id", question_col: str = "question",
                        sheet_col: str = "content_gpt", out_col: str = "originality",
                        stop_words=T.ENGLISH_STOP_WORDS,
-                       lemmas: dict[str, str] | None = None) -> DataFrame:
+                       lemmas: dict[str, str] | DataFrame | None = None) -> DataFrame:
     """Share of a question's distinct trigrams absent from its own sheet (T4).
 
     Returns ``mcqs`` left-joined to ``sheets`` on ``id_col`` (rows multiply
@@ -189,7 +233,7 @@ def originality_paired(mcqs: DataFrame, sheets: DataFrame, key_col: str = "mcq_i
 def originality_rowwise(df: DataFrame, key_col: str = "mcq_id", question_col: str = "question",
                         sheet_col: str = "content_gpt", out_col: str = "originality",
                         stop_words=T.ENGLISH_STOP_WORDS,
-                        lemmas: dict[str, str] | None = None) -> DataFrame:
+                        lemmas: dict[str, str] | DataFrame | None = None) -> DataFrame:
     """T4 on a table that already holds each question's sheet text.
 
     Distinct sheet texts (by SHA-256) are tokenised once; ``key_col`` must

@@ -108,3 +108,31 @@ def test_score_summary(spark):
     got = {r["score"]: r for r in scores.score_summary(df, ["r", "b"]).collect()}
     assert got["r"]["n_rows"] == 3 and got["r"]["n_null"] == 1 and got["r"]["mean"] == 2.0
     assert got["b"]["mean"] == pytest.approx(2 / 3) and got["b"]["min"] == 0.0
+
+
+LEMMAS = {"cats": "cat", "mice": "mouse", "running": "running", "geese": "goose", "dogs": "dog"}
+LEMMA_PAIRS = [
+    ("cats chase mice daily", "cat chase mouse daily"),
+    ("geese and dogs and cats chase mice", "goose dog cat chase mouse"),
+    ("a b", "cats"),
+    ("cats chase mice cats chase mice", "cats chase mice"),
+]
+
+
+@pytest.mark.parametrize("as_table", [False, True])
+def test_lemma_paths_agree(spark, as_table):
+    m, s = _mcq_sheet(spark, LEMMA_PAIRS)
+    lem = spark.createDataFrame(list(LEMMAS.items()), "form string, lemma string") if as_table else LEMMAS
+    paired = {r["mcq_id"]: r["originality"] for r in scores.originality_paired(m, s, lemmas=lem).collect()}
+    corpus = {r["mcq_id"]: r["originality_corpus"]
+              for r in scores.originality_corpus(m, s, lemmas=lem).collect()}
+
+    def lem_tri(t):
+        toks = [LEMMAS.get(x, x) for x in pyref.tokens(t)]
+        return {" ".join(toks[i:i + 3]) for i in range(len(toks) - 2)}
+
+    all_sheet = set().union(*(lem_tri(t) for _, t in LEMMA_PAIRS))
+    for i, (q, t) in enumerate(LEMMA_PAIRS):
+        qt = lem_tri(q)
+        assert paired[i] == (len(qt - lem_tri(t)) / len(qt) if qt else 0.0), q
+        assert corpus[i] == (len(qt - all_sheet) / len(qt) if qt else 0.0), q
