@@ -135,8 +135,9 @@ def originality_corpus(questions: DataFrame, corpus: DataFrame, key_col: str = "
                        broadcast_rows: int = DEFAULT_BROADCAST_ROWS) -> DataFrame:
     """Share of a question's distinct trigrams found in no sheet of the corpus (T5).
 
-    Two plans, chosen by a proven bound on the question trigrams (at most
-    one per two characters of question text, summed in one cheap pass):
+    Two plans, chosen by a proven size of the question vocabulary (see
+    :func:`question_vocabulary`: a length-based bound, then if needed an exact
+    bounded count):
 
     * small question side - the question vocabulary is broadcast, the corpus
       is tokenised and probed map-side without being shuffled, and only the
@@ -147,8 +148,8 @@ def originality_corpus(questions: DataFrame, corpus: DataFrame, key_col: str = "
     q = questions.where(F.col(question_col).isNotNull())
     qt = trigram_rows(q, [key_col], question_col, stop_words, lemmas)
     ct = trigram_rows(corpus.where(F.col(corpus_col).isNotNull()), [], corpus_col, stop_words, lemmas)
-    if trigram_bound(q, question_col) <= broadcast_rows:
-        vocab = F.broadcast(qt.select("trigram").distinct())
+    vocab = question_vocabulary(q, qt, question_col, broadcast_rows)
+    if vocab is not None:
         hits = F.broadcast(ct.join(vocab, "trigram", "left_semi").distinct())
     else:
         # Both sides grow with the data: never broadcast on an estimate.
@@ -159,6 +160,30 @@ def originality_corpus(questions: DataFrame, corpus: DataFrame, key_col: str = "
     return _novelty(questions, [key_col], counts, [question_col], out_col)
 
 
+# How far above the broadcast bound the cheap estimate may be before the
+# exact (shuffling) vocabulary count is no longer worth running.
+EXACT_CHECK_FACTOR = 8
+
+
+def question_vocabulary(q: DataFrame, qt: DataFrame, question_col: str,
+                        broadcast_rows: int) -> DataFrame | None:
+    """The distinct question trigrams as a broadcast side, or None if too large.
+
+    First a proof from text length alone (no tokenising, no shuffle); when
+    that bound is within ``EXACT_CHECK_FACTOR`` of the limit, an exact but
+    bounded count of the distinct vocabulary decides.
+    """
+    from quizlens.plans.sizing import at_most
+
+    bound = trigram_bound(q, question_col)
+    vocab = qt.select("trigram").distinct()
+    if bound <= broadcast_rows:
+        return F.broadcast(vocab)
+    if bound <= EXACT_CHECK_FACTOR * broadcast_rows and at_most(vocab, broadcast_rows):
+        return F.broadcast(vocab)
+    return None
+
+
 def trigram_bound(df: DataFrame, text_col: str) -> int:
     """Upper bound on the trigram rows of a text column: every token takes at
     least one character plus a separator, so a text of length L yields at most
@@ -168,7 +193,7 @@ def trigram_bound(df: DataFrame, text_col: str) -> int:
 
 
 def _sheet_matches(qt: DataFrame, key_col: str, srows: DataFrame, sheet_col: str,
-                   stop_words, lemmas) -> tuple[DataFrame, DataFrame]:
+                   stop_words, lemmas, vocab: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """Per-question trigram counts and per-(question, sheet text) matches.
 
     ``qt`` holds ``(key, id, _n, trigram)``; ``srows`` one row per sheet text
@@ -177,8 +202,11 @@ def _sheet_matches(qt: DataFrame, key_col: str, srows: DataFrame, sheet_col: str
     over every partition by its trigrams instead of landing in one task.
     Returns ``(n: (key, _n), seen: (key, _skey, _seen))``.
     """
-    st = (trigram_rows(srows, ["id", "_skey"], sheet_col, stop_words, lemmas)
-          .repartition("id", "trigram")          # the join's partitioning, reused by the distinct
+    st = trigram_rows(srows, ["id", "_skey"], sheet_col, stop_words, lemmas)
+    if vocab is not None:
+        # Map-side: sheet trigrams no question uses never reach the shuffle.
+        st = st.join(vocab, "trigram", "left_semi")
+    st = (st.repartition("id", "trigram")        # the join's partitioning, reused by the distinct
           .dropDuplicates(["id", "_skey", "trigram"]))
     per_pair = (qt.join(st.hint("merge"), ["id", "trigram"], "left")
                 .groupBy(key_col, "_skey")
@@ -203,7 +231,8 @@ def originality_paired(mcqs: DataFrame, sheets: DataFrame, key_col: str = "mcq_i
                        id_col: str = "id", question_col: str = "question",
                        sheet_col: str = "content_gpt", out_col: str = "originality",
                        stop_words=T.ENGLISH_STOP_WORDS,
-                       lemmas: dict[str, str] | DataFrame | None = None) -> DataFrame:
+                       lemmas: dict[str, str] | DataFrame | None = None,
+                       broadcast_rows: int = DEFAULT_BROADCAST_ROWS) -> DataFrame:
     """Share of a question's distinct trigrams absent from its own sheet (T4).
 
     Returns ``mcqs`` left-joined to ``sheets`` on ``id_col`` (rows multiply
@@ -218,8 +247,9 @@ def originality_paired(mcqs: DataFrame, sheets: DataFrame, key_col: str = "mcq_i
     # Both sides are tokenised on their scan partitions, before any shuffle;
     # sheets no question cites drop out in the (id, trigram) join itself.
     qt = trigram_rows(q, [key_col, "id"], question_col, stop_words, lemmas, with_count=True)
+    vocab = question_vocabulary(q, qt, question_col, broadcast_rows)
     n, seen = _sheet_matches(qt, key_col, sk.where(F.col("_skey").isNotNull()), sheet_col,
-                             stop_words, lemmas)
+                             stop_words, lemmas, vocab)
     # Scores on a narrow (question, sheet text) table first, so the wide rows
     # (question and sheet texts) take part in two shuffles only.
     pairs = (mcqs.select(key_col, F.col(id_col).alias("id"))
