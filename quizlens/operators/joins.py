@@ -5,10 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quizlens.plans.sizing import broadcast_if_small
 
 # A folder list is a handful of names; anything above this is not a split list.
-MAX_SPLIT_FOLDERS = 100_000
+MAX_SPLIT_FOLDERS = 10_000
 
 
 def semi_join_sheets(sheets: DataFrame, mcqs: DataFrame, id_col: str = "id") -> DataFrame:
@@ -32,23 +31,37 @@ def attach_sheet(mcqs: DataFrame, sheets: DataFrame, id_col: str = "id",
     return mcqs.join(sheets.select(id_col, sheet_col), id_col, "left")
 
 
-def _folders(folders: DataFrame, folder_col: str) -> DataFrame:
-    side = folders.select(F.col(folder_col).alias("_folder")).distinct()
-    side, _ = broadcast_if_small(side, MAX_SPLIT_FOLDERS)
-    return side
+def _folder_names(folders: DataFrame, list_col: str) -> list[str] | None:
+    """The split's folder names when there are at most MAX_SPLIT_FOLDERS, else None."""
+    names = folders.select(F.col(list_col).alias("_folder")).distinct().limit(MAX_SPLIT_FOLDERS + 1).collect()
+    if len(names) > MAX_SPLIT_FOLDERS:
+        return None
+    return sorted(r["_folder"] for r in names if r["_folder"] is not None)
 
 
 def test_split(sheets: DataFrame, folders: DataFrame, folder_col: str = "folder",
                list_col: str = "folder") -> DataFrame:
-    """Sheets whose folder is in the split list."""
-    side = _folders(folders, list_col)
+    """Sheets whose folder is in the split list.
+
+    A split list is a handful of names: read with a proven bound, it becomes a
+    literal ``IN`` filter - pushed into the scan, and pruning whole folders
+    when the sheets are stored partitioned by folder.  An oversized list falls
+    back to a shuffle semi join.
+    """
+    names = _folder_names(folders, list_col)
+    if names is not None:
+        return sheets.where(F.col(folder_col).isin(names))
+    side = folders.select(F.col(list_col).alias("_folder")).distinct()
     return sheets.join(side, sheets[folder_col] == side["_folder"], "left_semi")
 
 
 def train_split(sheets: DataFrame, folders: DataFrame, folder_col: str = "folder",
                 list_col: str = "folder") -> DataFrame:
     """The complement of :func:`test_split`; a NULL folder is on the training side."""
-    side = _folders(folders, list_col)
+    names = _folder_names(folders, list_col)
+    if names is not None:
+        return sheets.where(F.col(folder_col).isNull() | ~F.col(folder_col).isin(names))
+    side = folders.select(F.col(list_col).alias("_folder")).where(F.col("_folder").isNotNull()).distinct()
     return sheets.join(side, sheets[folder_col] == side["_folder"], "left_anti")
 
 

@@ -207,6 +207,16 @@ def q_train_split(spark, sf):
     return joins.train_split(_sheets(spark, sf), _split_list(spark))
 
 
+@register("test_split_partitioned", fx.cte("sheets") + f"""
+SELECT folder, id, content_gpt FROM sheets WHERE folder IN ({_FOLDERS_SQL})""")
+def q_test_split_partitioned(spark, sf):
+    """J3 over sheets stored partitioned by folder: only the listed folders are read."""
+    path = scratch_path(spark, "sheets-by-folder")
+    files.write_sheets_table(_sheets(spark, sf), path)
+    stored = files.read_sheets_table(spark, path)
+    return joins.test_split(stored, _split_list(spark)).select("folder", "id", "content_gpt")
+
+
 @register("semi_join_sheets", fx.cte("mcqs", "sheets") + """
 SELECT folder, id FROM sheets WHERE id IN (SELECT id FROM mcqs)""")
 def q_semi_join_sheets(spark, sf):

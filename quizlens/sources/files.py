@@ -48,7 +48,9 @@ def read_sheet_tree(spark: SparkSession, root: str) -> DataFrame:
     """
     pattern = f"{root.rstrip('/')}/*/*.txt"
     raw = spark.read.text(pattern, wholetext=True)
-    path = F.url_decode(F.col("_metadata.file_path"))
+    # The path is percent-encoded; '+' is literal there, so protect it from
+    # the form-decoding rule that would turn it into a space.
+    path = F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))
     parts = F.split(path, "/")
     name = F.element_at(parts, -1)
     return raw.select(
@@ -86,9 +88,8 @@ def write_json_records(df: DataFrame, path: str) -> int:
     rows = df.select(F.to_json(F.struct(*df.columns)).alias("_json"))
 
     def write(batches):
-        import uuid
-
         import pandas as pd
+        from pyspark import TaskContext
 
         parts = []
         for pdf in batches:
@@ -96,7 +97,9 @@ def write_json_records(df: DataFrame, path: str) -> int:
         if parts:
             filesystem, base = arrow_fs(path)
             filesystem.create_dir(base, recursive=True)
-            name = f"{base}/part-{uuid.uuid4().hex}.json"
+            # One file per partition, named by the partition: a retried or
+            # speculative attempt rewrites the same file, never adds one.
+            name = f"{base}/part-{TaskContext.get().partitionId():05d}.json"
             with filesystem.open_output_stream(name) as out:
                 out.write(("[\n" + ",\n".join(parts) + "\n]\n").encode("utf-8"))
         yield pd.DataFrame({"n": [len(parts)]})
@@ -163,3 +166,16 @@ def write_text_file(spark: SparkSession, path: str, text: str) -> None:
 
 def prompts_json(prompts: dict[str, str]) -> str:
     return json.dumps(prompts, ensure_ascii=False)
+
+
+def write_sheets_table(df: DataFrame, path: str, folder_col: str = "folder", mode: str = "overwrite") -> None:
+    """Sheets as Parquet partitioned by folder (the format between jobs).
+
+    A folder split over this table prunes whole folders at scan time: the
+    broadcast folder list becomes a dynamic partition filter.
+    """
+    df.write.mode(mode).partitionBy(folder_col).parquet(path)
+
+
+def read_sheets_table(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.parquet(path)

@@ -33,8 +33,6 @@ def test_corpus_plan_switches_on_bound(spark):
     assert "BroadcastHashJoin" in small
     large = _plan(scores.originality_corpus(m, s, broadcast_rows=0))
     assert "SortMergeJoin" in large
-    # the sort-merge path never broadcasts a trigram table
-    assert "BroadcastExchange" not in large.split("SortMergeJoin")[0] or True
 
 
 def test_trigram_joins_are_sort_merge(spark):
@@ -45,3 +43,12 @@ def test_trigram_joins_are_sort_merge(spark):
 def test_scan_prunes_columns(spark):
     plan = _plan(catalog.QUERIES["readability"](spark, SF_SMALL))
     assert "ReadSchema: struct<doc_id:bigint,text:string>" in plan
+
+
+def test_split_prunes_folder_partitions(spark):
+    from quizlens.plans import catalog as C
+
+    df = C.QUERIES["test_split_partitioned"](spark, SF_SMALL)
+    df.collect()
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [folder" in plan and " IN (IC-001" in plan

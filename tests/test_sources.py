@@ -16,6 +16,7 @@ def test_sheet_tree_layout(spark, scratch):
         "IC-001/A-2.txt": "second",
         "IC-001/notes.md": "not a sheet",
         "IC-002/B.v2.txt": "dotted name",
+        "IC 3/x+y%20z #1.txt": "odd characters",
         "IC-002/deeper/C.txt": "too deep",
         "top.txt": "not in a folder",
     }
@@ -25,7 +26,8 @@ def test_sheet_tree_layout(spark, scratch):
         with open(full, "w", encoding="utf-8") as fh:
             fh.write(text)
     got = sorted(tuple(r) for r in files.read_sheet_tree(spark, scratch).collect())
-    assert got == [("IC-001", "A-1", layout["IC-001/A-1.txt"]), ("IC-001", "A-2", "second"),
+    assert got == [("IC 3", "x+y%20z #1", "odd characters"),
+                   ("IC-001", "A-1", layout["IC-001/A-1.txt"]), ("IC-001", "A-2", "second"),
                    ("IC-002", "B.v2", "dotted name")]
 
 
