@@ -141,6 +141,44 @@ def llm_map(df: DataFrame, prompt: str | Column, out_col: str, completer: Comple
     return out.withColumnRenamed("_response", out_col).drop("_prompt", "_system", "_temperature")
 
 
+def _call_many(factory, specs, batch_rows):
+    """Like :func:`_call_batches` for several (prompt column -> answer column) requests."""
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        complete = _build_once(factory)
+        for pdf in batches:
+            pdf = pdf.copy()
+            for prompt_col, out_col, system, temperature, max_tokens in specs:
+                out = pd.Series([None] * len(pdf), index=pdf.index, dtype=object)
+                todo = pdf[pdf[prompt_col].notna()]
+                for start in range(0, len(todo), batch_rows):
+                    chunk = todo.iloc[start:start + batch_rows]
+                    out.loc[chunk.index] = _safe_complete(complete, system, chunk[prompt_col].tolist(),
+                                                          temperature, max_tokens)
+                pdf[out_col] = out
+            yield pdf.drop(columns=[spec[0] for spec in specs])
+    return run
+
+
+def llm_map_many(df: DataFrame, requests: list[tuple[Column, str, str | None, float, int | None]],
+                 completer: CompleterFactory, partitions: int | None = None,
+                 batch_rows: int = 64) -> DataFrame:
+    """Several model columns in one pass: ``requests`` are
+    ``(prompt, out_col, system, temperature, max_tokens)``.  The rows are
+    spread once and cross into Python once, however many criteria run."""
+    if not requests:
+        return df
+    spark = df.sparkSession
+    ship_package(spark)
+    n = partitions or spark.sparkContext.defaultParallelism
+    prompt_cols = {f"_prompt{i}": r[0].cast("string") for i, r in enumerate(requests)}
+    req = df.withColumns(prompt_cols)
+    specs = [(f"_prompt{i}", r[1], r[2], None if r[3] is None else float(r[3]), r[4])
+             for i, r in enumerate(requests)]
+    schema = T.StructType([f for f in req.schema.fields if f.name not in prompt_cols]
+                          + [T.StructField(r[1], T.StringType()) for r in requests])
+    return req.repartition(n).mapInPandas(_call_many(completer, specs, batch_rows), schema)
+
+
 def _embed_batches(factory, batch_rows):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         embed = _build_once(factory)

@@ -145,6 +145,16 @@ def originality_corpus(questions: DataFrame, corpus: DataFrame, key_col: str = "
     * otherwise - corpus trigrams are de-duplicated (partial aggregation
       first) and left-joined to the question trigrams in a sort-merge join.
     """
+    counts = corpus_counts(questions, corpus, key_col, question_col, corpus_col, stop_words, lemmas,
+                           broadcast_rows)
+    return _novelty(questions, [key_col], counts, [question_col], out_col)
+
+
+def corpus_counts(questions: DataFrame, corpus: DataFrame, key_col: str = "mcq_id",
+                  question_col: str = "question", corpus_col: str = "content_gpt",
+                  stop_words=T.ENGLISH_STOP_WORDS, lemmas: dict[str, str] | DataFrame | None = None,
+                  broadcast_rows: int = DEFAULT_BROADCAST_ROWS) -> DataFrame:
+    """``(key, _n, _seen)``: distinct trigrams per question and how many occur in the corpus."""
     q = questions.where(F.col(question_col).isNotNull())
     qt = trigram_rows(q, [key_col], question_col, stop_words, lemmas)
     ct = trigram_rows(corpus.where(F.col(corpus_col).isNotNull()), [], corpus_col, stop_words, lemmas)
@@ -154,10 +164,9 @@ def originality_corpus(questions: DataFrame, corpus: DataFrame, key_col: str = "
     else:
         # Both sides grow with the data: never broadcast on an estimate.
         hits = ct.distinct().hint("merge")
-    counts = (qt.join(hits.withColumn("_hit", F.lit(1)), "trigram", "left")
-              .groupBy(key_col)
-              .agg(F.count(F.lit(1)).alias("_n"), F.count("_hit").alias("_seen")))
-    return _novelty(questions, [key_col], counts, [question_col], out_col)
+    return (qt.join(hits.withColumn("_hit", F.lit(1)), "trigram", "left")
+            .groupBy(key_col)
+            .agg(F.count(F.lit(1)).alias("_n"), F.count("_hit").alias("_seen")))
 
 
 # How far above the broadcast bound the cheap estimate may be before the
@@ -220,13 +229,36 @@ def _sheet_matches(qt: DataFrame, key_col: str, srows: DataFrame, sheet_col: str
     return n, seen
 
 
-def _paired_score(question_col: str, sheet_col: str) -> Column:
+def paired_score(question_col: str, sheet_col: str) -> Column:
     seen = F.coalesce(F.col("_seen"), F.lit(0))
     return (F.when(F.col(question_col).isNull() | F.col(sheet_col).isNull(), F.lit(None).cast("double"))
             .when(F.col("_n").isNull(), F.lit(0.0))
             .otherwise((F.col("_n") - seen) / F.col("_n")))
 
 
+def paired_counts(questions: DataFrame, sheet_rows: DataFrame, key_col: str = "mcq_id",
+                  question_col: str = "question", sheet_col: str = "content_gpt",
+                  stop_words=T.ENGLISH_STOP_WORDS, lemmas: dict[str, str] | DataFrame | None = None,
+                  broadcast_rows: int = DEFAULT_BROADCAST_ROWS) -> tuple[DataFrame, DataFrame]:
+    """T4 counts: ``(key, _n)`` and ``(key, _skey, _seen)``.
+
+    ``questions`` holds ``key``, ``id`` (the sheet id it cites) and the text;
+    ``sheet_rows`` holds ``id``, ``_skey`` (the text's SHA-256) and the text.
+    Both are tokenised on their own partitions, before any shuffle.
+    """
+    q = questions.where(F.col(question_col).isNotNull())
+    qt = trigram_rows(q, [key_col, "id"], question_col, stop_words, lemmas, with_count=True)
+    vocab = question_vocabulary(q, qt, question_col, broadcast_rows)
+    return _sheet_matches(qt, key_col, sheet_rows.where(F.col("_skey").isNotNull()), sheet_col,
+                          stop_words, lemmas, vocab)
+
+
+def sheet_keys(sheets: DataFrame, id_col: str, sheet_col: str) -> DataFrame:
+    """``(id, sheet_col, _skey)``: each sheet row with the SHA-256 of its text."""
+    return (sheets.select(F.col(id_col).alias("id"), sheet_col)
+            .withColumn("_skey", F.sha2(F.col(sheet_col), 256)))
+
+
 def originality_paired(mcqs: DataFrame, sheets: DataFrame, key_col: str = "mcq_id",
                        id_col: str = "id", question_col: str = "question",
                        sheet_col: str = "content_gpt", out_col: str = "originality",
@@ -237,19 +269,13 @@ def originality_paired(mcqs: DataFrame, sheets: DataFrame, key_col: str = "mcq_i
 
     Returns ``mcqs`` left-joined to ``sheets`` on ``id_col`` (rows multiply
     for duplicate sheet ids, as a left merge does) with the score added.
-    Questions are tokenised once straight from their table, each cited sheet
-    row once however many questions cite it.  ``key_col`` must identify a
+    Questions are tokenised once straight from their table, each sheet row
+    once however many questions cite it.  ``key_col`` must identify a
     question row.
     """
-    sk = (sheets.select(F.col(id_col).alias("id"), sheet_col)
-          .withColumn("_skey", F.sha2(F.col(sheet_col), 256)))
-    q = mcqs.select(key_col, F.col(id_col).alias("id"), question_col).where(F.col(question_col).isNotNull())
-    # Both sides are tokenised on their scan partitions, before any shuffle;
-    # sheets no question cites drop out in the (id, trigram) join itself.
-    qt = trigram_rows(q, [key_col, "id"], question_col, stop_words, lemmas, with_count=True)
-    vocab = question_vocabulary(q, qt, question_col, broadcast_rows)
-    n, seen = _sheet_matches(qt, key_col, sk.where(F.col("_skey").isNotNull()), sheet_col,
-                             stop_words, lemmas, vocab)
+    sk = sheet_keys(sheets, id_col, sheet_col)
+    q = mcqs.select(key_col, F.col(id_col).alias("id"), question_col)
+    n, seen = paired_counts(q, sk, key_col, question_col, sheet_col, stop_words, lemmas, broadcast_rows)
     # Scores on a narrow (question, sheet text) table first, so the wide rows
     # (question and sheet texts) take part in two shuffles only.
     pairs = (mcqs.select(key_col, F.col(id_col).alias("id"))
@@ -257,7 +283,7 @@ def originality_paired(mcqs: DataFrame, sheets: DataFrame, key_col: str = "mcq_i
     narrow = pairs.join(n, key_col, "left").join(seen, [key_col, "_skey"], "left")
     merged = mcqs.join(sk.withColumnRenamed("id", id_col), id_col, "left")
     out = merged.join(narrow, [key_col, "_skey"], "left")
-    return out.withColumn(out_col, _paired_score(question_col, sheet_col)).drop("_skey", "_n", "_seen")
+    return out.withColumn(out_col, paired_score(question_col, sheet_col)).drop("_skey", "_n", "_seen")
 
 
 def originality_rowwise(df: DataFrame, key_col: str = "mcq_id", question_col: str = "question",
@@ -277,7 +303,7 @@ def originality_rowwise(df: DataFrame, key_col: str = "mcq_id", question_col: st
              .dropDuplicates(["_skey"]).withColumn("id", F.col("_skey")))
     n, seen = _sheet_matches(qt, key_col, srows, sheet_col, stop_words, lemmas)
     out = keyed.join(n, key_col, "left").join(seen, [key_col, "_skey"], "left")
-    return out.withColumn(out_col, _paired_score(question_col, sheet_col)).drop("_skey", "_n", "_seen")
+    return out.withColumn(out_col, paired_score(question_col, sheet_col)).drop("_skey", "_n", "_seen")
 
 
 def trigram_difference(mcqs: DataFrame, sheets: DataFrame, key_col: str = "mcq_id",
@@ -309,21 +335,31 @@ def ambiguity(mcqs: DataFrame, option_vectors: DataFrame, key_col: str = "mcq_id
     bounded group of four), then scored with array functions.  A letter
     outside a-d gives 0.0, a NULL letter gives NULL.
     """
-    vecs = (option_vectors
+    vecs = option_vector_maps(option_vectors, key_col, letter_col, vector_col)
+    return (mcqs.join(vecs, key_col, "left")
+            .withColumn(out_col, ambiguity_from_map(correct_col, "_vecs")).drop("_vecs"))
+
+
+def option_vector_maps(option_vectors: DataFrame, key_col: str = "mcq_id", letter_col: str = "letter",
+                       vector_col: str = "embedding") -> DataFrame:
+    """``(key, _vecs)``: a letter -> vector map per question (groups of four)."""
+    return (option_vectors
             .groupBy(key_col)
             .agg(F.map_from_entries(F.collect_list(F.struct(F.lower(letter_col), vector_col)))
                  .alias("_vecs")))
+
+
+def ambiguity_from_map(correct_col: str, vecs_col: str) -> Column:
     c = F.lower(F.col(correct_col))
     # Sum in option order a..d; the correct option's slot adds an exact 0.0,
     # so the result equals summing the three other cosines left to right.
     total = F.lit(0.0)
     for letter in OPTION_LETTERS:
-        sim = cosine(F.try_element_at("_vecs", c), F.try_element_at("_vecs", F.lit(letter)))
+        sim = cosine(F.try_element_at(vecs_col, c), F.try_element_at(vecs_col, F.lit(letter)))
         total = total + F.when(c == letter, F.lit(0.0)).otherwise(sim)
-    score = (F.when(c.isNull(), F.lit(None).cast("double"))
-             .when(~c.isin(*OPTION_LETTERS), F.lit(0.0))
-             .otherwise(total / F.lit(3.0)))
-    return mcqs.join(vecs, key_col, "left").withColumn(out_col, score).drop("_vecs")
+    return (F.when(c.isNull(), F.lit(None).cast("double"))
+            .when(~c.isin(*OPTION_LETTERS), F.lit(0.0))
+            .otherwise(total / F.lit(3.0)))
 
 
 def options_long(mcqs: DataFrame, key_col: str = "mcq_id",

@@ -417,10 +417,21 @@ def q_length_score(spark, sf):
 
 # ------------------------------------------------------------ T8, T9, A3
 
+# A vector row is 64 floats (~300 bytes): 100k rows is a ~30 MB hash relation.
+VECTOR_BROADCAST_ROWS = 100_000
+
+
 def _half(spark, sf) -> int:
     return fx.table(spark, sf, "embeddings").count() // 2
 
 
+def _vectors(spark, sf, n: int | None = None) -> DataFrame:
+    """The embeddings table, broadcast only when its counted size is small."""
+    emb = fx.table(spark, sf, "embeddings").select("vec_id", "embedding")
+    n = fx.table(spark, sf, "embeddings").count() if n is None else n
+    return F.broadcast(emb) if n <= VECTOR_BROADCAST_ROWS else emb
+
+
 _HALF_SQL = "(SELECT count(*) // 2 FROM embeddings)"
 _ALL_SQL = "(SELECT count(*) FROM embeddings)"
 
@@ -432,7 +443,7 @@ LEFT JOIN embeddings q ON q.vec_id = m.mcq_id
 LEFT JOIN embeddings s ON s.vec_id = m.mcq_id + {_HALF_SQL}""")
 def q_relevance(spark, sf):
     half = _half(spark, sf)
-    emb = fx.table(spark, sf, "embeddings")
+    emb = _vectors(spark, sf, 2 * half)
     qv = emb.select(F.col("vec_id").alias("mcq_id"), F.col("embedding").alias("q_vec"))
     sv = emb.select((F.col("vec_id") - F.lit(half)).alias("mcq_id"), F.col("embedding").alias("s_vec"))
     pairs = _mcqs(spark, sf).select("mcq_id").join(qv, "mcq_id", "left").join(sv, "mcq_id", "left")
@@ -442,7 +453,7 @@ def q_relevance(spark, sf):
 
 def _option_vectors(spark, sf) -> DataFrame:
     n = fx.table(spark, sf, "embeddings").count()
-    emb = fx.table(spark, sf, "embeddings").select("vec_id", "embedding")
+    emb = _vectors(spark, sf, n)
     m = _mcqs(spark, sf)
     opts = m.select("mcq_id", F.inline(F.array(*[
         F.struct(F.lit(l).alias("letter"), ((F.col("mcq_id") * 4 + k) % n).alias("vec_id"))
@@ -476,21 +487,20 @@ SELECT m.mcq_id, CASE WHEN m.correct_option IS NULL THEN NULL
   ELSE round((SELECT avg(sim) FROM sims WHERE sims.mcq_id = m.mcq_id), 6) END AS mean_similarity
 FROM mcqs m""")
 def q_mean_over_options(spark, sf):
-    """A3 in exploded form: one cosine per (question, other option), averaged per question."""
+    """A3 as an array mean: the cosines to the non-correct options, averaged."""
     from quizlens.functions.vectors import cosine
 
-    m = _mcqs(spark, sf).select("mcq_id", F.lower("correct_option").alias("c"))
     ov = _option_vectors(spark, sf)
-    correct = ov.join(m, "mcq_id").where(F.col("letter") == F.col("c")).select(
-        "mcq_id", F.col("embedding").alias("c_vec"))
-    sims = (ov.join(m, "mcq_id").where(F.col("letter") != F.col("c"))
-            .join(correct, "mcq_id").select("mcq_id", cosine("c_vec", "embedding").alias("sim")))
-    means = sims.groupBy("mcq_id").agg(F.avg("sim").alias("_mean"))
+    vecs = ov.groupBy("mcq_id").agg(F.map_from_entries(F.collect_list(F.struct("letter", "embedding"))).alias("v"))
+    m = _mcqs(spark, sf).select("mcq_id", F.lower("correct_option").alias("c")).join(vecs, "mcq_id", "left")
     c = F.col("c")
+    others = F.filter(F.array(*[F.lit(x) for x in scores.OPTION_LETTERS]), lambda x: x != c)
+    sims = F.transform(others, lambda x: cosine(F.try_element_at("v", c), F.try_element_at("v", x)))
+    mean = F.aggregate(sims, F.lit(0.0), lambda acc, x: acc + x) / F.size(sims)
     score = (F.when(c.isNull(), F.lit(None).cast("double"))
              .when(~c.isin(*scores.OPTION_LETTERS), F.lit(0.0))
-             .otherwise(F.round("_mean", 6)))
-    return m.join(means, "mcq_id", "left").select("mcq_id", score.alias("mean_similarity"))
+             .otherwise(F.round(mean, 6)))
+    return m.select("mcq_id", score.alias("mean_similarity"))
 
 
 # ------------------------------------------------------------ summary, job A

@@ -13,6 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quizlens.functions import prompts as PR
 from quizlens.functions import text as TX
 from quizlens.functions.vectors import cosine
 from quizlens.operators import joins, models, responses, scores, sheets as sheet_ops
@@ -67,12 +68,18 @@ def score_questions(mcqs: DataFrame, sheets: DataFrame | None = None, *,
     with ``merge=False`` the question table must already hold it.  Vector
     scores need ``vectors`` (``text``, ``embedding``) or an ``embedder``;
     model criteria need a ``completer`` and their system prompt (G12).  A bad
-    row yields NULL in the affected score only.
+    row yields NULL in the affected score only.  ``key_col`` identifies a
+    question row.
+
+    Plan: row-local scores are added on the question table's own partitions;
+    every set or vector score is computed on narrow keyed tables, which are
+    combined into one narrow table keyed by (question, sheet text).  The
+    wide rows (question and sheet texts) then take part in two shuffles only
+    - the sheet join and the join with that table - and cross into Python
+    once for all model criteria.
     """
     sheet = lisa_sheet_col
-    # Row-local text scores first, on the question table's own partitions:
-    # the regex work then runs before any shuffle and only small score
-    # columns travel through the joins.
+    option_cols = (option_a_col, option_b_col, option_c_col, option_d_col)
     exprs = {}
     if compute_readability:
         exprs["_fk"] = TX.readability_counts(question_col)
@@ -80,80 +87,108 @@ def score_questions(mcqs: DataFrame, sheets: DataFrame | None = None, *,
         exprs[negation_col] = TX.starts_with_negation(question_col)
     if compute_is_question:
         exprs[is_question_col] = TX.is_question(question_col)
-    if exprs:
-        mcqs = mcqs.withColumns(exprs)
+    base = mcqs.withColumns(exprs) if exprs else mcqs
     if compute_readability:
-        mcqs = mcqs.withColumn(readability_col, TX.readability_from_counts("_fk")).drop("_fk")
+        base = base.withColumn(readability_col, TX.readability_from_counts("_fk")).drop("_fk")
 
+    # Sheet rows keyed by the SHA-256 of their text, and the (question, sheet) pairs.
     if merge:
         if sheets is None:
             raise ValueError("merge=True needs the sheets table")
-        if compute_originality:
-            df = scores.originality_paired(mcqs, sheets, key_col, sheet_id_col, question_col, sheet,
-                                           originality_col)
-        else:
-            df = joins.attach_sheet(mcqs, sheets, sheet_id_col, sheet)
+        sk = scores.sheet_keys(sheets, sheet_id_col, sheet)
+        wide = base.join(sk.withColumnRenamed("id", sheet_id_col), sheet_id_col, "left")     # J4
+        cites = mcqs.select(key_col, F.col(sheet_id_col).alias("id"))
+        pairs = cites.join(sk.select("id", "_skey"), "id").drop("id")
+        corpus = sheets
     else:
-        df = mcqs
-        if compute_originality:
-            df = scores.originality_rowwise(df, key_col, question_col, sheet, originality_col)
-
+        wide = base.withColumn("_skey", F.sha2(F.col(sheet), 256))
+        sk = (wide.where(F.col("_skey").isNotNull()).select("_skey", sheet)
+              .dropDuplicates(["_skey"]).withColumn("id", F.col("_skey")))
+        cites = wide.select(key_col, F.col("_skey").alias("id"))
+        pairs = wide.where(F.col("_skey").isNotNull()).select(key_col, "_skey").distinct()
+        corpus = sk
+
+    per_key = mcqs.select(key_col)          # one row per question
+    per_pair = pairs                        # one row per (question, sheet text)
+    pair_cols, key_cols = [], []
+    if compute_originality:
+        q = cites.join(mcqs.select(key_col, question_col), key_col)
+        n, seen = scores.paired_counts(q, sk, key_col, question_col, sheet)
+        per_key = per_key.join(n, key_col, "left")
+        per_pair = per_pair.join(seen, [key_col, "_skey"], "left")
+        pair_cols.append((originality_col, scores.paired_score(question_col, sheet)))
     if compute_corpus_originality:
-        corpus = sheets if sheets is not None else df.select(sheet)
-        df = scores.originality_corpus(df, corpus, key_col, question_col, sheet, corpus_originality_col)
-
+        cc = scores.corpus_counts(mcqs, corpus, key_col, question_col, sheet).select(
+            key_col, F.col("_n").alias("_cn"), F.col("_seen").alias("_cseen"))
+        per_key = per_key.join(cc, key_col, "left")
+        key_cols.append((corpus_originality_col,
+                         F.when(F.col(question_col).isNull(), F.lit(None).cast("double"))
+                         .when(F.col("_cn").isNull(), F.lit(0.0))
+                         .otherwise((F.col("_cn") - F.col("_cseen")) / F.col("_cn"))))
     if compute_relevance or compute_ambiguity:
-        vt = _vectors_for(df, vectors, embedder, question_col, sheet,
-                          (option_a_col, option_b_col, option_c_col, option_d_col))
+        vt = _vectors_for(mcqs, sk, vectors, embedder, question_col, sheet, option_cols)
         if compute_relevance:
-            df = _relevance_by_text(df, vt, question_col, sheet, relevance_col)
+            qv = (mcqs.select(key_col, _text_key(question_col).alias("_tkey"))
+                  .join(vt, "_tkey").select(key_col, F.col("embedding").alias("_qv")))
+            sv = vt.select(F.col("_tkey").alias("_skey"), F.col("embedding").alias("_sv"))
+            rel = pairs.join(qv, key_col).join(sv, "_skey").select(
+                key_col, "_skey", cosine("_qv", "_sv").alias("_rel"))
+            per_pair = per_pair.join(rel, [key_col, "_skey"], "left")
+            pair_cols.append((relevance_col,
+                              F.when(F.col(question_col).isNull() | F.col(sheet).isNull(),
+                                     F.lit(None).cast("double")).otherwise(F.col("_rel"))))
         if compute_ambiguity:
-            long = scores.options_long(df.select(key_col, option_a_col, option_b_col, option_c_col,
-                                                 option_d_col).dropDuplicates([key_col]),
-                                       key_col, (option_a_col, option_b_col, option_c_col, option_d_col))
+            long = scores.options_long(mcqs, key_col, option_cols)
             ov = (long.withColumn("_tkey", _text_key("option_text"))
                   .join(vt, "_tkey", "left").select(key_col, "letter", "embedding"))
-            df = scores.ambiguity(df, ov, key_col, correct_option_col, out_col=ambiguity_col)
+            per_key = per_key.join(scores.option_vector_maps(ov, key_col), key_col, "left")
+            key_cols.append((ambiguity_col, scores.ambiguity_from_map(correct_option_col, "_vecs")))
+
+    # One narrow table keyed by (question, sheet text); questions without a
+    # sheet keep one row with a NULL sheet key.
+    narrow = per_key.join(per_pair, key_col, "left")
+    out = wide.join(narrow, [wide[key_col] == narrow[key_col], wide["_skey"].eqNullSafe(narrow["_skey"])],
+                    "left")
+    out = out.select(wide["*"], *[narrow[c] for c in narrow.columns if c not in (key_col, "_skey")])
+    for name, expr in key_cols + pair_cols:
+        out = out.withColumn(name, expr)
+    helpers = {"_skey", "_n", "_seen", "_cn", "_cseen", "_rel", "_vecs"}
+    out = out.drop(*[c for c in out.columns if c in helpers])
 
     cols = dict(question_col=question_col, option_a_col=option_a_col, option_b_col=option_b_col,
                 option_c_col=option_c_col, option_d_col=option_d_col,
                 correct_option_col=correct_option_col)
-    judge = dict(temperature=temp, max_tokens=max_completion_tokens)
     if completer is not None:
-        if compute_answerability:
-            df = models.answerability(df, answerability_system_prompt, completer, answerability_col,
-                                      context_col=sheet, **judge, **cols)
-        if compute_disclosure:
-            df = models.disclosure(df, disclosure_system_prompt, completer, disclosure_col, **judge, **cols)
-        if compute_difficulty:
-            df = models.difficulty(df, difficulty_system_prompt, completer, difficulty_col, **judge, **cols)
-        if compute_distractors_quality:
-            df = models.distractors_quality(df, distractors_quality_system_prompt, completer,
-                                            distractors_quality_col, **judge, **cols)
-    return df
-
-
-def _vectors_for(df, vectors, embedder, question_col, sheet_col, option_cols) -> DataFrame:
+        # G6-G9 in one pass over the rows; a criterion runs only when enabled
+        # and given its system prompt.
+        criteria = [
+            (compute_answerability, answerability_system_prompt, answerability_col,
+             dict(include_options=True, include_correct_option=True, context_col=sheet)),
+            (compute_disclosure, disclosure_system_prompt, disclosure_col,
+             dict(include_options=False, include_correct_option=True)),
+            (compute_difficulty, difficulty_system_prompt, difficulty_col,
+             dict(include_options=True, include_correct_option=True)),
+            (compute_distractors_quality, distractors_quality_system_prompt, distractors_quality_col,
+             dict(include_options=True, include_correct_option=True)),
+        ]
+        requests = [(PR.judge_prompt(**cols, **layout), out_name, system, temp, max_completion_tokens)
+                    for on, system, out_name, layout in criteria if on and system is not None]
+        out = models.llm_map_many(out, requests, completer)
+    return out
+
+
+def _vectors_for(mcqs, sk, vectors, embedder, question_col, sheet_col, option_cols) -> DataFrame:
+    """``(_tkey, embedding)`` for every question, sheet and option text."""
     if vectors is not None:
         return vectors.select(_text_key("text").alias("_tkey"), "embedding").dropDuplicates(["_tkey"])
     if embedder is None:
         raise ValueError("vector scores need `vectors` or an `embedder`")
-    texts = df.select(F.col(question_col).alias("text"))
-    for c in (sheet_col, *option_cols):
-        texts = texts.unionByName(df.select(F.col(c).alias("text")))
+    texts = mcqs.select(F.col(question_col).alias("text")).unionByName(sk.select(F.col(sheet_col).alias("text")))
+    for c in option_cols:
+        texts = texts.unionByName(mcqs.select(F.col(c).alias("text")))
     return text_vectors(texts, embedder, "text")
 
 
-def _relevance_by_text(df, vt, question_col, sheet_col, out_col) -> DataFrame:
-    qv = vt.select(F.col("_tkey").alias("_qk"), F.col("embedding").alias("_qv"))
-    sv = vt.select(F.col("_tkey").alias("_sk"), F.col("embedding").alias("_sv"))
-    out = (df.withColumn("_qk", _text_key(question_col)).withColumn("_sk", _text_key(sheet_col))
-           .join(qv, "_qk", "left").join(sv, "_sk", "left"))
-    score = F.when(F.col(question_col).isNull() | F.col(sheet_col).isNull(), F.lit(None).cast("double")) \
-        .otherwise(cosine("_qv", "_sv"))
-    return out.withColumn(out_col, score).drop("_qk", "_sk", "_qv", "_sv")
-
-
 def ingest_sheets(spark: SparkSession, root: str, completer: models.CompleterFactory | None = None,
                   drop_multimedia: bool = True) -> DataFrame:
     """Job B: read the tree, extract metadata, drop multimedia sheets, and

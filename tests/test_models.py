@@ -97,3 +97,25 @@ def test_generation_wide_pivot(spark):
     wide = models.generate_questions(sheets, stubs.StubGenerator(), wide=True)
     assert set(wide.columns) >= {"generated_questions_0.1", "generated_questions_0.5", "generated_questions_0.7"}
     assert wide.count() == 2
+
+
+def test_llm_map_many_matches_single_maps(spark):
+    from quizlens.plans import jobs
+
+    m = spark.createDataFrame([(i, f"s{i % 3}", f"Question {i}?", "a", "b", None, "d", "abcd"[i % 4])
+                               for i in range(12)],
+                              "mcq_id long, id string, question string, option_a string, option_b string, "
+                              "option_c string, option_d string, correct_option string")
+    s = spark.createDataFrame([(f"s{i}", f"Sheet {i}.") for i in range(3)], "id string, content_gpt string")
+    judge = stubs.StubJudge(fail_every=7)
+    full = jobs.score_questions(m, s, compute_relevance=False, compute_ambiguity=False, completer=judge,
+                                answerability_system_prompt="A", disclosure_system_prompt="D",
+                                difficulty_system_prompt=None, distractors_quality_system_prompt="Q")
+    got = {r["mcq_id"]: (r["gpt_answer"], r["disclosure"], r["distractors_quality"]) for r in full.collect()}
+    assert "difficulty" not in full.columns
+    base = m.join(s, "id", "left")
+    a = {r["mcq_id"]: r["gpt_answer"] for r in models.answerability(base, "A", judge).collect()}
+    d = {r["mcq_id"]: r["disclosure"] for r in models.disclosure(base, "D", judge).collect()}
+    q = {r["mcq_id"]: r["distractors_quality"] for r in models.distractors_quality(base, "Q", judge).collect()}
+    assert got == {k: (a[k], d[k], q[k]) for k in a}
+    assert any(v is None for trio in got.values() for v in trio)
