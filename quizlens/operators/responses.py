@@ -28,6 +28,12 @@ def _col(c):
     return F.col(c) if isinstance(c, str) else c
 
 
+def allow_duplicate_keys(spark) -> None:
+    """Duplicate JSON keys resolve last-wins (the validator being reproduced
+    accepts them); Spark rejects them unless this runtime option is on."""
+    spark.conf.set("spark.sql.variant.allowDuplicateKeys", "true")
+
+
 def strict_json(text: str | Column) -> Column:
     """Variant ``[value, "#end#"]`` or NULL; read fields under ``$[0]``."""
     wrapped = F.concat(F.lit("["), _col(text), F.lit(f',"{END_MARK}"]'))
@@ -58,11 +64,13 @@ def record_json(text: str | Column, fields) -> Column:
 
 def validate_mcq_json(df: DataFrame, response_col: str = "response", out_col: str = "mcq") -> DataFrame:
     """The six-field MCQ record or NULL."""
+    allow_duplicate_keys(df.sparkSession)
     return df.withColumn(out_col, record_json(response_col, MCQ_FIELDS))
 
 
 def validate_answer_json(df: DataFrame, response_col: str = "response", out_col: str = "answer") -> DataFrame:
     """R2: the one-field answer record or NULL."""
+    allow_duplicate_keys(df.sparkSession)
     return df.withColumn(out_col, record_json(response_col, (ANSWER_FIELD,)))
 
 
@@ -83,6 +91,7 @@ def parse_response_col(text: str | Column) -> Column:
 
 
 def parse_response(df: DataFrame, response_col: str = "response", out_col: str = "parsed") -> DataFrame:
+    allow_duplicate_keys(df.sparkSession)
     return df.withColumn(out_col, parse_response_col(response_col))
 
 

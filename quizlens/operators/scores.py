@@ -386,7 +386,3 @@ def score_summary(df: DataFrame, score_cols: list[str]) -> DataFrame:
                              F.max(v).alias("max")).alias(f"_s{len(aggs)}"))
     wide = df.agg(*aggs)
     return wide.select(F.inline(F.array(*[F.col(f"_s{i}") for i in range(len(aggs))])))
-
-
-def columns_present(df: DataFrame, cols) -> list[Column]:
-    return [F.col(c) for c in cols if c in df.columns]
