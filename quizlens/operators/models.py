@@ -128,13 +128,16 @@ def llm_map(df: DataFrame, prompt: str | Column, out_col: str, completer: Comple
     req = df.withColumns({"_prompt": p_col.cast("string"), "_system": s_col.cast("string"),
                           "_temperature": t_col.cast("double")})
     if dedupe:
-        calls = req.select("_system", "_prompt", "_temperature").where(F.col("_prompt").isNotNull()).distinct()
+        # One call per distinct request, keyed by the SHA-256 of the request:
+        # the answers travel back without the prompt text, and the join key is
+        # short however long the prompts are.
+        req = req.withColumn("_rkey", F.sha2(F.to_json(F.struct("_system", "_prompt", "_temperature")), 256))
+        calls = (req.where(F.col("_prompt").isNotNull())
+                 .select("_rkey", "_system", "_prompt", "_temperature").dropDuplicates(["_rkey"]))
         schema = T.StructType(calls.schema.fields + [T.StructField("_response", T.StringType())])
-        answered = calls.repartition(n).mapInPandas(_call_batches(completer, max_tokens, batch_rows), schema)
-        cond = ((req["_prompt"] == answered["_prompt"])
-                & req["_system"].eqNullSafe(answered["_system"])
-                & req["_temperature"].eqNullSafe(answered["_temperature"]))
-        out = req.join(answered, cond, "left").select(req["*"], answered["_response"])
+        answered = (calls.repartition(n).mapInPandas(_call_batches(completer, max_tokens, batch_rows), schema)
+                    .select("_rkey", "_response"))
+        out = req.join(answered, "_rkey", "left").drop("_rkey")
     else:
         schema = T.StructType(req.schema.fields + [T.StructField("_response", T.StringType())])
         out = req.repartition(n).mapInPandas(_call_batches(completer, max_tokens, batch_rows), schema)
@@ -187,7 +190,7 @@ def _embed_batches(factory, batch_rows):
             texts = pdf["_text"].tolist()
             for start in range(0, len(texts), batch_rows):
                 vecs.extend([list(map(float, v)) for v in embed(texts[start:start + batch_rows])])
-            yield pd.DataFrame({"_text": texts, "_vector": vecs})
+            yield pd.DataFrame({"_tkey": pdf["_tkey"].tolist(), "_vector": vecs})
     return run
 
 
@@ -196,15 +199,18 @@ def embed_texts(df: DataFrame, text_col: str, embedder: EmbedderFactory,
                 batch_rows: int = 256) -> DataFrame:
     """A vector per text, each distinct text embedded once, joined back.
 
-    NULL text embeds as the empty string (as an empty distractor does).
+    Texts are keyed by their SHA-256, so the vectors travel back without the
+    text and the join key stays short.  NULL text embeds as the empty string
+    (as an empty distractor does).
     """
     ship_package(df.sparkSession)
     n = partitions or df.sparkSession.sparkContext.defaultParallelism
-    keyed = df.withColumn("_text", F.coalesce(F.col(text_col).cast("string"), F.lit("")))
-    texts = keyed.select("_text").distinct()
-    schema = "_text string, _vector array<float>"
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    keyed = df.withColumn("_tkey", F.sha2(text, 256))
+    texts = keyed.select("_tkey", text.alias("_text")).dropDuplicates(["_tkey"])
+    schema = "_tkey string, _vector array<float>"
     vectors = texts.repartition(n).mapInPandas(_embed_batches(embedder, batch_rows), schema)
-    return keyed.join(vectors, "_text", "left").withColumnRenamed("_vector", out_col).drop("_text")
+    return keyed.join(vectors, "_tkey", "left").withColumnRenamed("_vector", out_col).drop("_tkey")
 
 
 def vector_table(texts: DataFrame, text_col: str, embedder: EmbedderFactory,
@@ -285,7 +291,7 @@ def generate_questions(sheets: DataFrame, completer: CompleterFactory, content_c
                    temperature="temperature", max_tokens=None)
     if not wide:
         return long
-    keys = [c for c in sheets.columns]
+    keys = [c for c in sheets.columns if c != content_col]   # never group by the sheet text
     return (long.groupBy(*keys).pivot("temperature", [float(t) for t in temperatures])
             .agg(F.first(out_col))
             .withColumnsRenamed({str(float(t)): f"generated_questions_{t}" for t in temperatures}))
