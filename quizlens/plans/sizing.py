@@ -35,15 +35,34 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+# Text work (regex, tokenising) costs about half a CPU-second per MB of
+# compressed input, so a task per MB keeps cores busy without scattering a
+# small table into thousands of tiny tasks.
+SPREAD_BYTES_PER_TASK = 1024 * 1024
+
+
+def estimated_bytes(df: DataFrame) -> int | None:
+    """Catalyst's size estimate of ``df`` (file sizes for a scan), if known."""
+    try:
+        return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    except Exception:  # noqa: BLE001 - an estimate is optional
+        return None
+
+
 def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
     """Round-robin ``df`` over the cluster only when it has too few partitions.
 
     CPU-heavy row-local work (tokenising, regex scores) runs one task per
     input split; a table stored as one large row group would otherwise run
-    on a single core.  At scale the scan already yields far more splits than
-    cores, so this adds no shuffle there.
+    on a single core.  The target is the cluster's parallelism, capped at
+    one task per ``SPREAD_BYTES_PER_TASK`` of input, so a small table is not
+    scattered into many tiny tasks.  At scale the scan already yields more
+    splits than that, so this adds no shuffle there.
     """
     target = min_partitions or df.sparkSession.sparkContext.defaultParallelism
+    size = estimated_bytes(df)
+    if size is not None and min_partitions is None:
+        target = max(1, min(target, -(-size // SPREAD_BYTES_PER_TASK)))
     if df.rdd.getNumPartitions() >= target:
         return df
     return df.repartition(target)
