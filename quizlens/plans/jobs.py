@@ -97,14 +97,14 @@ def score_questions(mcqs: DataFrame, sheets: DataFrame | None = None, *,
             raise ValueError("merge=True needs the sheets table")
         sk = scores.sheet_keys(sheets, sheet_id_col, sheet)
         wide = base.join(sk.withColumnRenamed("id", sheet_id_col), sheet_id_col, "left")     # J4
-        cites = mcqs.select(key_col, F.col(sheet_id_col).alias("id"))
-        pairs = cites.join(sk.select("id", "_skey"), "id").drop("id")
+        cites = mcqs.select(key_col, F.col(sheet_id_col).alias("id"), question_col)
+        pairs = cites.join(sk.select("id", "_skey"), "id").select(key_col, "_skey")
         corpus = sheets
     else:
         wide = base.withColumn("_skey", F.sha2(F.col(sheet), 256))
         sk = (wide.where(F.col("_skey").isNotNull()).select("_skey", sheet)
               .dropDuplicates(["_skey"]).withColumn("id", F.col("_skey")))
-        cites = wide.select(key_col, F.col("_skey").alias("id"))
+        cites = wide.select(key_col, F.col("_skey").alias("id"), question_col)
         pairs = wide.where(F.col("_skey").isNotNull()).select(key_col, "_skey").distinct()
         corpus = sk
 
@@ -112,8 +112,7 @@ def score_questions(mcqs: DataFrame, sheets: DataFrame | None = None, *,
     per_pair = pairs                        # one row per (question, sheet text)
     pair_cols, key_cols = [], []
     if compute_originality:
-        q = cites.join(mcqs.select(key_col, question_col), key_col)
-        n, seen = scores.paired_counts(q, sk, key_col, question_col, sheet)
+        n, seen = scores.paired_counts(cites, sk, key_col, question_col, sheet)
         per_key = per_key.join(n, key_col, "left")
         per_pair = per_pair.join(seen, [key_col, "_skey"], "left")
         pair_cols.append((originality_col, scores.paired_score(question_col, sheet)))

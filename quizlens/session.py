@@ -14,6 +14,11 @@ from pyspark.sql import SparkSession
 DEFAULT_CONF = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
+    # Text rows are CPU-heavy per byte: coalesce shuffle output to 16 MB
+    # partitions rather than 64 MB so post-shuffle work keeps every core
+    # busy.  Coalescing only merges, so at scale the shuffle partition count
+    # still sets the upper bound.
+    "spark.sql.adaptive.advisoryPartitionSizeInBytes": "16MB",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     # Broadcast only on measured sizes: no broadcast from plan-time estimates,
     # AQE may still switch a join to broadcast once a shuffle stage has
