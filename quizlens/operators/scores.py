@@ -117,15 +117,19 @@ def _trigram_rows_lemma_table(df: DataFrame, key_cols: list[str], text_col: str,
 
 def _novelty(df: DataFrame, keys: list[str], counts: DataFrame,
              text_cols: list[str], out_col: str) -> DataFrame:
-    """Attach ``(n - seen) / n`` per key; 0.0 without trigrams, NULL on NULL text."""
-    joined = df.join(counts, keys, "left")
+    """Attach ``(n - seen) / n`` per key; 0.0 without trigrams, NULL on NULL text.
+
+    The NULL test is taken before the join, so the texts themselves are only
+    carried through the shuffle when the caller keeps them.
+    """
     null_input = F.lit(False)
     for c in text_cols:
         null_input = null_input | F.col(c).isNull()
-    score = (F.when(null_input, F.lit(None).cast("double"))
+    joined = df.withColumn("_nullin", null_input).join(counts, keys, "left")
+    score = (F.when(F.col("_nullin"), F.lit(None).cast("double"))
              .when(F.col("_n").isNull(), F.lit(0.0))
              .otherwise((F.col("_n") - F.col("_seen")) / F.col("_n")))
-    return joined.withColumn(out_col, score).drop("_n", "_seen")
+    return joined.withColumn(out_col, score).drop("_n", "_seen", "_nullin")
 
 
 def originality_corpus(questions: DataFrame, corpus: DataFrame, key_col: str = "mcq_id",
@@ -230,8 +234,13 @@ def _sheet_matches(qt: DataFrame, key_col: str, srows: DataFrame, sheet_col: str
 
 
 def paired_score(question_col: str, sheet_col: str) -> Column:
+    """Score from ``_n`` / ``_seen``; NULL when the question or sheet text is NULL.
+
+    ``_qnull`` (set before any join) and ``_skey`` (NULL exactly when the
+    sheet text is) stand in for the texts, so the texts need not travel.
+    """
     seen = F.coalesce(F.col("_seen"), F.lit(0))
-    return (F.when(F.col(question_col).isNull() | F.col(sheet_col).isNull(), F.lit(None).cast("double"))
+    return (F.when(F.col("_qnull") | F.col("_skey").isNull(), F.lit(None).cast("double"))
             .when(F.col("_n").isNull(), F.lit(0.0))
             .otherwise((F.col("_n") - seen) / F.col("_n")))
 
@@ -281,9 +290,11 @@ def originality_paired(mcqs: DataFrame, sheets: DataFrame, key_col: str = "mcq_i
     pairs = (mcqs.select(key_col, F.col(id_col).alias("id"))
              .join(sk.select("id", "_skey"), "id").drop("id"))
     narrow = pairs.join(n, key_col, "left").join(seen, [key_col, "_skey"], "left")
-    merged = mcqs.join(sk.withColumnRenamed("id", id_col), id_col, "left")
+    merged = (mcqs.withColumn("_qnull", F.col(question_col).isNull())
+              .join(sk.withColumnRenamed("id", id_col), id_col, "left"))
     out = merged.join(narrow, [key_col, "_skey"], "left")
-    return out.withColumn(out_col, paired_score(question_col, sheet_col)).drop("_skey", "_n", "_seen")
+    return (out.withColumn(out_col, paired_score(question_col, sheet_col))
+            .drop("_skey", "_n", "_seen", "_qnull"))
 
 
 def originality_rowwise(df: DataFrame, key_col: str = "mcq_id", question_col: str = "question",
@@ -295,7 +306,8 @@ def originality_rowwise(df: DataFrame, key_col: str = "mcq_id", question_col: st
     Distinct sheet texts (by SHA-256) are tokenised once; ``key_col`` must
     identify a row.
     """
-    keyed = df.withColumn("_skey", F.sha2(F.col(sheet_col), 256))
+    keyed = (df.withColumn("_skey", F.sha2(F.col(sheet_col), 256))
+             .withColumn("_qnull", F.col(question_col).isNull()))
     q = keyed.where(F.col(question_col).isNotNull() & F.col("_skey").isNotNull())
     qt = trigram_rows(q.withColumn("id", F.col("_skey")), [key_col, "id"], question_col,
                       stop_words, lemmas, with_count=True)
@@ -303,7 +315,8 @@ def originality_rowwise(df: DataFrame, key_col: str = "mcq_id", question_col: st
              .dropDuplicates(["_skey"]).withColumn("id", F.col("_skey")))
     n, seen = _sheet_matches(qt, key_col, srows, sheet_col, stop_words, lemmas)
     out = keyed.join(n, key_col, "left").join(seen, [key_col, "_skey"], "left")
-    return out.withColumn(out_col, paired_score(question_col, sheet_col)).drop("_skey", "_n", "_seen")
+    return (out.withColumn(out_col, paired_score(question_col, sheet_col))
+            .drop("_skey", "_n", "_seen", "_qnull"))
 
 
 def trigram_difference(mcqs: DataFrame, sheets: DataFrame, key_col: str = "mcq_id",

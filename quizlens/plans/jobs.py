@@ -87,7 +87,8 @@ def score_questions(mcqs: DataFrame, sheets: DataFrame | None = None, *,
         exprs[negation_col] = TX.starts_with_negation(question_col)
     if compute_is_question:
         exprs[is_question_col] = TX.is_question(question_col)
-    base = mcqs.withColumns(exprs) if exprs else mcqs
+    exprs["_qnull"] = F.col(question_col).isNull()
+    base = mcqs.withColumns(exprs)
     if compute_readability:
         base = base.withColumn(readability_col, TX.readability_from_counts("_fk")).drop("_fk")
 
@@ -121,7 +122,7 @@ def score_questions(mcqs: DataFrame, sheets: DataFrame | None = None, *,
             key_col, F.col("_n").alias("_cn"), F.col("_seen").alias("_cseen"))
         per_key = per_key.join(cc, key_col, "left")
         key_cols.append((corpus_originality_col,
-                         F.when(F.col(question_col).isNull(), F.lit(None).cast("double"))
+                         F.when(F.col("_qnull"), F.lit(None).cast("double"))
                          .when(F.col("_cn").isNull(), F.lit(0.0))
                          .otherwise((F.col("_cn") - F.col("_cseen")) / F.col("_cn"))))
     if compute_relevance or compute_ambiguity:
@@ -134,7 +135,7 @@ def score_questions(mcqs: DataFrame, sheets: DataFrame | None = None, *,
                 key_col, "_skey", cosine("_qv", "_sv").alias("_rel"))
             per_pair = per_pair.join(rel, [key_col, "_skey"], "left")
             pair_cols.append((relevance_col,
-                              F.when(F.col(question_col).isNull() | F.col(sheet).isNull(),
+                              F.when(F.col("_qnull") | F.col("_skey").isNull(),
                                      F.lit(None).cast("double")).otherwise(F.col("_rel"))))
         if compute_ambiguity:
             long = scores.options_long(mcqs, key_col, option_cols)
@@ -151,7 +152,7 @@ def score_questions(mcqs: DataFrame, sheets: DataFrame | None = None, *,
     out = out.select(wide["*"], *[narrow[c] for c in narrow.columns if c not in (key_col, "_skey")])
     for name, expr in key_cols + pair_cols:
         out = out.withColumn(name, expr)
-    helpers = {"_skey", "_n", "_seen", "_cn", "_cseen", "_rel", "_vecs"}
+    helpers = {"_skey", "_n", "_seen", "_cn", "_cseen", "_rel", "_vecs", "_qnull"}
     out = out.drop(*[c for c in out.columns if c in helpers])
 
     cols = dict(question_col=question_col, option_a_col=option_a_col, option_b_col=option_b_col,
