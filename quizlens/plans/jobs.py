@@ -190,15 +190,23 @@ def _vectors_for(mcqs, sk, vectors, embedder, question_col, sheet_col, option_co
 
 
 def ingest_sheets(spark: SparkSession, root: str, completer: models.CompleterFactory | None = None,
-                  drop_multimedia: bool = True) -> DataFrame:
+                  drop_multimedia: bool = True, output: str | None = None) -> DataFrame:
     """Job B: read the tree, extract metadata, drop multimedia sheets, and
     (with a completer) add the model-cleaned text ``content_gpt``.  A failed
-    call leaves NULL; no row is lost."""
+    call leaves NULL; no row is lost.
+
+    With ``output`` the result is compacted once into Parquet partitioned by
+    folder and read back from there: later jobs scan a few columnar files
+    instead of one small text file per sheet, and folder splits prune.
+    """
     df = sheet_ops.extract_sheet_metadata(files.read_sheet_tree(spark, root))
     if drop_multimedia:
         df = sheet_ops.drop_multimedia(df)
     if completer is not None:
         df = models.clean_sheets(df, completer)
+    if output is not None:
+        files.write_sheets_table(df, output)
+        return files.read_sheets_table(spark, output)
     return df
 
 

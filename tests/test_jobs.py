@@ -67,3 +67,15 @@ def test_full_job_with_vectors(spark):
         assert 0.0 <= r["originality_corpus"] <= 1.0
         if r["correct_option"] not in ("a", "b", "c", "d", "A", "B", "C", "D"):
             assert r["ambiguity"] == 0.0
+
+
+def test_ingest_compacts_to_partitioned_parquet(spark, scratch):
+    raw = fx.load(spark, SF_SMALL, "sheets_raw")
+    files.write_text_tree(raw, scratch + "/tree")
+    direct = jobs.ingest_sheets(spark, scratch + "/tree")
+    stored = jobs.ingest_sheets(spark, scratch + "/tree", output=scratch + "/sheets")
+    cols = ["folder", "id", "content_cleaned", "rubric"]
+    assert stored.select(cols).exceptAll(direct.select(cols)).count() == 0
+    assert direct.select(cols).exceptAll(stored.select(cols)).count() == 0
+    plan = stored.where(F.col("folder") == "IC-001")._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(folder" in plan and "IC-001" in plan
