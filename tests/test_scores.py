@@ -136,3 +136,47 @@ def test_lemma_paths_agree(spark, as_table):
         qt = lem_tri(q)
         assert paired[i] == (len(qt - lem_tri(t)) / len(qt) if qt else 0.0), q
         assert corpus[i] == (len(qt - all_sheet) / len(qt) if qt else 0.0), q
+
+
+def test_hot_sheet_under_aqe_skew_split(spark):
+    """A third of the questions cite one sheet; results equal with and without
+    AQE splitting the skewed partitions."""
+    from quizlens.operators import joins
+
+    words = ["alpha", "beta", "gamma", "delta", "epsilon", "zeta", "eta", "theta"]
+    qs = [(i, "s0" if i % 3 == 0 else f"s{i}", " ".join(words[(i + k) % 8] for k in range(5)))
+          for i in range(300)]
+    m = spark.createDataFrame(qs, "mcq_id long, id string, question string")
+    s = spark.createDataFrame([(f"s{i}", " ".join(words[(2 * i + k) % 8] for k in range(6))) for i in range(300)],
+                              "id string, content_gpt string")
+    conf = {"spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "1k",
+            "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.5",
+            "spark.sql.adaptive.advisoryPartitionSizeInBytes": "1k",
+            "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    old = {k: spark.conf.get(k, None) for k in conf}
+
+    def run():
+        a = sorted(tuple(r) for r in scores.originality_paired(m, s).select("mcq_id", "originality").collect())
+        b = sorted(tuple(r) for r in joins.attach_sheet(m, s).select("mcq_id", "content_gpt").collect())
+        return a, b
+
+    try:
+        spark.conf.set("spark.sql.adaptive.skewJoin.enabled", "false")
+        plain = run()
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        spark.conf.set("spark.sql.adaptive.skewJoin.enabled", "true")
+        split = run()
+    finally:
+        for k, v in old.items():
+            if v is None:
+                spark.conf.unset(k)
+            else:
+                spark.conf.set(k, v)
+        spark.conf.set("spark.sql.adaptive.skewJoin.enabled", "true")
+    assert plain == split
+    assert len(plain[0]) == 300
+    for mcq_id, score in plain[0]:
+        q = qs[mcq_id][2]
+        t = " ".join(words[(2 * int(qs[mcq_id][1][1:]) + k) % 8] for k in range(6))
+        assert score == pyref.originality(q, t)
