@@ -10,7 +10,11 @@ and parse what comes back.
 Completer protocol::
 
     complete(system: str | None, prompts: list[str], temperature: float,
-             max_tokens: int | None) -> list[str | None]
+             max_tokens: int | None, **options) -> list[str | None]
+
+``options`` (only passed when a run sets them) carries request settings
+such as ``json_schema`` (the record the answer must follow), ``num_ctx`` and
+``top_p``.
 
 Embedder protocol::
 
@@ -41,6 +45,18 @@ GENERATION_TEMPERATURES = (0.1, 0.5, 0.7)
 # Output label -> temperature actually used; the "0.1" run was sent at 0.5.
 EXAM_RUNS = {"0.1": 0.5, "0.5": 0.5, "0.7": 0.7}
 EXAM_MAX_TOKENS = 4
+# Request settings of the local generation and exam runs.
+GENERATION_OPTIONS = {"num_ctx": 8192, "top_p": 1}
+EXAM_OPTIONS = {"num_ctx": 8196, "top_p": 1}
+
+
+def record_schema(fields, title: str) -> str:
+    """JSON Schema text of a record whose ``fields`` are all required strings."""
+    import json
+
+    return json.dumps({"title": title, "type": "object",
+                       "properties": {f: {"type": "string"} for f in fields},
+                       "required": list(fields)})
 
 _WORKER_CACHE: dict[str, Callable] = {}
 
@@ -63,9 +79,10 @@ def _build_once(factory: Callable[[], Callable]) -> Callable:
     return fn
 
 
-def _safe_complete(complete, system, prompts, temperature, max_tokens):
+def _safe_complete(complete, system, prompts, temperature, max_tokens, options=None):
+    options = options or {}
     try:
-        out = list(complete(system, prompts, temperature, max_tokens))
+        out = list(complete(system, prompts, temperature, max_tokens, **options))
         if len(out) != len(prompts):
             raise ValueError("completer returned a different number of answers")
         return [None if o is None else str(o) for o in out]
@@ -73,14 +90,14 @@ def _safe_complete(complete, system, prompts, temperature, max_tokens):
         res = []
         for p in prompts:
             try:
-                o = complete(system, [p], temperature, max_tokens)[0]
+                o = complete(system, [p], temperature, max_tokens, **options)[0]
                 res.append(None if o is None else str(o))
             except Exception:
                 res.append(None)
         return res
 
 
-def _call_batches(factory, max_tokens, batch_rows):
+def _call_batches(factory, max_tokens, batch_rows, options=None):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         complete = _build_once(factory)
         for pdf in batches:
@@ -93,7 +110,7 @@ def _call_batches(factory, max_tokens, batch_rows):
                 for start in range(0, len(g), batch_rows):
                     chunk = g.iloc[start:start + batch_rows]
                     answers = _safe_complete(complete, system, chunk["_prompt"].tolist(),
-                                             temperature, max_tokens)
+                                             temperature, max_tokens, options)
                     out.loc[chunk.index] = answers
             pdf = pdf.copy()
             pdf["_response"] = out
@@ -104,7 +121,8 @@ def _call_batches(factory, max_tokens, batch_rows):
 def llm_map(df: DataFrame, prompt: str | Column, out_col: str, completer: CompleterFactory,
             system: str | Column | None = None, temperature: float | str | Column = JUDGE_TEMPERATURE,
             max_tokens: int | None = JUDGE_MAX_TOKENS, dedupe: bool | None = None,
-            partitions: int | None = None, batch_rows: int = 64) -> DataFrame:
+            partitions: int | None = None, batch_rows: int = 64,
+            options: dict | None = None) -> DataFrame:
     """One model call per row (or per distinct request), text back, errors NULL.
 
     ``dedupe`` (default: only when every temperature is 0) sends each distinct
@@ -135,12 +153,12 @@ def llm_map(df: DataFrame, prompt: str | Column, out_col: str, completer: Comple
         calls = (req.where(F.col("_prompt").isNotNull())
                  .select("_rkey", "_system", "_prompt", "_temperature").dropDuplicates(["_rkey"]))
         schema = T.StructType(calls.schema.fields + [T.StructField("_response", T.StringType())])
-        answered = (calls.repartition(n).mapInPandas(_call_batches(completer, max_tokens, batch_rows), schema)
+        answered = (calls.repartition(n).mapInPandas(_call_batches(completer, max_tokens, batch_rows, options), schema)
                     .select("_rkey", "_response"))
         out = req.join(answered, "_rkey", "left").drop("_rkey")
     else:
         schema = T.StructType(req.schema.fields + [T.StructField("_response", T.StringType())])
-        out = req.repartition(n).mapInPandas(_call_batches(completer, max_tokens, batch_rows), schema)
+        out = req.repartition(n).mapInPandas(_call_batches(completer, max_tokens, batch_rows, options), schema)
     return out.withColumnRenamed("_response", out_col).drop("_prompt", "_system", "_temperature")
 
 
@@ -288,7 +306,9 @@ def generate_questions(sheets: DataFrame, completer: CompleterFactory, content_c
     """
     runs = sheets.withColumn("temperature", F.explode(F.array(*[F.lit(float(t)) for t in temperatures])))
     long = llm_map(runs, P.generation_prompt(content_col), out_col, completer,
-                   temperature="temperature", max_tokens=None)
+                   temperature="temperature", max_tokens=None,
+                   options={**GENERATION_OPTIONS,
+                            "json_schema": record_schema(R.MCQ_FIELDS, "MCQQuestion")})
     if not wide:
         return long
     keys = [c for c in sheets.columns if c != content_col]   # never group by the sheet text
@@ -306,7 +326,9 @@ def answer_exam(items: DataFrame, completer: CompleterFactory, runs: dict[str, f
                       for label, t in runs.items()])
     exploded = items.withColumn("_run", F.explode(pairs)).select("*", "_run.run", "_run.temperature").drop("_run")
     return llm_map(exploded, P.exam_prompt(question_col, opa, opb, opc, opd), out_col, completer,
-                   temperature="temperature", max_tokens=EXAM_MAX_TOKENS)
+                   temperature="temperature", max_tokens=EXAM_MAX_TOKENS,
+                   options={**EXAM_OPTIONS,
+                            "json_schema": record_schema((R.ANSWER_FIELD,), "AnswerRecord")})
 
 
 def model_answers(df: DataFrame, response_col: str = "response", out_col: str = "model_answer",

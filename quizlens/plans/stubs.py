@@ -30,7 +30,7 @@ class StubJudge:
     def __call__(self):
         choices, fail_every = self.choices, self.fail_every
 
-        def complete(system, prompts, temperature, max_tokens):
+        def complete(system, prompts, temperature, max_tokens, **options):
             out = []
             for p in prompts:
                 h = _h(system, p, temperature)
@@ -51,7 +51,7 @@ class StubGenerator:
     def __call__(self):
         invalid_every = self.invalid_every
 
-        def complete(system, prompts, temperature, max_tokens):
+        def complete(system, prompts, temperature, max_tokens, **options):
             out = []
             for p in prompts:
                 words = re.findall(r"\w+", p.split("**Educational Content**")[-1])[:12] or ["empty"]
@@ -75,7 +75,7 @@ class StubExamAnswerer:
     def __call__(self):
         answers = self.ANSWERS
 
-        def complete(system, prompts, temperature, max_tokens):
+        def complete(system, prompts, temperature, max_tokens, **options):
             return [json.dumps({"answer_option": answers[_h(p, temperature) % len(answers)]})
                     for p in prompts]
         return complete
@@ -91,7 +91,7 @@ class StubCleaner:
     def __call__(self):
         fail_every = self.fail_every
 
-        def complete(system, prompts, temperature, max_tokens):
+        def complete(system, prompts, temperature, max_tokens, **options):
             out = []
             for p in prompts:
                 if fail_every and _h(system, p) % fail_every == 0:

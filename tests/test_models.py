@@ -19,7 +19,7 @@ class RecordingCompleter:
     def __call__(self):
         log_dir = self.log_dir
 
-        def complete(system, prompts, temperature, max_tokens):
+        def complete(system, prompts, temperature, max_tokens, **options):
             with open(os.path.join(log_dir, f"{os.getpid()}.log"), "a") as fh:
                 for p in prompts:
                     fh.write(p.replace("\n", " ") + "\n")
@@ -119,3 +119,29 @@ def test_llm_map_many_matches_single_maps(spark):
     q = {r["mcq_id"]: r["distractors_quality"] for r in models.distractors_quality(base, "Q", judge).collect()}
     assert got == {k: (a[k], d[k], q[k]) for k in a}
     assert any(v is None for trio in got.values() for v in trio)
+
+
+class OptionsEcho:
+    """Answers with the request options it received, as JSON."""
+
+    def __call__(self):
+        import json
+
+        def complete(system, prompts, temperature, max_tokens, **options):
+            return [json.dumps({"max_tokens": max_tokens, **options}) for _ in prompts]
+        return complete
+
+
+def test_generation_and_exam_send_request_options(spark):
+    import json
+
+    sheets = spark.createDataFrame([("s1", "Alpha beta.")], "id string, content_gpt string")
+    gen = json.loads(models.generate_questions(sheets, OptionsEcho()).first()["response"])
+    schema = json.loads(gen["json_schema"])
+    assert schema["required"] == ["question", "option_a", "option_b", "option_c", "option_d", "correct_option"]
+    assert gen["num_ctx"] == 8192 and gen["top_p"] == 1
+    items = spark.createDataFrame([("E1", "Q?", "A", "a", "b", "c", "d")],
+                                  "id string, question string, cop string, opa string, opb string, opc string, opd string")
+    ex = json.loads(models.answer_exam(items, OptionsEcho()).first()["response"])
+    assert json.loads(ex["json_schema"])["required"] == ["answer_option"]
+    assert ex["max_tokens"] == 4 and ex["num_ctx"] == 8196
