@@ -3,7 +3,6 @@
 import glob
 import os
 
-from pyspark.sql import functions as F
 
 from quizlens.functions import prompts as P
 from quizlens.operators import models

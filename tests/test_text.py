@@ -4,7 +4,6 @@ import math
 
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
-from pyspark.sql import functions as F
 
 import pyref
 from quizlens.functions import text as T
