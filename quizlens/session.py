@@ -99,23 +99,35 @@ def ship_package(spark: SparkSession) -> None:
 
     Operators that run Python on the executors (model calls, embeddings,
     file writers) pickle functions by reference to this package; on a
-    cluster the executors only have it if it is shipped, so it is zipped on
-    the driver and handed to ``SparkContext.addPyFile``.
+    cluster the executors only have it if it is shipped.  The package is
+    zipped in memory, written into the shared checkpoint folder and handed
+    to ``SparkContext.addPyFile``.
     """
+    import io
     import zipfile
 
+    from pyarrow import fs as pafs
+
     sc = spark.sparkContext
     app = sc.applicationId
     if app in _SHIPPED:
         return
     pkg_dir = os.path.dirname(os.path.abspath(__file__))
-    out_dir = tempfile.mkdtemp(prefix="quizlens-pkg-")
-    archive = os.path.join(out_dir, "quizlens.zip")
-    with zipfile.ZipFile(archive, "w", zipfile.ZIP_DEFLATED) as zf:
+    buf = io.BytesIO()
+    with zipfile.ZipFile(buf, "w", zipfile.ZIP_DEFLATED) as zf:
         for root, _dirs, files in os.walk(pkg_dir):
             for name in files:
                 if name.endswith(".py"):
                     full = os.path.join(root, name)
                     zf.write(full, os.path.relpath(full, os.path.dirname(pkg_dir)))
-    sc.addPyFile(archive)
+    target = scratch_path(spark, "pkg") + "/quizlens.zip"
+    uri = "file://" + target[len("file:"):] if target.startswith("file:") and not target.startswith("file://") else target
+    if "://" in uri:
+        filesystem, path = pafs.FileSystem.from_uri(uri)
+    else:
+        filesystem, path = pafs.LocalFileSystem(), uri
+    filesystem.create_dir(path.rsplit("/", 1)[0], recursive=True)
+    with filesystem.open_output_stream(path) as out:
+        out.write(buf.getvalue())
+    sc.addPyFile(target)
     _SHIPPED.add(app)
