@@ -79,3 +79,22 @@ def test_ingest_compacts_to_partitioned_parquet(spark, scratch):
     assert direct.select(cols).exceptAll(stored.select(cols)).count() == 0
     plan = stored.where(F.col("folder") == "IC-001")._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [isnotnull(folder" in plan and "IC-001" in plan
+
+
+def test_prompts_file_drives_which_criteria_run(spark, scratch):
+    files.write_text_file(spark, scratch + "/prompts.json",
+                          files.prompts_json({"distractors_quality_prompt": "Rate the distractors 1-5."}))
+    prompts = files.read_prompts(spark, scratch + "/prompts.json")
+    m = fx.load(spark, SF_SMALL, "mcqs")
+    s = fx.load(spark, SF_SMALL, "sheets")
+    out = jobs.score_questions(
+        m, s, compute_relevance=False, compute_ambiguity=False, completer=stubs.StubJudge(),
+        answerability_system_prompt=prompts.get("answerability_prompt"),
+        disclosure_system_prompt=prompts.get("disclosure_prompt"),
+        difficulty_system_prompt=prompts.get("difficulty_prompt"),
+        distractors_quality_system_prompt=prompts.get("distractors_quality_prompt"),
+        distractors_quality_col="distractor_quality")
+    assert "distractor_quality" in out.columns
+    assert not {"gpt_answer", "disclosure", "difficulty"} & set(out.columns)
+    assert out.count() == m.join(s, "id", "left").count()
+    assert out.where(F.col("distractor_quality").isNull()).count() == 0
