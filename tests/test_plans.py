@@ -52,3 +52,21 @@ def test_split_prunes_folder_partitions(spark):
     df.collect()
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [folder" in plan and " IN (IC-001" in plan
+
+
+def test_trigram_join_never_broadcast_on_estimates(spark):
+    """Even with a huge estimate-based broadcast threshold, the data-sized
+    (id, trigram) join stays a sort-merge join (merge hint)."""
+    m = fx.load(spark, SF_SMALL, "mcqs")
+    s = fx.load(spark, SF_SMALL, "sheets")
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", str(1 << 30))
+        qt = scores.trigram_rows(m, ["mcq_id", "id"], "question", with_count=True)
+        sk = scores.sheet_keys(s, "id", "content_gpt")
+        st = scores.trigram_rows(sk, ["id", "_skey"], "content_gpt")
+        joined = qt.join(st.hint("merge"), ["id", "trigram"], "left")
+        plan = joined._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
