@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quizlens.llm import mixing, oracle_sql, sharding
+from quizlens.llm import exact_dedup, mixing, oracle_sql, sharding
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -40,3 +40,9 @@ def op2_sharding(spark, sf_dir):
 @register("op3_mixing", oracle_sql.MIXING)
 def op3_mixing(spark, sf_dir):
     return mixing.mix_plan(_docs(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken")
+
+
+@register("op6_exact_dedup", oracle_sql.EXACT_DEDUP)
+def op6_exact_dedup(spark, sf_dir):
+    return exact_dedup.duplicate_groups(_docs(spark, sf_dir)).select(
+        "doc_id", "keep_id", "group_size", "kept", F.col("sha").alias("text_sha256"))

@@ -51,3 +51,11 @@ SELECT doc_id, size, source_size, target,
     (floor(rate) + CASE WHEN {_HASH32.format(f"'{mixing.SEED}|copy|' || coalesce(doc_id::VARCHAR, '')")} / 4294967296.0::DOUBLE
         < rate - floor(rate) THEN 1 ELSE 0 END)::BIGINT * size AS taken
 FROM rated"""
+
+EXACT_DEDUP = """
+WITH rows AS (SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+        'abcdefghijklmnopqrstuvwxyz') AS norm FROM documents),
+grouped AS (SELECT doc_id, norm, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size,
+        row_number() OVER (PARTITION BY norm ORDER BY doc_id DESC NULLS LAST) AS place FROM rows
+    WINDOW same AS (PARTITION BY norm))
+SELECT doc_id, keep_id, group_size, place = 1 AS kept, sha256(norm) AS text_sha256 FROM grouped"""
