@@ -11,7 +11,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quizlens.llm import exact_dedup, mixing, oracle_sql, sharding
+from quizlens.llm import exact_dedup, mixing, oracle_sql, sharding, token_ids
+from quizlens.session import scratch_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -46,3 +47,10 @@ def op3_mixing(spark, sf_dir):
 def op6_exact_dedup(spark, sf_dir):
     return exact_dedup.duplicate_groups(_docs(spark, sf_dir)).select(
         "doc_id", "keep_id", "group_size", "kept", F.col("sha").alias("text_sha256"))
+
+
+@register("op4_token_ids")
+def op4_token_ids(spark, sf_dir):
+    path = scratch_path(spark, "token-ids")
+    token_ids.write_token_ids(_docs(spark, sf_dir), path)
+    return token_ids.read_documents(spark, path)
