@@ -16,7 +16,7 @@ from functools import lru_cache
 #: Between a character that is not white space and a space before another such character.
 _SPACE = re.compile(r" (?=\S)(?<=\S )")
 #: Pieces kept in memory by a worker, and the longest piece kept.
-MEMORY, LONGEST = 300_000, 40
+MEMORY, LONGEST = 1_000_000, 40
 #: Characters of text that are cut into pieces at a time.
 STEP_CHARS = 1_000_000
 
@@ -25,7 +25,7 @@ class Encoder:
     """Ids of texts as little-endian unsigned 32-bit integers.
 
     ``cut`` says where a tokenizer always cuts: ``"words"`` at any ASCII white
-    space, which it drops; ``"spaces"`` before a single space, which goes with
+    space, which it drops (it lower-cases too, so pieces are kept in lower case); ``"spaces"`` before a single space, which goes with
     what follows; ``None`` nowhere (texts are encoded whole).  The strings of
     special tokens are ordinary text.
     """
@@ -42,7 +42,7 @@ class Encoder:
     def _pieces(self, text: str) -> list:
         """The first piece has a key of its own kind, as no space stands before it."""
         if self.cut == "words":
-            return text.encode("utf-8", "surrogatepass").split()
+            return text.encode("utf-8", "surrogatepass").lower().split()
         first, *rest = _SPACE.split(text)
         return [(first,), *rest]
 
