@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quizlens.llm import exact_dedup, mixing, oracle_sql, sharding, token_ids
+from quizlens.llm import exact_dedup, mixing, oracle_sql, packing, sharding, token_ids
 from quizlens.session import scratch_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -54,3 +54,8 @@ def op4_token_ids(spark, sf_dir):
     path = scratch_path(spark, "token-ids")
     token_ids.write_token_ids(_docs(spark, sf_dir), path)
     return token_ids.read_documents(spark, path)
+
+
+@register("op10_packing")
+def op10_packing(spark, sf_dir):
+    return packing.packed(_docs(spark, sf_dir))
