@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quizlens.llm import exact_dedup, mixing, oracle_sql, packing, sharding, token_ids
+from quizlens.llm import exact_dedup, mixing, oracle_sql, packing, sharding, simhash, token_ids
 from quizlens.session import scratch_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -59,3 +59,9 @@ def op4_token_ids(spark, sf_dir):
 @register("op10_packing")
 def op10_packing(spark, sf_dir):
     return packing.packed(_docs(spark, sf_dir))
+
+
+@register("op7_simhash")
+def op7_simhash(spark, sf_dir):
+    return simhash.near_duplicates(_docs(spark, sf_dir)).select(
+        "doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")

@@ -10,12 +10,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from quizlens.plans.sizing import broadcast_if_small
 from quizlens.session import scratch_path, ship_package
 
 #: Fixed value: the word class of the contracts, runs of anything but these six characters.
 WORD_SEPARATORS = " \t\n\x0b\x0c\r"
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
 
+#: Largest table of (id, hash) pairs that is broadcast; beyond it the join is a shuffle join.
+BROADCAST_PAIRS = 50_000
+
 
 def staged(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to a fresh Parquet folder under the shared checkpoint folder and read it back."""
@@ -87,3 +91,30 @@ def ordered_ranks(df: DataFrame, order: list, out: str, name: str) -> DataFrame:
     return (placed.withColumn("__part", part).join(F.broadcast(offsets), "__part")
             .withColumn(out, F.col("__off") + F.col("__at").bitwiseAND(F.lit((1 << 33) - 1)))
             .drop("__part", "__at", "__off"))
+
+
+def text_hash(text_col: str) -> Column:
+    """With the id, names a row; rows that agree in both have the same text."""
+    return F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit("")))
+
+
+def keep_rows(docs: DataFrame, decisions: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs``, all columns, that ``decisions`` (id, h, kept), one row per row, keeps.
+
+    ``h`` is :func:`text_hash`.  Of rows that agree in id and text and of
+    which some are kept and some not, one stays.  The columns travel as one
+    struct, so names used in here cannot clash with the table's own.
+    """
+    pairs = staged(decisions.groupBy("id", "h").agg(F.max("kept").alias("kept"), F.count(F.lit(1)).alias("n"),
+                                                    F.count_if("kept").alias("stay")), "decisions")
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), text_hash(text_col).alias("h"), F.struct("*").alias("row"))
+
+    def matches(table: DataFrame, how: str) -> DataFrame:
+        table, _ = broadcast_if_small(table.select(F.col("id").alias("i"), F.col("h").alias("g")), BROADCAST_PAIRS)
+        return rows.join(table, F.col("id").eqNullSafe(F.col("i")) & (F.col("h") == F.col("g")), how)
+
+    copies = pairs.where(F.col("kept") & (F.col("stay") < F.col("n")))
+    out = matches(pairs.where(~F.col("kept") | (F.col("stay") < F.col("n"))), "left_anti").select("row.*")
+    if copies.isEmpty():
+        return out
+    return out.unionByName(matches(copies, "left_semi").dropDuplicates(["id", "h"]).select("row.*"))

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quizlens.llm import golomb
-from quizlens.llm.common import ready, shuffle_width, staged
+from quizlens.llm.common import keep_rows, ready, shuffle_width, staged, text_hash
 from quizlens.plans.sizing import broadcast_if_small
 
 FINGERPRINT_BITS = 48
@@ -45,9 +45,9 @@ def _hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         # bytes.lower() changes A-Z alone; bytes of non-ASCII characters stay.
         shas = [hashlib.sha256((t or b"").lower()) for t in batch.column("text").cast(pa.binary()).to_pylist()]
         yield pa.RecordBatch.from_arrays(
-            [batch.column("rid"), batch.column("doc_id"),
+            [batch.column("rid"), batch.column("doc_id"), batch.column("h"),
              pa.array([int.from_bytes(s.digest()[: FINGERPRINT_BITS // 8]) for s in shas], pa.int64()),
-             pa.array([s.hexdigest() for s in shas], pa.string())], names=["rid", "doc_id", "fp", "sha"])
+             pa.array([s.hexdigest() for s in shas], pa.string())], names=["rid", "doc_id", "h", "fp", "sha"])
 
 
 def _lists(fps: np.ndarray, owners: int) -> Iterator[tuple[int, np.ndarray]]:
@@ -99,7 +99,7 @@ def _mark(owners: int):
 
 
 def duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``(doc_id, keep_id, group_size, kept, sha)``, one row per row of ``docs``.
+    """``(doc_id, keep_id, group_size, kept, sha, h)``, one row per row of ``docs``.
 
     Texts are equal when identical after lower-casing A-Z; null counts as
     empty.  Of equal texts the row with the largest id is kept; of rows that
@@ -109,8 +109,8 @@ def duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     """
     spark = ready(docs)
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    rows = staged(texts.withColumn("rid", F.monotonically_increasing_id())
-                  .mapInArrow(_hashes, "rid long, doc_id long, fp long, sha string"), "dedup-rows")
+    rows = staged(texts.withColumns({"rid": F.monotonically_increasing_id(), "h": text_hash("text")})
+                  .mapInArrow(_hashes, "rid long, doc_id long, h long, fp long, sha string"), "dedup-rows")
     parts = rows.withColumn("part", F.shiftrightunsigned("rid", PART_BITS))
     owners = shuffle_width(spark)
     lists = (parts.select("part", "fp").groupBy("part")
@@ -123,7 +123,7 @@ def duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     return (rows.join(classes, "sha", "left")
             .select("doc_id", F.when(F.col("n").isNull(), F.col("doc_id")).otherwise(F.col("top.doc_id")).alias("keep_id"),
                     F.coalesce("n", F.lit(1)).cast("long").alias("group_size"),
-                    F.coalesce(F.col("rid") == F.col("top.rid"), F.lit(True)).alias("kept"), "sha"))
+                    F.coalesce(F.col("rid") == F.col("top.rid"), F.lit(True)).alias("kept"), "sha", "h"))
 
 
 def _classes(texts: DataFrame, suspects: DataFrame) -> DataFrame:
@@ -138,24 +138,6 @@ def _classes(texts: DataFrame, suspects: DataFrame) -> DataFrame:
 
 
 def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs``, all columns, that :func:`duplicate_groups` keeps.
-
-    Dropped rows are named by (id, text hash).  Where a kept row has copies
-    with the same id and text, one of them stays.
-    """
-    groups = staged(duplicate_groups(docs, id_col, text_col), "dedup-groups")
-    whole = docs.select(F.struct("*").alias("row"), F.col(id_col).cast("long").alias("id"),
-                        F.col(text_col).cast("string").alias("text"))
-    dropped, _ = broadcast_if_small(groups.where(~F.col("kept")).select(F.col("doc_id").alias("gone"), "sha").distinct(),
-                                    BROADCAST_ROWS)
-    same_id = groups.where(~F.col("kept") & F.col("doc_id").eqNullSafe(F.col("keep_id")))
-    if same_id.isEmpty():
-        # The id alone tells rows apart unless it repeats, so texts are not hashed again.
-        repeated = groups.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").isEmpty()
-        if repeated:
-            return whole.join(dropped, F.col("id").eqNullSafe(F.col("gone")), "left_anti").select("row.*")
-    hashed = whole.withColumn("hash", F.sha2(normalised("text").cast("binary"), 256)).drop("text")
-    # Ids repeat: keep by (id, hash), then one row of those that agree in both.
-    kept = groups.where("kept").select(F.col("doc_id").alias("stays"), F.col("sha").alias("hash"))
-    return (hashed.join(kept, hashed["id"].eqNullSafe(kept["stays"]) & (hashed["hash"] == kept["hash"]), "left_semi")
-            .dropDuplicates(["id", "hash"]).select("row.*"))
+    """The rows of ``docs``, all columns, that :func:`duplicate_groups` keeps."""
+    groups = duplicate_groups(docs, id_col, text_col)
+    return keep_rows(docs, groups.select(F.col("doc_id").alias("id"), "h", "kept"), id_col, text_col)
