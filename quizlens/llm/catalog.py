@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quizlens.llm import exact_dedup, mixing, oracle_sql, packing, sharding, simhash, token_ids
+from quizlens.llm import exact_dedup, mixing, oracle_sql, packing, sharding, simhash, token_ids, toxicity
 from quizlens.session import scratch_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -65,3 +65,8 @@ def op10_packing(spark, sf_dir):
 def op7_simhash(spark, sf_dir):
     return simhash.near_duplicates(_docs(spark, sf_dir)).select(
         "doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+@register("op9_toxicity")
+def op9_toxicity(spark, sf_dir):
+    return toxicity.scored(_docs(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
