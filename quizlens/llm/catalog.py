@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quizlens.llm import exact_dedup, mixing, oracle_sql, packing, sharding, simhash, token_ids, toxicity
+from quizlens.llm import exact_dedup, mixing, oracle_sql, packing, secrets, sharding, simhash, token_ids, toxicity
 from quizlens.session import scratch_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -70,3 +70,8 @@ def op7_simhash(spark, sf_dir):
 @register("op9_toxicity")
 def op9_toxicity(spark, sf_dir):
     return toxicity.scored(_docs(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+@register("op1_secrets")
+def op1_secrets(spark, sf_dir):
+    return secrets.scan(_docs(spark, sf_dir))
