@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quizlens.llm import exact_dedup, mixing, oracle_sql, packing, secrets, sharding, simhash, token_ids, toxicity
+from quizlens.llm import exact_dedup, fingerprint, mixing, oracle_sql, packing, secret_scan, sharding, simhash, token_ids, toxicity
 from quizlens.session import scratch_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -74,4 +74,9 @@ def op9_toxicity(spark, sf_dir):
 
 @register("op1_secrets")
 def op1_secrets(spark, sf_dir):
-    return secrets.scan(_docs(spark, sf_dir))
+    return secret_scan.scan(_docs(spark, sf_dir))
+
+
+@register("op5_fingerprint")
+def op5_fingerprint(spark, sf_dir):
+    return fingerprint.compared(_docs(spark, sf_dir))
