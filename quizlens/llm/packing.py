@@ -221,8 +221,7 @@ def _cutter(path: str, cut: str | None, end_id: int, capacity: int):
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
-            texts = [t or "" for t in batch.column("text").to_pylist()]
-            for doc_id, ids in zip(batch.column("doc_id").to_pylist(), encoder(path, cut).encode(texts)):
+            for doc_id, ids in zip(batch.column("doc_id").to_pylist(), encoder(path, cut).encode(batch.column("text"))):
                 ids += end
                 n = len(ids) // 4
                 stop = (n - 1) % capacity + 1  # the first piece takes what is over
