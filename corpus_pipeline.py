@@ -1,19 +1,45 @@
-"""The corpus pipeline: stages over ``documents``, each calling one training-data operator."""
+"""The corpus pipeline: five stages over ``documents``, each calling one training-data operator.
+
+Toxic documents go, then exact and near copies; what is left is mixed to the
+target weights of its sources and packed into sequences.  All stages but the
+last return the columns of ``documents``.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quizlens.llm import mixing
+from quizlens.llm import exact_dedup, mixing, packing, simhash, toxicity
 from quizlens.llm.common import staged
 
 
+def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the compression classifier, fitted on ``labels``, does not reject."""
+    return toxicity.clean(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of equal texts, the document with the largest id."""
+    return exact_dedup.deduplicated(docs)
+
+
+def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of documents that SimHash links, one."""
+    return simhash.deduplicated(docs)
+
+
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document as often as the mix of its source takes it."""
     return mixing.mixed(docs)
 
 
-STAGES = [("mixing", mixing_stage)]
+def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of every document (and copy) with their places in sequences."""
+    return packing.packed(docs)
+
+
+STAGES = [("toxicity", toxicity_stage), ("exact_dedup", exact_stage), ("near_dedup", near_stage),
+          ("mixing", mixing_stage), ("packing", packing_stage)]
 
 #: SQL cannot express the classifier of the first stage; tests hold the run against brute force.
 ORACLE_SQL = None
