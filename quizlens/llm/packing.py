@@ -109,8 +109,10 @@ def completions(sizes: list[int], counts: dict[int, int], space: int) -> list[tu
                 continue
             fits = True
             rest = left - size
-            full = len(kept) == BRANCHES and (rest if rest < sizes[0] else 0, len(chosen) + 1) >= kept[-1][:2]
-            if not full:
+            full = len(kept) == BRANCHES
+            if full and (0, len(chosen) + 1) >= kept[-1][:2]:
+                break  # not even a filling without waste would be kept
+            if not full or (rest if rest < sizes[0] else 0, len(chosen) + 1) < kept[-1][:2]:
                 extend((*chosen, size), rest, size)
             if steps >= MAX_STEPS:
                 return
