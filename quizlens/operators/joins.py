@@ -5,18 +5,23 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quizlens.plans.sizing import cut_lineage
 
 # A folder list is a handful of names; anything above this is not a split list.
 MAX_SPLIT_FOLDERS = 10_000
 
 
 def semi_join_sheets(sheets: DataFrame, mcqs: DataFrame, id_col: str = "id") -> DataFrame:
-    """Sheets whose id occurs among the questions."""
-    return sheets.join(mcqs.select(id_col), id_col, "left_semi")
+    """Sheets whose id occurs among the questions.
+
+    The ids are made distinct first: a semi join cannot split its right side,
+    and a sheet that a third of all questions cite is then one row of it.
+    """
+    return sheets.join(mcqs.select(id_col).distinct(), id_col, "left_semi")
 
 
 def semi_join_mcqs(mcqs: DataFrame, sheets: DataFrame, id_col: str = "id") -> DataFrame:
-    """Questions whose id occurs among the sheets."""
+    """Questions whose id occurs among the sheets (J2); a hot id is on the left side, which AQE splits."""
     return mcqs.join(sheets.select(id_col), id_col, "left_semi")
 
 
@@ -51,7 +56,7 @@ def test_split(sheets: DataFrame, folders: DataFrame, folder_col: str = "folder"
     names = _folder_names(folders, list_col)
     if names is not None:
         return sheets.where(F.col(folder_col).isin(names))
-    side = folders.select(F.col(list_col).alias("_folder")).distinct()
+    side = cut_lineage(folders.select(F.col(list_col).alias("_folder")).distinct())
     return sheets.join(side, sheets[folder_col] == side["_folder"], "left_semi")
 
 
@@ -61,7 +66,7 @@ def train_split(sheets: DataFrame, folders: DataFrame, folder_col: str = "folder
     names = _folder_names(folders, list_col)
     if names is not None:
         return sheets.where(F.col(folder_col).isNull() | ~F.col(folder_col).isin(names))
-    side = folders.select(F.col(list_col).alias("_folder")).where(F.col("_folder").isNotNull()).distinct()
+    side = cut_lineage(folders.select(F.col(list_col).alias("_folder")).where(F.col("_folder").isNotNull()).distinct())
     return sheets.join(side, sheets[folder_col] == side["_folder"], "left_anti")
 
 

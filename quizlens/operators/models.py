@@ -28,7 +28,6 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from quizlens.functions import prompts as P
 from quizlens.operators import responses as R
@@ -50,13 +49,19 @@ GENERATION_OPTIONS = {"num_ctx": 8192, "top_p": 1}
 EXAM_OPTIONS = {"num_ctx": 8196, "top_p": 1}
 
 
-def record_schema(fields, title: str) -> str:
-    """JSON Schema text of a record whose ``fields`` are all required strings."""
+# The record title that both runs send with their request.
+RECORD_TITLE = "MCQQuestion"
+
+
+def record_schema(fields, title: str = RECORD_TITLE) -> str:
+    """JSON Schema text of a record whose ``fields`` are all required strings.
+
+    Each field carries a title: its name in words, capitalised.
+    """
     import json
 
-    return json.dumps({"title": title, "type": "object",
-                       "properties": {f: {"type": "string"} for f in fields},
-                       "required": list(fields)})
+    properties = {f: {"title": f.replace("_", " ").title(), "type": "string"} for f in fields}
+    return json.dumps({"properties": properties, "required": list(fields), "title": title, "type": "object"})
 
 _WORKER_CACHE: dict[str, Callable] = {}
 
@@ -97,41 +102,68 @@ def _safe_complete(complete, system, prompts, temperature, max_tokens, options=N
         return res
 
 
-def _call_batches(factory, max_tokens, batch_rows, options=None):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _call_udf(factory, max_tokens, batch_rows, options=None):
+    """A pandas UDF ``(prompt, system, temperature) -> answer``; only these columns enter Python."""
+    @F.pandas_udf("string")
+    def call(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:
         complete = _build_once(factory)
-        for pdf in batches:
-            out = pd.Series([None] * len(pdf), index=pdf.index, dtype=object)
-            has_prompt = pdf["_prompt"].notna()
-            groups = pdf[has_prompt].groupby(["_system", "_temperature"], dropna=False, sort=False)
-            for (system, temperature), g in groups:
-                system = None if pd.isna(system) else system
-                temperature = float(temperature) if pd.notna(temperature) else None
+        for prompt, system, temperature in batches:
+            rows = pd.DataFrame({"p": prompt, "s": system, "t": temperature}).reset_index(drop=True)
+            out = pd.Series([None] * len(rows), dtype=object)
+            for (s, t), g in rows[rows["p"].notna()].groupby(["s", "t"], dropna=False, sort=False):
+                s, t = None if pd.isna(s) else s, float(t) if pd.notna(t) else None
                 for start in range(0, len(g), batch_rows):
                     chunk = g.iloc[start:start + batch_rows]
-                    answers = _safe_complete(complete, system, chunk["_prompt"].tolist(),
-                                             temperature, max_tokens, options)
-                    out.loc[chunk.index] = answers
-            pdf = pdf.copy()
-            pdf["_response"] = out
-            yield pdf
-    return run
+                    out.loc[chunk.index] = _safe_complete(complete, s, chunk["p"].tolist(), t, max_tokens, options)
+            yield out
+
+    # A repeated call may answer differently: Spark must not copy or move it.
+    return call.asNondeterministic()
+
+
+def call_tasks(df: DataFrame, partitions: int | None = None) -> DataFrame:
+    """``df`` spread for model calls.
+
+    By default over as many tasks as the session shuffles into
+    (``spark.sql.shuffle.partitions``, which follows the size of the data),
+    and over all cores at least: a lost task repeats its share of calls only.
+    """
+    spark = df.sparkSession
+    width = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(partitions or max(width, spark.sparkContext.defaultParallelism))
+
+
+def stored(df: DataFrame, path: str | None) -> DataFrame:
+    """``df`` written once to ``path`` and read back from there; a folder that is complete is only read.
+
+    Answers of a model are paid for and may differ from call to call: with a
+    folder, later reports, retries and runs all see the same ones.
+    """
+    if path is None:
+        return df
+    spark = df.sparkSession
+    jvm = spark._jvm
+    done = jvm.org.apache.hadoop.fs.Path(path.rstrip("/") + "/_SUCCESS")
+    if not done.getFileSystem(spark._jsc.hadoopConfiguration()).exists(done):
+        df.write.mode("overwrite").parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def llm_map(df: DataFrame, prompt: str | Column, out_col: str, completer: CompleterFactory,
             system: str | Column | None = None, temperature: float | str | Column = JUDGE_TEMPERATURE,
             max_tokens: int | None = JUDGE_MAX_TOKENS, dedupe: bool | None = None,
             partitions: int | None = None, batch_rows: int = 64,
-            options: dict | None = None) -> DataFrame:
+            options: dict | None = None, store: str | None = None) -> DataFrame:
     """One model call per row (or per distinct request), text back, errors NULL.
 
     ``dedupe`` (default: only when every temperature is 0) sends each distinct
     ``(system, prompt, temperature)`` once and joins the answers back on that
-    request; otherwise every row is its own call.  ``partitions`` sets the
-    number of concurrent call tasks (default: the session's parallelism).
+    request; otherwise every row is its own call.  Only the request crosses
+    into Python.  ``partitions`` sets the number of call tasks (see
+    :func:`call_tasks`); ``store`` names a folder that keeps the answers (see
+    :func:`stored`).
     """
-    spark = df.sparkSession
-    ship_package(spark)
+    ship_package(df.sparkSession)
     p_col = F.col(prompt) if isinstance(prompt, str) else prompt
     s_col = F.lit(system) if system is None or isinstance(system, str) else system
     if isinstance(temperature, (int, float)):
@@ -142,62 +174,38 @@ def llm_map(df: DataFrame, prompt: str | Column, out_col: str, completer: Comple
         zero_temp = False
     if dedupe is None:
         dedupe = zero_temp
-    n = partitions or spark.sparkContext.defaultParallelism
-    req = df.withColumns({"_prompt": p_col.cast("string"), "_system": s_col.cast("string"),
-                          "_temperature": t_col.cast("double")})
+    call = _call_udf(completer, max_tokens, batch_rows, options)
+    request = {"_prompt": p_col.cast("string"), "_system": s_col.cast("string"), "_temperature": t_col.cast("double")}
     if dedupe:
         # One call per distinct request, keyed by the SHA-256 of the request:
         # the answers travel back without the prompt text, and the join key is
         # short however long the prompts are.
-        req = req.withColumn("_rkey", F.sha2(F.to_json(F.struct("_system", "_prompt", "_temperature")), 256))
+        req = df.withColumns(request).withColumn("_rkey", F.sha2(F.to_json(F.struct(*request)), 256))
         calls = (req.where(F.col("_prompt").isNotNull())
                  .select("_rkey", "_system", "_prompt", "_temperature").dropDuplicates(["_rkey"]))
-        schema = T.StructType(calls.schema.fields + [T.StructField("_response", T.StringType())])
-        answered = (calls.repartition(n).mapInPandas(_call_batches(completer, max_tokens, batch_rows, options), schema)
-                    .select("_rkey", "_response"))
-        out = req.join(answered, "_rkey", "left").drop("_rkey")
+        answered = stored(call_tasks(calls, partitions).select("_rkey", call("_prompt", "_system", "_temperature").alias("_response")), store)
+        out = req.join(answered, "_rkey", "left").drop("_rkey", *request).withColumnRenamed("_response", out_col)
     else:
-        schema = T.StructType(req.schema.fields + [T.StructField("_response", T.StringType())])
-        out = req.repartition(n).mapInPandas(_call_batches(completer, max_tokens, batch_rows, options), schema)
-    return out.withColumnRenamed("_response", out_col).drop("_prompt", "_system", "_temperature")
-
-
-def _call_many(factory, specs, batch_rows):
-    """Like :func:`_call_batches` for several (prompt column -> answer column) requests."""
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        complete = _build_once(factory)
-        for pdf in batches:
-            pdf = pdf.copy()
-            for prompt_col, out_col, system, temperature, max_tokens in specs:
-                out = pd.Series([None] * len(pdf), index=pdf.index, dtype=object)
-                todo = pdf[pdf[prompt_col].notna()]
-                for start in range(0, len(todo), batch_rows):
-                    chunk = todo.iloc[start:start + batch_rows]
-                    out.loc[chunk.index] = _safe_complete(complete, system, chunk[prompt_col].tolist(),
-                                                          temperature, max_tokens)
-                pdf[out_col] = out
-            yield pdf.drop(columns=[spec[0] for spec in specs])
-    return run
+        req = call_tasks(df, partitions).withColumns(request)
+        out = stored(req.withColumn(out_col, call("_prompt", "_system", "_temperature")).drop(*request), store)
+    return out
 
 
 def llm_map_many(df: DataFrame, requests: list[tuple[Column, str, str | None, float, int | None]],
-                 completer: CompleterFactory, partitions: int | None = None,
-                 batch_rows: int = 64) -> DataFrame:
+                 completer: CompleterFactory | None, partitions: int | None = None,
+                 batch_rows: int = 64, store: str | None = None) -> DataFrame:
     """Several model columns in one pass: ``requests`` are
     ``(prompt, out_col, system, temperature, max_tokens)``.  The rows are
-    spread once and cross into Python once, however many criteria run."""
+    spread once; only the prompts cross into Python."""
     if not requests:
         return df
-    spark = df.sparkSession
-    ship_package(spark)
-    n = partitions or spark.sparkContext.defaultParallelism
-    prompt_cols = {f"_prompt{i}": r[0].cast("string") for i, r in enumerate(requests)}
-    req = df.withColumns(prompt_cols)
-    specs = [(f"_prompt{i}", r[1], r[2], None if r[3] is None else float(r[3]), r[4])
-             for i, r in enumerate(requests)]
-    schema = T.StructType([f for f in req.schema.fields if f.name not in prompt_cols]
-                          + [T.StructField(r[1], T.StringType()) for r in requests])
-    return req.repartition(n).mapInPandas(_call_many(completer, specs, batch_rows), schema)
+    ship_package(df.sparkSession)
+    prompts = {f"_prompt{i}": r[0].cast("string") for i, r in enumerate(requests)}
+    req = call_tasks(df, partitions).withColumns(prompts)
+    for i, (_, out_col, system, temperature, max_tokens) in enumerate(requests):
+        call = _call_udf(completer, max_tokens, batch_rows)
+        req = req.withColumn(out_col, call(f"_prompt{i}", F.lit(system).cast("string"), F.lit(temperature).cast("double")))
+    return stored(req.drop(*prompts), store)
 
 
 def _embed_batches(factory, batch_rows):
@@ -222,12 +230,11 @@ def embed_texts(df: DataFrame, text_col: str, embedder: EmbedderFactory,
     (as an empty distractor does).
     """
     ship_package(df.sparkSession)
-    n = partitions or df.sparkSession.sparkContext.defaultParallelism
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     keyed = df.withColumn("_tkey", F.sha2(text, 256))
     texts = keyed.select("_tkey", text.alias("_text")).dropDuplicates(["_tkey"])
     schema = "_tkey string, _vector array<float>"
-    vectors = texts.repartition(n).mapInPandas(_embed_batches(embedder, batch_rows), schema)
+    vectors = call_tasks(texts, partitions).mapInPandas(_embed_batches(embedder, batch_rows), schema)
     return keyed.join(vectors, "_tkey", "left").withColumnRenamed("_vector", out_col).drop("_tkey")
 
 
@@ -308,7 +315,7 @@ def generate_questions(sheets: DataFrame, completer: CompleterFactory, content_c
     long = llm_map(runs, P.generation_prompt(content_col), out_col, completer,
                    temperature="temperature", max_tokens=None,
                    options={**GENERATION_OPTIONS,
-                            "json_schema": record_schema(R.MCQ_FIELDS, "MCQQuestion")})
+                            "json_schema": record_schema(R.MCQ_FIELDS)})
     if not wide:
         return long
     keys = [c for c in sheets.columns if c != content_col]   # never group by the sheet text
@@ -328,7 +335,7 @@ def answer_exam(items: DataFrame, completer: CompleterFactory, runs: dict[str, f
     return llm_map(exploded, P.exam_prompt(question_col, opa, opb, opc, opd), out_col, completer,
                    temperature="temperature", max_tokens=EXAM_MAX_TOKENS,
                    options={**EXAM_OPTIONS,
-                            "json_schema": record_schema((R.ANSWER_FIELD,), "AnswerRecord")})
+                            "json_schema": record_schema((R.ANSWER_FIELD,))})
 
 
 def model_answers(df: DataFrame, response_col: str = "response", out_col: str = "model_answer",

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from quizlens.functions import text as T
 from quizlens.functions.vectors import cosine
-from quizlens.plans.sizing import DEFAULT_BROADCAST_ROWS, cut_lineage
+from quizlens.plans.sizing import DEFAULT_BROADCAST_BYTES, DEFAULT_BROADCAST_ROWS, ROW_OVERHEAD, at_most, cut_lineage
 
 OPTION_LETTERS = ("a", "b", "c", "d")
 
@@ -50,71 +50,57 @@ def relevance(df: DataFrame, question_vec_col: str, sheet_vec_col: str,
 
 # ---------------------------------------------------------------- trigrams
 
+LEMMA_BROADCAST_ROWS = 500_000
+
+
+def with_tokens(df: DataFrame, text_col: str, stop_words=T.ENGLISH_STOP_WORDS,
+                lemmas: dict[str, str] | DataFrame | None = None, out_col: str = "_tokens") -> DataFrame:
+    """``df`` with the content tokens of a text; NULL for a NULL text.
+
+    ``lemmas`` may be a small dict (applied as a literal map inside the row)
+    or a ``(form, lemma)`` DataFrame of any size.  With a table, the tokens of
+    the distinct texts (by SHA-256) are joined to it - broadcast when its size
+    is proven small, a sort-merge join otherwise - and put back in order; a
+    group is one text.  A form listed twice takes its smallest lemma.
+    """
+    if not isinstance(lemmas, DataFrame):
+        return df.withColumn(out_col, T.content_tokens(text_col, stop_words, lemmas))
+    from quizlens.plans.sizing import broadcast_if_small
+
+    keyed = df.withColumn("_lkey", F.sha2(F.col(text_col), 256))
+    texts = keyed.where(F.col(text_col).isNotNull()).select("_lkey", text_col).dropDuplicates(["_lkey"])
+    pos = (texts.select("_lkey", T.content_tokens(text_col, stop_words).alias("_tk"))
+           .select("_lkey", F.posexplode_outer("_tk").alias("_pos", "_tok")))
+    table = lemmas.groupBy(F.col("form").alias("_tok")).agg(F.min("lemma").alias("_lem"))
+    table, _ = broadcast_if_small(table, LEMMA_BROADCAST_ROWS)
+    words = (pos.join(table, "_tok", "left").where(F.col("_tok").isNotNull())
+             .groupBy("_lkey").agg(F.array_sort(F.collect_list(F.struct("_pos", F.coalesce("_lem", "_tok").alias("_w")))).alias("_ws")))
+    words = words.select("_lkey", F.transform("_ws", lambda w: w["_w"]).alias("_lemmas"))
+    none = F.array().cast("array<string>")
+    return (keyed.join(words, "_lkey", "left")
+            .withColumn(out_col, F.when(F.col("_lkey").isNotNull(), F.coalesce("_lemmas", none)))
+            .drop("_lkey", "_lemmas"))
+
+
 def trigram_rows(df: DataFrame, key_cols: list[str], text_col: str,
                  stop_words=T.ENGLISH_STOP_WORDS, lemmas: dict[str, str] | DataFrame | None = None,
-                 out_col: str = "trigram", with_count: bool = False) -> DataFrame:
+                 out_col: str = "trigram") -> DataFrame:
     """``(key_cols..., trigram)``, distinct per row, one output row per trigram.
 
     The token array is projected on its own first so the regex pipeline runs
     once per row; the trigram array is built with ``slice``/``arrays_zip``
     and de-duplicated inside the row before exploding (a map-side distinct).
-    ``with_count`` adds ``_n``, the row's number of distinct trigrams, to
-    every output row (so no second pass or group-by is needed for it).
-
-    ``lemmas`` may be a small dict (applied as a literal map inside the row)
-    or a ``(form, lemma)`` DataFrame of any size, see
-    :func:`_trigram_rows_lemma_table`.
+    ``lemmas``: see :func:`with_tokens`.
     """
-    if isinstance(lemmas, DataFrame):
-        return _trigram_rows_lemma_table(df, key_cols, text_col, stop_words, lemmas, out_col, with_count)
-    toks = df.select(*key_cols, T.content_tokens(text_col, stop_words, lemmas).alias("_tokens"))
+    toks = with_tokens(df.select(*key_cols, text_col), text_col, stop_words, lemmas).select(*key_cols, "_tokens")
     tri = toks.select(*key_cols, T.trigram_array("_tokens").alias("_tri"))
-    extra = [F.size("_tri").alias("_n")] if with_count else []
     # explode_outer + a null filter rather than explode: for explode Catalyst
     # infers ``size(array) > 0`` and pushes it below the projections, inlining
     # the whole token pipeline (several times) into the scan stage.
-    rows = tri.select(*key_cols, *extra, F.explode_outer("_tri").alias(out_col))
+    rows = tri.select(*key_cols, F.explode_outer("_tri").alias(out_col))
     return rows.where(F.col(out_col).isNotNull())
 
 
-LEMMA_BROADCAST_ROWS = 500_000
-
-
-def _trigram_rows_lemma_table(df: DataFrame, key_cols: list[str], text_col: str, stop_words,
-                              lemmas: DataFrame, out_col: str, with_count: bool) -> DataFrame:
-    """Trigrams of lemmatised tokens with a ``(form, lemma)`` table.
-
-    Tokens (stop words already removed) are exploded with their positions and
-    joined to the table - broadcast when its size is proven small, a
-    sort-merge join otherwise.  Each token is then emitted into the three
-    trigrams it belongs to and the trigrams are rebuilt by a group-by on
-    ``(row, start)``: every group holds exactly three rows, whatever the
-    length of a text.  Rows are identified by ``key_cols`` (or by the text's
-    SHA-256 when there are none; equal texts give equal trigrams).
-    """
-    from quizlens.plans.sizing import broadcast_if_small
-
-    keys = list(key_cols) or ["_rowkey"]
-    base = df if key_cols else df.withColumn("_rowkey", F.sha2(F.col(text_col), 256))
-    toks = base.select(*keys, T.content_tokens(text_col, stop_words).alias("_tokens"))
-    pos = toks.select(*keys, F.posexplode_outer("_tokens").alias("_pos", "_tok")).where(F.col("_tok").isNotNull())
-    table = (lemmas.select(F.col("form").alias("_tok"), F.col("lemma").alias("_lem"))
-             .dropDuplicates(["_tok"]))
-    table, _ = broadcast_if_small(table, LEMMA_BROADCAST_ROWS)
-    lem = pos.join(table, "_tok", "left").select(*keys, "_pos", F.coalesce("_lem", "_tok").alias("_w"))
-    slots = F.array(*[F.struct((F.col("_pos") - k).alias("_start"), F.lit(k).alias("_slot"), F.col("_w").alias("_w"))
-                      for k in range(3)])
-    emitted = lem.select(*keys, F.inline(slots)).where(F.col("_start") >= 0)
-    grouped = (emitted.groupBy(*keys, "_start")
-               .agg(F.array_sort(F.collect_set(F.struct("_slot", "_w"))).alias("_ws")))
-    full = grouped.where(F.size("_ws") == 3)
-    tri = full.select(*keys, F.concat_ws(" ", *[F.col("_ws")[i]["_w"] for i in range(3)]).alias(out_col)).distinct()
-    if with_count:
-        n = tri.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-        tri = tri.join(n, keys)
-    return tri.drop("_rowkey") if not key_cols else tri
-
-
 def _novelty(df: DataFrame, keys: list[str], counts: DataFrame,
              text_cols: list[str], out_col: str) -> DataFrame:
     """Attach ``(n - seen) / n`` per key; 0.0 without trigrams, NULL on NULL text.
@@ -166,8 +152,10 @@ def corpus_counts(questions: DataFrame, corpus: DataFrame, key_col: str = "mcq_i
     if vocab is not None:
         hits = F.broadcast(ct.join(vocab, "trigram", "left_semi").distinct())
     else:
-        # Both sides grow with the data: never broadcast on an estimate.
-        hits = ct.distinct().hint("merge")
+        # Both sides grow with the data: never broadcast on an estimate.  The
+        # distinct trigrams are stored first, so that both join inputs come
+        # straight from an exchange and AQE can split a hot trigram.
+        hits = cut_lineage(ct.distinct()).hint("merge")
     return (qt.join(hits.withColumn("_hit", F.lit(1)), "trigram", "left")
             .groupBy(key_col)
             .agg(F.count(F.lit(1)).alias("_n"), F.count("_hit").alias("_seen")))
@@ -186,154 +174,87 @@ def question_vocabulary(q: DataFrame, qt: DataFrame, question_col: str,
     that bound is within ``EXACT_CHECK_FACTOR`` of the limit, an exact but
     bounded count of the distinct vocabulary decides.
     """
-    from quizlens.plans.sizing import at_most
-
-    bound = trigram_bound(q, question_col)
+    rows, size = trigram_bound(q, question_col)
     vocab = qt.select("trigram").distinct()
-    if bound <= broadcast_rows:
+    if rows <= broadcast_rows and size <= DEFAULT_BROADCAST_BYTES:
         return F.broadcast(vocab)
-    if bound <= EXACT_CHECK_FACTOR * broadcast_rows and at_most(vocab, broadcast_rows):
+    if rows <= EXACT_CHECK_FACTOR * broadcast_rows and at_most(vocab, broadcast_rows):
         return F.broadcast(vocab)
     return None
 
 
-def trigram_bound(df: DataFrame, text_col: str) -> int:
-    """Upper bound on the trigram rows of a text column: every token takes at
-    least one character plus a separator, so a text of length L yields at most
-    ``(L + 1) // 2`` tokens and no more trigrams than that."""
-    row = df.agg(F.sum(F.floor((F.length(text_col) + 1) / 2)).alias("b")).first()
-    return int(row["b"] or 0)
+def trigram_bound(df: DataFrame, text_col: str) -> tuple[int, int]:
+    """Upper bounds on the trigram rows of a text column and on their bytes.
 
-
-def _sheet_matches(qt: DataFrame, key_col: str, srows: DataFrame, sheet_col: str,
-                   stop_words, lemmas, vocab: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
-    """Per-question trigram counts and per-(question, sheet text) matches.
-
-    ``qt`` holds ``(key, id, _n, trigram)``; ``srows`` one row per sheet text
-    with ``id`` and ``_skey``.  One left shuffle join on ``(id, trigram)``
-    feeds both counts: a sheet cited by a third of all questions is spread
-    over every partition by its trigrams instead of landing in one task.
-    Returns ``(n: (key, _n), seen: (key, _skey, _seen))``.
-    """
-    st = trigram_rows(srows, ["id", "_skey"], sheet_col, stop_words, lemmas)
-    if vocab is not None:
-        # Map-side: sheet trigrams no question uses never reach the shuffle.
-        st = st.join(vocab, "trigram", "left_semi")
-    st = (st.repartition("id", "trigram")        # the join's partitioning, reused by the distinct
-          .dropDuplicates(["id", "_skey", "trigram"]))
-    per_pair = (qt.join(st.hint("merge"), ["id", "trigram"], "left")
-                .groupBy(key_col, "_skey")
-                .agg(F.max("_n").alias("_n"), F.count(F.lit(1)).alias("_seen")))
-    # At most (1 + sheets per id) rows per question: materialise it once in
-    # the shared checkpoint folder so both results read it instead of
-    # re-running the tokenise/join pipeline for each.
-    per_pair = cut_lineage(per_pair)
-    n = per_pair.groupBy(key_col).agg(F.max("_n").alias("_n"))
-    seen = per_pair.where(F.col("_skey").isNotNull()).select(key_col, "_skey", "_seen")
-    return n, seen
-
-
-def paired_score(question_col: str, sheet_col: str) -> Column:
-    """Score from ``_n`` / ``_seen``; NULL when the question or sheet text is NULL.
-
-    ``_qnull`` (set before any join) and ``_skey`` (NULL exactly when the
-    sheet text is) stand in for the texts, so the texts need not travel.
+    Every token takes at least one character plus a separator, so a text of
+    length L yields at most ``(L + 1) // 2`` tokens and no more trigrams than
+    that; every byte of it is in at most three trigrams.
     """
-    seen = F.coalesce(F.col("_seen"), F.lit(0))
-    return (F.when(F.col("_qnull") | F.col("_skey").isNull(), F.lit(None).cast("double"))
-            .when(F.col("_n").isNull(), F.lit(0.0))
-            .otherwise((F.col("_n") - seen) / F.col("_n")))
+    row = df.agg(F.sum(F.floor((F.length(text_col) + 1) / 2)).alias("n"), F.sum(F.octet_length(text_col)).alias("b")).first()
+    rows = int(row["n"] or 0)
+    return rows, 3 * int(row["b"] or 0) + rows * (ROW_OVERHEAD + 2)
 
 
-def paired_counts(questions: DataFrame, sheet_rows: DataFrame, key_col: str = "mcq_id",
-                  question_col: str = "question", sheet_col: str = "content_gpt",
-                  stop_words=T.ENGLISH_STOP_WORDS, lemmas: dict[str, str] | DataFrame | None = None,
-                  broadcast_rows: int = DEFAULT_BROADCAST_ROWS) -> tuple[DataFrame, DataFrame]:
-    """T4 counts: ``(key, _n)`` and ``(key, _skey, _seen)``.
+def token_novelty(question_tokens: str, sheet_tokens: str) -> Column:
+    """T4 from two token arrays of one row: the share of distinct question trigrams that the sheet lacks.
 
-    ``questions`` holds ``key``, ``id`` (the sheet id it cites) and the text;
-    ``sheet_rows`` holds ``id``, ``_skey`` (the text's SHA-256) and the text.
-    Both are tokenised on their own partitions, before any shuffle.
+    NULL when either is NULL (its text is), 0.0 for a question without trigrams.
     """
-    q = questions.where(F.col(question_col).isNotNull())
-    qt = trigram_rows(q, [key_col, "id"], question_col, stop_words, lemmas, with_count=True)
-    vocab = question_vocabulary(q, qt, question_col, broadcast_rows)
-    return _sheet_matches(qt, key_col, sheet_rows.where(F.col("_skey").isNotNull()), sheet_col,
-                          stop_words, lemmas, vocab)
-
-
-def sheet_keys(sheets: DataFrame, id_col: str, sheet_col: str) -> DataFrame:
-    """``(id, sheet_col, _skey)``: each sheet row with the SHA-256 of its text."""
-    return (sheets.select(F.col(id_col).alias("id"), sheet_col)
-            .withColumn("_skey", F.sha2(F.col(sheet_col), 256)))
+    q, s = T.trigram_array(question_tokens), T.trigram_array(sheet_tokens)
+    share = F.size(F.array_except(q, s)) / F.size(q)
+    return (F.when(F.col(question_tokens).isNull() | F.col(sheet_tokens).isNull(), F.lit(None).cast("double"))
+            .when(F.size(question_tokens) < 3, F.lit(0.0)).otherwise(share))
 
 
-def originality_paired(mcqs: DataFrame, sheets: DataFrame, key_col: str = "mcq_id",
-                       id_col: str = "id", question_col: str = "question",
+def originality_paired(mcqs: DataFrame, sheets: DataFrame, id_col: str = "id", question_col: str = "question",
                        sheet_col: str = "content_gpt", out_col: str = "originality",
                        stop_words=T.ENGLISH_STOP_WORDS,
-                       lemmas: dict[str, str] | DataFrame | None = None,
-                       broadcast_rows: int = DEFAULT_BROADCAST_ROWS) -> DataFrame:
+                       lemmas: dict[str, str] | DataFrame | None = None) -> DataFrame:
     """Share of a question's distinct trigrams absent from its own sheet (T4).
 
     Returns ``mcqs`` left-joined to ``sheets`` on ``id_col`` (rows multiply
     for duplicate sheet ids, as a left merge does) with the score added.
-    Questions are tokenised once straight from their table, each sheet row
-    once however many questions cite it.  ``key_col`` must identify a
-    question row.
+    Both tables are tokenised on their own partitions, each sheet row once
+    however many questions cite it; the token arrays travel with the one join
+    and the sets are compared inside the row, so a hot sheet id is an
+    ordinary skewed join that AQE splits.
     """
-    sk = sheet_keys(sheets, id_col, sheet_col)
-    q = mcqs.select(key_col, F.col(id_col).alias("id"), question_col)
-    n, seen = paired_counts(q, sk, key_col, question_col, sheet_col, stop_words, lemmas, broadcast_rows)
-    # Scores on a narrow (question, sheet text) table first, so the wide rows
-    # (question and sheet texts) take part in two shuffles only.
-    pairs = (mcqs.select(key_col, F.col(id_col).alias("id"))
-             .join(sk.select("id", "_skey"), "id").drop("id"))
-    narrow = pairs.join(n, key_col, "left").join(seen, [key_col, "_skey"], "left")
-    merged = (mcqs.withColumn("_qnull", F.col(question_col).isNull())
-              .join(sk.withColumnRenamed("id", id_col), id_col, "left"))
-    out = merged.join(narrow, [key_col, "_skey"], "left")
-    return (out.withColumn(out_col, paired_score(question_col, sheet_col))
-            .drop("_skey", "_n", "_seen", "_qnull"))
-
-
-def originality_rowwise(df: DataFrame, key_col: str = "mcq_id", question_col: str = "question",
-                        sheet_col: str = "content_gpt", out_col: str = "originality",
-                        stop_words=T.ENGLISH_STOP_WORDS,
+    q = with_tokens(mcqs, question_col, stop_words, lemmas, "_qtk")
+    s = with_tokens(sheets.select(id_col, sheet_col), sheet_col, stop_words, lemmas, "_stk")
+    return q.join(s, id_col, "left").withColumn(out_col, token_novelty("_qtk", "_stk")).drop("_qtk", "_stk")
+
+
+def originality_rowwise(df: DataFrame, question_col: str = "question", sheet_col: str = "content_gpt",
+                        out_col: str = "originality", stop_words=T.ENGLISH_STOP_WORDS,
                         lemmas: dict[str, str] | DataFrame | None = None) -> DataFrame:
-    """T4 on a table that already holds each question's sheet text.
+    """T4 on a table that already holds each question's sheet text: no join at all."""
+    both = with_tokens(with_tokens(df, question_col, stop_words, lemmas, "_qtk"), sheet_col, stop_words, lemmas, "_stk")
+    return both.withColumn(out_col, token_novelty("_qtk", "_stk")).drop("_qtk", "_stk")
 
-    Distinct sheet texts (by SHA-256) are tokenised once; ``key_col`` must
-    identify a row.
-    """
-    keyed = (df.withColumn("_skey", F.sha2(F.col(sheet_col), 256))
-             .withColumn("_qnull", F.col(question_col).isNull()))
-    q = keyed.where(F.col(question_col).isNotNull() & F.col("_skey").isNotNull())
-    qt = trigram_rows(q.withColumn("id", F.col("_skey")), [key_col, "id"], question_col,
-                      stop_words, lemmas, with_count=True)
-    srows = (keyed.where(F.col("_skey").isNotNull()).select("_skey", sheet_col)
-             .dropDuplicates(["_skey"]).withColumn("id", F.col("_skey")))
-    n, seen = _sheet_matches(qt, key_col, srows, sheet_col, stop_words, lemmas)
-    out = keyed.join(n, key_col, "left").join(seen, [key_col, "_skey"], "left")
-    return (out.withColumn(out_col, paired_score(question_col, sheet_col))
-            .drop("_skey", "_n", "_seen", "_qnull"))
+
+def sheet_keys(sheets: DataFrame, id_col: str, sheet_col: str) -> DataFrame:
+    """``(id, sheet_col, _skey)``: each sheet row with the SHA-256 of its text."""
+    return (sheets.select(F.col(id_col).alias("id"), sheet_col)
+            .withColumn("_skey", F.sha2(F.col(sheet_col), 256)))
 
 
 def trigram_difference(mcqs: DataFrame, sheets: DataFrame, key_col: str = "mcq_id",
                        id_col: str = "id", question_col: str = "question",
-                       sheet_col: str = "content_gpt") -> DataFrame:
+                       sheet_col: str = "content_gpt", stop_words=T.ENGLISH_STOP_WORDS,
+                       lemmas: dict[str, str] | DataFrame | None = None) -> DataFrame:
     """Question trigrams missing from the question's sheet, one row each.
 
-    Questions whose sheet is absent (or has no text) have no difference set.
-    Both texts are tokenised before any shuffle; the anti join runs on
-    ``(id, trigram)``.
+    Questions whose sheet is absent (or has no text) have no difference set;
+    they are filtered out before any text is exploded.  Rows of several sheets
+    with one id count together.  The anti join runs on ``(id, trigram)``
+    against a stored distinct side, so AQE can split a hot pair.
     """
-    qt = trigram_rows(mcqs.where(F.col(question_col).isNotNull()), [key_col, id_col], question_col)
-    st = trigram_rows(sheets.where(F.col(sheet_col).isNotNull()), [id_col], sheet_col).distinct()
-    present = sheets.where(F.col(sheet_col).isNotNull()).select(id_col).distinct()
-    return (qt.join(present, id_col, "left_semi")
-            .join(st.hint("merge"), [id_col, "trigram"], "left_anti")
-            .select(key_col, "trigram"))
+    known = sheets.where(F.col(sheet_col).isNotNull())
+    present = cut_lineage(known.select(id_col).distinct())
+    asked = mcqs.where(F.col(question_col).isNotNull()).join(present, id_col, "left_semi")
+    qt = trigram_rows(asked, [key_col, id_col], question_col, stop_words, lemmas)
+    st = cut_lineage(trigram_rows(known, [id_col], sheet_col, stop_words, lemmas).distinct())
+    return qt.join(st.hint("merge"), [id_col, "trigram"], "left_anti").select(key_col, "trigram")
 
 
 # ---------------------------------------------------------------- vectors

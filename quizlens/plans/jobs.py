@@ -36,7 +36,7 @@ def text_vectors(texts: DataFrame, embedder: models.EmbedderFactory, text_col: s
 
 def score_questions(mcqs: DataFrame, sheets: DataFrame | None = None, *,
                     merge: bool = True, key_col: str = "mcq_id", sheet_id_col: str = "id",
-                    lisa_sheet_col: str = "content_gpt",
+                    sheet_col: str = "content_gpt",
                     question_col: str = "question", option_a_col: str = "option_a",
                     option_b_col: str = "option_b", option_c_col: str = "option_c",
                     option_d_col: str = "option_d", correct_option_col: str = "correct_option",
@@ -60,26 +60,45 @@ def score_questions(mcqs: DataFrame, sheets: DataFrame | None = None, *,
                     completer: models.CompleterFactory | None = None,
                     embedder: models.EmbedderFactory | None = None,
                     vectors: DataFrame | None = None,
+                    stop_words=TX.ENGLISH_STOP_WORDS, lemmas: dict[str, str] | DataFrame | None = None,
                     temp: float = models.JUDGE_TEMPERATURE,
                     max_completion_tokens: int = models.JUDGE_MAX_TOKENS) -> DataFrame:
     """Score every question row; each enabled criterion adds one column.
 
-    ``merge=True`` left-joins ``sheets`` (J4) to bring ``lisa_sheet_col``;
+    ``merge=True`` left-joins ``sheets`` (J4) to bring ``sheet_col``;
     with ``merge=False`` the question table must already hold it.  Vector
     scores need ``vectors`` (``text``, ``embedding``) or an ``embedder``;
     model criteria need a ``completer`` and their system prompt (G12).  A bad
     row yields NULL in the affected score only.  ``key_col`` identifies a
     question row.
 
-    Plan: row-local scores are added on the question table's own partitions;
-    every set or vector score is computed on narrow keyed tables, which are
-    combined into one narrow table keyed by (question, sheet text).  The
-    wide rows (question and sheet texts) then take part in two shuffles only
-    - the sheet join and the join with that table - and cross into Python
-    once for all model criteria.
+    A criterion that has its prompt but no ``completer`` is an error, not a
+    missing column.  ``lemmas`` and ``stop_words`` go to both originality
+    scores.
+
+    Plan: row-local scores and token arrays are added on each table's own
+    partitions; the wide rows meet in the sheet join, where paired
+    originality is a set comparison inside the row.  Vector scores and corpus
+    originality are computed on narrow tables keyed by question or by
+    (question, sheet text), of distinct keys, and joined once more.  Model
+    criteria send their prompts alone into Python.
     """
-    sheet = lisa_sheet_col
+    sheet = sheet_col
     option_cols = (option_a_col, option_b_col, option_c_col, option_d_col)
+    criteria = [
+        (compute_answerability, answerability_system_prompt, answerability_col,
+         dict(include_options=True, include_correct_option=True, context_col=sheet)),
+        (compute_disclosure, disclosure_system_prompt, disclosure_col,
+         dict(include_options=False, include_correct_option=True)),
+        (compute_difficulty, difficulty_system_prompt, difficulty_col,
+         dict(include_options=True, include_correct_option=True)),
+        (compute_distractors_quality, distractors_quality_system_prompt, distractors_quality_col,
+         dict(include_options=True, include_correct_option=True)),
+    ]
+    asked = [c for c in criteria if c[0] and c[1] is not None]     # G12
+    if asked and completer is None:
+        raise ValueError(f"{', '.join(c[2] for c in asked)}: a system prompt is given but no completer")
+
     exprs = {}
     if compute_readability:
         exprs["_fk"] = TX.readability_counts(question_col)
@@ -87,94 +106,74 @@ def score_questions(mcqs: DataFrame, sheets: DataFrame | None = None, *,
         exprs[negation_col] = TX.starts_with_negation(question_col)
     if compute_is_question:
         exprs[is_question_col] = TX.is_question(question_col)
-    exprs["_qnull"] = F.col(question_col).isNull()
-    base = mcqs.withColumns(exprs)
+    base = mcqs.withColumns(exprs) if exprs else mcqs
     if compute_readability:
         base = base.withColumn(readability_col, TX.readability_from_counts("_fk")).drop("_fk")
+    tokens = dict(stop_words=stop_words, lemmas=lemmas)
+    if compute_originality:
+        base = scores.with_tokens(base, question_col, out_col="_qtk", **tokens)
 
-    # Sheet rows keyed by the SHA-256 of their text, and the (question, sheet) pairs.
     if merge:
         if sheets is None:
             raise ValueError("merge=True needs the sheets table")
         sk = scores.sheet_keys(sheets, sheet_id_col, sheet)
-        wide = base.join(sk.withColumnRenamed("id", sheet_id_col), sheet_id_col, "left")     # J4
-        cites = mcqs.select(key_col, F.col(sheet_id_col).alias("id"), question_col)
-        pairs = cites.join(sk.select("id", "_skey"), "id").select(key_col, "_skey")
+        side = scores.with_tokens(sk, sheet, out_col="_stk", **tokens) if compute_originality else sk
+        wide = base.join(side.withColumnRenamed("id", sheet_id_col), sheet_id_col, "left")     # J4
+        cites = mcqs.select(key_col, F.col(sheet_id_col).alias("id"))
+        pairs = cites.join(sk.select("id", "_skey"), "id").select(key_col, "_skey").distinct()
         corpus = sheets
     else:
         wide = base.withColumn("_skey", F.sha2(F.col(sheet), 256))
-        sk = (wide.where(F.col("_skey").isNotNull()).select("_skey", sheet)
-              .dropDuplicates(["_skey"]).withColumn("id", F.col("_skey")))
-        cites = wide.select(key_col, F.col("_skey").alias("id"), question_col)
+        sk = wide.where(F.col("_skey").isNotNull()).select("_skey", sheet).dropDuplicates(["_skey"])
         pairs = wide.where(F.col("_skey").isNotNull()).select(key_col, "_skey").distinct()
+        if compute_originality:
+            wide = scores.with_tokens(wide, sheet, out_col="_stk", **tokens)
         corpus = sk
-
-    per_key = mcqs.select(key_col)          # one row per question
-    per_pair = pairs                        # one row per (question, sheet text)
-    pair_cols, key_cols = [], []
+    out = wide
     if compute_originality:
-        n, seen = scores.paired_counts(cites, sk, key_col, question_col, sheet)
-        per_key = per_key.join(n, key_col, "left")
-        per_pair = per_pair.join(seen, [key_col, "_skey"], "left")
-        pair_cols.append((originality_col, scores.paired_score(question_col, sheet)))
+        out = out.withColumn(originality_col, scores.token_novelty("_qtk", "_stk")).drop("_qtk", "_stk")
+
+    per_key = []            # tables with one row per question
     if compute_corpus_originality:
-        cc = scores.corpus_counts(mcqs, corpus, key_col, question_col, sheet).select(
+        cc = scores.corpus_counts(mcqs, corpus, key_col, question_col, sheet, **tokens).select(
             key_col, F.col("_n").alias("_cn"), F.col("_seen").alias("_cseen"))
-        per_key = per_key.join(cc, key_col, "left")
-        key_cols.append((corpus_originality_col,
-                         F.when(F.col("_qnull"), F.lit(None).cast("double"))
-                         .when(F.col("_cn").isNull(), F.lit(0.0))
-                         .otherwise((F.col("_cn") - F.col("_cseen")) / F.col("_cn"))))
+        per_key.append((cc, corpus_originality_col,
+                        F.when(F.col(question_col).isNull(), F.lit(None).cast("double"))
+                        .when(F.col("_cn").isNull(), F.lit(0.0))
+                        .otherwise((F.col("_cn") - F.col("_cseen")) / F.col("_cn"))))
     if compute_relevance or compute_ambiguity:
         vt = _vectors_for(mcqs, sk, vectors, embedder, question_col, sheet, option_cols)
-        if compute_relevance:
-            qv = (mcqs.select(key_col, _text_key(question_col).alias("_tkey"))
-                  .join(vt, "_tkey").select(key_col, F.col("embedding").alias("_qv")))
-            sv = vt.select(F.col("_tkey").alias("_skey"), F.col("embedding").alias("_sv"))
-            rel = pairs.join(qv, key_col).join(sv, "_skey").select(
-                key_col, "_skey", cosine("_qv", "_sv").alias("_rel"))
-            per_pair = per_pair.join(rel, [key_col, "_skey"], "left")
-            pair_cols.append((relevance_col,
-                              F.when(F.col("_qnull") | F.col("_skey").isNull(),
-                                     F.lit(None).cast("double")).otherwise(F.col("_rel"))))
-        if compute_ambiguity:
-            long = scores.options_long(mcqs, key_col, option_cols)
-            ov = (long.withColumn("_tkey", _text_key("option_text"))
-                  .join(vt, "_tkey", "left").select(key_col, "letter", "embedding"))
-            per_key = per_key.join(scores.option_vector_maps(ov, key_col), key_col, "left")
-            key_cols.append((ambiguity_col, scores.ambiguity_from_map(correct_option_col, "_vecs")))
-
-    # One narrow table keyed by (question, sheet text); questions without a
-    # sheet keep one row with a NULL sheet key.
-    narrow = per_key.join(per_pair, key_col, "left")
-    out = wide.join(narrow, [wide[key_col] == narrow[key_col], wide["_skey"].eqNullSafe(narrow["_skey"])],
-                    "left")
-    out = out.select(wide["*"], *[narrow[c] for c in narrow.columns if c not in (key_col, "_skey")])
-    for name, expr in key_cols + pair_cols:
-        out = out.withColumn(name, expr)
-    helpers = {"_skey", "_n", "_seen", "_cn", "_cseen", "_rel", "_vecs", "_qnull"}
+    if compute_ambiguity:
+        long = scores.options_long(mcqs, key_col, option_cols)
+        ov = (long.withColumn("_tkey", _text_key("option_text"))
+              .join(vt, "_tkey", "left").select(key_col, "letter", "embedding"))
+        per_key.append((scores.option_vector_maps(ov, key_col), ambiguity_col,
+                        scores.ambiguity_from_map(correct_option_col, "_vecs")))
+    if per_key:
+        narrow = per_key[0][0]
+        for table, _, _ in per_key[1:]:
+            narrow = narrow.join(table, key_col, "full")
+        out = out.join(narrow, key_col, "left")
+        for _, name, expr in per_key:
+            out = out.withColumn(name, expr)
+    if compute_relevance:
+        qv = (mcqs.select(key_col, _text_key(question_col).alias("_tkey")).distinct()
+              .join(vt, "_tkey").select(key_col, F.col("embedding").alias("_qv")))
+        sv = vt.select(F.col("_tkey").alias("_skey"), F.col("embedding").alias("_sv"))
+        rel = pairs.join(qv, key_col).join(sv, "_skey").select(key_col, "_skey", cosine("_qv", "_sv").alias("_rel"))
+        # A NULL sheet key finds no row; a NULL question has a vector but no score.
+        out = out.join(rel, [key_col, "_skey"], "left").withColumn(
+            relevance_col, F.when(F.col(question_col).isNotNull(), F.col("_rel")))
+    helpers = {"_skey", "_cn", "_cseen", "_rel", "_vecs"}
     out = out.drop(*[c for c in out.columns if c in helpers])
 
     cols = dict(question_col=question_col, option_a_col=option_a_col, option_b_col=option_b_col,
                 option_c_col=option_c_col, option_d_col=option_d_col,
                 correct_option_col=correct_option_col)
-    if completer is not None:
-        # G6-G9 in one pass over the rows; a criterion runs only when enabled
-        # and given its system prompt.
-        criteria = [
-            (compute_answerability, answerability_system_prompt, answerability_col,
-             dict(include_options=True, include_correct_option=True, context_col=sheet)),
-            (compute_disclosure, disclosure_system_prompt, disclosure_col,
-             dict(include_options=False, include_correct_option=True)),
-            (compute_difficulty, difficulty_system_prompt, difficulty_col,
-             dict(include_options=True, include_correct_option=True)),
-            (compute_distractors_quality, distractors_quality_system_prompt, distractors_quality_col,
-             dict(include_options=True, include_correct_option=True)),
-        ]
-        requests = [(PR.judge_prompt(**cols, **layout), out_name, system, temp, max_completion_tokens)
-                    for on, system, out_name, layout in criteria if on and system is not None]
-        out = models.llm_map_many(out, requests, completer)
-    return out
+    # G6-G9 in one pass over the rows.
+    requests = [(PR.judge_prompt(**cols, **layout), out_name, system, temp, max_completion_tokens)
+                for _, system, out_name, layout in asked]
+    return models.llm_map_many(out, requests, completer)
 
 
 def _vectors_for(mcqs, sk, vectors, embedder, question_col, sheet_col, option_cols) -> DataFrame:
@@ -233,3 +232,38 @@ def answer_exams(items: DataFrame, completer: models.CompleterFactory,
     remapped model answers in long form ``(id, ..., run, temperature, model_answer)``."""
     answered = models.answer_exam(items, completer, runs)
     return models.model_answers(answered, "response", "model_answer")
+
+
+# The columns of an exam result table, in their order.
+EXAM_RESULT_COLS = ("id", "question", "cop", "opa", "opb", "opc", "opd", "model_answer")
+
+
+def exam_results(answers: DataFrame, run: str) -> DataFrame:
+    """The result table of one run of :func:`answer_exams`: the exam item and the model's answer."""
+    return answers.where(F.col("run") == run).select(*EXAM_RESULT_COLS)
+
+
+def with_row_key(df: DataFrame, key_col: str = "mcq_id") -> DataFrame:
+    """``df`` with a row number column where it has none.
+
+    The numbered rows are stored in the shared checkpoint folder, so every
+    later read sees the same number for a row.
+    """
+    if key_col in df.columns:
+        return df
+    return cut_lineage(df.withColumn(key_col, F.monotonically_increasing_id()))
+
+
+def score_csv_job(spark: SparkSession, mcqs_path: str, sheets_path: str, output: str, key_col: str = "mcq_id",
+                  id_col: str = "id", **options) -> None:
+    """The toolkit's command: question and sheet CSV files in, scored questions as CSV out.
+
+    Sheets that no question cites are left out first (J1); ``options`` go to
+    :func:`score_questions`.  The row key is made here (the files have none)
+    and left out of the result.
+    """
+    mcqs = files.read_csv_table(spark, mcqs_path, files.MCQS_SCHEMA)
+    sheets = files.read_csv_table(spark, sheets_path, files.SHEETS_SCHEMA)
+    sheets = joins.semi_join_sheets(sheets, mcqs, id_col)
+    scored = score_questions(with_row_key(mcqs, key_col), sheets, key_col=key_col, sheet_id_col=id_col, **options)
+    files.write_csv_table(scored.drop(key_col), output)

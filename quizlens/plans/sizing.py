@@ -5,23 +5,52 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# Largest side we broadcast, in rows of short keys (a trigram string is a few
-# tens of bytes): 1M rows is a hash relation of roughly 50-100 MB.
+# Largest side we broadcast, in rows and in bytes: a row costs its values and
+# about ROW_OVERHEAD bytes of hash relation.
 DEFAULT_BROADCAST_ROWS = 1_000_000
-
-
-def at_most(df: DataFrame, max_rows: int) -> bool:
-    """True when ``df`` has at most ``max_rows`` rows (reads at most max+1)."""
-    return df.limit(max_rows + 1).count() <= max_rows
-
-
-def broadcast_if_small(df: DataFrame, max_rows: int = DEFAULT_BROADCAST_ROWS) -> tuple[DataFrame, bool]:
-    """Broadcast hint for ``df`` only after its row count is proven small.
-
-    Beyond the bound the plain DataFrame is returned and the join falls back
+DEFAULT_BROADCAST_BYTES = 64 * 1024 * 1024
+ROW_OVERHEAD = 32
+_FIXED_WIDTH = {"boolean": 1, "tinyint": 1, "smallint": 2, "int": 4, "bigint": 8, "float": 4, "double": 8,
+                "date": 4, "timestamp": 8, "timestamp_ntz": 8}
+
+
+def row_bytes(df: DataFrame):
+    """Bytes of a row's values as a Column; nested values count by their JSON text."""
+    total = F.lit(ROW_OVERHEAD).cast("long")
+    for name, kind in df.dtypes:
+        column = F.col(f"`{name}`")
+        if kind in _FIXED_WIDTH:
+            total = total + F.lit(_FIXED_WIDTH[kind])
+        elif kind in ("array<float>", "array<double>", "array<bigint>", "array<int>"):
+            width = _FIXED_WIDTH[kind[6:-1]]
+            total = total + F.coalesce(F.size(column), F.lit(0)) * F.lit(width)
+        elif kind in ("string", "binary"):
+            total = total + F.coalesce(F.octet_length(column), F.lit(0))
+        else:
+            total = total + F.coalesce(F.octet_length(F.to_json(F.struct(column))), F.lit(0))
+    return total
+
+
+def measured(df: DataFrame) -> tuple[int, int]:
+    """(rows, bytes) of ``df``: one aggregate, partial in every task."""
+    row = df.agg(F.count(F.lit(1)).alias("n"), F.sum(row_bytes(df)).alias("b")).first()
+    return int(row["n"]), int(row["b"] or 0)
+
+
+def at_most(df: DataFrame, max_rows: int, max_bytes: int = DEFAULT_BROADCAST_BYTES) -> bool:
+    """True when ``df`` has at most ``max_rows`` rows and ``max_bytes`` bytes."""
+    rows, size = measured(df)
+    return rows <= max_rows and size <= max_bytes
+
+
+def broadcast_if_small(df: DataFrame, max_rows: int = DEFAULT_BROADCAST_ROWS,
+                       max_bytes: int = DEFAULT_BROADCAST_BYTES) -> tuple[DataFrame, bool]:
+    """Broadcast hint for ``df`` only after its rows and bytes are proven small.
+
+    Beyond the bounds the plain DataFrame is returned and the join falls back
     to a shuffle (sort-merge) join, with AQE free to re-plan at run time.
     """
-    if at_most(df, max_rows):
+    if at_most(df, max_rows, max_bytes):
         return F.broadcast(df), True
     return df, False
 

@@ -53,6 +53,47 @@ def test_duplicate_sheet_ids_multiply_rows(spark):
     assert got == [0.5, 1.0]
 
 
+@pytest.mark.parametrize("texts,score", [
+    (("alpha beta gamma",) * 2, 0.5),                    # identical rows
+    ((None, None), None),                                # both without text
+    (("alpha beta gamma", "beta gamma delta"), 0.5),     # different texts
+])
+def test_duplicate_sheet_rows_give_one_row_each(spark, texts, score):
+    """The merge rule: a question has as many rows as its id has sheet rows, in every operator."""
+    from pyspark.sql import functions as F
+    from quizlens.operators import joins
+    from quizlens.plans import jobs, stubs
+
+    m = spark.createDataFrame([(1, "s", "alpha beta gamma delta")], "mcq_id long, id string, question string")
+    s = spark.createDataFrame([("s", t) for t in texts], "id string, content_gpt string")
+    full = m.withColumns({c: F.lit("x") for c in jobs.OPTION_COLS}).withColumn("correct_option", F.lit("a"))
+    assert joins.attach_sheet(m, s).count() == 2
+    assert [r["originality"] for r in scores.originality_paired(m, s).collect()] == [score] * 2
+    for vectors in (False, True):
+        out = jobs.score_questions(full, s, compute_relevance=vectors, compute_ambiguity=vectors, compute_corpus_originality=True,
+                                   embedder=stubs.LetterEmbedder()).collect()
+        assert [r["originality"] for r in out] == [score] * 2
+        assert len(out) == 2 and (not vectors or all((r["relevance"] is None) == (score is None) for r in out))
+    # The row-wise form on the merged table, too.
+    assert jobs.score_questions(joins.attach_sheet(full, s), merge=False, compute_relevance=False, compute_ambiguity=False).count() == 2
+
+
+def test_a_form_with_two_lemmas_takes_the_smaller(spark):
+    m, s = _mcq_sheet(spark, [("gamma leaves fall", "gamma leaf fall")])
+    lem = spark.createDataFrame([("leaves", "leave"), ("leaves", "leaf")], "form string, lemma string")
+    assert [r["originality"] for r in scores.originality_paired(m, s, lemmas=lem).collect()] == [0.0]
+    assert scores.trigram_difference(m, s, lemmas=lem).collect() == []
+
+
+@pytest.mark.parametrize("rows", [10**6, 0])    # broadcast and shuffle plan of the lemma table
+def test_lemma_table_size_changes_no_result(spark, rows, monkeypatch):
+    monkeypatch.setattr(scores, "LEMMA_BROADCAST_ROWS", rows)
+    m, s = _mcq_sheet(spark, [("cats eat fishes daily", "cat eat fish daily"), (None, "x y z"), ("", "a")])
+    lem = spark.createDataFrame([("cats", "cat"), ("fishes", "fish")], "form string, lemma string")
+    got = {r["mcq_id"]: r["originality"] for r in scores.originality_paired(m, s, lemmas=lem).collect()}
+    assert got == {0: 0.0, 1: None, 2: 0.0}
+
+
 @pytest.mark.parametrize("bound", [10**9, 0])  # broadcast plan and sort-merge plan
 def test_corpus_le_paired_min(spark, bound):
     m, s = _mcq_sheet(spark, PAIRS[:7])
