@@ -56,19 +56,29 @@ def get_session(master: str | None = None, app_name: str = "quizlens",
     return spark
 
 
+def is_one_machine(master: str) -> bool:
+    """``local``, ``local[4]`` or ``local[4, 2]``: driver and executors share a disk."""
+    return master == "local" or master.startswith("local[")
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder, creating a local one only if unset.
 
     On a cluster ``spark.checkpoint.dir`` names a shared folder (HDFS, S3,
-    ...) and is used as is.  Only a session without one (tests, local runs)
-    gets a private folder under the system temp directory.
+    ...) and is used as is.  A local session without one (tests) gets a
+    private folder under the system temp directory; a cluster without one is
+    an error, as each executor would write to its own disk.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
     if current:
         return current
     configured = sc.getConf().get("spark.checkpoint.dir", None)
-    sc.setCheckpointDir(configured or tempfile.mkdtemp(prefix="quizlens-ckpt-"))
+    if not configured:
+        if not is_one_machine(sc.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        configured = tempfile.mkdtemp(prefix="quizlens-ckpt-")
+    sc.setCheckpointDir(configured)
     return sc.getCheckpointDir()
 
 
@@ -78,19 +88,6 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{base}/{name}-{uuid.uuid4().hex[:12]}"
 
 
-def is_local_path(path: str) -> bool:
-    return "://" not in path or path.startswith("file:")
-
-
-def local_path(path: str) -> str:
-    return path[len("file:"):] if path.startswith("file:") else path
-
-
-def makedirs(path: str) -> None:
-    if is_local_path(path):
-        os.makedirs(local_path(path), exist_ok=True)
-
-
 _SHIPPED: set[str] = set()
 
 

@@ -22,8 +22,9 @@ MCQS_SCHEMA = ("id string, question string, option_a string, option_b string, op
 EXAM_SCHEMA = "id string, question string, cop string, opa string, opb string, opc string, opd string"
 
 # CSV dialect shared by reader and writer: header row, RFC-4180 quoting
-# (quotes doubled), text cells may span lines.
-CSV_OPTIONS = {"header": "true", "quote": '"', "escape": '"', "multiLine": "true"}
+# (quotes doubled), text cells may span lines, white space around them is kept.
+CSV_OPTIONS = {"header": "true", "quote": '"', "escape": '"', "multiLine": "true",
+               "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false"}
 
 
 def arrow_fs(uri: str):
@@ -37,27 +38,66 @@ def arrow_fs(uri: str):
     return pafs.FileSystem.from_uri(uri)
 
 
+def _qualified(spark: SparkSession, path: str):
+    """(Hadoop filesystem, qualified path) of ``path``."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    filesystem = p.getFileSystem(spark._jsc.hadoopConfiguration())
+    return filesystem, filesystem.makeQualified(p)
+
+
+def _tree_rows(raw: DataFrame, depth: int) -> DataFrame:
+    """folder, id, content_raw from (path, value); files at other depths are left out."""
+    parts = F.split("path", "/")
+    return raw.where(F.size(parts) == depth).select(
+        F.element_at(parts, -2).alias("folder"),
+        F.regexp_replace(F.element_at(parts, -1), r"\.txt$", "").alias("id"),
+        F.regexp_replace("value", "\r\n?", "\n").alias("content_raw"))
+
+
 def read_sheet_tree(spark: SparkSession, root: str) -> DataFrame:
     """One row per ``<root>/<folder>/<name>.txt`` file: folder, id, content_raw.
 
     Only ``.txt`` files directly inside first-level folders count; the id is
-    the file name without its last extension; content is read whole (UTF-8).
-    Spark's file listing skips names starting with ``_`` or ``.``.  Many
-    matched files are listed by a distributed Spark job, and small files are
-    packed several to a task.
+    the file name without its last extension; content is read whole (UTF-8),
+    with ``\\r\\n`` and ``\\r`` as line ends turned into ``\\n``.  Spark lists
+    the folders (by a distributed job where they are many) and packs small
+    files several to a task.
+
+    Spark's own listing passes over names that start with ``_`` or ``.``, of
+    files and of folders.  Those are looked up by name and read beside the
+    others, so no file is lost.
     """
-    pattern = f"{root.rstrip('/')}/*/*.txt"
-    raw = spark.read.text(pattern, wholetext=True)
+    filesystem, base = _qualified(spark, root)
+    # file:/a/b and file:///a/b both give /a/b; the depth is counted on this form.
+    plain = r"^[A-Za-z][A-Za-z0-9+.-]*:(//[^/]*)?"
+    depth = len(base.toUri().getPath().rstrip("/").split("/")) + 2
+    found = (spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.txt")
+             .text(base.toString(), wholetext=True))
     # The path is percent-encoded; '+' is literal there, so protect it from
     # the form-decoding rule that would turn it into a space.
-    path = F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))
-    parts = F.split(path, "/")
-    name = F.element_at(parts, -1)
-    return raw.select(
-        F.element_at(parts, -2).alias("folder"),
-        F.regexp_replace(name, r"\.txt$", "").alias("id"),
-        F.col("value").alias("content_raw"),
-    )
+    path = F.url_decode(F.replace(F.regexp_replace(F.col("_metadata.file_path"), plain, ""), F.lit("+"), F.lit("%2B")))
+    rows = _tree_rows(found.select(path.alias("path"), "value"), depth)
+    Path = spark._jvm.org.apache.hadoop.fs.Path
+    hidden = {status.getPath().toString()
+              for pattern in ("[_.]*/*.txt", "*/[_.]*.txt")
+              for status in filesystem.globStatus(Path(base, pattern)) or []}
+    if not hidden:
+        return rows
+    listed = spark.createDataFrame([(h,) for h in sorted(hidden)], "uri string")
+    read = listed.repartition(min(len(hidden), spark.sparkContext.defaultParallelism)).mapInPandas(_read_texts, "uri string, value string")
+    return rows.unionByName(_tree_rows(read.select(F.regexp_replace("uri", plain, "").alias("path"), "value"), depth))
+
+
+def _read_texts(batches):
+    import pandas as pd
+
+    for pdf in batches:
+        texts = []
+        for uri in pdf["uri"]:
+            filesystem, path = arrow_fs(uri)
+            with filesystem.open_input_stream(path) as stream:
+                texts.append(stream.read().decode("utf-8", "replace"))
+        yield pd.DataFrame({"uri": pdf["uri"], "value": texts})
 
 
 def read_csv_table(spark: SparkSession, path: str, schema: str | T.StructType) -> DataFrame:
@@ -66,8 +106,8 @@ def read_csv_table(spark: SparkSession, path: str, schema: str | T.StructType) -
 
 
 def write_csv_table(df: DataFrame, path: str, mode: str = "overwrite") -> None:
-    """Header CSV, no index column; empty strings are written quoted so
-    they read back as empty strings, NULLs as empty fields."""
+    """Header CSV, no index column; NULLs and empty strings are both empty
+    fields, which read back as NULL."""
     df.write.mode(mode).options(**CSV_OPTIONS).csv(path)
 
 
@@ -91,38 +131,53 @@ def write_json_records(df: DataFrame, path: str) -> int:
         import pandas as pd
         from pyspark import TaskContext
 
-        parts = []
+        n, out = 0, None
+        # One file per partition, named by the partition: a retried or
+        # speculative attempt rewrites the same file, never adds one.  Rows
+        # are streamed into it batch by batch.
         for pdf in batches:
-            parts.extend(pdf["_json"].tolist())
-        if parts:
-            filesystem, base = arrow_fs(path)
-            filesystem.create_dir(base, recursive=True)
-            # One file per partition, named by the partition: a retried or
-            # speculative attempt rewrites the same file, never adds one.
-            name = f"{base}/part-{TaskContext.get().partitionId():05d}.json"
-            with filesystem.open_output_stream(name) as out:
-                out.write(("[\n" + ",\n".join(parts) + "\n]\n").encode("utf-8"))
-        yield pd.DataFrame({"n": [len(parts)]})
+            for record in pdf["_json"]:
+                if out is None:
+                    filesystem, base = arrow_fs(path)
+                    filesystem.create_dir(base, recursive=True)
+                    out = filesystem.open_output_stream(f"{base}/part-{TaskContext.get().partitionId():05d}.json")
+                out.write((("[\n" if n == 0 else ",\n") + record).encode("utf-8"))
+                n += 1
+        if out is not None:
+            out.write(b"\n]\n")
+            out.close()
+        yield pd.DataFrame({"n": [n]})
 
     counts = rows.mapInPandas(write, "n long")
     return int(counts.agg(F.sum("n")).first()[0] or 0)
 
 
+def _small_document(spark: SparkSession, path: str, kind: type):
+    """A JSON document of a handful of entries, read on the driver; an error unless it is a whole ``kind``."""
+    rows = spark.read.text(path, wholetext=True).limit(2).collect()
+    if len(rows) != 1:
+        raise ValueError(f"{path}: one JSON document is needed, found {len(rows) or 'an empty file'}")
+    value = json.loads(rows[0]["value"])
+    if not isinstance(value, kind):
+        raise ValueError(f"{path}: a JSON {kind.__name__} is needed")
+    return value
+
+
 def read_split_list(spark: SparkSession, path: str, col: str = "folder") -> DataFrame:
-    """The names of a JSON array document, one row each."""
-    doc = spark.read.text(path, wholetext=True)
-    return doc.select(F.explode(F.from_json("value", "array<string>")).alias(col))
+    """The names of a JSON array document, one row each; anything else is an error."""
+    names = _small_document(spark, path, list)
+    if not all(n is None or isinstance(n, str) for n in names):
+        raise ValueError(f"{path}: the names must be strings")
+    return spark.createDataFrame([(n,) for n in names], f"{col} string")
 
 
 def read_prompts(spark: SparkSession, path: str) -> dict[str, str]:
-    """A JSON object ``name -> system prompt`` as a driver-side dict.
+    """A JSON object ``name -> system prompt`` as a driver-side dict; anything else is an error.
 
     A prompt dictionary is a handful of entries; it is read once and passed
     to the jobs as literals.
     """
-    doc = spark.read.text(path, wholetext=True)
-    row = doc.select(F.from_json("value", "map<string,string>").alias("m")).first()
-    return dict(row["m"] or {}) if row else {}
+    return _small_document(spark, path, dict)
 
 
 def write_text_tree(df: DataFrame, root: str, folder_col: str = "folder", id_col: str = "id",
@@ -171,10 +226,11 @@ def prompts_json(prompts: dict[str, str]) -> str:
 def write_sheets_table(df: DataFrame, path: str, folder_col: str = "folder", mode: str = "overwrite") -> None:
     """Sheets as Parquet partitioned by folder (the format between jobs).
 
-    A folder split over this table prunes whole folders at scan time: the
-    broadcast folder list becomes a dynamic partition filter.
+    Rows are rebalanced by folder first: a folder is written by one task, or
+    by a few where it is large, not by every task.  A folder split over this
+    table prunes whole folders at scan time by its literal ``IN`` list.
     """
-    df.write.mode(mode).partitionBy(folder_col).parquet(path)
+    df.hint("rebalance", folder_col).write.mode(mode).partitionBy(folder_col).parquet(path)
 
 
 def read_sheets_table(spark: SparkSession, path: str) -> DataFrame:

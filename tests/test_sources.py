@@ -55,3 +55,45 @@ def test_split_list_and_prompts(spark, scratch):
     prompts = {"distractors_quality_prompt": "Rate.\nOne digit.", "difficulty_prompt": "é"}
     files.write_text_file(spark, scratch + "/prompts.json", files.prompts_json(prompts))
     assert files.read_prompts(spark, scratch + "/prompts.json") == prompts
+
+
+def test_bad_split_list_and_prompts_raise(spark, scratch):
+    """A cut-off or wrong document is an error, not an empty list."""
+    import pytest
+
+    for k, text in enumerate(('["IC-001", "IC-0', "", '{"a": 1}', "no json")):
+        files.write_text_file(spark, f"{scratch}/list{k}.json", text)
+        with pytest.raises(Exception):
+            files.read_split_list(spark, f"{scratch}/list{k}.json").collect()
+    for k, text in enumerate(('{"a": "b', "", "[1, 2]", "no json")):
+        files.write_text_file(spark, f"{scratch}/prompts{k}.json", text)
+        with pytest.raises(Exception):
+            files.read_prompts(spark, f"{scratch}/prompts{k}.json")
+
+
+def test_sheet_tree_reads_every_file(spark, scratch):
+    """Names that Spark's listing passes over, line ends, and files at other depths."""
+    filesystem, base = files.arrow_fs(scratch)
+    tree = {"F1/a.txt": "one\r\ntwo\rthree\n", "F1/_b.txt": "hidden\r\n", "F1/.c.txt": "dot", "_F2/d.txt": "folder",
+            "F1/deep/e.txt": "too deep", "f.txt": "too high", "F1/g.md": "other kind", "F 3/h+i é.txt": "name"}
+    for name, text in tree.items():
+        filesystem.create_dir(f"{base}/{name}".rsplit("/", 1)[0], recursive=True)
+        with filesystem.open_output_stream(f"{base}/{name}") as out:
+            out.write(text.encode())
+    got = {(r["folder"], r["id"]): r["content_raw"] for r in files.read_sheet_tree(spark, scratch).collect()}
+    assert got == {("F1", "a"): "one\ntwo\nthree\n", ("F1", "_b"): "hidden\n", ("F1", ".c"): "dot", ("_F2", "d"): "folder",
+                   ("F 3", "h+i é"): "name"}
+
+
+def test_json_records_stream(spark, scratch):
+    df = spark.range(25).selectExpr("cast(id as string) id", "repeat('x\"', 3) question", "'A' cop", "'a' opa", "'b' opb", "'c' opc", "cast(null as string) opd")
+    assert files.write_json_records(df.repartition(3), scratch) == 25
+    back = files.read_json_records(spark, scratch, files.EXAM_SCHEMA)
+    assert sorted(map(tuple, back.collect())) == sorted(map(tuple, df.collect()))
+
+
+def test_a_cluster_needs_a_shared_folder():
+    from quizlens.session import is_one_machine
+
+    assert is_one_machine("local") and is_one_machine("local[4]") and is_one_machine("local[*]")
+    assert not is_one_machine("local-cluster[3,2,1024]") and not is_one_machine("yarn") and not is_one_machine("spark://h:7077")

@@ -91,3 +91,10 @@ def test_trigram_array_distinct(spark):
     df = spark.createDataFrame([("alpha beta gamma alpha beta gamma",)], "s string")
     tri = df.select(T.trigram_array(T.content_tokens("s")).alias("t")).first()["t"]
     assert sorted(tri) == sorted(pyref.trigrams("alpha beta gamma alpha beta gamma"))
+
+
+def test_fixed_word_lists_are_whole():
+    """A word that is missing would go unnoticed where test and code share the list."""
+    from quizlens.functions import text as T
+
+    assert len(T.NEGATION_WORDS) == 18 and len(T.QUESTION_WORDS) == 13
