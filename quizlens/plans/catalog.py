@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from quizlens.operators import joins, scores
 from quizlens.plans import fixtures as fx
 from quizlens.plans import oracle_sql as O
+from quizlens.plans.sizing import broadcast_if_small, cut_lineage
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -289,8 +290,9 @@ def _answers(spark, sf):
 
 
 _ANS_OPTION = O.field("response", responses.ANSWER_FIELD, _ANS_VALID)
-_REMAP_SQL = ("CASE upper(a) " + " ".join(f"WHEN {O.lit(k)} THEN {O.lit(v)}" for k, v in responses.ANSWER_REMAP.items())
-              + " ELSE upper(a) END")
+_UPPER_SQL = "upper(replace(a, 'ß', 'SS'))"      # the sharp s has a capital of its own in DuckDB
+_REMAP_SQL = (f"CASE {_UPPER_SQL} " + " ".join(f"WHEN {O.lit(k)} THEN {O.lit(v)}" for k, v in responses.ANSWER_REMAP.items())
+              + f" ELSE {_UPPER_SQL} END")
 
 
 @register("validate_answer_json", fx.cte("answer_outputs") + f"""
@@ -394,6 +396,58 @@ def q_set_difference(spark, sf):
     return scores.trigram_difference(_mcqs(spark, sf), _sheets(spark, sf))
 
 
+# A (form, lemma) table from the data: words of the sheets with an ending, without it.  "es" and "s"
+# both end some words, so a form can have two lemmas; the smaller one counts.
+_LEMMAS_SQL = f"""words AS (SELECT DISTINCT unnest({O.tokens('content_gpt')}) AS form FROM sheets WHERE content_gpt IS NOT NULL),
+lemma_rows AS (SELECT form, substring(form, 1, length(form) - 1) AS lemma FROM words WHERE length(form) > 4 AND form LIKE '%s'
+    UNION ALL SELECT form, substring(form, 1, length(form) - 2) AS lemma FROM words WHERE length(form) > 4 AND form LIKE '%es'),
+lem AS (SELECT form, min(lemma) AS lemma FROM lemma_rows GROUP BY form),
+q0 AS (SELECT row_number() OVER () AS rid, mcq_id, id, question FROM mcqs),
+s0 AS (SELECT row_number() OVER () AS rid, id, content_gpt FROM sheets),
+qp AS (SELECT rid, unnest(tk) AS w, generate_subscripts(tk, 1) AS pos FROM (SELECT rid, {O.tokens('question')} AS tk FROM q0 WHERE question IS NOT NULL)),
+sp AS (SELECT rid, unnest(tk) AS w, generate_subscripts(tk, 1) AS pos FROM (SELECT rid, {O.tokens('content_gpt')} AS tk FROM s0 WHERE content_gpt IS NOT NULL)),
+ql AS (SELECT rid, list(coalesce(lemma, w) ORDER BY pos) AS tk FROM qp LEFT JOIN lem ON form = w GROUP BY rid),
+sl AS (SELECT rid, list(coalesce(lemma, w) ORDER BY pos) AS tk FROM sp LEFT JOIN lem ON form = w GROUP BY rid),
+qt AS (SELECT DISTINCT q0.rid, q0.mcq_id, q0.id, unnest({O.trigrams('tk')}) AS trigram FROM ql JOIN q0 USING (rid)),
+st AS (SELECT DISTINCT s0.rid, s0.id, unnest({O.trigrams('tk')}) AS trigram FROM sl JOIN s0 USING (rid))"""
+
+
+def _lemma_table(spark, sf) -> DataFrame:
+    words = _sheets(spark, sf).select(F.explode(TX.content_tokens("content_gpt")).alias("form")).distinct()
+    long = words.where(F.length("form") > 4)
+    cut = [long.where(F.col("form").endswith(end)).select("form", F.expr(f"substring(form, 1, length(form) - {len(end)})").alias("lemma"))
+           for end in ("s", "es")]
+    return cut_lineage(cut[0].unionByName(cut[1]))
+
+
+@register("originality_paired_lemmas", fx.cte("mcqs", "sheets") + f""",
+{_LEMMAS_SQL},
+counts AS (SELECT qt.rid, s0.rid AS srid, count(*) AS n, count(st.trigram) AS seen FROM qt JOIN s0 ON qt.id = s0.id
+    LEFT JOIN st ON st.rid = s0.rid AND st.trigram = qt.trigram GROUP BY qt.rid, s0.rid)
+SELECT q0.mcq_id, q0.id, CASE WHEN question IS NULL OR content_gpt IS NULL THEN NULL WHEN n IS NULL THEN 0.0
+    ELSE (n - seen) / n END AS originality
+FROM q0 LEFT JOIN s0 ON q0.id = s0.id LEFT JOIN counts ON counts.rid = q0.rid AND counts.srid = s0.rid""")
+def q_originality_paired_lemmas(spark, sf):
+    out = scores.originality_paired(_mcqs(spark, sf), _sheets(spark, sf), lemmas=_lemma_table(spark, sf))
+    return out.select("mcq_id", "id", "originality")
+
+
+@register("score_questions_lemmas", ORACLE["originality_paired_lemmas"])
+def q_score_questions_lemmas(spark, sf):
+    """Job A with a lemma table: the same scores as T4's."""
+    out = jobs.score_questions(_mcqs(spark, sf), _sheets(spark, sf), compute_relevance=False, compute_ambiguity=False,
+                               lemmas=_lemma_table(spark, sf))
+    return out.select("mcq_id", "id", "originality")
+
+
+@register("set_difference_lemmas", fx.cte("mcqs", "sheets") + f""",
+{_LEMMAS_SQL}
+SELECT mcq_id, trigram FROM qt WHERE id IN (SELECT id FROM s0 WHERE content_gpt IS NOT NULL)
+  AND NOT EXISTS (SELECT 1 FROM st WHERE st.id = qt.id AND st.trigram = qt.trigram)""")
+def q_set_difference_lemmas(spark, sf):
+    return scores.trigram_difference(_mcqs(spark, sf), _sheets(spark, sf), lemmas=_lemma_table(spark, sf))
+
+
 @register("content_tokens", fx.cte("mcqs") + f""",
 qtok AS (SELECT mcq_id, {O.tokens('question')} AS tk FROM mcqs)
 SELECT mcq_id, CAST(generate_subscripts(tk, 1) - 1 AS INTEGER) AS pos, unnest(tk) AS token FROM qtok""")
@@ -417,43 +471,38 @@ def q_length_score(spark, sf):
 
 # ------------------------------------------------------------ T8, T9, A3
 
-# A vector row is 64 floats (~300 bytes): 100k rows is a ~30 MB hash relation.
+# Vectors are broadcast only when their rows and bytes are measured to be few.
 VECTOR_BROADCAST_ROWS = 100_000
 
 
-def _half(spark, sf) -> int:
-    return fx.table(spark, sf, "embeddings").count() // 2
-
-
-def _vectors(spark, sf, n: int | None = None) -> DataFrame:
-    """The embeddings table, broadcast only when its counted size is small."""
+def _vectors(spark, sf) -> DataFrame:
     emb = fx.table(spark, sf, "embeddings").select("vec_id", "embedding")
-    n = fx.table(spark, sf, "embeddings").count() if n is None else n
-    return F.broadcast(emb) if n <= VECTOR_BROADCAST_ROWS else emb
+    return broadcast_if_small(emb, VECTOR_BROADCAST_ROWS)[0]
 
 
-_HALF_SQL = "(SELECT count(*) // 2 FROM embeddings)"
 _ALL_SQL = "(SELECT count(*) FROM embeddings)"
 
 
 @register("relevance", fx.cte("mcqs") + f"""
 SELECT m.mcq_id, round({O.cosine('q.embedding', 's.embedding')}, 6) AS relevance
 FROM mcqs m
-LEFT JOIN embeddings q ON q.vec_id = m.mcq_id
-LEFT JOIN embeddings s ON s.vec_id = m.mcq_id + {_HALF_SQL}""")
+LEFT JOIN embeddings q ON q.vec_id = m.mcq_id % {_ALL_SQL}
+LEFT JOIN embeddings s ON s.vec_id = (m.mcq_id * 7 + 3) % {_ALL_SQL}""")
 def q_relevance(spark, sf):
-    half = _half(spark, sf)
-    emb = _vectors(spark, sf, 2 * half)
-    qv = emb.select(F.col("vec_id").alias("mcq_id"), F.col("embedding").alias("q_vec"))
-    sv = emb.select((F.col("vec_id") - F.lit(half)).alias("mcq_id"), F.col("embedding").alias("s_vec"))
-    pairs = _mcqs(spark, sf).select("mcq_id").join(qv, "mcq_id", "left").join(sv, "mcq_id", "left")
+    """Every question and every sheet has a vector, taken in turn from the embeddings table."""
+    emb = _vectors(spark, sf)
+    n = fx.table(spark, sf, "embeddings").count()
+    qv = emb.select(F.col("vec_id").alias("q_id"), F.col("embedding").alias("q_vec"))
+    sv = emb.select(F.col("vec_id").alias("s_id"), F.col("embedding").alias("s_vec"))
+    pairs = (_mcqs(spark, sf).select("mcq_id", (F.col("mcq_id") % n).alias("q_id"), ((F.col("mcq_id") * 7 + 3) % n).alias("s_id"))
+             .join(qv, "q_id", "left").join(sv, "s_id", "left"))
     return (scores.relevance(pairs, "q_vec", "s_vec")
             .select("mcq_id", F.round("relevance", 6).alias("relevance")))
 
 
 def _option_vectors(spark, sf) -> DataFrame:
     n = fx.table(spark, sf, "embeddings").count()
-    emb = _vectors(spark, sf, n)
+    emb = _vectors(spark, sf)
     m = _mcqs(spark, sf)
     opts = m.select("mcq_id", F.inline(F.array(*[
         F.struct(F.lit(l).alias("letter"), ((F.col("mcq_id") * 4 + k) % n).alias("vec_id"))
@@ -496,7 +545,9 @@ def q_mean_over_options(spark, sf):
     c = F.col("c")
     others = F.filter(F.array(*[F.lit(x) for x in scores.OPTION_LETTERS]), lambda x: x != c)
     sims = F.transform(others, lambda x: cosine(F.try_element_at("v", c), F.try_element_at("v", x)))
-    mean = F.aggregate(sims, F.lit(0.0), lambda acc, x: acc + x) / F.size(sims)
+    # Three options are left where the correct letter is one of the four.
+    m = m.withColumns({f"sim{k}": F.get(sims, F.lit(k)) for k in range(3)})
+    mean = tables.mean_over(["sim0", "sim1", "sim2"])
     score = (F.when(c.isNull(), F.lit(None).cast("double"))
              .when(~c.isin(*scores.OPTION_LETTERS), F.lit(0.0))
              .otherwise(F.round(mean, 6)))
@@ -588,65 +639,174 @@ def q_build_exam_prompt(spark, sf):
     return _fx(spark, sf, "exam_items").select("id", PR.exam_prompt().alias("prompt"))
 
 
-# ------------------------------------------------------------ model-backed (rows-only)
+# ------------------------------------------------------------ model-backed
 
 JUDGE_SYSTEM = "Rate the question from 1 to 5. Answer with one digit."
 
 
-@register("llm_map")
+def _judge_sql(context: bool = False, options: bool = True) -> str:
+    """The judge prompt of a question row ``m`` (and its sheet ``s``)."""
+    return " || ".join(_JUDGE_SQL_PARTS[0 if context else 3:7] + (_JUDGE_SQL_PARTS[7:17] if options else []) + _JUDGE_SQL_PARTS[17:])
+
+
+def _size_sql(prompt: str, system: str | None = JUDGE_SYSTEM, temperature: str = str(models.JUDGE_TEMPERATURE)) -> str:
+    """:func:`stubs.request_size` of a request."""
+    return f"(length({prompt}) + {len(system or '')} + CAST(round(10 * {temperature}) AS BIGINT))"
+
+
+def _verdict_sql(context: bool = False, options: bool = True) -> str:
+    return f"CAST({_size_sql(_judge_sql(context, options))} % 5 + 1 AS VARCHAR)"
+
+
+@register("llm_map", fx.cte("mcqs") + f""",
+sized AS (SELECT mcq_id, {_size_sql(_judge_sql())} AS n FROM mcqs m)
+SELECT mcq_id, CASE WHEN n % 13 <> 0 THEN CAST(n % 5 + 1 AS VARCHAR) END AS verdict FROM sized""")
 def q_llm_map(spark, sf):
     df = _mcqs(spark, sf).select("mcq_id", PR.judge_prompt().alias("prompt"))
     return models.llm_map(df, "prompt", "verdict", stubs.StubJudge(fail_every=13),
                           system=JUDGE_SYSTEM).select("mcq_id", "verdict")
 
 
-@register("embed_texts")
+@register("llm_map_stored", ORACLE["llm_map"])
+def q_llm_map_stored(spark, sf):
+    """The same run with its raw answers kept in a folder; the result is read back from there."""
+    df = _mcqs(spark, sf).select("mcq_id", PR.judge_prompt().alias("prompt"))
+    return models.llm_map(df, "prompt", "verdict", stubs.StubJudge(fail_every=13), system=JUDGE_SYSTEM,
+                          store=scratch_path(spark, "answers")).select("mcq_id", "verdict")
+
+
+def _letters_sql(x: str) -> str:
+    """:class:`stubs.LetterEmbedder` of a text, as a list of floats."""
+    text = f"coalesce({x}, '')"
+    counts = [f"(length({text}) - length(replace({text}, '{c}', '')))" for c in stubs.LetterEmbedder.LETTERS]
+    return (f"(SELECT list_transform(n, lambda c: CAST(CASE WHEN list_dot_product(n, n) = 0 THEN 0.0 "
+            f"ELSE c / sqrt(list_dot_product(n, n)) END AS FLOAT)) FROM (SELECT CAST([{_S(counts)}] AS DOUBLE[]) AS n))")
+
+
+@register("embed_texts", fx.cte("sheets") + f"""
+SELECT id, list_transform({_letters_sql('content_gpt')}, lambda v: round(v::DOUBLE, 4)) AS embedding FROM sheets""")
 def q_embed_texts(spark, sf):
-    return models.embed_texts(_sheets(spark, sf), "content_gpt", stubs.HashEmbedder(64)).select("id", "embedding")
+    out = models.embed_texts(_sheets(spark, sf), "content_gpt", stubs.LetterEmbedder())
+    return out.select("id", F.transform("embedding", lambda v: F.round(v.cast("double"), 4)).alias("embedding"))
+
+
+_CLEAN_PROMPT_SQL = f"{O.lit(PR.CLEANING_USER_HEAD)} || coalesce(content_cleaned, '')"
+_UNWIKI_SQL = f"regexp_replace(body, {O.lit(r'\[\[|\]\]|' + chr(39) + '{2,3}')}, '', 'g')"
 
 
-@register("clean_sheets")
+@register("clean_sheets", f"""
+WITH kept AS ({_KEPT_SQL}),
+sized AS (SELECT id, coalesce(content_cleaned, '') AS body,
+    {_size_sql(_CLEAN_PROMPT_SQL, PR.CLEANING_SYSTEM_PROMPT, str(models.CLEANING_TEMPERATURE))} AS n FROM kept)
+SELECT id, CASE WHEN n % 17 <> 0 THEN {O.strip(_UNWIKI_SQL)} END AS content_gpt FROM sized""")
 def q_clean_sheets(spark, sf):
     kept = sheet_ops.drop_multimedia(sheet_ops.extract_sheet_metadata(_fx(spark, sf, "sheets_raw")))
     return models.clean_sheets(kept, stubs.StubCleaner()).select("id", "content_gpt")
 
 
-@register("generate_questions")
+# What the stub generator makes of a request of size n, as JSON text.
+_GENERATED_SQL = ("""'{"question": "What about ' || n || '?", "option_a": "' || n % 7 || '", "option_b": ' || """
+                  """CASE WHEN n % 6 = 0 THEN CAST(n % 11 AS VARCHAR) ELSE '"' || n % 11 || '"' END || """
+                  """', "option_c": "' || n % 13 || '", "option_d": "' || n % 17 || '", "correct_option": "' || """
+                  """substring('abcd', CAST(n % 4 + 1 AS INT), 1) || '"}'""")
+_GENERATION_PROMPT_SQL = (f"{O.lit(PR.GENERATION_TEMPLATE_HEAD)} || coalesce(content_gpt, '') || "
+                          f"{O.lit(PR.GENERATION_TEMPLATE_TAIL)}")
+_RUNS_SQL = fx.cte("sheets") + f""",
+temps AS (SELECT unnest([{_S(f"{t}::DOUBLE" for t in models.GENERATION_TEMPERATURES)}]) AS temperature),
+runs AS (SELECT id, temperature, {_size_sql(_GENERATION_PROMPT_SQL, None, "temperature")} AS n
+         FROM sheets, temps WHERE folder IN ({_FOLDERS_SQL}))"""
+
+
+@register("generate_questions", _RUNS_SQL + f"""
+SELECT id, temperature, {_GENERATED_SQL} AS response FROM runs""")
 def q_generate_questions(spark, sf):
     base = joins.test_split(_sheets(spark, sf), _split_list(spark))
     return models.generate_questions(base.select("id", "content_gpt"), stubs.StubGenerator()).select(
         "id", "temperature", "response")
 
 
-@register("generate_questions_job")
+@register("generate_questions_job", _RUNS_SQL + f""",
+made AS (SELECT id, temperature, {_GENERATED_SQL} AS response FROM runs)
+SELECT id, temperature, {_MCQ_VALID} AS valid,
+    {_S("coalesce(" + O.field('response', f, _MCQ_VALID) + ", '') AS " + f for f in _MCQ_FIELDS)} FROM made""")
 def q_generate_questions_job(spark, sf):
     return jobs.generate_questions_job(_sheets(spark, sf), _split_list(spark), stubs.StubGenerator())
 
 
-def _criterion(fn, out_col, **kw):
+def _criterion(fn, name, out_col, context=False, options=True):
+    @register(name, fx.cte("mcqs", "sheets") + f"""
+SELECT m.mcq_id, {_verdict_sql(context, options)} AS {out_col} FROM mcqs m LEFT JOIN sheets s ON m.id = s.id""")
     def q(spark, sf):
         df = joins.attach_sheet(_mcqs(spark, sf), _sheets(spark, sf))
-        return fn(df, JUDGE_SYSTEM, stubs.StubJudge(), out_col, **kw).select("mcq_id", out_col)
+        return fn(df, JUDGE_SYSTEM, stubs.StubJudge(), out_col).select("mcq_id", out_col)
     return q
 
 
-register("answerability")(_criterion(models.answerability, "gpt_answer"))
-register("disclosure")(_criterion(models.disclosure, "disclosure"))
-register("difficulty")(_criterion(models.difficulty, "difficulty"))
-register("distractors_quality")(_criterion(models.distractors_quality, "distractors_quality"))
+_criterion(models.answerability, "answerability", "gpt_answer", context=True)
+_criterion(models.disclosure, "disclosure", "disclosure", options=False)
+_criterion(models.difficulty, "difficulty", "difficulty")
+_criterion(models.distractors_quality, "distractors_quality", "distractors_quality")
+
+
+_ANSWERS = stubs.StubExamAnswerer.ANSWERS
+_EXAM_RUNS_SQL = fx.cte("exam_items") + f""",
+runs AS (SELECT unnest([{_S(O.lit(r) for r in models.EXAM_RUNS)}]) AS run, unnest([{_S(f"{t}::DOUBLE" for t in models.EXAM_RUNS.values())}]) AS temperature),
+sized AS (SELECT e.*, run, temperature, {_size_sql(' || '.join(_EXAM_SQL_PARTS), None, "temperature")} AS n FROM exam_items e, runs),
+said AS (SELECT *, ([{_S(O.lit(x) for x in _ANSWERS)}])[CAST(n % {len(_ANSWERS)} + 1 AS INT)] AS a FROM sized),
+answered AS (SELECT *, {_REMAP_SQL} AS model_answer FROM said)"""
 
 
-@register("answer_exam")
+@register("answer_exam", _EXAM_RUNS_SQL + """
+SELECT id, run, temperature, model_answer FROM answered""")
 def q_answer_exam(spark, sf):
     return jobs.answer_exams(_fx(spark, sf, "exam_items"), stubs.StubExamAnswerer()).select(
         "id", "run", "temperature", "model_answer")
 
 
-@register("score_questions_full")
+@register("exam_results", _EXAM_RUNS_SQL + f"""
+SELECT {_S(jobs.EXAM_RESULT_COLS)} FROM answered WHERE run = '0.7'""")
+def q_exam_results(spark, sf):
+    return jobs.exam_results(jobs.answer_exams(_fx(spark, sf, "exam_items"), stubs.StubExamAnswerer()), "0.7")
+
+
+_CORRECT_SQL = "CASE lower(correct_option) " + " ".join(f"WHEN '{x}' THEN {x}" for x in "abcd") + " END"
+_AMBIGUITY_SQL = " + ".join(f"CASE WHEN letter = '{x}' THEN 0.0 ELSE {O.cosine('r', x)} END" for x in "abcd")
+
+
+@register("score_questions_full", fx.cte("mcqs", "sheets") + f""",
+corpus AS ({ORACLE['originality_corpus']}),
+vecs AS (SELECT mcq_id, lower(correct_option) AS letter, correct_option, {_S(f"{_letters_sql('option_' + x)} AS {x}" for x in 'abcd')} FROM mcqs),
+amb AS (SELECT mcq_id, CASE WHEN letter IS NULL THEN NULL WHEN letter NOT IN ('a', 'b', 'c', 'd') THEN 0.0 ELSE ({_AMBIGUITY_SQL}) / 3 END AS ambiguity
+    FROM (SELECT *, {_CORRECT_SQL} AS r FROM vecs)),
+qv AS (SELECT mcq_id, {_letters_sql('question')} AS v FROM mcqs),
+sv AS (SELECT id, content_gpt, {_letters_sql('content_gpt')} AS v FROM sheets)
+SELECT m.mcq_id, m.id, CASE WHEN m.question IS NOT NULL AND s.content_gpt IS NOT NULL THEN round({O.cosine('qv.v', 's.v')}, 5) END AS relevance,
+    round(amb.ambiguity, 5) AS ambiguity, corpus.originality_corpus, {_verdict_sql(True)} AS gpt_answer,
+    {_verdict_sql(options=False)} AS disclosure, {_verdict_sql()} AS difficulty, {_verdict_sql()} AS distractors_quality
+FROM mcqs m LEFT JOIN sv s ON m.id = s.id JOIN corpus ON corpus.mcq_id = m.mcq_id JOIN amb ON amb.mcq_id = m.mcq_id
+JOIN qv ON qv.mcq_id = m.mcq_id""")
 def q_score_questions_full(spark, sf):
-    return jobs.score_questions(
+    out = jobs.score_questions(
         _mcqs(spark, sf), _sheets(spark, sf), compute_corpus_originality=True,
-        completer=stubs.StubJudge(), embedder=stubs.HashEmbedder(64),
+        completer=stubs.StubJudge(), embedder=stubs.LetterEmbedder(),
         answerability_system_prompt=JUDGE_SYSTEM, disclosure_system_prompt=JUDGE_SYSTEM,
-        difficulty_system_prompt=JUDGE_SYSTEM, distractors_quality_system_prompt=JUDGE_SYSTEM,
-    ).drop("question", "content_gpt")
+        difficulty_system_prompt=JUDGE_SYSTEM, distractors_quality_system_prompt=JUDGE_SYSTEM)
+    return out.select("mcq_id", "id", F.round("relevance", 5).alias("relevance"), F.round("ambiguity", 5).alias("ambiguity"),
+                      "originality_corpus", "gpt_answer", "disclosure", "difficulty", "distractors_quality")
+
+
+@register("score_csv_job", fx.cte("mcqs", "sheets") + f"""
+SELECT m.id, {O.readability("nullif(question, '')")} AS readability,
+    {O.negation("nullif(question, '')")} AS starts_with_negation, nullif(s.content_gpt, '') AS content_gpt
+FROM mcqs m LEFT JOIN sheets s ON m.id = s.id""")
+def q_score_csv_job(spark, sf):
+    """Question and sheet CSV files in, scored questions as a CSV file out, read back."""
+    paths = [scratch_path(spark, f"job-{x}") for x in ("mcqs", "sheets", "scored")]
+    files.write_csv_table(_fx(spark, sf, "mcqs").drop("mcq_id"), paths[0])
+    files.write_csv_table(_sheets(spark, sf), paths[1])
+    jobs.score_csv_job(spark, *paths, compute_originality=False, compute_relevance=False, compute_ambiguity=False,
+                       compute_is_question=False)
+    kinds = {"readability": "double", "starts_with_negation": "boolean"}
+    names = spark.read.options(**files.CSV_OPTIONS).csv(paths[2]).columns
+    read = files.read_csv_table(spark, paths[2], ", ".join(f"{n} {kinds.get(n, 'string')}" for n in names))
+    return read.select("id", "readability", "starts_with_negation", "content_gpt")

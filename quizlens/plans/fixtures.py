@@ -35,11 +35,18 @@ SELECT concat('IC-', lpad(cast(doc_id % 20 AS string), 3, '0')) AS folder,
 FROM documents
 """
 
+# Some sheet ids occur twice: with an equal text, with another text, with none.
 SHEETS = """
 SELECT concat('IC-', lpad(cast(doc_id % 20 AS string), 3, '0')) AS folder,
        concat('S-', lpad(cast(doc_id AS string), 6, '0')) AS id,
        CASE WHEN doc_id % 31 = 0 THEN NULL ELSE text END AS content_gpt
 FROM documents
+UNION ALL
+SELECT concat('IC-', lpad(cast(doc_id % 20 AS string), 3, '0')) AS folder,
+       concat('S-', lpad(cast(doc_id AS string), 6, '0')) AS id,
+       CASE WHEN doc_id % 3 = 0 OR doc_id % 31 = 0 THEN NULL
+            WHEN doc_id % 3 = 1 THEN concat('Another version. ', replace(text, ' the ', ' a ')) ELSE text END AS content_gpt
+FROM documents WHERE doc_id % 23 = 5
 """
 
 # One question per document, built from the whole document text; every 4th
@@ -52,39 +59,57 @@ SELECT CASE WHEN doc_id % 97 = 0 THEN concat('X-', cast(doc_id AS string))
        concat(CASE WHEN doc_id % 7 = 0 THEN 'Not ' WHEN doc_id % 7 = 1 THEN 'What ' ELSE '' END,
               replace(text, chr(10), ' '),
               CASE WHEN doc_id % 3 = 0 THEN ' ?' WHEN doc_id % 3 = 1 THEN '.' ELSE '' END) AS question,
-       split_part(text, ' ', 1) AS option_a, split_part(text, ' ', 2) AS option_b,
-       split_part(text, ' ', 3) AS option_c,
-       CASE WHEN doc_id % 11 = 0 THEN NULL ELSE split_part(text, ' ', 4) END AS option_d,
+       split_part(text, ' ', -1) AS option_a, md5(text) AS option_b,
+       concat(split_part(text, ' ', -2), ' and ', cast(length(text) AS string), ' characters') AS option_c,
+       CASE WHEN doc_id % 11 = 0 THEN NULL ELSE replace(replace(text, chr(10), ' '), 'e', '') END AS option_d,
        substring('abcdABCDe', cast(doc_id % 9 AS int) + 1, 1) AS correct_option
 FROM documents
 """
 
-MODEL_OUTPUTS = """
-SELECT doc_id AS id, CASE cast(doc_id % 8 AS int)
-  WHEN 0 THEN concat('{"question":"Q', cast(doc_id AS string), '?","option_a":"w","option_b":"x","option_c":"y","option_d":"z","correct_option":"b"}')
-  WHEN 1 THEN '{"question":"Q","option_a":1,"option_b":"x","option_c":"y","option_d":"z","correct_option":"b"}'
-  WHEN 2 THEN '{"question":"Q","option_a":"w","option_b":"x","option_c":"y","option_d":"z"}'
-  WHEN 3 THEN '{"extra":[1],"question":"","option_a":"","option_b":"","option_c":"","option_d":"","correct_option":""}'
-  WHEN 4 THEN '  plain text  '
-  WHEN 5 THEN 'Sure: {"answer": "B"} done'
-  WHEN 6 THEN '{"question":"Q","option_a":null,"option_b":"x","option_c":"y","option_d":"z","correct_option":"b"}'
-  ELSE '{"answer_option":"3"}' END AS response
-FROM documents
+# A whole text as the inside of a JSON string.
+_JSON_TEXT = "text"
+for _char, _escaped in (("chr(92)", "concat(chr(92), chr(92))"), ("'\"'", "concat(chr(92), '\"')"),
+                        ("chr(10)", "concat(chr(92), 'n')"), ("chr(13)", "concat(chr(92), 'r')"),
+                        ("chr(9)", "concat(chr(92), 't')")):
+    _JSON_TEXT = f"replace({_JSON_TEXT}, {_char}, {_escaped})"
+
+# Model outputs around each document's whole text: valid records (also with
+# quotes, backslashes, extra and repeated keys), records that break the rules
+# (types, missing and null fields, trailing text), plain text, and answers of
+# every JSON type.
+MODEL_OUTPUTS = f"""
+SELECT doc_id AS id, CASE cast(doc_id % 12 AS int)
+  WHEN 0 THEN concat('{{"question":"', body, '","option_a":"w","option_b":"x","option_c":"y","option_d":"z","correct_option":"b"}}')
+  WHEN 1 THEN concat('{{"question":"', body, '","option_a":1,"option_b":"x","option_c":"y","option_d":"z","correct_option":"b"}}')
+  WHEN 2 THEN concat('{{"question":"', body, '","option_a":"w","option_b":"x","option_c":"y","option_d":"z"}}')
+  WHEN 3 THEN concat('{{"extra":["', body, '"],"question":"","option_a":"","option_b":"","option_c":"","option_d":"","correct_option":""}}')
+  WHEN 4 THEN concat('  ', text, chr(10), '  ')
+  WHEN 5 THEN concat('Sure: {{"answer": "', body, '"}} done')
+  WHEN 6 THEN concat('{{"question":"', body, '","option_a":null,"option_b":"x","option_c":"y","option_d":"z","correct_option":"b"}}')
+  WHEN 7 THEN concat('{{"answer":null,"note":"', body, '"}}')
+  WHEN 8 THEN concat('{{"question":"q","option_a":"w","option_b":"x","option_c":"y","option_d":"z","correct_option":"b"}} ', text)
+  WHEN 9 THEN concat('{{"question":"', body, '","option_a":"say ', chr(92), '"w', chr(92), '" ', chr(92), chr(92),
+                     '","option_b":"x","option_b":"x","option_c":"y","option_d":"', body, '","correct_option":"b"}}')
+  WHEN 10 THEN concat('{{"answer": 12,"note":"', body, '"}}')
+  ELSE concat('{{"answer": [1,2],"note":"', body, '"}}') END AS response
+FROM (SELECT doc_id, text, {_JSON_TEXT} AS body FROM documents)
 """
 
 # Answer-model outputs: one per document and temperature run, covering the
 # answer clean-up rules (empty, digits, spaced letters, invalid JSON).
 def _answer_run(temperature: str, shift: int) -> str:
     return f"""
-SELECT doc_id AS id, CAST({temperature} AS double) AS temperature, CASE cast((doc_id + {shift}) % 7 AS int)
-  WHEN 0 THEN '{{"answer_option":""}}'
-  WHEN 1 THEN '{{"answer_option":"3"}}'
-  WHEN 2 THEN '{{"answer_option":"0"}}'
-  WHEN 3 THEN '{{"answer_option":"1"}}'
-  WHEN 4 THEN '{{"answer_option":" c) x"}}'
-  WHEN 5 THEN '{{"answer_option":"b"}}'
-  ELSE '{{"answer_option":2}}' END AS response
-FROM documents"""
+SELECT doc_id AS id, CAST({temperature} AS double) AS temperature, concat('{{"note":"', body, '","answer_option":',
+  CASE cast((doc_id + {shift}) % 8 AS int)
+  WHEN 0 THEN '""'
+  WHEN 1 THEN '"3"'
+  WHEN 2 THEN '"0"'
+  WHEN 3 THEN '"1"'
+  WHEN 4 THEN '" c) x"'
+  WHEN 5 THEN '"b"'
+  WHEN 6 THEN concat('"', body, '"')
+  ELSE '2' END, '}}') AS response
+FROM (SELECT doc_id, {_JSON_TEXT} AS body FROM documents)"""
 
 
 ANSWER_OUTPUTS = "\nUNION ALL".join(_answer_run(t, k) for k, t in enumerate(("0.1", "0.5", "0.7"))) + "\n"
@@ -93,8 +118,8 @@ EXAM_ITEMS = """
 SELECT concat('E-', cast(doc_id AS string)) AS id,
        replace(text, chr(10), ' ') AS question,
        substring('ABCD', cast(doc_id % 4 AS int) + 1, 1) AS cop,
-       split_part(text, ' ', 5) AS opa, split_part(text, ' ', 6) AS opb,
-       split_part(text, ' ', 7) AS opc, split_part(text, ' ', 8) AS opd
+       split_part(text, ' ', -3) AS opa, md5(text) AS opb,
+       concat(cast(length(text) AS string), ' characters') AS opc, replace(replace(text, chr(10), ' '), 'a', '') AS opd
 FROM documents
 """
 

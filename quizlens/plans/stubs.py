@@ -1,23 +1,23 @@
 """Deterministic offline stand-ins for the model hooks.
 
 They let every model-backed job run end to end (tests, registered queries,
-bench) without a network: answers are a pure function of the request, so a
-re-run after a lost executor gives the same rows.  Each class is a *factory*:
-calling it returns the completer/embedder, built once per Python worker.
+bench) without a network.  Answers follow from the length of the request and
+embeddings from letter counts, rules that SQL can restate; so a re-run after
+a lost executor gives the same rows, and what reaches a model can be checked.
+Each class is a *factory*: calling it returns the completer/embedder, built
+once per Python worker.
 """
 
 from __future__ import annotations
 
-import hashlib
 import json
+import math
 import re
 
-import numpy as np
 
-
-def _h(*parts) -> int:
-    data = "\x1f".join("" if p is None else str(p) for p in parts).encode("utf-8", "surrogatepass")
-    return int.from_bytes(hashlib.md5(data).digest()[:8], "little")
+def request_size(system, prompt, temperature) -> int:
+    """Characters of a request plus ten times its temperature."""
+    return len(system or "") + len(prompt) + round(10 * (temperature or 0))
 
 
 class StubJudge:
@@ -33,7 +33,7 @@ class StubJudge:
         def complete(system, prompts, temperature, max_tokens, **options):
             out = []
             for p in prompts:
-                h = _h(system, p, temperature)
+                h = request_size(system, p, temperature)
                 if fail_every and h % fail_every == 0:
                     raise RuntimeError("stub model failure")
                 out.append(choices[h % len(choices)])
@@ -42,8 +42,8 @@ class StubJudge:
 
 
 class StubGenerator:
-    """Returns an MCQ as JSON built from the prompt's words; about one in
-    ``invalid_every`` answers breaks the schema (a number where a string goes)."""
+    """Returns an MCQ as JSON made from the request's size; one size in
+    ``invalid_every`` breaks the schema (a number where a string goes)."""
 
     def __init__(self, invalid_every: int = 6):
         self.invalid_every = invalid_every
@@ -54,14 +54,11 @@ class StubGenerator:
         def complete(system, prompts, temperature, max_tokens, **options):
             out = []
             for p in prompts:
-                words = re.findall(r"\w+", p.split("**Educational Content**")[-1])[:12] or ["empty"]
-                h = _h(p, temperature)
-                pick = [words[(h >> (4 * k)) % len(words)] for k in range(5)]
-                rec = {"question": f"What about {' '.join(words[:6])}?", "option_a": pick[0],
-                       "option_b": pick[1], "option_c": pick[2], "option_d": pick[3],
-                       "correct_option": "abcd"[h % 4]}
+                h = request_size(system, p, temperature)
+                rec = {"question": f"What about {h}?", "option_a": str(h % 7), "option_b": str(h % 11),
+                       "option_c": str(h % 13), "option_d": str(h % 17), "correct_option": "abcd"[h % 4]}
                 if invalid_every and h % invalid_every == 0:
-                    rec["option_b"] = len(pick[1])
+                    rec["option_b"] = h % 11
                 out.append(json.dumps(rec))
             return out
         return complete
@@ -76,14 +73,14 @@ class StubExamAnswerer:
         answers = self.ANSWERS
 
         def complete(system, prompts, temperature, max_tokens, **options):
-            return [json.dumps({"answer_option": answers[_h(p, temperature) % len(answers)]})
+            return [json.dumps({"answer_option": answers[request_size(system, p, temperature) % len(answers)]})
                     for p in prompts]
         return complete
 
 
 class StubCleaner:
     """Returns the sheet text without its header and wiki brackets; fails on
-    every ``fail_every``-th sheet so the NULL path is exercised."""
+    every ``fail_every``-th request size so the NULL path is exercised."""
 
     def __init__(self, fail_every: int = 17):
         self.fail_every = fail_every
@@ -94,7 +91,7 @@ class StubCleaner:
         def complete(system, prompts, temperature, max_tokens, **options):
             out = []
             for p in prompts:
-                if fail_every and _h(system, p) % fail_every == 0:
+                if fail_every and request_size(system, p, temperature) % fail_every == 0:
                     raise RuntimeError("stub model failure")
                 body = p.split("\n", 2)[-1]
                 out.append(re.sub(r"\[\[|\]\]|'''|''", "", body).strip())
@@ -102,23 +99,19 @@ class StubCleaner:
         return complete
 
 
-class HashEmbedder:
-    """Feature-hashing embedder: signed token counts in ``dim`` buckets, L2-normalised
-    (the empty text maps to the zero vector)."""
+class LetterEmbedder:
+    """Counts of a few letters, scaled to unit length (the zero vector where none occurs)."""
 
-    def __init__(self, dim: int = 64):
-        self.dim = dim
+    LETTERS = "aeinorst"
 
     def __call__(self):
-        dim = self.dim
+        letters = self.LETTERS
 
         def embed(texts):
-            out = np.zeros((len(texts), dim), dtype=np.float32)
-            for i, t in enumerate(texts):
-                for tok in re.findall(r"\w+", (t or "").lower()):
-                    h = _h(tok)
-                    out[i, h % dim] += 1.0 if (h >> 32) & 1 else -1.0
-            norms = np.linalg.norm(out, axis=1, keepdims=True)
-            np.divide(out, norms, out=out, where=norms > 0)
-            return out.tolist()
+            out = []
+            for t in texts:
+                counts = [(t or "").count(x) for x in letters]
+                norm = math.sqrt(sum(c * c for c in counts))
+                out.append([c / norm if norm else 0.0 for c in counts])
+            return out
         return embed

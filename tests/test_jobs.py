@@ -58,8 +58,8 @@ def test_score_without_merge_equals_merge(spark):
 def test_full_job_with_vectors(spark):
     m = fx.load(spark, SF_SMALL, "mcqs")
     s = fx.load(spark, SF_SMALL, "sheets")
-    out = jobs.score_questions(m, s, compute_corpus_originality=True, embedder=stubs.HashEmbedder(32))
-    assert out.count() == m.count()
+    out = jobs.score_questions(m, s, compute_corpus_originality=True, embedder=stubs.LetterEmbedder())
+    assert out.count() == m.join(s, "id", "left").count() > m.count()     # some sheet ids occur twice
     rows = out.select("relevance", "ambiguity", "originality_corpus", "content_gpt", "correct_option").collect()
     for r in rows:
         assert (r["relevance"] is None) == (r["content_gpt"] is None)
@@ -98,3 +98,40 @@ def test_prompts_file_drives_which_criteria_run(spark, scratch):
     assert not {"gpt_answer", "disclosure", "difficulty"} & set(out.columns)
     assert out.count() == m.join(s, "id", "left").count()
     assert out.where(F.col("distractor_quality").isNull()).count() == 0
+
+
+def test_prompt_without_completer_is_an_error(spark):
+    import pytest
+
+    m = spark.createDataFrame([(1, "s", "q")], "mcq_id long, id string, question string")
+    s = spark.createDataFrame([("s", "t")], "id string, content_gpt string")
+    with pytest.raises(ValueError, match="completer"):
+        jobs.score_questions(m, s, disclosure_system_prompt="Rate it.", compute_relevance=False, compute_ambiguity=False)
+
+
+def test_stored_answers_are_made_once(spark, scratch):
+    """A counting completer is called once a row, however many reports read the answers."""
+    from quizlens.operators import models
+
+    log = scratch + "-calls"
+    files.arrow_fs(log)[0].create_dir(files.arrow_fs(log)[1], recursive=True)
+    base = files.arrow_fs(log)[1]
+
+    def factory():
+        import os
+        import uuid
+
+        def complete(system, prompts, temperature, max_tokens, **options):
+            for _ in prompts:
+                open(os.path.join(base, uuid.uuid4().hex), "w").close()
+            return [uuid.uuid4().hex for _ in prompts]
+        return complete
+
+    import os
+    df = spark.range(30).selectExpr("id", "concat('p', id) as prompt", "repeat('text', 10) as sheet")
+    out = models.llm_map(df, "prompt", "answer", factory, temperature=0.7, store=scratch, partitions=3)
+    first, second = (sorted(map(tuple, out.collect())) for _ in range(2))
+    assert first == second and out.where("answer is null").count() == 0
+    assert len(os.listdir(base)) == 30
+    again = models.llm_map(df, "prompt", "answer", factory, temperature=0.7, store=scratch, partitions=3)
+    assert sorted(map(tuple, again.collect())) == first and len(os.listdir(base)) == 30

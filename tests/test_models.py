@@ -82,13 +82,13 @@ def test_judge_prompt_layout(spark):
 
 def test_embed_texts_once_per_text(spark):
     df = spark.createDataFrame([(i, ["x y", "y z", None][i % 3]) for i in range(9)], "i int, t string")
-    out = models.embed_texts(df, "t", stubs.HashEmbedder(16)).collect()
+    out = models.embed_texts(df, "t", stubs.LetterEmbedder()).collect()
     assert len(out) == 9
     by_text = {}
     for r in out:
         by_text.setdefault(r["t"], set()).add(tuple(r["embedding"]))
     assert all(len(v) == 1 for v in by_text.values())
-    assert set(by_text[None]) == {tuple([0.0] * 16)}
+    assert set(by_text[None]) == {tuple([0.0] * len(stubs.LetterEmbedder.LETTERS))}
 
 
 def test_generation_wide_pivot(spark):
@@ -101,7 +101,7 @@ def test_generation_wide_pivot(spark):
 def test_llm_map_many_matches_single_maps(spark):
     from quizlens.plans import jobs
 
-    m = spark.createDataFrame([(i, f"s{i % 3}", f"Question {i}?", "a", "b", None, "d", "abcd"[i % 4])
+    m = spark.createDataFrame([(i, f"s{i % 3}", f"Question {'x' * i}?", "a", "b", None, "d", "abcd"[i % 4])
                                for i in range(12)],
                               "mcq_id long, id string, question string, option_a string, option_b string, "
                               "option_c string, option_d string, correct_option string")

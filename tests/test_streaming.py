@@ -18,7 +18,7 @@ def test_score_stream_matches_batch(spark, scratch):
     q.stop()
     got = spark.sql("SELECT mcq_id, readability, starts_with_negation, is_question, content_gpt FROM scored_stream")
     want = scoring.score_stream(mcqs, sheets).select(got.columns)
-    assert got.count() == 200
+    assert got.count() == mcqs.join(sheets, "id", "left").count() > 200     # some sheet ids occur twice
     assert got.exceptAll(want).count() == 0 and want.exceptAll(got).count() == 0
 
 
