@@ -74,7 +74,8 @@ def low_skew_thresholds(spark):
            "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.5",
            "spark.sql.adaptive.advisoryPartitionSizeInBytes": "8k",
            "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
-           "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+           "spark.sql.adaptive.coalescePartitions.enabled": "false",
+           "spark.sql.shuffle.partitions": "48"}
     old = {k: spark.conf.get(k, None) for k in low}
     for k, v in low.items():
         spark.conf.set(k, v)
