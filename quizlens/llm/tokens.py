@@ -21,13 +21,13 @@ import pyarrow.compute as pc
 #: Between a character that is not white space and a space before another such character.
 _SPACE = re.compile(r" (?=\S)(?<=\S )")
 #: Pieces kept in memory by a worker, and the longest piece kept.
-MEMORY, LONGEST = 1_000_000, 40
+MEMORY, LONGEST = 500_000, 40
 #: Bytes of text that are cut into pieces at a time (or one text, where it is longer).
-STEP_BYTES = 8_000_000
+STEP_BYTES = 3_000_000
 #: Marks that are tokens of their own where one follows a letter and ends a piece.
 AFTER = ".,;:!?"
-#: Words that are encoded as one text.
-LOT = 500
+#: Words that are encoded as one text, and characters that the library gets at a time.
+LOT, AT_ONCE = 500, 250_000
 
 
 class Encoder:
@@ -63,8 +63,19 @@ class Encoder:
             return piece
         return piece[1:] if piece[:1] == " " else " " + piece
 
+    def _encodings(self, strings: list[str]) -> Iterator:
+        """The library's encodings, some at a time: each holds far more than its ids."""
+        start = 0
+        while start < len(strings):
+            stop, size = start + 1, len(strings[start])
+            while stop < len(strings) and size < AT_ONCE:
+                size += len(strings[stop]) + 40
+                stop += 1
+            yield from self.tokenizer.encode_batch_fast(strings[start:stop], add_special_tokens=False)
+            start = stop
+
     def _direct(self, strings: list[str]) -> list[bytes]:
-        return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(strings, add_special_tokens=False)]
+        return [array("I", e.ids).tobytes() for e in self._encodings(strings)]
 
     def _alone(self, string: str) -> bool:
         """A word of letters alone, with the space before it if pieces have one."""
@@ -85,8 +96,7 @@ class Encoder:
                 others.append((piece, string))
         glue, items = " " if self.cut == "words" else "", list(words.items())
         lots = [items[k:k + LOT] for k in range(0, len(items), LOT)]
-        encoded = self.tokenizer.encode_batch_fast([glue.join(s for _, s in lot) for lot in lots], add_special_tokens=False)
-        for lot, one in zip(lots, encoded):
+        for lot, one in zip(lots, self._encodings([glue.join(s for _, s in lot) for lot in lots])):
             ids = np.array(one.ids, dtype="<u4")
             at = np.flatnonzero(self.mark[ids])
             if len(at) != len(lot):
@@ -124,7 +134,7 @@ class Encoder:
         ends = lists.offsets.to_numpy()
         numbered = lists.values.slice(ends[0], ends[-1] - ends[0]).dictionary_encode()
         ends = ends - ends[0]
-        pieces, which = numbered.dictionary.to_pylist(), numbered.indices.to_numpy().astype(np.int64)
+        pieces, which = numbered.dictionary.to_pylist(), numbered.indices.to_numpy().copy()
         if self.cut == "spaces":
             # Beside other white space a space is no sure cut: such texts are cut one by one.
             odd = np.array([not p or p[0].isspace() or p[-1].isspace() for p in pieces], dtype=bool)
@@ -143,9 +153,12 @@ class Encoder:
         starts = np.cumsum(sizes) - sizes
         taken = sizes[which]
         stops = np.cumsum(taken)
-        ids = flat[np.repeat(starts[which] - (stops - taken), taken) + np.arange(stops[-1] if len(stops) else 0)]
+        # A step's ids are counted in 32 bits where they fit, as they do but for one very long text.
+        kind = np.int32 if len(stops) and stops[-1] < 1 << 31 else np.int64
+        from_ = np.repeat((starts[which] - (stops - taken)).astype(kind), taken)
+        from_ += np.arange(len(from_), dtype=kind)
         at = (4 * np.concatenate([[0], stops])[ends]).tolist()
-        data = ids.tobytes()
+        data = flat[from_].tobytes()
         out = [data[a:b] for a, b in zip(at, at[1:])]
         for k in strange:
             first, *rest = _SPACE.split(texts[k].as_py())
@@ -166,6 +179,7 @@ class Encoder:
             stop = max(start + 1, int(np.searchsorted(sizes, before + STEP_BYTES, side="right")))
             yield from self._step(texts.slice(start, stop - start))
             start = stop
+        pa.default_memory_pool().release_unused()
 
 
 @lru_cache(maxsize=4)
