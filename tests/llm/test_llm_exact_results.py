@@ -397,7 +397,8 @@ def test_shards_follow_the_mixture(spark):
         assert sorted(r["slot"] for r in got if r["shard"] == shard) == list(range(sizes[shard]))
     of = Counter((r["shard"], r["source"]) for r in got)
     for source, n in Counter(r["source"] for r in got).items():
-        assert all(abs(of[s, source] - n / 16) <= 1.01 for s in range(16))
+        # Cuts fall on whole rows, so a share is met to a row or two.
+        assert all(abs(of[s, source] - n / 16) <= 3 for s in range(16))
 
 
 def test_mix_targets(spark):

@@ -61,7 +61,7 @@ def test_equal_texts_score_alike_and_clean_keeps_the_rest(spark, tables):
 
 
 def test_copies_add_no_evidence():
-    texts = [odd_rows.words(50, k).encode() for k in range(40)]
+    texts = [odd_rows.words(50, k).encode() for k in range(240)]
     bad = [t + b" " + BAD[k % 2].encode() + b" " + str(k).encode() + b" x" for k, t in enumerate(texts[:20])]
     odd = b"a family text with strangeword in it"
     words = toxicity.characteristic_words(bad + [odd] * 50, texts[20:])
