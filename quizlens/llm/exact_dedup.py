@@ -64,7 +64,7 @@ def _low(owner, owners: int):
 
 
 def _send(owners: int):
-    def send(key, rows: pd.DataFrame) -> pd.DataFrame:
+    def send(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         fps = np.unique(rows["fp"].to_numpy())
         out = [(key[0], owner, len(own), *golomb.encode(own, _low(owner, owners))) for owner, own in _lists(fps, owners)]
         return pd.DataFrame(out, columns=["part", "owner", "n", "k", "quotients", "remainders"])
@@ -72,7 +72,7 @@ def _send(owners: int):
 
 
 def _answer(owners: int):
-    def answer(key, lists: pd.DataFrame) -> pd.DataFrame:
+    def answer(key: tuple, lists: pd.DataFrame) -> pd.DataFrame:
         """One owner: a bitmap for each part's list, where any entry occurs in another list."""
         sent = [golomb.decode(r.n, r.k, r.quotients, r.remainders, _low(int(key[0]), owners)) for r in lists.itertuples()]
         fps, counts = np.unique(np.concatenate(sent), return_counts=True)
