@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from quizlens.llm import exact_dedup, mixing, packing, simhash, toxicity
 from quizlens.llm.common import staged
+from quizlens.llm.tokens import SHARED
 
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -35,7 +36,7 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of every document (and copy) with their places in sequences."""
-    return packing.packed(docs)
+    return packing.packed(docs, memory=SHARED)  # the workers hold what earlier stages left
 
 
 STAGES = [("toxicity", toxicity_stage), ("exact_dedup", exact_stage), ("near_dedup", near_stage),

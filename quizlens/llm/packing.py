@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quizlens.llm.common import hash32, ranked, ready, staged
-from quizlens.llm.tokens import encoder, tokenizer_path
+from quizlens.llm.tokens import WHOLE, Memory, encoder, tokenizer_path
 
 TOKENIZER = "byte_bpe_50k.json"
 CAPACITY = 2048
@@ -217,13 +217,13 @@ def plan_table(plan: Plan) -> dict[str, np.ndarray]:
 PIECE_SCHEMA = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
-def _cutter(path: str, cut: str | None, end_id: int, capacity: int):
+def _cutter(path: str, cut: str | None, end_id: int, capacity: int, memory: Memory):
     end = end_id.to_bytes(4, "little")
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
-            for doc_id, ids in zip(batch.column("doc_id").to_pylist(), encoder(path, cut).encode(batch.column("text"))):
+            for doc_id, ids in zip(batch.column("doc_id").to_pylist(), encoder(path, cut, memory).encode(batch.column("text"))):
                 ids += end
                 n = len(ids) // 4
                 stop = (n - 1) % capacity + 1  # the first piece takes what is over
@@ -242,11 +242,12 @@ _PIECES = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa
 
 
 def pieces_of(docs: DataFrame, tokenizer: str | None = None, cut: str | None = "spaces", end_id: int = END_ID,
-              capacity: int = CAPACITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+              capacity: int = CAPACITY, id_col: str = "doc_id", text_col: str = "text",
+              memory: Memory = WHOLE) -> DataFrame:
     """The pieces of each document's ids (with the end id): one, or several of ``capacity`` where it is longer."""
     ready(docs)
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(
-        _cutter(tokenizer or tokenizer_path(TOKENIZER), cut, end_id, capacity), PIECE_SCHEMA)
+        _cutter(tokenizer or tokenizer_path(TOKENIZER), cut, end_id, capacity, memory), PIECE_SCHEMA)
 
 
 def _placer(table: dict[str, np.ndarray]):
@@ -264,7 +265,8 @@ def _placer(table: dict[str, np.ndarray]):
 
 
 def packed(docs: DataFrame, tokenizer: str | None = None, cut: str | None = "spaces", end_id: int = END_ID,
-           capacity: int = CAPACITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+           capacity: int = CAPACITY, id_col: str = "doc_id", text_col: str = "text",
+           memory: Memory = WHOLE) -> DataFrame:
     """``(doc_id, piece, start, length, ids_crc32, sequence_id, offset)``, one row per piece of every document.
 
     Null texts count as empty and give one piece, the end id.  Every row of
@@ -272,7 +274,7 @@ def packed(docs: DataFrame, tokenizer: str | None = None, cut: str | None = "spa
     packed like any other.  An empty table gives an empty result.  Other
     columns are not read.
     """
-    pieces = staged(pieces_of(docs, tokenizer, cut, end_id, capacity, id_col, text_col), "pack-pieces")
+    pieces = staged(pieces_of(docs, tokenizer, cut, end_id, capacity, id_col, text_col, memory), "pack-pieces")
     # At most `capacity` rows, however many documents there are.
     counts = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}
     table = plan_table(bin_completion(counts, capacity))

@@ -13,6 +13,7 @@ import re
 from array import array
 from collections.abc import Iterator
 from functools import lru_cache
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -20,10 +21,19 @@ import pyarrow.compute as pc
 
 #: Between a character that is not white space and a space before another such character.
 _SPACE = re.compile(r" (?=\S)(?<=\S )")
-#: Pieces kept in memory by a worker, and the longest piece kept.
-MEMORY, LONGEST = 500_000, 40
-#: Bytes of text that are cut into pieces at a time (or one text, where it is longer).
-STEP_BYTES = 3_000_000
+
+
+class Memory(NamedTuple):
+    """What a worker may hold: pieces kept, and bytes of text cut at a time (or one text, where it is longer)."""
+
+    pieces: int
+    step_bytes: int
+
+
+#: About 500 MB a worker; and about 350 MB, for workers that other stages have filled before.
+WHOLE, SHARED = Memory(1_000_000, 8_000_000), Memory(500_000, 3_000_000)
+#: Longest piece kept.
+LONGEST = 40
 #: Marks that are tokens of their own where one follows a letter and ends a piece.
 AFTER = ".,;:!?"
 #: Words that are encoded as one text, and characters that the library gets at a time.
@@ -40,13 +50,14 @@ class Encoder:
     are ordinary text.
     """
 
-    def __init__(self, path: str, cut: str | None):
+    def __init__(self, path: str, cut: str | None, memory: Memory = WHOLE):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.cut = cut
+        self.memory = memory
         # Pieces as they are cut, and their ids.  A text's first piece has no
         # space before it: its key is the piece with a space, as no other piece starts with one.
         self.known: dict[str, bytes] = {}
@@ -122,7 +133,7 @@ class Encoder:
         for p in missing:
             if len(p) > LONGEST:
                 del self.known[p]
-        if len(self.known) > MEMORY:
+        if len(self.known) > self.memory.pieces:
             self.known.clear()
         return found
 
@@ -176,16 +187,16 @@ class Encoder:
         start = 0
         while start < len(texts):
             before = sizes[start - 1] if start else 0
-            stop = max(start + 1, int(np.searchsorted(sizes, before + STEP_BYTES, side="right")))
+            stop = max(start + 1, int(np.searchsorted(sizes, before + self.memory.step_bytes, side="right")))
             yield from self._step(texts.slice(start, stop - start))
             start = stop
         pa.default_memory_pool().release_unused()
 
 
 @lru_cache(maxsize=4)
-def encoder(path: str, cut: str | None) -> Encoder:
+def encoder(path: str, cut: str | None, memory: Memory = WHOLE) -> Encoder:
     """One encoder for each worker process."""
-    return Encoder(path, cut)
+    return Encoder(path, cut, memory)
 
 
 def tokenizer_path(name: str) -> str:

@@ -40,14 +40,12 @@ def test_pieces_give_the_ids_of_the_whole_text(texts, name, cut):
     assert list(Encoder(path, cut).encode(some)) == list(Encoder(path, None).encode(some))
 
 
-def test_memory_of_pieces_is_bounded(monkeypatch, texts):
-    from quizlens.llm import tokens
+def test_memory_of_pieces_is_bounded(texts):
+    from quizlens.llm.tokens import Memory
 
-    monkeypatch.setattr(tokens, "MEMORY", 50)
-    monkeypatch.setattr(tokens, "STEP_BYTES", 1000)
     path = tokenizer_path("byte_bpe_50k.json")
     few = list(texts.values())[:20] + ODD_TEXTS
-    e = Encoder(path, "spaces")
+    e = Encoder(path, "spaces", Memory(pieces=50, step_bytes=1000))
     assert list(e.encode(few)) == list(Encoder(path, None).encode(few))
     assert len(e.known) <= 50
 
