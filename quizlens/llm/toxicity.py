@@ -94,32 +94,29 @@ def _calibrate(x: np.ndarray, y: np.ndarray, ridge: float = 0.1, steps: int = 40
     return w
 
 
-def _contexts(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, dict[int, bytes]]:
-    """Words by hash, their number of distinct (word before, word, word after), and the words themselves.
+def _contexts(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Words by hash, and their number of distinct (word before, word, word after).
 
     Contexts and not texts are counted: copies of a text add nothing.
     """
-    words, around, names = [], [], {}
+    words, around = [], []
     for text in texts:
         found = _WORDS.findall(text)
         if not found:
             continue
-        hashed = [hash(w) for w in found]
-        names.update(zip(hashed, found))
-        h = np.array(hashed, dtype=np.int64).view(np.uint64)
+        h = np.fromiter(map(hash, found), dtype=np.int64, count=len(found)).view(np.uint64)
         pad = np.concatenate([[np.uint64(0)], h, [np.uint64(0)]])
         words.append(h)
         around.append(h * np.uint64(0x9E3779B97F4A7C15) ^ pad[:-2] * np.uint64(0xC2B2AE3D27D4EB4F) ^ pad[2:] * np.uint64(0x165667B19E3779F9))
     if not words:
-        return np.empty(0, np.uint64), np.empty(0, np.int64), names
+        return np.empty(0, np.uint64), np.empty(0, np.int64)
     _, first = np.unique(np.concatenate(around), return_index=True)
-    h, n = np.unique(np.concatenate(words)[first], return_counts=True)
-    return h, n, names
+    return np.unique(np.concatenate(words)[first], return_counts=True)
 
 
 def characteristic_words(texts: list[bytes], others: list[bytes]) -> list[bytes]:
     """Words that one class has far more contexts of than the other, the surest first."""
-    (h, n, names), (g, m, _) = _contexts(texts), _contexts(others)
+    (h, n), (g, m) = _contexts(texts), _contexts(others)
     if not len(h):
         return []
     at = np.searchsorted(g, h)
@@ -128,8 +125,10 @@ def characteristic_words(texts: list[bytes], others: list[bytes]) -> list[bytes]
     odds = np.log((n + 0.5) / (n.sum() + 1) * (m.sum() + 1) / (other + 0.5))
     errors = odds / np.sqrt(1 / (n + 0.5) + 1 / (other + 0.5))
     good = (n >= MIN_CONTEXTS) & (odds >= MIN_LOG_ODDS) & (errors >= MIN_ERRORS)
-    found = [(-e, names[int(w.view(np.int64))]) for e, w in zip(errors[good], h[good])]
-    return [w for _, w in sorted(found) if len(w) >= MIN_LENGTH]
+    chosen = dict(zip(h[good].view(np.int64).tolist(), errors[good].tolist()))
+    # The words themselves are looked up again: few are wanted.
+    found = {w: chosen[hash(w)] for t in texts for w in set(_WORDS.findall(t)) if hash(w) in chosen}
+    return sorted((w for w in found if len(w) >= MIN_LENGTH), key=lambda w: (-found[w], w))
 
 
 def train(sample: pd.DataFrame) -> Model:
