@@ -1,93 +1,255 @@
-"""Substring dedup by sliding sentence spans.
+"""Substring dedup by sliding spans of sentences and of words.
 
 Every run of several consecutive sentences is hashed; runs meet on their hash
-over the whole corpus; sentences covered by an occurrence of a repeated run
-that is not its first are removed.  Texts are cut into sentences at sentence
-ends, line ends and before capital letters, so that a passage put into the
-middle of another sentence is cut at its own first word.
+over the whole corpus; what is covered by an occurrence of a repeated run that
+is not its first is removed.  Texts are cut into sentences at sentence ends,
+line ends and before capital letters, so that a passage put into the middle of
+another sentence is cut at its own first word.
+
+A repeated stretch need not hold whole sentences, so every window of ``WINDOW``
+words is matched too, wherever it starts.  Not every window becomes a row: each
+names the smallest hash among its short word runs, its seed.  Equal windows
+name equal seeds, so only windows whose seed occurs in two places can repeat,
+and only those are hashed and met in a second pass.  No repeated window is
+lost by that.
 """
 
 from __future__ import annotations
 
 import re
+import sys
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quizlens.llm.common import BROADCAST_PAIRS, ready, staged, text_hash
 from quizlens.plans.sizing import broadcast_if_small
 
-#: A run has at least so many sentences and words.
+#: A run has at least so many sentences and words; from ``LONG`` words on, the number of sentences does not matter.
 SENTENCES = 3
 WORDS = 12
-_BOUNDARY = re.compile(r"\s+(?=[A-ZÀ-ÖØ-ÞΑ-ΩА-Я])|\n\s*|(?<=[.!?])\s+")
-_BASE = np.uint64(0x9E3779B97F4A7C15)
-_INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
+LONG = 25
+#: Words of a window that counts whatever sentences it holds, and of a seed in it.
+WINDOW = 50
+SEED = 25
+#: Classes of characters, as bits.
+_SPACE, _NEWLINE, _CAPITAL, _END, _SINGLE, _SINGLE_END = (1 << k for k in range(6))
+_RANGES = {
+    _NEWLINE: "\n", _CAPITAL: "A-ZÀ-ÖØ-ÞΑ-ΩА-Я", _END: ".!?।॥؟۔։።", _SINGLE_END: "。！？｡",
+    #: Scripts written without spaces: each character is a word.
+    _SINGLE: "\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3001-\u30ff\u31f0-\u31ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff"
+             "\uff00-\uffef\U00020000-\U0003ffff",
+}
+_BASE = 0x9E3779B97F4A7C15
+_CHAR_BASE = 0xD6E8FEB86659FD93
+#: Parts hashes of seeds from those of spans.
+_TAG = np.uint64(0xA0761D6478BD642F)
+_powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    """Spread over 64 bits, one to one (the finalizer of SplitMix64)."""
+    x = (x ^ x >> np.uint64(30)) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ x >> np.uint64(27)) * np.uint64(0x94D049BB133111EB)
+    return x ^ x >> np.uint64(31)
+
+
+def _powers_of(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The powers of a base and of its inverse, from 0 to ``n`` at least."""
+    if base not in _powers or len(_powers[base][0]) <= n:
+        one = np.uint64(1)
+        _powers[base] = tuple(np.cumprod(np.append(one, np.full(max(n, 1 << 14), f, dtype=np.uint64)), dtype=np.uint64)
+                              for f in (base, pow(base, -1, 1 << 64)))
+    return _powers[base]
+
+
+def _sums(values: np.ndarray, base: int) -> np.ndarray:
+    return np.concatenate([np.zeros(1, np.uint64), np.cumsum(values * _powers_of(base, len(values))[0][:len(values)], dtype=np.uint64)])
+
+
+def _between(sums: np.ndarray, i, j, base: int) -> np.ndarray:
+    """Hash of the values from ``i`` up to ``j``, wherever they stand, and of their number."""
+    return _mixed((sums[j] - sums[i]) * _powers_of(base, len(sums))[1][i] + (j - i).astype(np.uint64) * np.uint64(_TAG))
+
+
+def _classes() -> np.ndarray:
+    out = np.zeros(sys.maxunicode + 1, dtype=np.uint8)
+    out[[k for k in range(1 << 16) if chr(k).isspace()]] = _SPACE
+    for bit, chars in _RANGES.items():
+        for first, last in re.findall("(.)(?:-(.))?", chars, re.S):
+            out[ord(first):ord(last or first) + 1] |= bit
+    return out
+
+
+_CLASS = _classes()
+_POINT = _mixed(np.arange(1, sys.maxunicode + 2, dtype=np.uint64) * np.uint64(_BASE))
+
+
+class _Words:
+    """The words of a text.
+
+    ``starts`` (code points, with the end of the text), hashes of any stretch
+    of words, and ``cuts``: the starts of the sentences, and the text's end.
+    A sentence starts after a space that holds a line end, follows a sentence
+    end or stands before a capital letter.
+    """
+
+    def __init__(self, text: str):
+        size = len(text)
+        points = np.frombuffer(text.encode(), dtype=np.uint8) if text.isascii() else np.frombuffer(
+            text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+        kind = _CLASS[points]
+        space = np.concatenate([[True], kind & _SPACE != 0, [True]])
+        single = np.concatenate([[False], kind & (_SINGLE | _SINGLE_END) != 0, [False]])
+        edge = space[1:] != space[:-1]
+        edge |= (single[1:] | single[:-1]) & ~(space[1:] & space[:-1])
+        # Between characters k - 1 and k: a word starts if k is no space, and ends if k - 1 is none.
+        first, last = np.flatnonzero(edge & ~space[1:]), np.flatnonzero(edge & ~space[:-1])
+        self.n = len(first)
+        self.starts = np.append(first, size)
+        words = _between(_sums(_POINT[points], _CHAR_BASE), first, last, _CHAR_BASE)
+        self.sums = _sums(words, _BASE)
+        # Gap k stands before word k, the last one before the end of the text.
+        ends, begins = np.append(0, last), self.starts
+        lines = np.append(0, np.cumsum(kind & _NEWLINE != 0))
+        cut = lines[begins] > lines[ends]
+        before = np.append(np.uint8(0), kind[last - 1])
+        gap = begins > ends
+        cut |= gap & (before & _END != 0)
+        cut |= before & _SINGLE_END != 0
+        cut[:-1] |= gap[:-1] & (kind[first] & _CAPITAL != 0)
+        self.cuts = np.unique(np.concatenate([[0], begins[cut], [size]]))
+
+    def hashes(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        """Hashes of the words from ``i`` up to ``j``; white space does not matter."""
+        return _between(self.sums, i, j, _BASE)
+
+    def seeds(self, window: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
+        """For every window, the word at which its seed starts; and the hashes of all short runs."""
+        if self.n < window:
+            return np.empty(0, np.int64), np.empty(0, np.uint64)
+        at = np.arange(self.n - seed + 1)
+        short = self.hashes(at, at + seed) ^ _TAG
+        choice = np.lib.stride_tricks.sliding_window_view(short, window - seed + 1).argmin(axis=1)
+        return choice + np.arange(len(choice)), short
 
 
 def sentences(text: str) -> np.ndarray:
     """Starts of the sentences of a text, and its end."""
-    cuts = [0, *(m.end() for m in _BOUNDARY.finditer(text)), len(text)]
-    return np.unique(np.array(cuts, dtype=np.int64))
+    return _Words(text).cuts
 
 
-def spans(text: str, least: int = SENTENCES, words: int = WORDS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hash, start and end (code points) of every run: the shortest from each sentence and the shortest up to each.
+def _reach(before: np.ndarray, words: int) -> np.ndarray:
+    return np.searchsorted(before, before[:-1] + words, side="left")
 
-    A run's hash is made of its words, so white space does not matter.
-    """
-    cuts = sentences(text)
+
+def _back(before: np.ndarray, words: int) -> np.ndarray:
+    return np.searchsorted(before, before[1:] - words, side="right") - 1
+
+
+def _sentence_runs(found: _Words, least: int, words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    cuts = found.cuts
     n = len(cuts) - 1
-    if n < least:
-        return np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int64)
-    found = [text[a:b].split() for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist())]
-    hashed = np.array([xxhash.xxh64_intdigest(" ".join(w).encode("utf-8", "surrogatepass")) for w in found], dtype=np.uint64)
-    before = np.concatenate([[0], np.cumsum([len(w) for w in found])])
+    before = np.searchsorted(found.starts[:-1], cuts)
     each = np.arange(n)
-    stop = np.maximum(each + least, np.searchsorted(before, before[:-1] + words, side="left"))
-    start = np.minimum(each + 1 - least, np.searchsorted(before, before[1:] - words, side="right") - 1)
-    runs = np.unique(np.concatenate([np.stack([each, stop], axis=1)[stop <= n], np.stack([start, each + 1], axis=1)[start >= 0]]), axis=0)
-    i, j = runs.T
-    powers = np.cumprod(np.append(np.uint64(1), np.full(n, _BASE)), dtype=np.uint64)
-    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(hashed * powers[:n], dtype=np.uint64)])
-    back = np.cumprod(np.append(np.uint64(1), np.full(n, _INVERSE)), dtype=np.uint64)
-    return (sums[j] - sums[i]) * back[i] + (j - i).astype(np.uint64), cuts[i], cuts[j]
+    # The first sentence with which a run from each is long enough, and the last one from which a run up to each is.
+    stop, start = np.maximum(each + least, _reach(before, words)), np.minimum(each + 1 - least, _back(before, words))
+    stop, start = np.minimum(stop, _reach(before, LONG)), np.maximum(start, _back(before, LONG))
+    i, j = np.divmod(np.unique(np.concatenate([(each * (n + 1) + stop)[stop <= n], (start * (n + 1) + each + 1)[start >= 0]])), n + 1)
+    return found.hashes(before[i], before[j]), cuts[i], cuts[j]
+
+
+def _windows(found: _Words, window: int, seed: int, repeated: list[int] | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Every window, or those whose seed starts at one of the words ``repeated``."""
+    choice, _ = found.seeds(window, seed)
+    i = np.arange(len(choice)) if repeated is None else np.flatnonzero(np.isin(choice, repeated))
+    return found.hashes(i, i + window), found.starts[i], found.starts[i + window]
+
+
+def spans(text: str, least: int = SENTENCES, words: int = WORDS, window: int = WINDOW,
+          seed: int = SEED) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hash, start and end (code points) of every span that is matched.
+
+    These are the runs of sentences, the shortest from each sentence and the
+    shortest up to each, and all windows of words.  A hash is made of the
+    words, so white space does not matter.
+    """
+    found = _Words(text)
+    both = zip(_sentence_runs(found, least, words), _windows(found, window, seed))
+    h, start, end = (np.concatenate(x) for x in both)
+    order = np.lexsort((end, start))
+    return h[order], start[order], end[order]
+
+
+def _rows(batch: pa.RecordBatch, each: list[tuple]) -> pa.RecordBatch:
+    of = np.repeat(np.arange(len(each)), [len(h) for h, _, _ in each])
+    h, s, e = (np.concatenate([x[k] for x in each]) if each else np.empty(0, np.int64) for k in range(3))
+    rows = pa.array(of, pa.int64())
+    return pa.RecordBatch.from_arrays(
+        [pa.array(h.astype(np.uint64).view(np.int64)), batch.column("id").take(rows), batch.column("h").take(rows),
+         pa.array(s.astype(np.int64)), pa.array(e.astype(np.int64))], names=["span", "id", "h", "start", "end"])
 
 
-def _span_lists(least: int, words: int):
+def _run_lists(least: int, words: int, window: int, seed: int):
+    """The runs of sentences of each text, and its seeds: their word as ``start``, -1 as ``end``."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            each = [spans(t or "", least, words) for t in batch.column("text").to_pylist()]
-            sizes = [len(h) for h, _, _ in each]
-            of = np.repeat(np.arange(len(sizes)), sizes)
-            h, s, e = (np.concatenate([x[k] for x in each]) if each else np.empty(0, np.int64) for k in range(3))
-            rows = pa.array(of, pa.int64())
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(h.astype(np.uint64).view(np.int64)), batch.column("id").take(rows), batch.column("h").take(rows),
-                 pa.array(s.astype(np.int64)), pa.array(e.astype(np.int64))], names=["span", "id", "h", "start", "end"])
+            runs, seeds = [], []
+            for text in batch.column("text").to_pylist():
+                found = _Words(text or "")
+                choice, short = found.seeds(window, seed)
+                at = choice[np.flatnonzero(np.diff(choice, prepend=-1))]
+                runs.append(_sentence_runs(found, least, words))
+                seeds.append((short[at], at, np.full(len(at), -1)))
+            yield _rows(batch, runs)
+            yield _rows(batch, seeds)
 
     return run
 
 
+def _window_lists(window: int, seed: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield _rows(batch, [_windows(_Words(t or ""), window, seed, at)
+                                for t, at in zip(batch.column("text").to_pylist(), batch.column("seeds").to_pylist())])
+
+    return run
+
+
+SPAN_SCHEMA = "span long, id long, h long, start long, end long"
+
+
 def repeated_spans(docs: DataFrame, least: int = SENTENCES, words: int = WORDS, id_col: str = "doc_id",
-                   text_col: str = "text") -> DataFrame:
-    """``(id, h, removed)``: for each text with repeated runs, the ranges of those that occurred before.
+                   text_col: str = "text", window: int = WINDOW, seed: int = SEED) -> DataFrame:
+    """``(id, h, removed)``: for each text with repeated spans, the ranges of those that occurred before.
 
     The first occurrence is that of the smallest id, then text hash, then place.
     """
     ready(docs)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), text_hash(text_col).alias("h"), F.col(text_col).cast("string").alias("text"))
-    all_spans = staged(rows.mapInArrow(_span_lists(least, words), "span long, id long, h long, start long, end long"), "sentence-spans")
     at = F.struct("id", "h", "start")
-    # Aggregated before the shuffle: a passage in very many texts is one row a task.
-    repeated = staged(all_spans.groupBy("span").agg(F.min(at).alias("first"), F.count(F.lit(1)).alias("n"))
-                      .where("n > 1").select("span", "first"), "repeated-spans")
-    repeated, _ = broadcast_if_small(repeated, BROADCAST_PAIRS)
-    later = all_spans.join(repeated, "span").where(~at.eqNullSafe(F.col("first")))
+
+    def meet(each: DataFrame, name: str) -> DataFrame:
+        # Aggregated before the shuffle: a passage in very many texts is one row a task.
+        repeated = staged(each.groupBy("span").agg(F.min(at).alias("first"), F.count(F.lit(1)).alias("n"))
+                          .where("n > 1").select("span", "first"), name)
+        repeated, _ = broadcast_if_small(repeated, BROADCAST_PAIRS)
+        return each.join(repeated, "span")
+
+    both = staged(rows.mapInArrow(_run_lists(least, words, window, seed), SPAN_SCHEMA), "sentence-spans")
+    # Equal texts have equal seeds, so the text hash alone names the text here, whatever its id.
+    seeds = both.where("end < 0").select("span", "h", F.col("start").cast("int").alias("word"))
+    often = staged(seeds.groupBy("span").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("span"), "repeated-seeds")
+    often, _ = broadcast_if_small(often, BROADCAST_PAIRS)
+    suspects = staged(seeds.join(often, "span").groupBy(F.col("h").alias("g")).agg(F.collect_set("word").alias("seeds")), "suspects")
+    suspects, _ = broadcast_if_small(suspects, BROADCAST_PAIRS // 10)
+    some = rows.join(suspects, F.col("h") == F.col("g")).select("id", "h", "text", "seeds")
+    windows = staged(some.mapInArrow(_window_lists(window, seed), SPAN_SCHEMA), "word-windows")
+    later = meet(both.where("end >= 0"), "repeated-runs").unionByName(meet(windows, "repeated-windows")).where(
+        ~at.eqNullSafe(F.col("first")))
     return staged(later.groupBy("id", "h").agg(F.sort_array(F.collect_set(F.struct("start", "end"))).alias("removed")), "removed-spans")
 
 
@@ -111,17 +273,17 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def deduplicated(docs: DataFrame, least: int = SENTENCES, words: int = WORDS, id_col: str = "doc_id",
-                 text_col: str = "text") -> DataFrame:
+                 text_col: str = "text", window: int = WINDOW, seed: int = SEED) -> DataFrame:
     """``(doc_id, text, n_spans, n_removed, removed)``, one row per row of ``docs``.
 
     ``text`` is what is left; ``removed`` lists ``start:end`` in code points
     of the original text, ``n_removed`` counts them.  A text without repeats
     is returned as it is, a null text as null.  Rows that agree in id and text
     count as one text and are treated alike; texts with fewer sentences than a
-    run are left alone.  Null ids come first.  An empty table gives an empty
+    run and fewer words than a window are left alone.  Null ids come first.  An empty table gives an empty
     result.  Other columns are not read.
     """
-    gone = repeated_spans(docs, least, words, id_col, text_col)
+    gone = repeated_spans(docs, least, words, id_col, text_col, window, seed)
     gone, _ = broadcast_if_small(gone.select(F.col("id").alias("i"), F.col("h").alias("g"), "removed"), BROADCAST_PAIRS // 10)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_hash(text_col).alias("h"), F.col(text_col).cast("string").alias("text"))
     return rows.join(gone, F.col("doc_id").eqNullSafe(F.col("i")) & (F.col("h") == F.col("g")), "left").select(

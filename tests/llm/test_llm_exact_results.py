@@ -293,6 +293,47 @@ def test_substring_dedup_catches_a_passage_inside_sentences(spark):
     assert got[2]["text"].split() == odd_rows.words(30, 1).split() + odd_rows.words(30, 2).split()
 
 
+def test_substring_dedup_finds_every_repeated_word_stretch(spark, docs):
+    """Brute force over word windows, not over the operator's own spans."""
+    import re
+
+    one = " ".join(f"word{k}" for k in range(60))                      # no sentence end, no capital
+    two = "Here is one sentence of some words that " + one + " goes on. And another of " + odd_rows.words(30, 8) + " ends it."
+    chinese = "".join(chr(0x4E00 + (k * 37) % 900) for k in range(60)) + "。" + "".join(chr(0x4E00 + (k * 91) % 1100) for k in range(40))
+    planted = [(10**6 + k, t) for k, t in enumerate([
+        f"{odd_rows.words(20, 1)} {one} {odd_rows.words(20, 2)}", f"{odd_rows.words(9, 3)}\n{one}, {odd_rows.words(20, 4)}", two,
+        " ".join(two.split()[5:]) + " x", f"a {chinese} b", f"other{chinese[7:]}text", "ha " * 90, odd_rows.words(400, 6),
+        " ".join(odd_rows.words(400, 6).split()[120:171]) + " then something else"])]
+    both = docs.select("doc_id", "text").where("text is not null").union(spark.createDataFrame(planted, "doc_id long, text string"))
+    rows = sorted((r["doc_id"], r["text"]) for r in both.collect())
+    seen, gone = set(), {}
+    for i, t in rows:
+        found = list(re.finditer(r"[\u3001-\u30ff\u4e00-\u9fff]|[^\s\u3001-\u30ff\u4e00-\u9fff]+", t))
+        gone[i] = np.zeros(len(t), dtype=bool)
+        for k in range(len(found) - substring_dedup.WINDOW + 1):
+            some = found[k:k + substring_dedup.WINDOW]
+            key = tuple(m[0] for m in some)
+            if key in seen:
+                gone[i][some[0].start():some[-1].end()] = True
+            seen.add(key)
+    assert sum(gone[i].any() for i, _ in planted) >= 6
+    assert np.array_equal(substring_dedup.sentences("One. Two\n 三。四！ पाँच। छह"), [0, 5, 10, 12, 15, 21, 23])
+    for r in substring_dedup.deduplicated(both).collect():
+        removed = np.zeros(len(gone[r["doc_id"]]), dtype=bool)
+        for a, b in (map(int, x.split(":")) for x in r["removed"].split(",") if x):
+            removed[a:b] = True
+        assert not (gone[r["doc_id"]] & ~removed).any(), r["doc_id"]
+        if r["doc_id"] == 10**6 + 8:
+            assert r["text"] == "then something else"
+
+
+def test_substring_dedup_of_one_long_sentence(spark):
+    sentence = "This is a single sentence of more than some five and twenty words which " + odd_rows.words(20, 5) + ". "
+    texts = [(1, "Before it. " + sentence + "After it."), (2, "What else. " + sentence + "Nothing more.")]
+    got = {r["doc_id"]: r["text"] for r in substring_dedup.deduplicated(spark.createDataFrame(texts, "doc_id long, text string")).collect()}
+    assert got == {1: texts[0][1], 2: "What else. Nothing more."}
+
+
 # ---------------------------------------------------------------- fingerprints, secrets
 
 def test_fingerprints(spark, docs, texts):
