@@ -5,8 +5,9 @@ access key id, a long hex string) are reported as they are.  Weak parts (a
 user or client name, a short or unnamed secret, an address) are reported only
 where complementary parts stand close by in the same scope: an identifier or
 an endpoint beside a secret, a secret beside one of those.  The interval join
-of parts within a scope is a range window over their positions: each part
-looks ``reach`` characters to both sides, and no pairs are written out.
+of parts within a scope needs no pairs: a part meets a role if the last end of
+that role's parts before it, or the first start of those after it, is at most
+``reach`` characters away, which running windows over starts and ends give.
 """
 
 from __future__ import annotations
@@ -45,8 +46,8 @@ SCHEMA = (f"rid long, doc_id long, n_assign long, n_access long, n_hex long, bas
 
 
 def _varied(value: str) -> bool:
-    """Upper case, lower case and digits: unlike a word of any language."""
-    return any(c.isupper() for c in value) and any(c.islower() for c in value) and any(c.isdigit() for c in value)
+    """Letters and digits, as in keys of any alphabet (base32, hex with dashes); the complement close by does the rest."""
+    return any(c.isalpha() for c in value) and any(c.isdigit() for c in value)
 
 
 def find(text: str) -> tuple[list[tuple], list[tuple]]:
@@ -107,14 +108,23 @@ def parts_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 def linked(parts: DataFrame, reach: int = REACH) -> DataFrame:
     """Parts with a complement in reach: ``(rid, doc_id, start, kind, end, role, weak, with_secret, with_identifier, with_endpoint)``.
 
-    Within a scope of a text (blank lines part scopes) a part at ``start``
-    meets the parts that start at most ``reach`` code points before or after.
+    Within a scope of a text (blank lines part scopes) a part meets those that
+    overlap it or leave a gap of at most ``reach`` code points, counted from
+    the end of the one to the start of the other.
     """
     each = parts.where(F.size("parts") > 1).select("rid", "doc_id", F.inline("parts"))
-    near = Window.partitionBy("rid", "scope").orderBy("start").rangeBetween(-reach, reach)
-    seen = each.withColumns({f"with_{r}": F.max(F.col("role") == r).over(near) for r in ("secret", "identifier", "endpoint")})
+    scope = Window.partitionBy("rid", "scope")
+    # Both run from their side on: a frame that is open to the end would be summed up anew for every row.
+    before = scope.orderBy("start").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    after = scope.orderBy(F.desc("start")).rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    roles = ("secret", "identifier", "endpoint")
+    of = {r: F.col("role") == r for r in roles}
+    near = (each.withColumns({f"__end_{r}": F.max(F.when(of[r], F.col("end"))).over(before) for r in roles})
+            .withColumns({f"__start_{r}": F.min(F.when(of[r], F.col("start"))).over(after) for r in roles}))
+    seen = near.withColumns({f"with_{r}": F.coalesce(F.col("start") - F.col(f"__end_{r}") <= reach, F.lit(False))
+                             | F.coalesce(F.col(f"__start_{r}") - F.col("end") <= reach, F.lit(False)) for r in roles})
     complete = F.when(F.col("role") == "secret", F.col("with_identifier") | F.col("with_endpoint")).otherwise(F.col("with_secret"))
-    return seen.where(complete).drop("scope")
+    return seen.where(complete).drop("scope", *(f"__{side}_{r}" for side in ("end", "start") for r in roles))
 
 
 def scan(docs: DataFrame, reach: int = REACH, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

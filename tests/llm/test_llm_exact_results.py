@@ -422,6 +422,41 @@ def test_weak_parts_need_a_complement_in_the_same_scope(spark):
     assert got == dict(enumerate(cases.values()))
 
 
+def test_reach_is_the_gap_between_parts(spark):
+    key = "Ab1" * 200
+    cases = {
+        f"token={key} user=app": {"assign", "identifier"},
+        f"https://x.example.org/get?sig={key} password: pw1234": {"endpoint", "secret"},
+        f"{'0a' * 300} at 10.0.0.7:5432": {"hex", "endpoint"},
+        f"token={key}{' w' * 145} user=app": {"assign", "identifier"},   # a gap of 291
+        f"token={key}{' w' * 150} user=app": {"assign"},                # a gap of 301
+        f"token={key}\n\nuser=app": {"assign"},
+        "user=app 3f2b8c1e-77aa-4d0c-9b1e-0c5d6e7f8a9b x": {"identifier", "secret"},
+        "10.0.0.7 k3jq9slmn4xr7tuvw2zz x": {"endpoint", "secret"},
+        "user=app MZXW6YTBOI2GK3TPNZSXG5DF x": {"identifier", "secret"},
+        "user=app internationalization-of-words x": set(),
+        "k3jq9slmn4xr7tuvw2zz alone": set(),
+    }
+    df = spark.createDataFrame(list(enumerate(cases)), "doc_id long, text string")
+    got = {r["doc_id"]: {s.split(":")[0] for s in r["spans"].split(",") if s} for r in secret_scan.scan(df).collect()}
+    assert got == dict(enumerate(cases.values()))
+    # Brute force over pairs of parts, with parts in parts and other reaches.
+    import random
+
+    r = random.Random(3)
+    texts = [" ".join(r.choice([f"user=u{k}", f"password: p{k}wwww", "http://h.example/" + "q" * r.randint(0, 60), "\n\n", "w " * r.randint(1, 30),
+                                "token=" + "z" * r.randint(12, 90)]) for k in range(25)) for _ in range(40)]
+    parts = secret_scan.parts_of(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    for reach in (0, 5, 40):
+        want = set()
+        for row in parts.collect():
+            for p in row["parts"]:
+                met = {q["role"] for q in row["parts"] if q["scope"] == p["scope"] and max(q["start"] - p["end"], p["start"] - q["end"]) <= reach}
+                if met & ({"identifier", "endpoint"} if p["role"] == "secret" else {"secret"}):
+                    want.add((row["doc_id"], p["start"], p["kind"], p["end"]))
+        assert {(p["doc_id"], p["start"], p["kind"], p["end"]) for p in secret_scan.linked(parts, reach).collect()} == want
+
+
 # ---------------------------------------------------------------- sharding, mixing
 
 def test_shards_follow_the_mixture(spark):
