@@ -116,7 +116,7 @@ def _linker(radius: int):
         for batch in batches:
             keys = np.concatenate([keys, batch.column("key").to_numpy().view(np.uint64)])
             fps = np.concatenate([fps, batch.column("fp").to_numpy().view(np.uint64)])
-            whole = np.searchsorted(keys != keys[-1], False) if len(keys) else 0  # the last bucket may go on
+            whole = np.searchsorted(keys == keys[-1], True) if len(keys) else 0  # the last bucket may go on
             if whole:
                 yield _links(link(keys[:whole], fps[:whole]))
                 keys, fps = keys[whole:], fps[whole:]

@@ -258,6 +258,31 @@ def test_near_dedup_keeps_one_of_each_group(spark):
     assert all(r["doc_id"] in component[r["doc_id"]] or r["doc_id"] is None for r in kept)
 
 
+def test_buckets_are_closed_batch_by_batch():
+    import pyarrow as pa
+
+    rng = np.random.default_rng(5)
+    keys = np.sort(rng.integers(-300, 300, 2000))
+    # Fingerprints of a bucket differ in its key and in the last bits.
+    fps = keys * 1000003 ^ rng.integers(0, 8, 2000)
+    taken = []
+
+    def batches(size):
+        for k in range(0, len(keys), size):
+            taken.append(k)
+            yield pa.RecordBatch.from_arrays([pa.array(keys[k:k + size]), pa.array(fps[k:k + size])], names=["key", "fp"])
+
+    def pairs(out):
+        return {p for b in out for p in zip(b.column("a").to_pylist(), b.column("b").to_pylist())}
+
+    whole = pairs(simhash._linker(3)(batches(len(keys))))
+    for size in (1, 7, 100):
+        assert pairs(simhash._linker(3)(batches(size))) == whole
+    taken.clear()
+    next(simhash._linker(3)(batches(100)))
+    assert taken == [0]
+
+
 def test_components_of_chains_and_stars(spark):
     edges = [(k, k + 1) for k in range(1000, 1200)] + [(5, k) for k in range(100, 300)] + [(7, 7)]
     got = {r["node"]: r["root"] for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
