@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quizlens.llm import exact_dedup, fingerprint, mixing, oracle_sql, packing, secret_scan, sharding, simhash, substring_dedup, token_ids, toxicity
+from quizlens.llm import exact_dedup, fingerprint, language_id, mixing, oracle_sql, packing, secret_scan, sharding, simhash, substring_dedup, token_ids, toxicity
 from quizlens.session import scratch_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -85,3 +85,9 @@ def op5_fingerprint(spark, sf_dir):
 @register("op8_substring_dedup")
 def op8_substring_dedup(spark, sf_dir):
     return substring_dedup.deduplicated(_docs(spark, sf_dir))
+
+
+@register("op13_language_id")
+def op13_language_id(spark, sf_dir):
+    docs = _docs(spark, sf_dir)
+    return language_id.predicted(docs, language_id.fit(docs))
