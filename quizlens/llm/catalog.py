@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quizlens.llm import conversation_repair, exact_dedup, fingerprint, language_id, mixing, oracle_sql, packing, secret_scan, sharding, simhash, substring_dedup, token_ids, toxicity
+from quizlens.llm import conversation_repair, divergence, exact_dedup, fingerprint, language_id, mixing, oracle_sql, packing, secret_scan, sharding, simhash, substring_dedup, token_ids, toxicity
 from quizlens.session import scratch_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -97,3 +97,8 @@ def op13_language_id(spark, sf_dir):
 def op12_conversation_repair(spark, sf_dir):
     conversations = spark.read.parquet(f"{sf_dir}/conversations.parquet")
     return conversation_repair.repaired(conversation_repair.damaged(conversations), conversations)
+
+
+@register("op11_divergence", oracle_sql.DIVERGENCE)
+def op11_divergence(spark, sf_dir):
+    return divergence.audit(_docs(spark, sf_dir))
