@@ -132,8 +132,11 @@ def _per_billion(n: np.ndarray, whole: np.ndarray) -> np.ndarray:
     return out + 1
 
 
-def _pair_sums(places: dict[str, tuple[list[int], list[int]]]):
-    """Sums of f over kept terms, by language, source and other source; ``places``: gids and N + V of a language's sources."""
+def _pair_sums(places: dict[str, tuple[list[int], list[int]]], size: int):
+    """Sums of f over kept terms, by language, source and other source; ``places``: gids and N + V of a language's sources.
+
+    A matrix has rows for ``size`` sources, a block.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, np.ndarray] = {}
@@ -144,9 +147,9 @@ def _pair_sums(places: dict[str, tuple[list[int], list[int]]]):
                 number, wholes = np.array(gids), np.array(wholes, np.int64)
                 for part_block, rows in _by_value(part, 1):
                     if block != part_block or lang not in sums:  # sorted by language and block
-                        yield from _matrices(sums, block, places)
-                        sums, block = {lang: np.zeros((min(BLOCK, len(gids) - part_block * BLOCK), len(gids)), np.int64)}, part_block
-                    lists, first = rows.column(2), block * BLOCK
+                        yield from _matrices(sums, block, size, places)
+                        sums, block = {lang: np.zeros((min(size, len(gids) - part_block * size), len(gids)), np.int64)}, part_block
+                    lists, first = rows.column(2), block * size
                     ends = lists.offsets.to_numpy()
                     cells = lists.values.slice(ends[0], ends[-1] - ends[0])
                     ends = ends - ends[0]
@@ -160,7 +163,7 @@ def _pair_sums(places: dict[str, tuple[list[int], list[int]]]):
                         p = _per_billion(count, wholes)
                         d = p[:, first:first + height, None] - p[:, None, :]
                         sums[lang] += (d * d // p[:, None, :]).sum(axis=0)
-        yield from _matrices(sums, block, places)
+        yield from _matrices(sums, block, size, places)
 
     return run
 
@@ -174,11 +177,11 @@ def _by_value(batch: pa.RecordBatch, column: int) -> Iterator[tuple]:
         yield codes.dictionary[which[a]].as_py(), batch.slice(a, b - a)
 
 
-def _matrices(sums: dict[str, np.ndarray], block: int | None, places: dict) -> Iterator[pa.RecordBatch]:
+def _matrices(sums: dict[str, np.ndarray], block: int | None, size: int, places: dict) -> Iterator[pa.RecordBatch]:
     for lang, matrix in sums.items():
         gids = np.array(places[lang][0])
         a, b = np.nonzero(np.ones(matrix.shape, bool))
-        yield pa.RecordBatch.from_arrays([pa.array(gids[block * BLOCK + a]), pa.array(gids[b]), pa.array(matrix.ravel())],
+        yield pa.RecordBatch.from_arrays([pa.array(gids[block * size + a]), pa.array(gids[b]), pa.array(matrix.ravel())],
                                          names=["gid", "other", "value"])
 
 
@@ -219,7 +222,8 @@ def _value(p: Column, q: Column) -> Column:
     return F.call_function("div", (p - q) * (p - q), q)
 
 
-def audit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", source_col: str = "source", top: int = TOP_TERMS) -> DataFrame:
+def audit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", source_col: str = "source", top: int = TOP_TERMS,
+          block: int = BLOCK) -> DataFrame:
     """``(lang, source, part, item, value, rank)``: for every source of a language its divergence from each other one,
     and its most typical terms.
 
@@ -251,12 +255,12 @@ def audit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", sourc
         gids, wholes = places.setdefault(r["lang"], ([], []))
         gids.append(r["gid"])
         wholes.append(r["whole"])
-    blocks = {lang: -(-len(gids) // BLOCK) for lang, (gids, _) in places.items()}
+    blocks = {lang: -(-len(gids) // block) for lang, (gids, _) in places.items()}
     most = F.lit(max(blocks.values(), default=1))
     several = {lang: n for lang, n in blocks.items() if n > 1}
     last = F.coalesce(F.create_map(*[F.lit(x) for pair in several.items() for x in pair])[F.col("lang")], F.lit(1)) if several else F.least(most, F.lit(1))
     pairs = (kept.select("lang", F.explode(F.sequence(F.lit(0), last - 1)).alias("block"), "cells").sortWithinPartitions("lang", "block")
-             .mapInArrow(_pair_sums(places), "gid long, other long, value long").groupBy("gid", "other").agg(F.sum("value").alias("value")))
+             .mapInArrow(_pair_sums(places, block), "gid long, other long, value long").groupBy("gid", "other").agg(F.sum("value").alias("value")))
     left, right = sizes.alias("a"), sizes.alias("b")
     both = (left.join(right, (F.col("a.lang") == F.col("b.lang")) & (F.col("a.gid") != F.col("b.gid")))
             .select("a.lang", "a.source", F.col("b.source").alias("item"), F.col("a.gid").alias("gid"), F.col("b.gid").alias("other"))

@@ -2,10 +2,12 @@
 
 import random
 
+from pyspark.sql import functions as F
+
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 #: Names that operators use for columns of their own.
 CLASHING = ("size", "h", "id", "row", "kept", "fp", "rank", "src", "target", "copies", "copy", "score", "part", "span",
-            "__slice", "rid", "tie", "length", "piece", "start")
+            "__slice", "rid", "tie", "length", "piece", "start", "doc", "gid", "term", "chunk", "cells", "held", "word", "n", "key", "gram")
 
 
 def words(n, seed=0):
@@ -30,14 +32,32 @@ def rows():
 
 
 def table(spark, clashing=False, empty=False):
-    from pyspark.sql import functions as F
-
     df = spark.createDataFrame([] if empty else rows(), SCHEMA)
     return df.withColumns({c: F.lit(f"own {c}") for c in CLASHING}) if clashing else df
 
 
+CONVERSATIONS = "conv_id long, turn long, role string, text string"
+
+
+def conversation_rows():
+    """Missing ids, turns, roles and texts, ties, repeated turns, unknown roles, a long conversation and a long text."""
+    out = [(None, None, None, None), (None, 1, "user", "Who?"), (1, None, "user", "No turn."), (1, None, "user", "No turn."), (1, 3, None, "x"),
+           (1, 3, "assistant", None), (1, 9, "", ""), (2, 0, "system", "Only."), (3, 5, "user", "Same."), (3, 5, "user", "Same."),
+           (3, 7, "user", "Same."), (4, 1, "tool", "a" * 50_000), (4, 2, "system", "Late system."), (4, 3, "assistant", "End"),
+           (5, 0, "user", " \n"), (6, -4, "u", "Initials.\u2003"), (6, 2, "a", "count!")]
+    r = random.Random(8)
+    for conv in range(10, 60):
+        out += [(conv, t, r.choice(["system", "user", "user", "assistant", "assistant", "x"]), r.choice(["Yes.", "No", "Why?", "", words(5, t)]))
+                for t in range(r.randint(1, 9))]
+    return out + [(7, t, "user" if t % 2 else "assistant", words(3, t) + ".") for t in range(400)]
+
+
 def folder(spark, path, **how):
-    """``documents`` and ``labels`` as an sf folder."""
+    """``documents``, ``labels`` and ``conversations`` as an sf folder."""
+    turns = spark.createDataFrame([] if how.get("empty") else conversation_rows(), CONVERSATIONS)
+    if how.get("clashing"):
+        turns = turns.withColumns({c: F.lit(f"own {c}") for c in ("conv", "kind", "key", "copies", "payload", "first", "blank", "truncated", "initial")})
+    turns.write.parquet(f"{path}/conversations.parquet")
     table(spark, **how).write.parquet(f"{path}/documents.parquet")
     labels = [(k, 1, k % 3 == 0) for k in range(200) if k != 12] + [(3, None, None), (4, 1, True)]
     spark.createDataFrame([] if how.get("empty") else [(a, b, None if c is None else int(c)) for a, b, c in labels],
