@@ -30,7 +30,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quizlens.functions import prompts as P
+from quizlens.operators import answer_store
 from quizlens.operators import responses as R
+from quizlens.plans.sizing import cut_lineage
 from quizlens.session import ship_package
 
 CompleterFactory = Callable[[], Callable]
@@ -84,22 +86,29 @@ def _build_once(factory: Callable[[], Callable]) -> Callable:
     return fn
 
 
-def _safe_complete(complete, system, prompts, temperature, max_tokens, options=None):
-    options = options or {}
+def bisected(call: Callable[[list], list], items: list) -> list:
+    """``call(items)``; where it fails, the items are halved until the bad ones are alone, and those give None.
+
+    One bad item of n costs about 2 log2(n) calls more, instead of n.
+    """
+    if not items:
+        return []
     try:
-        out = list(complete(system, prompts, temperature, max_tokens, **options))
-        if len(out) != len(prompts):
-            raise ValueError("completer returned a different number of answers")
-        return [None if o is None else str(o) for o in out]
-    except Exception:  # isolate: retry one by one, a failure becomes NULL
-        res = []
-        for p in prompts:
-            try:
-                o = complete(system, [p], temperature, max_tokens, **options)[0]
-                res.append(None if o is None else str(o))
-            except Exception:
-                res.append(None)
-        return res
+        out = list(call(items))
+        if len(out) == len(items):
+            return out
+    except Exception:  # noqa: BLE001 - a failure of the model, whatever it is, is isolated
+        pass
+    if len(items) == 1:
+        return [None]
+    half = len(items) // 2
+    return bisected(call, items[:half]) + bisected(call, items[half:])
+
+
+def _safe_complete(complete, system, prompts, temperature, max_tokens, options=None):
+    """The answers, None for each prompt on which the completer fails."""
+    answers = bisected(lambda some: complete(system, some, temperature, max_tokens, **(options or {})), prompts)
+    return [None if a is None else str(a) for a in answers]
 
 
 def _call_udf(factory, max_tokens, batch_rows, options=None):
@@ -133,35 +142,24 @@ def call_tasks(df: DataFrame, partitions: int | None = None) -> DataFrame:
     return df.repartition(partitions or max(width, spark.sparkContext.defaultParallelism))
 
 
-def stored(df: DataFrame, path: str | None) -> DataFrame:
-    """``df`` written once to ``path`` and read back from there; a folder that is complete is only read.
-
-    Answers of a model are paid for and may differ from call to call: with a
-    folder, later reports, retries and runs all see the same ones.
-    """
-    if path is None:
-        return df
-    spark = df.sparkSession
-    jvm = spark._jvm
-    done = jvm.org.apache.hadoop.fs.Path(path.rstrip("/") + "/_SUCCESS")
-    if not done.getFileSystem(spark._jsc.hadoopConfiguration()).exists(done):
-        df.write.mode("overwrite").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def llm_map(df: DataFrame, prompt: str | Column, out_col: str, completer: CompleterFactory,
             system: str | Column | None = None, temperature: float | str | Column = JUDGE_TEMPERATURE,
             max_tokens: int | None = JUDGE_MAX_TOKENS, dedupe: bool | None = None,
             partitions: int | None = None, batch_rows: int = 64,
-            options: dict | None = None, store: str | None = None) -> DataFrame:
+            options: dict | None = None, store: str | None = None, retry_failed: bool = False) -> DataFrame:
     """One model call per row (or per distinct request), text back, errors NULL.
 
     ``dedupe`` (default: only when every temperature is 0) sends each distinct
     ``(system, prompt, temperature)`` once and joins the answers back on that
     request; otherwise every row is its own call.  Only the request crosses
     into Python.  ``partitions`` sets the number of call tasks (see
-    :func:`call_tasks`); ``store`` names a folder that keeps the answers (see
-    :func:`stored`).
+    :func:`call_tasks`).
+
+    ``store`` names a folder that keeps the answers by request (see
+    :mod:`quizlens.operators.answer_store`): the calls are made now, and only
+    those that the folder lacks; rows of one request that are calls of their
+    own take its samples in order.  With ``retry_failed`` calls that failed
+    before are made again.
     """
     ship_package(df.sparkSession)
     p_col = F.col(prompt) if isinstance(prompt, str) else prompt
@@ -175,7 +173,20 @@ def llm_map(df: DataFrame, prompt: str | Column, out_col: str, completer: Comple
     if dedupe is None:
         dedupe = zero_temp
     call = _call_udf(completer, max_tokens, batch_rows, options)
-    request = {"_prompt": p_col.cast("string"), "_system": s_col.cast("string"), "_temperature": t_col.cast("double")}
+    request = {"_prompt": p_col.cast("string"), "_system": s_col.cast("string"), "_temperature": t_col.cast("double")}  # in the order of `call`
+    if store is not None:
+        key = answer_store.request_key(*(F.col(c) for c in ("_system", "_prompt", "_temperature")), max_tokens, options)
+        req = df.withColumns(request).withColumn("_rkey", key)
+        if dedupe:
+            req = req.withColumn("_sample", F.lit(0))
+        else:
+            req = answer_store.with_samples(cut_lineage(req), "_rkey", "_sample")
+        req = cut_lineage(req.withColumn("_akey", F.sha2(F.concat_ws(":", "_rkey", "_sample"), 256)).drop("_rkey", "_sample"))
+        asked = req.where(F.col("_prompt").isNotNull()).select(F.col("_akey").alias("key"), *request)
+        answers = answer_store.answered(
+            asked, lambda some: call_tasks(some, partitions).select("key", call(*request).alias("response")), store, retry_failed)
+        return (req.join(answers.withColumnsRenamed({"key": "_akey", "response": "_response"}), "_akey", "left").drop("_akey", *request)
+                .withColumnRenamed("_response", out_col))
     if dedupe:
         # One call per distinct request, keyed by the SHA-256 of the request:
         # the answers travel back without the prompt text, and the join key is
@@ -183,12 +194,10 @@ def llm_map(df: DataFrame, prompt: str | Column, out_col: str, completer: Comple
         req = df.withColumns(request).withColumn("_rkey", F.sha2(F.to_json(F.struct(*request)), 256))
         calls = (req.where(F.col("_prompt").isNotNull())
                  .select("_rkey", "_system", "_prompt", "_temperature").dropDuplicates(["_rkey"]))
-        answered = stored(call_tasks(calls, partitions).select("_rkey", call("_prompt", "_system", "_temperature").alias("_response")), store)
-        out = req.join(answered, "_rkey", "left").drop("_rkey", *request).withColumnRenamed("_response", out_col)
-    else:
-        req = call_tasks(df, partitions).withColumns(request)
-        out = stored(req.withColumn(out_col, call("_prompt", "_system", "_temperature")).drop(*request), store)
-    return out
+        answered = call_tasks(calls, partitions).select("_rkey", call("_prompt", "_system", "_temperature").alias("_response"))
+        return req.join(answered, "_rkey", "left").drop("_rkey", *request).withColumnRenamed("_response", out_col)
+    req = call_tasks(df, partitions).withColumns(request)
+    return req.withColumn(out_col, call("_prompt", "_system", "_temperature")).drop(*request)
 
 
 def llm_map_many(df: DataFrame, requests: list[tuple[Column, str, str | None, float, int | None]],
@@ -196,16 +205,21 @@ def llm_map_many(df: DataFrame, requests: list[tuple[Column, str, str | None, fl
                  batch_rows: int = 64, store: str | None = None) -> DataFrame:
     """Several model columns in one pass: ``requests`` are
     ``(prompt, out_col, system, temperature, max_tokens)``.  The rows are
-    spread once; only the prompts cross into Python."""
+    spread once; only the prompts cross into Python.  With a ``store`` each
+    request is asked against it (see :func:`llm_map`)."""
     if not requests:
         return df
+    if store is not None:
+        for prompt, out_col, system, temperature, max_tokens in requests:
+            df = llm_map(df, prompt, out_col, completer, system, temperature, max_tokens, False, partitions, batch_rows, store=store)
+        return df
     ship_package(df.sparkSession)
     prompts = {f"_prompt{i}": r[0].cast("string") for i, r in enumerate(requests)}
     req = call_tasks(df, partitions).withColumns(prompts)
     for i, (_, out_col, system, temperature, max_tokens) in enumerate(requests):
         call = _call_udf(completer, max_tokens, batch_rows)
         req = req.withColumn(out_col, call(f"_prompt{i}", F.lit(system).cast("string"), F.lit(temperature).cast("double")))
-    return stored(req.drop(*prompts), store)
+    return req.drop(*prompts)
 
 
 def _embed_batches(factory, batch_rows):
@@ -215,7 +229,8 @@ def _embed_batches(factory, batch_rows):
             vecs = []
             texts = pdf["_text"].tolist()
             for start in range(0, len(texts), batch_rows):
-                vecs.extend([list(map(float, v)) for v in embed(texts[start:start + batch_rows])])
+                found = bisected(embed, texts[start:start + batch_rows])
+                vecs.extend([None if v is None else list(map(float, v)) for v in found])
             yield pd.DataFrame({"_tkey": pdf["_tkey"].tolist(), "_vector": vecs})
     return run
 
@@ -227,7 +242,8 @@ def embed_texts(df: DataFrame, text_col: str, embedder: EmbedderFactory,
 
     Texts are keyed by their SHA-256, so the vectors travel back without the
     text and the join key stays short.  NULL text embeds as the empty string
-    (as an empty distractor does).
+    (as an empty distractor does).  A text on which the embedder fails gets a
+    NULL vector, and the others of its batch their own.
     """
     ship_package(df.sparkSession)
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
@@ -297,23 +313,24 @@ def distractors_quality(df, system_prompt, completer, out_col="distractors_quali
 
 def clean_sheets(sheets: DataFrame, completer: CompleterFactory, content_col: str = "content_cleaned",
                  out_col: str = "content_gpt", system_prompt: str = P.CLEANING_SYSTEM_PROMPT,
-                 temperature: float = CLEANING_TEMPERATURE) -> DataFrame:
-    """Model-cleaned sheet text; a failed call leaves NULL (the row stays)."""
+                 temperature: float = CLEANING_TEMPERATURE, store: str | None = None, retry_failed: bool = False) -> DataFrame:
+    """Model-cleaned sheet text; a failed call leaves NULL (the row stays).  ``store``: see :func:`llm_map`."""
     return llm_map(sheets, P.cleaning_prompt(content_col), out_col, completer, system=system_prompt,
-                   temperature=temperature, max_tokens=None)
+                   temperature=temperature, max_tokens=None, store=store, retry_failed=retry_failed)
 
 
 def generate_questions(sheets: DataFrame, completer: CompleterFactory, content_col: str = "content_gpt",
                        temperatures=GENERATION_TEMPERATURES, out_col: str = "response",
-                       wide: bool = False) -> DataFrame:
+                       wide: bool = False, store: str | None = None, retry_failed: bool = False) -> DataFrame:
     """One generation per sheet and temperature.
 
     Long form ``(..., temperature, response)`` by default; ``wide=True``
     pivots to one ``generated_questions_<t>`` column per temperature.
+    ``store`` keeps the raw answers (see :func:`llm_map`).
     """
     runs = sheets.withColumn("temperature", F.explode(F.array(*[F.lit(float(t)) for t in temperatures])))
     long = llm_map(runs, P.generation_prompt(content_col), out_col, completer,
-                   temperature="temperature", max_tokens=None,
+                   temperature="temperature", max_tokens=None, store=store, retry_failed=retry_failed,
                    options={**GENERATION_OPTIONS,
                             "json_schema": record_schema(R.MCQ_FIELDS)})
     if not wide:
@@ -326,14 +343,16 @@ def generate_questions(sheets: DataFrame, completer: CompleterFactory, content_c
 
 def answer_exam(items: DataFrame, completer: CompleterFactory, runs: dict[str, float] = EXAM_RUNS,
                 out_col: str = "response", question_col: str = "question",
-                opa: str = "opa", opb: str = "opb", opc: str = "opc", opd: str = "opd") -> DataFrame:
+                opa: str = "opa", opb: str = "opb", opc: str = "opc", opd: str = "opd", store: str | None = None,
+                retry_failed: bool = False) -> DataFrame:
     """The exam prompt answered once per run; long form with ``run`` and
-    ``temperature`` columns."""
+    ``temperature`` columns.  Two runs at one temperature are samples of their
+    own.  ``store`` keeps the raw answers (see :func:`llm_map`)."""
     pairs = F.array(*[F.struct(F.lit(label).alias("run"), F.lit(float(t)).alias("temperature"))
                       for label, t in runs.items()])
     exploded = items.withColumn("_run", F.explode(pairs)).select("*", "_run.run", "_run.temperature").drop("_run")
     return llm_map(exploded, P.exam_prompt(question_col, opa, opb, opc, opd), out_col, completer,
-                   temperature="temperature", max_tokens=EXAM_MAX_TOKENS,
+                   temperature="temperature", max_tokens=EXAM_MAX_TOKENS, store=store, retry_failed=retry_failed,
                    options={**EXAM_OPTIONS,
                             "json_schema": record_schema((R.ANSWER_FIELD,))})
 

@@ -245,11 +245,13 @@ def trigram_difference(mcqs: DataFrame, sheets: DataFrame, key_col: str = "mcq_i
     """Question trigrams missing from the question's sheet, one row each.
 
     Questions whose sheet is absent (or has no text) have no difference set;
-    they are filtered out before any text is exploded.  Rows of several sheets
+    they are filtered out before any text is exploded, and so are sheets that
+    no question cites.  Rows of several sheets
     with one id count together.  The anti join runs on ``(id, trigram)``
     against a stored distinct side, so AQE can split a hot pair.
     """
-    known = sheets.where(F.col(sheet_col).isNotNull())
+    cited = mcqs.where(F.col(question_col).isNotNull()).select(id_col).distinct()
+    known = sheets.where(F.col(sheet_col).isNotNull()).join(cited, id_col, "left_semi")
     present = cut_lineage(known.select(id_col).distinct())
     asked = mcqs.where(F.col(question_col).isNotNull()).join(present, id_col, "left_semi")
     qt = trigram_rows(asked, [key_col, id_col], question_col, stop_words, lemmas)

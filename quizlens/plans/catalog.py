@@ -111,7 +111,7 @@ def q_originality_corpus(spark, sf):
 
 from quizlens.functions import prompts as PR  # noqa: E402
 from quizlens.functions import text as TX  # noqa: E402
-from quizlens.operators import models, responses, sheets as sheet_ops, tables  # noqa: E402
+from quizlens.operators import lemmas, models, responses, sheets as sheet_ops, tables  # noqa: E402
 from quizlens.plans import jobs, stubs  # noqa: E402
 from quizlens.session import scratch_path  # noqa: E402
 from quizlens.sources import files  # noqa: E402
@@ -633,6 +633,29 @@ for _label, _c in zip(PR.EXAM_OPTION_LABELS, ("opa", "opb", "opc", "opd")):
 _EXAM_SQL_PARTS.append(O.lit(PR.EXAM_TEMPLATE_TAIL))
 
 
+# Exceptions by invention; the lexicon is the words of the questions, the forms are those of the sheets.
+_EXCEPTIONS = (("than", "thing"), ("onan", "an"), ("ofed", "nowhere"), ("hes", "her"), ("ation", "ing"))
+
+
+@register("noun_lemmas", fx.cte("mcqs", "sheets") + f""",
+forms AS (SELECT DISTINCT unnest({O.tokens('content_gpt')}) AS form FROM sheets WHERE content_gpt IS NOT NULL),
+lexicon AS (SELECT DISTINCT unnest({O.tokens('question')}) AS lemma FROM mcqs WHERE question IS NOT NULL),
+exceptions AS (SELECT * FROM (VALUES {_S(f"({O.lit(a)}, {O.lit(b)})" for a, b in _EXCEPTIONS)}) e(form, lemma)),
+endings AS (SELECT * FROM (VALUES {_S(f"({O.lit(a)}, {O.lit(b)})" for a, b in lemmas.NOUN_ENDINGS)}) e(ending, put)),
+plain AS (SELECT form FROM forms WHERE form NOT IN (SELECT form FROM exceptions)),
+one AS (SELECT form, left(form, length(form) - length(ending)) || put AS c FROM plain, endings WHERE ends_with(form, ending)),
+two AS (SELECT form, left(c, length(c) - length(ending)) || put AS c FROM one, endings WHERE ends_with(c, ending)),
+three AS (SELECT form, left(c, length(c) - length(ending)) || put AS c FROM two, endings WHERE ends_with(c, ending)),
+candidates AS (SELECT form, 1 AS r, form AS c FROM forms UNION ALL SELECT form, 1, c FROM one UNION ALL SELECT form, 2, c FROM two
+    UNION ALL SELECT form, 3, c FROM three UNION ALL SELECT f.form, 1, e.lemma FROM forms f JOIN exceptions e USING (form)),
+found AS (SELECT form, arg_min(c, (r, length(c), c <> form, c)) AS lemma FROM candidates WHERE c IN (SELECT lemma FROM lexicon) GROUP BY form)
+SELECT form, lemma FROM found WHERE form <> lemma""")
+def q_noun_lemmas(spark, sf):
+    words = {c: df.select(F.explode(TX.content_tokens(c)).alias("word")) for df, c in ((_sheets(spark, sf), "content_gpt"), (_mcqs(spark, sf), "question"))}
+    exceptions = spark.createDataFrame(_EXCEPTIONS, "form string, lemma string")
+    return lemmas.noun_lemmas(words["content_gpt"], words["question"], exceptions, "word", "word")
+
+
 @register("build_exam_prompt", fx.cte("exam_items") + f"""
 SELECT id, {' || '.join(_EXAM_SQL_PARTS)} AS prompt FROM exam_items""")
 def q_build_exam_prompt(spark, sf):
@@ -725,6 +748,15 @@ def q_generate_questions(spark, sf):
         "id", "temperature", "response")
 
 
+@register("generate_questions_stored", ORACLE["generate_questions"])
+def q_generate_questions_stored(spark, sf):
+    """The same run in two halves on one folder of answers: the second asks only what the first left."""
+    base = joins.test_split(_sheets(spark, sf), _split_list(spark)).select("id", "content_gpt")
+    store = scratch_path(spark, "generated")
+    models.generate_questions(base.where(F.crc32(F.col("id").cast("binary")) % 2 == 0), stubs.StubGenerator(), store=store)
+    return models.generate_questions(base, stubs.StubGenerator(), store=store).select("id", "temperature", "response")
+
+
 @register("generate_questions_job", _RUNS_SQL + f""",
 made AS (SELECT id, temperature, {_GENERATED_SQL} AS response FROM runs)
 SELECT id, temperature, {_MCQ_VALID} AS valid,
@@ -810,3 +842,15 @@ def q_score_csv_job(spark, sf):
     names = spark.read.options(**files.CSV_OPTIONS).csv(paths[2]).columns
     read = files.read_csv_table(spark, paths[2], ", ".join(f"{n} {kinds.get(n, 'string')}" for n in names))
     return read.select("id", "readability", "starts_with_negation", "content_gpt")
+
+
+@register("score_csv_shipped", fx.cte("mcqs") + f"""
+SELECT m.id, nullif(question, '') AS question, CAST({_size_sql(_judge_sql())} % 5 + 1 AS VARCHAR) AS distractors_quality FROM mcqs m""")
+def q_score_csv_shipped(spark, sf):
+    """The command as it ships: no merge, the judge of the distractors alone, every column of the question file kept."""
+    paths = [scratch_path(spark, f"shipped-{x}") for x in ("mcqs", "scored")]
+    files.write_csv_table(_fx(spark, sf, "mcqs").drop("mcq_id"), paths[0])
+    off = {f"compute_{x}": False for x in ("originality", "readability", "negation", "is_question", "relevance", "ambiguity")}
+    jobs.score_csv_job(spark, paths[0], None, paths[1], merge=False, completer=stubs.StubJudge(),
+                       distractors_quality_system_prompt=JUDGE_SYSTEM, **off)
+    return files.read_csv_header(spark, paths[1]).select("id", "question", "distractors_quality")

@@ -62,15 +62,18 @@ def score_questions(mcqs: DataFrame, sheets: DataFrame | None = None, *,
                     vectors: DataFrame | None = None,
                     stop_words=TX.ENGLISH_STOP_WORDS, lemmas: dict[str, str] | DataFrame | None = None,
                     temp: float = models.JUDGE_TEMPERATURE,
-                    max_completion_tokens: int = models.JUDGE_MAX_TOKENS) -> DataFrame:
+                    max_completion_tokens: int = models.JUDGE_MAX_TOKENS, store: str | None = None) -> DataFrame:
     """Score every question row; each enabled criterion adds one column.
 
     ``merge=True`` left-joins ``sheets`` (J4) to bring ``sheet_col``;
-    with ``merge=False`` the question table must already hold it.  Vector
+    with ``merge=False`` the question table must already hold it, if a
+    criterion that is asked for reads the sheet (both originalities,
+    relevance, answerability); others need no sheet at all.  Vector
     scores need ``vectors`` (``text``, ``embedding``) or an ``embedder``;
     model criteria need a ``completer`` and their system prompt (G12).  A bad
     row yields NULL in the affected score only.  ``key_col`` identifies a
-    question row.
+    question row.  ``store`` names a folder that keeps the model's answers (see
+    :func:`quizlens.operators.models.llm_map`).
 
     A criterion that has its prompt but no ``completer`` is an error, not a
     missing column.  ``lemmas`` and ``stop_words`` go to both originality
@@ -122,6 +125,8 @@ def score_questions(mcqs: DataFrame, sheets: DataFrame | None = None, *,
         cites = mcqs.select(key_col, F.col(sheet_id_col).alias("id"))
         pairs = cites.join(sk.select("id", "_skey"), "id").select(key_col, "_skey").distinct()
         corpus = sheets
+    elif not (compute_originality or compute_corpus_originality or compute_relevance):
+        wide, sk = base, None       # nothing reads a sheet
     else:
         wide = base.withColumn("_skey", F.sha2(F.col(sheet), 256))
         sk = wide.where(F.col("_skey").isNotNull()).select("_skey", sheet).dropDuplicates(["_skey"])
@@ -173,16 +178,18 @@ def score_questions(mcqs: DataFrame, sheets: DataFrame | None = None, *,
     # G6-G9 in one pass over the rows.
     requests = [(PR.judge_prompt(**cols, **layout), out_name, system, temp, max_completion_tokens)
                 for _, system, out_name, layout in asked]
-    return models.llm_map_many(out, requests, completer)
+    return models.llm_map_many(out, requests, completer, store=store)
 
 
 def _vectors_for(mcqs, sk, vectors, embedder, question_col, sheet_col, option_cols) -> DataFrame:
-    """``(_tkey, embedding)`` for every question, sheet and option text."""
+    """``(_tkey, embedding)`` for every question, sheet and option text; the least of several vectors of a text."""
     if vectors is not None:
-        return vectors.select(_text_key("text").alias("_tkey"), "embedding").dropDuplicates(["_tkey"])
+        return vectors.groupBy(_text_key("text").alias("_tkey")).agg(F.min("embedding").alias("embedding"))
     if embedder is None:
         raise ValueError("vector scores need `vectors` or an `embedder`")
-    texts = mcqs.select(F.col(question_col).alias("text")).unionByName(sk.select(F.col(sheet_col).alias("text")))
+    texts = mcqs.select(F.col(question_col).alias("text"))
+    if sk is not None:
+        texts = texts.unionByName(sk.select(F.col(sheet_col).alias("text")))
     for c in option_cols:
         texts = texts.unionByName(mcqs.select(F.col(c).alias("text")))
     return text_vectors(texts, embedder, "text")
@@ -212,12 +219,12 @@ def ingest_sheets(spark: SparkSession, root: str, completer: models.CompleterFac
 def generate_questions_job(sheets: DataFrame, folders: DataFrame | None,
                            completer: models.CompleterFactory, content_col: str = "content_gpt",
                            temperatures=models.GENERATION_TEMPERATURES,
-                           fill_invalid: bool = True) -> DataFrame:
+                           fill_invalid: bool = True, store: str | None = None) -> DataFrame:
     """Job C: test split -> generation per temperature -> strict validation ->
     repair of invalid records -> flat MCQ rows ``(id, temperature, fields...)``."""
     base = joins.test_split(sheets, folders) if folders is not None else sheets
     gen = models.generate_questions(base.select("id", content_col), completer, content_col,
-                                    temperatures)
+                                    temperatures, store=store)
     v = responses.validate_mcq_json(gen, "response", "mcq")
     v = v.withColumn("valid", F.col("mcq").isNotNull())
     if fill_invalid:
@@ -227,10 +234,10 @@ def generate_questions_job(sheets: DataFrame, folders: DataFrame | None,
 
 
 def answer_exams(items: DataFrame, completer: models.CompleterFactory,
-                 runs: dict[str, float] = models.EXAM_RUNS) -> DataFrame:
+                 runs: dict[str, float] = models.EXAM_RUNS, store: str | None = None) -> DataFrame:
     """Job C': answer every exam item once per run; validated, upper-cased,
     remapped model answers in long form ``(id, ..., run, temperature, model_answer)``."""
-    answered = models.answer_exam(items, completer, runs)
+    answered = models.answer_exam(items, completer, runs, store=store)
     return models.model_answers(answered, "response", "model_answer")
 
 
@@ -243,27 +250,33 @@ def exam_results(answers: DataFrame, run: str) -> DataFrame:
     return answers.where(F.col("run") == run).select(*EXAM_RESULT_COLS)
 
 
-def with_row_key(df: DataFrame, key_col: str = "mcq_id") -> DataFrame:
-    """``df`` with a row number column where it has none.
+#: Columns that carry the place of a row of a CSV file: the file, and a number that ascends within it.
+PLACE = ("_file", "_place")
+
+
+def in_place(table: DataFrame) -> DataFrame:
+    """A table read from files, with the place of each row (:data:`PLACE`).
 
     The numbered rows are stored in the shared checkpoint folder, so every
     later read sees the same number for a row.
     """
-    if key_col in df.columns:
-        return df
-    return cut_lineage(df.withColumn(key_col, F.monotonically_increasing_id()))
+    return cut_lineage(table.withColumns({"_file": F.col("_metadata.file_path"), "_place": F.monotonically_increasing_id()}))
 
 
-def score_csv_job(spark: SparkSession, mcqs_path: str, sheets_path: str, output: str, key_col: str = "mcq_id",
-                  id_col: str = "id", **options) -> None:
-    """The toolkit's command: question and sheet CSV files in, scored questions as CSV out.
+def score_csv_job(spark: SparkSession, mcqs_path: str, sheets_path: str | None, output: str, id_col: str = "id",
+                  merge: bool = True, **options) -> None:
+    """The toolkit's command: question and sheet CSV files in, scored questions as CSV out, in the order of the input.
 
-    Sheets that no question cites are left out first (J1); ``options`` go to
-    :func:`score_questions`.  The row key is made here (the files have none)
-    and left out of the result.
+    The question file's columns are those of its header, and all of them are
+    in the result.  Sheets that no question cites are left out first (J1);
+    with ``merge=False`` no sheet file is needed.  ``options`` go to
+    :func:`score_questions`.  The result's files, read in the order of their
+    names, hold the rows in the order of the input (file by file); they are
+    written by ranges, in parallel.
     """
-    mcqs = files.read_csv_table(spark, mcqs_path, files.MCQS_SCHEMA)
-    sheets = files.read_csv_table(spark, sheets_path, files.SHEETS_SCHEMA)
-    sheets = joins.semi_join_sheets(sheets, mcqs, id_col)
-    scored = score_questions(with_row_key(mcqs, key_col), sheets, key_col=key_col, sheet_id_col=id_col, **options)
-    files.write_csv_table(scored.drop(key_col), output)
+    mcqs = in_place(files.read_csv_header(spark, mcqs_path))
+    sheets = None
+    if merge:
+        sheets = joins.semi_join_sheets(files.read_csv_table(spark, sheets_path, files.SHEETS_SCHEMA), mcqs, id_col)
+    scored = score_questions(mcqs, sheets, merge=merge, key_col="_place", sheet_id_col=id_col, **options)
+    files.write_csv_table(scored, output, order_by=PLACE)

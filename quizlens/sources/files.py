@@ -105,9 +105,21 @@ def read_csv_table(spark: SparkSession, path: str, schema: str | T.StructType) -
     return spark.read.options(**CSV_OPTIONS).schema(schema).csv(path)
 
 
-def write_csv_table(df: DataFrame, path: str, mode: str = "overwrite") -> None:
+def read_csv_header(spark: SparkSession, path: str) -> DataFrame:
+    """As :func:`read_csv_table`, with the columns of the file's own header, all strings."""
+    return spark.read.options(**CSV_OPTIONS).csv(path)
+
+
+def write_csv_table(df: DataFrame, path: str, mode: str = "overwrite", order_by: tuple[str, ...] = ()) -> None:
     """Header CSV, no index column; NULLs and empty strings are both empty
-    fields, which read back as NULL."""
+    fields, which read back as NULL.
+
+    With ``order_by`` (columns that are not written) the rows are dealt by
+    ranges and sorted within them: the files, in the order of their names,
+    hold the table in order, and no task sorts more than its range.
+    """
+    if order_by:
+        df = df.orderBy(*order_by).drop(*order_by)
     df.write.mode(mode).options(**CSV_OPTIONS).csv(path)
 
 
