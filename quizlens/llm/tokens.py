@@ -36,6 +36,8 @@ WHOLE, SHARED = Memory(1_000_000, 8_000_000), Memory(500_000, 3_000_000)
 LONGEST = 40
 #: Marks that are tokens of their own where one follows a letter and ends a piece.
 AFTER = ".,;:!?"
+#: Latin, Greek and Cyrillic letters lie before it.
+SURE = "\u0530"
 #: Words that are encoded as one text, and characters that the library gets at a time.
 LOT, AT_ONCE = 500, 250_000
 
@@ -89,8 +91,16 @@ class Encoder:
         return [array("I", e.ids).tobytes() for e in self._encodings(strings)]
 
     def _alone(self, string: str) -> bool:
-        """A word of letters alone, with the space before it if pieces have one."""
-        return string.isalpha() if self.cut == "words" else string[:1] == " " and string[1:].isalpha()
+        """A word of letters alone, with the space before it if pieces have one, that is one word to the tokenizer too.
+
+        In lower case it must still be letters (``İ`` becomes a letter and a
+        mark), and from scripts whose letters all tables of characters agree on.
+        """
+        if self.cut != "words":
+            if string[:1] != " ":
+                return False
+            string = string[1:]
+        return string.isalpha() and (string.isascii() or (max(string) < SURE and string.lower().isalpha()))
 
     def _learn(self, pieces: list) -> None:
         """Words of letters are encoded many at a time, as one text; a word with a mark after it is put together."""

@@ -40,6 +40,27 @@ def test_pieces_give_the_ids_of_the_whole_text(texts, name, cut):
     assert list(Encoder(path, cut).encode(some)) == list(Encoder(path, None).encode(some))
 
 
+def mixed_scripts(n, seed=11):
+    """Texts of words and marks from many scripts, capitals whose lower case has a mark among them."""
+    import random
+
+    r = random.Random(seed)
+    alphabets = ["abcXYZ", "İIıiŞĞÜ", "éßŉǆÅ", "ΑΣςσΐΰ", "ЖжЙё", "ԱևՙԲ", "אבשׁ", "ابتّ٣", "कि़नीं", "กำแ", "日本語。", "かガ゛", "한글ᄀ", "ꭰᏸᲐა", "𐐀𞤀", "𝐀²½", "'’_-", "ʰˀͅ"]
+    out = []
+    for _ in range(n):
+        words = ["".join(r.choice(r.choice(alphabets) if r.random() < 0.2 else a) for _ in range(r.randint(1, 7))) + r.choice(["", "", ".", ",", "!", ";", "...", "'s"])
+                 for a in r.choices(alphabets, k=r.randint(1, 12))]
+        out.append(r.choice(["", " "]) + r.choice([" ", " ", "  ", "\n"]).join(words))
+    return out
+
+
+@pytest.mark.parametrize("name,cut", [("word_bpe_49k.json", "words"), ("byte_bpe_50k.json", "spaces")])
+def test_pieces_of_all_scripts_give_the_ids_of_the_whole_text(name, cut):
+    some = ["ANKARA VALİLİĞİ.", "İ.", "VALİLİĞİ, ve", "İİ İ", *mixed_scripts(1500)]
+    path = tokenizer_path(name)
+    assert list(Encoder(path, cut).encode(some)) == list(Encoder(path, None).encode(some))
+
+
 def test_memory_of_pieces_is_bounded(texts):
     from quizlens.llm.tokens import Memory
 
