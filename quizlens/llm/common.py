@@ -25,7 +25,16 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to a fresh Parquet folder under the shared checkpoint folder and read it back."""
     path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._staged_path = path
+    return out
+
+
+def drop_staged(*tables: DataFrame) -> None:
+    """Delete the folders of staged tables that nothing reads any more: what was made of them must be staged itself."""
+    for table in tables:
+        path = table.sparkSession._jvm.org.apache.hadoop.fs.Path(table._staged_path)
+        path.getFileSystem(table.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def shuffle_width(spark: SparkSession) -> int:

@@ -12,6 +12,12 @@ names the smallest hash among its short word runs, its seed.  Equal windows
 name equal seeds, so only windows whose seed occurs in two places can repeat,
 and only those are hashed and met in a second pass.  No repeated window is
 lost by that.
+
+Of equal texts the one of the smallest id stands for all: every span of the
+others has occurred before, so their spans need no meeting.  Windows inside
+one removed run need none either.  Such a window is gone already, and an
+earlier one like it lies in the run's first occurrence, so the first of all
+equal windows is never inside a removed run and is always there to meet.
 """
 
 from __future__ import annotations
@@ -25,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quizlens.llm.common import BROADCAST_PAIRS, ready, staged, text_hash
+from quizlens.llm.common import BROADCAST_PAIRS, drop_staged, ready, staged, text_hash
 from quizlens.plans.sizing import broadcast_if_small
 
 #: A run has at least so many sentences and words; from ``LONG`` words on, the number of sentences does not matter.
@@ -35,6 +41,8 @@ LONG = 25
 #: Words of a window that counts whatever sentences it holds, and of a seed in it.
 WINDOW = 50
 SEED = 25
+#: Most spans, and most texts with their ranges, that are broadcast; beyond them the joins shuffle.
+BROADCAST_SPANS, BROADCAST_TEXTS = 500_000, 100_000
 #: Classes of characters, as bits.
 _SPACE, _NEWLINE, _CAPITAL, _END, _SINGLE, _SINGLE_END = (1 << k for k in range(6))
 _RANGES = {
@@ -112,6 +120,7 @@ class _Words:
         self.starts = np.append(first, size)
         words = _between(_sums(_POINT[points], _CHAR_BASE), first, last, _CHAR_BASE)
         self.sums = _sums(words, _BASE)
+        self.other_sums = _sums(_mixed(words), _CHAR_BASE)
         # Gap k stands before word k, the last one before the end of the text.
         ends, begins = np.append(0, last), self.starts
         lines = np.append(0, np.cumsum(kind & _NEWLINE != 0))
@@ -127,6 +136,10 @@ class _Words:
         """Hashes of the words from ``i`` up to ``j``; white space does not matter."""
         return _between(self.sums, i, j, _BASE)
 
+    def checks(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        """32 more bits about the same words, from another hash: with the 64 of ``hashes``, they tell spans apart."""
+        return (_between(self.other_sums, i, j, _CHAR_BASE) >> np.uint64(32)).astype(np.uint32)
+
     def seeds(self, window: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
         """For every window, the word at which its seed starts; and the hashes of all short runs."""
         if self.n < window:
@@ -150,7 +163,10 @@ def _back(before: np.ndarray, words: int) -> np.ndarray:
     return np.searchsorted(before, before[1:] - words, side="right") - 1
 
 
-def _sentence_runs(found: _Words, least: int, words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+Spans = tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]
+
+
+def _sentence_runs(found: _Words, least: int, words: int) -> Spans:
     cuts = found.cuts
     n = len(cuts) - 1
     before = np.searchsorted(found.starts[:-1], cuts)
@@ -159,14 +175,20 @@ def _sentence_runs(found: _Words, least: int, words: int) -> tuple[np.ndarray, n
     stop, start = np.maximum(each + least, _reach(before, words)), np.minimum(each + 1 - least, _back(before, words))
     stop, start = np.minimum(stop, _reach(before, LONG)), np.maximum(start, _back(before, LONG))
     i, j = np.divmod(np.unique(np.concatenate([(each * (n + 1) + stop)[stop <= n], (start * (n + 1) + each + 1)[start >= 0]])), n + 1)
-    return found.hashes(before[i], before[j]), cuts[i], cuts[j]
+    return found.hashes(before[i], before[j]), cuts[i], cuts[j], found.checks(before[i], before[j])
 
 
-def _windows(found: _Words, window: int, seed: int, repeated: list[int] | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Every window, or those whose seed starts at one of the words ``repeated``."""
+def _windows(found: _Words, window: int, seed: int, repeated: list[int] | None = None, gone: list[dict] | None = None) -> Spans:
+    """Every window, or those whose seed starts at one of the words ``repeated``; without those inside a range of ``gone``."""
     choice, _ = found.seeds(window, seed)
     i = np.arange(len(choice)) if repeated is None else np.flatnonzero(np.isin(choice, repeated))
-    return found.hashes(i, i + window), found.starts[i], found.starts[i + window]
+    if gone:
+        ranges = np.array([(r["start"], r["end"]) for r in gone])
+        ranges = ranges[np.argsort(ranges[:, 0], kind="stable")]
+        # The furthest end of the ranges that start at or before a window.
+        at = np.searchsorted(ranges[:, 0], found.starts[i], side="right") - 1
+        i = i[(at < 0) | (np.maximum.accumulate(ranges[:, 1])[at] < found.starts[i + window])]
+    return found.hashes(i, i + window), found.starts[i], found.starts[i + window], found.checks(i, i + window)
 
 
 def spans(text: str, least: int = SENTENCES, words: int = WORDS, window: int = WINDOW,
@@ -179,18 +201,19 @@ def spans(text: str, least: int = SENTENCES, words: int = WORDS, window: int = W
     """
     found = _Words(text)
     both = zip(_sentence_runs(found, least, words), _windows(found, window, seed))
-    h, start, end = (np.concatenate(x) for x in both)
+    h, start, end, _ = (np.concatenate(x) for x in both)
     order = np.lexsort((end, start))
     return h[order], start[order], end[order]
 
 
-def _rows(batch: pa.RecordBatch, each: list[tuple]) -> pa.RecordBatch:
-    of = np.repeat(np.arange(len(each)), [len(h) for h, _, _ in each])
-    h, s, e = (np.concatenate([x[k] for x in each]) if each else np.empty(0, np.int64) for k in range(3))
+def _rows(batch: pa.RecordBatch, each: list[Spans]) -> pa.RecordBatch:
+    of = np.repeat(np.arange(len(each)), [len(x[0]) for x in each])
+    h, s, e, c = (np.concatenate([x[k] for x in each]) if each else np.empty(0, np.int64) for k in range(4))
     rows = pa.array(of, pa.int64())
     return pa.RecordBatch.from_arrays(
-        [pa.array(h.astype(np.uint64).view(np.int64)), batch.column("id").take(rows), batch.column("h").take(rows),
-         pa.array(s.astype(np.int64)), pa.array(e.astype(np.int64))], names=["span", "id", "h", "start", "end"])
+        [pa.array(h.astype(np.uint64).view(np.int64)), pa.array(c.astype(np.uint32).view(np.int32)), batch.column("id").take(rows),
+         batch.column("h").take(rows), pa.array(s.astype(np.int32)), pa.array(e.astype(np.int32))],
+        names=["span", "check", "id", "h", "start", "end"])
 
 
 def _run_lists(least: int, words: int, window: int, seed: int):
@@ -203,7 +226,7 @@ def _run_lists(least: int, words: int, window: int, seed: int):
                 choice, short = found.seeds(window, seed)
                 at = choice[np.flatnonzero(np.diff(choice, prepend=-1))]
                 runs.append(_sentence_runs(found, least, words))
-                seeds.append((short[at], at, np.full(len(at), -1)))
+                seeds.append((short[at], at, np.full(len(at), -1), np.zeros(len(at))))
             yield _rows(batch, runs)
             yield _rows(batch, seeds)
 
@@ -213,63 +236,109 @@ def _run_lists(least: int, words: int, window: int, seed: int):
 def _window_lists(window: int, seed: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield _rows(batch, [_windows(_Words(t or ""), window, seed, at)
-                                for t, at in zip(batch.column("text").to_pylist(), batch.column("seeds").to_pylist())])
+            yield _rows(batch, [_windows(_Words(t or ""), window, seed, at, gone)
+                                for t, at, gone in zip(*(batch.column(c).to_pylist() for c in ("text", "seeds", "gone")))])
 
     return run
 
 
-SPAN_SCHEMA = "span long, id long, h long, start long, end long"
+#: Places are numbers of code points, of which a text holds less than 2^31.
+SPAN_SCHEMA = "span long, check int, id long, h long, start int, end int"
+
+
+def _copies(rows: DataFrame) -> DataFrame:
+    """``(copy_of, keep)`` for each text that several ids have: its SHA-256 and the smallest of the ids (null first)."""
+    ids = F.struct("id")
+    several = (rows.groupBy(F.unhex(F.sha2(F.coalesce("text", F.lit("")), 256)).alias("copy_of")).agg(F.min(ids).alias("keep"), F.max(ids).alias("last"))
+               .where(F.col("keep") != F.col("last")).select("copy_of", F.col("keep.id").alias("keep")))
+    return staged(several, "copies")
 
 
-def repeated_spans(docs: DataFrame, least: int = SENTENCES, words: int = WORDS, id_col: str = "doc_id",
-                   text_col: str = "text", window: int = WINDOW, seed: int = SEED) -> DataFrame:
-    """``(id, h, removed)``: for each text with repeated spans, the ranges of those that occurred before.
+def _with_copies(rows: DataFrame, copies: DataFrame) -> DataFrame:
+    """``rows`` with ``copy``: whether a row of a smaller id has the same text."""
+    copies, _ = broadcast_if_small(copies, BROADCAST_SPANS)
+    key = F.unhex(F.sha2(F.coalesce("text", F.lit("")), 256))
+    return (rows.join(copies, key == F.col("copy_of"), "left")
+            .withColumn("copy", F.col("copy_of").isNotNull() & ~F.col("id").eqNullSafe(F.col("keep"))).drop("copy_of", "keep"))
+
+
+def _merged(ranges: F.Column) -> F.Column:
+    """Sorted ranges, those that meet put together."""
+    def add(done: F.Column, r: F.Column) -> F.Column:
+        last = F.try_element_at(done, F.lit(-1))
+        longer = F.struct(last["start"].alias("start"), F.greatest(last["end"], r["end"]).alias("end"))
+        return F.when(r["start"] <= last["end"], F.concat(F.slice(done, 1, F.size(done) - 1), F.array(longer))).otherwise(
+            F.concat(done, F.array(r)))
+
+    return F.aggregate(F.sort_array(ranges), F.array().cast("array<struct<start:int,end:int>>"), add)
+
+
+def repeated_spans(rows: DataFrame, least: int = SENTENCES, words: int = WORDS, window: int = WINDOW, seed: int = SEED) -> DataFrame:
+    """``(id, h, removed)`` from ``(id, h, text)`` without copies of texts: the ranges of spans that occurred before.
 
     The first occurrence is that of the smallest id, then text hash, then place.
     """
-    ready(docs)
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), text_hash(text_col).alias("h"), F.col(text_col).cast("string").alias("text"))
-    at = F.struct("id", "h", "start")
+    at, name = F.struct("id", "h", "start"), ["span", "check"]
 
-    def meet(each: DataFrame, name: str) -> DataFrame:
+    def meet(each: DataFrame, label: str) -> DataFrame:
         # Aggregated before the shuffle: a passage in very many texts is one row a task.
-        repeated = staged(each.groupBy("span").agg(F.min(at).alias("first"), F.count(F.lit(1)).alias("n"))
-                          .where("n > 1").select("span", "first"), name)
-        repeated, _ = broadcast_if_small(repeated, BROADCAST_PAIRS)
-        return each.join(repeated, "span")
+        repeated = staged(each.groupBy(*name).agg(F.min(at).alias("first"), F.count(F.lit(1)).alias("n"))
+                          .where("n > 1").select(*name, "first"), label)
+        small, _ = broadcast_if_small(repeated, BROADCAST_SPANS)
+        later = staged(each.join(small, name).where(~at.eqNullSafe(F.col("first"))).select("id", "h", "start", "end"), f"later-{label}")
+        drop_staged(repeated)
+        return later
 
     both = staged(rows.mapInArrow(_run_lists(least, words, window, seed), SPAN_SCHEMA), "sentence-spans")
-    # Equal texts have equal seeds, so the text hash alone names the text here, whatever its id.
-    seeds = both.where("end < 0").select("span", "h", F.col("start").cast("int").alias("word"))
+    seeds = both.where("end < 0").select("span", "id", "h", F.col("start").alias("word"))
     often = staged(seeds.groupBy("span").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("span"), "repeated-seeds")
-    often, _ = broadcast_if_small(often, BROADCAST_PAIRS)
-    suspects = staged(seeds.join(often, "span").groupBy(F.col("h").alias("g")).agg(F.collect_set("word").alias("seeds")), "suspects")
-    suspects, _ = broadcast_if_small(suspects, BROADCAST_PAIRS // 10)
-    some = rows.join(suspects, F.col("h") == F.col("g")).select("id", "h", "text", "seeds")
+    small, _ = broadcast_if_small(often, BROADCAST_SPANS)
+    suspects = staged(seeds.join(small, "span").groupBy("id", "h").agg(F.collect_set("word").alias("seeds")), "suspects")
+    runs = meet(both.where("end >= 0"), "runs")
+    drop_staged(both, often)
+    gone = runs.groupBy(F.col("id").alias("i"), F.col("h").alias("g")).agg(F.collect_set(F.struct("start", "end")).alias("gone"))
+    same = F.col("id").eqNullSafe(F.col("i")) & (F.col("h") == F.col("g"))
+    asked = staged(suspects.join(gone, same, "left").select(F.col("id").alias("si"), F.col("h").alias("sg"), "seeds", "gone"), "asked")
+    few, _ = broadcast_if_small(asked, BROADCAST_TEXTS)
+    some = rows.join(few, F.col("id").eqNullSafe(F.col("si")) & (F.col("h") == F.col("sg"))).select("id", "h", "text", "seeds", "gone")
     windows = staged(some.mapInArrow(_window_lists(window, seed), SPAN_SCHEMA), "word-windows")
-    later = meet(both.where("end >= 0"), "repeated-runs").unionByName(meet(windows, "repeated-windows")).where(
-        ~at.eqNullSafe(F.col("first")))
-    return staged(later.groupBy("id", "h").agg(F.sort_array(F.collect_set(F.struct("start", "end"))).alias("removed")), "removed-spans")
-
-
-def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        out = []
-        for doc_id, text, removed in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text", "removed"))):
-            merged: list[list[int]] = []
-            for r in removed or ():
-                if merged and r["start"] <= merged[-1][1]:
-                    merged[-1][1] = max(merged[-1][1], r["end"])
-                else:
-                    merged.append([r["start"], r["end"]])
-            if merged:
-                edges = [0, *(x for m in merged for x in m), len(text)]
-                text = "".join(text[a:b] for a, b in zip(edges[::2], edges[1::2]))
-            out.append({"doc_id": doc_id, "text": text, "n_spans": len(merged), "n_removed": sum(b - a for a, b in merged),
-                        "removed": ",".join(f"{a}:{b}" for a, b in merged)})
-        yield pa.RecordBatch.from_pylist(out, schema=pa.schema([
-            ("doc_id", pa.int64()), ("text", pa.string()), ("n_spans", pa.int64()), ("n_removed", pa.int64()), ("removed", pa.string())]))
+    late = meet(windows, "windows")
+    drop_staged(windows, suspects, asked)
+    out = staged(runs.unionByName(late).groupBy("id", "h").agg(_merged(F.collect_set(F.struct("start", "end"))).alias("removed")), "removed-spans")
+    drop_staged(runs, late)
+    return out
+
+
+def _cut_with(least: int, words: int, window: int, seed: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield _cut(batch, least, words, window, seed)
+
+    return run
+
+
+def _cut(batch: pa.RecordBatch, least: int, words: int, window: int, seed: int) -> pa.RecordBatch:
+    """Texts without their removed ranges; a copy of an earlier text loses every span that it has."""
+    out = []
+    for doc_id, text, copy, removed in zip(*(batch.column(c).to_pylist() for c in ("id", "text", "copy", "removed"))):
+        if copy:
+            _, start, end = spans(text or "", least, words, window, seed)
+            ranges = zip(start.tolist(), end.tolist())
+        else:
+            ranges = ((r["start"], r["end"]) for r in removed or ())
+        merged: list[list[int]] = []
+        for a, b in ranges:
+            if merged and a <= merged[-1][1]:
+                merged[-1][1] = max(merged[-1][1], b)
+            else:
+                merged.append([a, b])
+        if merged:
+            edges = [0, *(x for m in merged for x in m), len(text)]
+            text = "".join(text[a:b] for a, b in zip(edges[::2], edges[1::2]))
+        out.append({"doc_id": doc_id, "text": text, "n_spans": len(merged), "n_removed": sum(b - a for a, b in merged),
+                    "removed": ",".join(f"{a}:{b}" for a, b in merged)})
+    return pa.RecordBatch.from_pylist(out, schema=pa.schema([
+        ("doc_id", pa.int64()), ("text", pa.string()), ("n_spans", pa.int64()), ("n_removed", pa.int64()), ("removed", pa.string())]))
 
 
 def deduplicated(docs: DataFrame, least: int = SENTENCES, words: int = WORDS, id_col: str = "doc_id",
@@ -283,8 +352,11 @@ def deduplicated(docs: DataFrame, least: int = SENTENCES, words: int = WORDS, id
     run and fewer words than a window are left alone.  Null ids come first.  An empty table gives an empty
     result.  Other columns are not read.
     """
-    gone = repeated_spans(docs, least, words, id_col, text_col, window, seed)
-    gone, _ = broadcast_if_small(gone.select(F.col("id").alias("i"), F.col("h").alias("g"), "removed"), BROADCAST_PAIRS // 10)
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_hash(text_col).alias("h"), F.col(text_col).cast("string").alias("text"))
-    return rows.join(gone, F.col("doc_id").eqNullSafe(F.col("i")) & (F.col("h") == F.col("g")), "left").select(
-        "doc_id", "text", "removed").mapInArrow(_cut, "doc_id long, text string, n_spans long, n_removed long, removed string")
+    ready(docs)
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), text_hash(text_col).alias("h"), F.col(text_col).cast("string").alias("text"))
+    known = _with_copies(rows, _copies(rows))
+    gone = repeated_spans(known.where("not copy").drop("copy"), least, words, window, seed)
+    few, _ = broadcast_if_small(gone.select(F.col("id").alias("i"), F.col("h").alias("g"), "removed"), BROADCAST_TEXTS)
+    return known.join(few, F.col("id").eqNullSafe(F.col("i")) & (F.col("h") == F.col("g")), "left").select(
+        "id", "text", "copy", "removed").mapInArrow(_cut_with(least, words, window, seed),
+                                                    "doc_id long, text string, n_spans long, n_removed long, removed string")
