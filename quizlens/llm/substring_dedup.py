@@ -28,10 +28,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quizlens.llm.common import BROADCAST_PAIRS, drop_staged, ready, staged, text_hash
+from quizlens.llm.common import BROADCAST_PAIRS, drop_staged, ready, shuffle_width, staged, text_hash
 from quizlens.plans.sizing import broadcast_if_small
 
 #: A run has at least so many sentences and words; from ``LONG`` words on, the number of sentences does not matter.
@@ -41,8 +41,8 @@ LONG = 25
 #: Words of a window that counts whatever sentences it holds, and of a seed in it.
 WINDOW = 50
 SEED = 25
-#: Most spans, and most texts with their ranges, that are broadcast; beyond them the joins shuffle.
-BROADCAST_SPANS, BROADCAST_TEXTS = 500_000, 100_000
+#: Most texts with their ranges that are broadcast; beyond them the joins shuffle.
+BROADCAST_TEXTS = BROADCAST_PAIRS // 10
 #: Classes of characters, as bits.
 _SPACE, _NEWLINE, _CAPITAL, _END, _SINGLE, _SINGLE_END = (1 << k for k in range(6))
 _RANGES = {
@@ -256,7 +256,7 @@ def _copies(rows: DataFrame) -> DataFrame:
 
 def _with_copies(rows: DataFrame, copies: DataFrame) -> DataFrame:
     """``rows`` with ``copy``: whether a row of a smaller id has the same text."""
-    copies, _ = broadcast_if_small(copies, BROADCAST_SPANS)
+    copies, _ = broadcast_if_small(copies, BROADCAST_PAIRS)
     key = F.unhex(F.sha2(F.coalesce("text", F.lit("")), 256))
     return (rows.join(copies, key == F.col("copy_of"), "left")
             .withColumn("copy", F.col("copy_of").isNotNull() & ~F.col("id").eqNullSafe(F.col("keep"))).drop("copy_of", "keep"))
@@ -273,28 +273,74 @@ def _merged(ranges: F.Column) -> F.Column:
     return F.aggregate(F.sort_array(ranges), F.array().cast("array<struct<start:int,end:int>>"), add)
 
 
+#: Rows of :func:`_mark_later`: an occurrence that is not the first, and the first and last rows of a sorted part.
+_LATER, _HEAD, _TAIL = range(3)
+_MARKS = SPAN_SCHEMA + ", part int, kind int"
+
+
+def _mark_later(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of a sorted part, the occurrences of each span after its first place; and the part's first and last rows."""
+    from pyspark import TaskContext
+
+    part = TaskContext.get().partitionId()
+
+    def marked(rows: pa.RecordBatch, kind: int) -> pa.RecordBatch:
+        n = rows.num_rows
+        return pa.RecordBatch.from_arrays([*rows.columns, pa.array(np.full(n, part, np.int32)), pa.array(np.full(n, kind, np.int32))],
+                                          names=[*rows.schema.names, "part", "kind"])
+
+    first = last = None
+    for batch in batches:
+        n = batch.num_rows
+        if not n:
+            continue
+        keys = np.stack([batch.column(k).fill_null(np.iinfo(np.int64).min).to_numpy().astype(np.int64) if k == 2
+                         else batch.column(k).to_numpy().astype(np.int64) for k in range(5)])
+        if first is None:
+            yield marked(batch.slice(0, 1), _HEAD)
+            first = keys[:, 0]
+        # The place at which each row's span was first seen, carried over from the batch before.
+        both = np.concatenate([first[:, None], keys], axis=1)
+        head = np.append(0, np.where((both[:2, 1:] != both[:2, :-1]).any(axis=0), np.arange(1, n + 1), 0))
+        head = np.maximum.accumulate(head)[1:]
+        later = (both[2:, 1:] != both[2:, head]).any(axis=0)
+        if later.any():
+            yield marked(batch.filter(pa.array(later)), _LATER)
+        first, last = both[:, head[-1]], batch.slice(n - 1, 1)
+    if last is not None:
+        yield marked(last, _TAIL)
+
+
+def later_occurrences(each: DataFrame, name: str) -> DataFrame:
+    """``(id, h, start, end)`` of all occurrences of each span but those at its first place.
+
+    One sort by ranges of (span, place): a span that very many texts hold lies
+    in as many parts as it needs.  Only whether a part's first span goes on
+    from the part before is settled afterwards, on two rows a part.
+    """
+    order = ["span", "check", "id", "h", "start"]
+    marks = staged(each.repartitionByRange(shuffle_width(each.sparkSession), *order).sortWithinPartitions(*order)
+                   .mapInArrow(_mark_later, _MARKS), f"later-{name}")
+    before = Window.orderBy("part", "kind")
+    edges = (marks.where(F.col("kind") != _LATER).withColumns({"s": F.lag("span").over(before), "c": F.lag("check").over(before)})
+             .where((F.col("kind") == _HEAD) & (F.col("s") == F.col("span")) & (F.col("c") == F.col("check"))))
+    place = ["id", "h", "start", "end"]
+    out = marks.where(F.col("kind") == _LATER).select(*place).unionByName(edges.select(*place))
+    out._staged_path = marks._staged_path
+    return out
+
+
 def repeated_spans(rows: DataFrame, least: int = SENTENCES, words: int = WORDS, window: int = WINDOW, seed: int = SEED) -> DataFrame:
     """``(id, h, removed)`` from ``(id, h, text)`` without copies of texts: the ranges of spans that occurred before.
 
     The first occurrence is that of the smallest id, then text hash, then place.
     """
-    at, name = F.struct("id", "h", "start"), ["span", "check"]
-
-    def meet(each: DataFrame, label: str) -> DataFrame:
-        # Aggregated before the shuffle: a passage in very many texts is one row a task.
-        repeated = staged(each.groupBy(*name).agg(F.min(at).alias("first"), F.count(F.lit(1)).alias("n"))
-                          .where("n > 1").select(*name, "first"), label)
-        small, _ = broadcast_if_small(repeated, BROADCAST_SPANS)
-        later = staged(each.join(small, name).where(~at.eqNullSafe(F.col("first"))).select("id", "h", "start", "end"), f"later-{label}")
-        drop_staged(repeated)
-        return later
-
     both = staged(rows.mapInArrow(_run_lists(least, words, window, seed), SPAN_SCHEMA), "sentence-spans")
     seeds = both.where("end < 0").select("span", "id", "h", F.col("start").alias("word"))
     often = staged(seeds.groupBy("span").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("span"), "repeated-seeds")
-    small, _ = broadcast_if_small(often, BROADCAST_SPANS)
+    small, _ = broadcast_if_small(often, BROADCAST_PAIRS)
     suspects = staged(seeds.join(small, "span").groupBy("id", "h").agg(F.collect_set("word").alias("seeds")), "suspects")
-    runs = meet(both.where("end >= 0"), "runs")
+    runs = later_occurrences(both.where("end >= 0"), "runs")
     drop_staged(both, often)
     gone = runs.groupBy(F.col("id").alias("i"), F.col("h").alias("g")).agg(F.collect_set(F.struct("start", "end")).alias("gone"))
     same = F.col("id").eqNullSafe(F.col("i")) & (F.col("h") == F.col("g"))
@@ -302,7 +348,7 @@ def repeated_spans(rows: DataFrame, least: int = SENTENCES, words: int = WORDS,
     few, _ = broadcast_if_small(asked, BROADCAST_TEXTS)
     some = rows.join(few, F.col("id").eqNullSafe(F.col("si")) & (F.col("h") == F.col("sg"))).select("id", "h", "text", "seeds", "gone")
     windows = staged(some.mapInArrow(_window_lists(window, seed), SPAN_SCHEMA), "word-windows")
-    late = meet(windows, "windows")
+    late = later_occurrences(windows, "windows")
     drop_staged(windows, suspects, asked)
     out = staged(runs.unionByName(late).groupBy("id", "h").agg(_merged(F.collect_set(F.struct("start", "end"))).alias("removed")), "removed-spans")
     drop_staged(runs, late)

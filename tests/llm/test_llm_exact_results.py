@@ -328,6 +328,23 @@ def test_substring_dedup(spark, docs):
         assert r["n_removed"] == len(text) - len(r["text"])
 
 
+def test_later_occurrences_over_many_parts(spark):
+    """A third of all rows are one span, some rows are there twice, and some ids are null."""
+    import random
+
+    r = random.Random(5)
+    rows = [(1 if k % 3 == 0 else r.randint(2, 60), r.randint(0, 1), None if k % 50 == 0 else r.randint(0, 200), 7, r.randint(0, 3), 9) for k in range(3000)]
+    rows += rows[:40]
+    first = {}
+    for row in rows:
+        place = (row[2] is not None, row[2] or 0, *row[3:5])
+        first[row[:2]] = min(first.get(row[:2], place), place)
+    want = {row[2:] for row in rows if (row[2] is not None, row[2] or 0, *row[3:5]) != first[row[:2]]}
+    df = spark.createDataFrame(rows, substring_dedup.SPAN_SCHEMA).repartition(5)
+    assert {tuple(x) for x in substring_dedup.later_occurrences(df, "test").collect()} == want
+    assert substring_dedup.later_occurrences(df.limit(0), "none").collect() == []
+
+
 def test_substring_dedup_catches_a_passage_inside_sentences(spark):
     passage = "Many words stand in this passage here. They come again and again in other texts, word for word. " \
               "Nobody would write them twice by chance. So all copies but one must go, and what stands around them stays."
