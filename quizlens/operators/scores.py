@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from quizlens.functions import text as T
 from quizlens.functions.vectors import cosine
+from quizlens.operators.filters import MAX_BLOCKS, block_count, bloom_filter, false_rate, may_contain
 from quizlens.plans.sizing import DEFAULT_BROADCAST_BYTES, DEFAULT_BROADCAST_ROWS, ROW_OVERHEAD, at_most, cut_lineage
 
 OPTION_LETTERS = ("a", "b", "c", "d")
@@ -132,8 +133,10 @@ def originality_corpus(questions: DataFrame, corpus: DataFrame, key_col: str = "
     * small question side - the question vocabulary is broadcast, the corpus
       is tokenised and probed map-side without being shuffled, and only the
       matching corpus trigrams (a subset of that vocabulary) move;
-    * otherwise - corpus trigrams are de-duplicated (partial aggregation
-      first) and left-joined to the question trigrams in a sort-merge join.
+    * otherwise - the corpus is probed map-side with a Bloom filter of the
+      question vocabulary (of a fixed largest size); what passes is
+      de-duplicated (partial aggregation first) and left-joined to the
+      question trigrams in a sort-merge join, which makes the result exact.
     """
     counts = corpus_counts(questions, corpus, key_col, question_col, corpus_col, stop_words, lemmas,
                            broadcast_rows)
@@ -155,12 +158,30 @@ def corpus_counts(questions: DataFrame, corpus: DataFrame, key_col: str = "mcq_i
         # Both sides grow with the data: never broadcast on an estimate.  The
         # distinct trigrams are stored first, so that both join inputs come
         # straight from an exchange and AQE can split a hot trigram.
-        hits = cut_lineage(ct.distinct()).hint("merge")
+        hits = cut_lineage(asked_trigrams(qt, ct, trigram_bound(q, question_col)[0]).distinct()).hint("merge")
     return (qt.join(hits.withColumn("_hit", F.lit(1)), "trigram", "left")
             .groupBy(key_col)
             .agg(F.count(F.lit(1)).alias("_n"), F.count("_hit").alias("_seen")))
 
 
+# A filter that lets more of the absent trigrams pass is not worth its probes.
+MAX_FALSE_RATE = 0.5
+
+
+def asked_trigrams(qt: DataFrame, ct: DataFrame, bound: int, max_blocks: int = MAX_BLOCKS) -> DataFrame:
+    """The corpus trigrams that a question may hold: all that one does, and few others.
+
+    A Bloom filter of the question trigrams, sized for ``bound`` of them, is
+    probed before the corpus is shuffled.  Its rate of false positives is
+    measured; a filter that has become too full is not used.
+    """
+    blocks = block_count(bound, max_blocks)
+    table = cut_lineage(bloom_filter(qt, "trigram", blocks))
+    if false_rate(table, blocks) > MAX_FALSE_RATE:
+        return ct
+    return may_contain(ct, "trigram", table, blocks)
+
+
 # How far above the broadcast bound the cheap estimate may be before the
 # exact (shuffling) vocabulary count is no longer worth running.
 EXACT_CHECK_FACTOR = 8

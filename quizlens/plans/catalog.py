@@ -107,6 +107,13 @@ def q_originality_corpus(spark, sf):
             .select("mcq_id", "originality_corpus"))
 
 
+@register("originality_corpus_filtered", ORACLE["originality_corpus"])
+def q_originality_corpus_filtered(spark, sf):
+    """The same scores by the plan for vocabularies above the broadcast bound."""
+    return (scores.originality_corpus(_mcqs(spark, sf), _sheets(spark, sf), broadcast_rows=0)
+            .select("mcq_id", "originality_corpus"))
+
+
 # ------------------------------------------------------------ helpers
 
 from quizlens.functions import prompts as PR  # noqa: E402
