@@ -121,7 +121,7 @@ from quizlens.functions import text as TX  # noqa: E402
 from quizlens.operators import lemmas, models, responses, sheets as sheet_ops, tables  # noqa: E402
 from quizlens.plans import jobs, stubs  # noqa: E402
 from quizlens.session import scratch_path  # noqa: E402
-from quizlens.sources import files  # noqa: E402
+from quizlens.sources import files, ranges  # noqa: E402
 
 _S = ", ".join  # column list helper for SQL
 _MCQ_FIELDS = responses.MCQ_FIELDS
@@ -203,6 +203,24 @@ def q_read_json_records(spark, sf):
     return files.read_json_records(spark, path, files.EXAM_SCHEMA)
 
 
+# Ranges far below the usual size, so that each file of these tables has some.
+SMALL_RANGE = 64 * 1024
+
+
+@register("read_csv_ranges", ORACLE["read_csv_table"])
+def q_read_csv_ranges(spark, sf):
+    path = scratch_path(spark, "mcqs-csv")
+    files.write_csv_table(_fx(spark, sf, "mcqs").drop("mcq_id"), path)
+    return ranges.read_csv_ranges(spark, path, files.MCQS_SCHEMA, SMALL_RANGE)
+
+
+@register("read_json_ranges", ORACLE["read_json_records"])
+def q_read_json_ranges(spark, sf):
+    path = scratch_path(spark, "exam-json")
+    files.write_json_records(_fx(spark, sf, "exam_items"), path)
+    return ranges.read_json_ranges(spark, path, files.EXAM_SCHEMA, SMALL_RANGE)
+
+
 @register("test_split", fx.cte("sheets") + f"""
 SELECT folder, id, content_gpt FROM sheets WHERE folder IN ({_FOLDERS_SQL})""")
 def q_test_split(spark, sf):
