@@ -19,6 +19,10 @@ such as ``json_schema`` (the record the answer must follow), ``num_ctx`` and
 Embedder protocol::
 
     embed(texts: list[str]) -> list[list[float]]   # unit-length vectors
+
+Tokenizer protocol, for embedders that take a limited number of tokens::
+
+    tokenize(texts: list[str]) -> list[list[tuple[int, int]]]   # (start, end) of each token in its text
 """
 
 from __future__ import annotations
@@ -37,6 +41,7 @@ from quizlens.session import ship_package
 
 CompleterFactory = Callable[[], Callable]
 EmbedderFactory = Callable[[], Callable]
+TokenizerFactory = Callable[[], Callable]
 
 # Judge call settings and the generation / exam runs.
 JUDGE_TEMPERATURE = 0.5
@@ -51,6 +56,13 @@ GENERATION_OPTIONS = {"num_ctx": 8192, "top_p": 1}
 EXAM_OPTIONS = {"num_ctx": 8196, "top_p": 1}
 
 
+# The tokens that the embedding model takes, and those of them that frame the text.
+EMBED_TOKENS = 512
+EMBED_SPECIAL_TOKENS = 2
+# Tokens of a batch, padding included, and the share of them that may be padding.
+EMBED_BATCH_TOKENS = 16_384
+EMBED_PADDING = 0.1
+
 # The record title that both runs send with their request.
 RECORD_TITLE = "MCQQuestion"
 
@@ -254,6 +266,86 @@ def embed_texts(df: DataFrame, text_col: str, embedder: EmbedderFactory,
     return keyed.join(vectors, "_tkey", "left").withColumnRenamed("_vector", out_col).drop("_tkey")
 
 
+def cut_texts(texts: list[str], tokenizer, max_tokens: int) -> tuple[list[str], list[int]]:
+    """Each text up to the end of its ``max_tokens``-th token, and its number of tokens after the cut."""
+    out, sizes = [], []
+    for text, spans in zip(texts, tokenizer(texts), strict=True):
+        out.append(text if len(spans) <= max_tokens else text[:spans[max_tokens - 1][1]])
+        sizes.append(min(len(spans), max_tokens))
+    return out, sizes
+
+
+def _cut_batches(factory, max_tokens, batch_rows):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        tokenizer = _build_once(factory)
+        for pdf in batches:
+            kept = []
+            texts = list(zip(pdf["_tkey"], pdf["_text"]))
+            for start in range(0, len(texts), batch_rows):
+                some = texts[start:start + batch_rows]
+                found = bisected(lambda part: list(zip(*cut_texts(part, tokenizer, max_tokens))), [t for _, t in some])
+                kept += [(k, None, 0) if f is None else (k, *f) for (k, _), f in zip(some, found)]
+            yield pd.DataFrame(kept, columns=["_tkey", "_cut", "_tokens"])
+    return run
+
+
+def padded_batches(sizes: list[int], batch_tokens: int, max_padding: float) -> list[tuple[int, int]]:
+    """``(start, stop)`` of batches of rising sizes: a batch is as wide as its longest text.
+
+    A batch holds at most ``batch_tokens`` tokens with its padding (a longer
+    text is a batch of its own), and of them at most the share ``max_padding``
+    is padding.
+    """
+    out, start, total = [], 0, 0
+    for k, size in enumerate(sizes):
+        width, rows = max(size, 1), k - start + 1
+        if rows > 1 and (width * rows > batch_tokens or width * rows - (total + max(size, 1)) > max_padding * width * rows):
+            out.append((start, k))
+            start, total = k, 0
+        total += max(size, 1)
+    return out + [(start, len(sizes))] if sizes else out
+
+
+def _embed_bucketed(factory, batch_tokens, max_padding):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        embed = _build_once(factory)
+        for pdf in batches:
+            texts, vecs = pdf["_cut"].tolist(), []
+            for start, stop in padded_batches(pdf["_tokens"].tolist(), batch_tokens, max_padding):
+                vecs += [None if v is None else list(map(float, v)) for v in bisected(embed, texts[start:stop])]
+            yield pd.DataFrame({"_tkey": pdf["_tkey"].tolist(), "_vector": vecs})
+    return run
+
+
+def embed_texts_bucketed(df: DataFrame, text_col: str, embedder: EmbedderFactory, tokenizer: TokenizerFactory,
+                         out_col: str = "embedding", max_tokens: int = EMBED_TOKENS - EMBED_SPECIAL_TOKENS,
+                         batch_tokens: int = EMBED_BATCH_TOKENS, max_padding: float = EMBED_PADDING,
+                         partitions: int | None = None, batch_rows: int = 256) -> DataFrame:
+    """T10 for models that pad: texts are cut to ``max_tokens`` and meet texts of their own length in a batch.
+
+    Each distinct text is cut by the injected tokenizer, and texts that are
+    equal once they are cut are embedded once.  They are dealt to tasks by
+    ranges of (tokens, SHA-256) and sorted within them, so a length that many
+    texts share is many tasks; :func:`padded_batches` bounds memory and
+    padding.  NULL counts as the empty text.  A text on which the tokenizer
+    or the embedder fails has a NULL vector.
+    """
+    spark = df.sparkSession
+    ship_package(spark)
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    keyed = df.withColumn("_tkey", F.sha2(text, 256))
+    texts = keyed.select("_tkey", text.alias("_text")).dropDuplicates(["_tkey"])
+    cut = call_tasks(texts, partitions).mapInPandas(_cut_batches(tokenizer, max_tokens, batch_rows), "_tkey string, _cut string, _tokens int")
+    # Stored: read for the embedder and for the way back, and sampled for the ranges.
+    cut = cut_lineage(cut.withColumn("_ckey", F.sha2("_cut", 256)))
+    width = partitions or max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    asked = (cut.where(F.col("_cut").isNotNull()).dropDuplicates(["_ckey"]).select(F.col("_ckey").alias("_tkey"), "_cut", "_tokens")
+             .repartitionByRange(width, "_tokens", "_tkey").sortWithinPartitions("_tokens", "_tkey"))
+    vectors = asked.mapInPandas(_embed_bucketed(embedder, batch_tokens, max_padding), "_tkey string, _vector array<float>")
+    found = cut.select("_tkey", "_ckey").join(vectors.withColumnRenamed("_tkey", "_ckey"), "_ckey").drop("_ckey")
+    return keyed.join(found, "_tkey", "left").withColumnRenamed("_vector", out_col).drop("_tkey")
+
+
 def vector_table(texts: DataFrame, text_col: str, embedder: EmbedderFactory,
                  out_col: str = "embedding", partitions: int | None = None) -> DataFrame:
     """``(text, vector)`` for the distinct texts of a column: computed once, joined many times."""

@@ -738,6 +738,15 @@ def q_embed_texts(spark, sf):
     return out.select("id", F.transform("embedding", lambda v: F.round(v.cast("double"), 4)).alias("embedding"))
 
 
+@register("embed_texts_bucketed", fx.cte("sheets") + f""",
+cut AS (SELECT id, array_to_string(regexp_extract_all(content_gpt, {O.lit(stubs.WordTokenizer.PATTERN)})
+                                   [1:{models.EMBED_TOKENS - models.EMBED_SPECIAL_TOKENS}], ' ') AS body FROM sheets)
+SELECT id, list_transform({_letters_sql('body')}, lambda v: round(v::DOUBLE, 4)) AS embedding FROM cut""")
+def q_embed_texts_bucketed(spark, sf):
+    out = models.embed_texts_bucketed(_sheets(spark, sf), "content_gpt", stubs.LetterEmbedder(), stubs.WordTokenizer())
+    return out.select("id", F.transform("embedding", lambda v: F.round(v.cast("double"), 4)).alias("embedding"))
+
+
 _CLEAN_PROMPT_SQL = f"{O.lit(PR.CLEANING_USER_HEAD)} || coalesce(content_cleaned, '')"
 _UNWIKI_SQL = f"regexp_replace(body, {O.lit(r'\[\[|\]\]|' + chr(39) + '{2,3}')}, '', 'g')"
 

@@ -115,3 +115,16 @@ class LetterEmbedder:
                 out.append([c / norm if norm else 0.0 for c in counts])
             return out
         return embed
+
+
+class WordTokenizer:
+    """The places of the words (runs of other characters than white space) of each text."""
+
+    PATTERN = r"[^\x20\x09-\x0D]+"
+
+    def __call__(self):
+        words = re.compile(self.PATTERN)
+
+        def tokenize(texts):
+            return [[m.span() for m in words.finditer(t)] for t in texts]
+        return tokenize
