@@ -121,7 +121,7 @@ from quizlens.functions import text as TX  # noqa: E402
 from quizlens.operators import lemmas, models, responses, sheets as sheet_ops, tables  # noqa: E402
 from quizlens.plans import jobs, stubs  # noqa: E402
 from quizlens.session import scratch_path  # noqa: E402
-from quizlens.sources import files, ranges  # noqa: E402
+from quizlens.sources import clustered, files, ranges  # noqa: E402
 
 _S = ", ".join  # column list helper for SQL
 _MCQ_FIELDS = responses.MCQ_FIELDS
@@ -888,3 +888,35 @@ def q_score_csv_shipped(spark, sf):
     jobs.score_csv_job(spark, paths[0], None, paths[1], merge=False, completer=stubs.StubJudge(),
                        distractors_quality_system_prompt=JUDGE_SYSTEM, **off)
     return files.read_csv_header(spark, paths[1]).select("id", "question", "distractors_quality")
+
+
+# ------------------------------------------------------------ joins of tables stored by id
+
+def _clustered(spark, sf):
+    """The question and sheet tables, stored by their id."""
+    out = []
+    for name in ("mcqs", "sheets"):
+        path = scratch_path(spark, f"{name}-clustered")
+        out.append(clustered.write_clustered(_fx(spark, sf, name), f"quizlens_{path.rsplit('-', 1)[1]}", path))
+    return out
+
+
+@register("attach_sheet_clustered", ORACLE["attach_sheet"])
+def q_attach_sheet_clustered(spark, sf):
+    return clustered.joined(*_clustered(spark, sf), joins.attach_sheet).select("mcq_id", "id", "content_gpt")
+
+
+@register("originality_paired_clustered", ORACLE["originality_paired"])
+def q_originality_paired_clustered(spark, sf):
+    return clustered.joined(*_clustered(spark, sf), scores.originality_paired).select("mcq_id", "id", "originality")
+
+
+@register("semi_join_sheets_clustered", ORACLE["semi_join_sheets"])
+def q_semi_join_sheets_clustered(spark, sf):
+    mcqs, sheets = _clustered(spark, sf)
+    return clustered.joined(sheets, mcqs, joins.semi_join_sheets).select("folder", "id")
+
+
+@register("semi_join_mcqs_clustered", ORACLE["semi_join_mcqs"])
+def q_semi_join_mcqs_clustered(spark, sf):
+    return clustered.joined(*_clustered(spark, sf), joins.semi_join_mcqs).select("mcq_id", "id")
