@@ -35,7 +35,8 @@ FROM placed"""
 _W = mixing.WEIGHTS
 MIXING = f"""
 WITH rows AS (SELECT doc_id, coalesce('0' || source, '1') AS src,
-        coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0) AS size FROM documents),
+        coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0) AS size,
+        coalesce(doc_id::VARCHAR, '') || '|' || md5(coalesce(text, '')) AS key FROM documents),
 sources AS (SELECT src, sum(size)::BIGINT AS source_size FROM rows GROUP BY src),
 weighted AS (SELECT *, ([{', '.join(f'{w}::DOUBLE' for w in _W)}])[((row_number() OVER (ORDER BY src) - 1) % {len(_W)} + 1)::INT] AS w,
         source_size * {float(mixing.MAX_REPEATS)}::DOUBLE AS cap FROM sources),
@@ -45,10 +46,10 @@ levels AS (SELECT *, (sum(source_size) OVER () - coalesce(sum(cap) OVER (ORDER B
         / sum(w) OVER (ORDER BY cap / w, src ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM weighted),
 chosen AS (SELECT arg_min(level, (cap / w, src)) AS level FROM levels WHERE level * w <= cap),
 targets AS (SELECT src, source_size, least(cap, (SELECT level FROM chosen) * w) AS target FROM weighted),
-rated AS (SELECT doc_id, size, source_size, target, CASE WHEN source_size > 0 THEN target / source_size ELSE 0 END AS rate
+rated AS (SELECT doc_id, size, source_size, target, key, row_number() OVER (PARTITION BY src, key) - 1 AS number, CASE WHEN source_size > 0 THEN target / source_size ELSE 0 END AS rate
     FROM rows JOIN targets USING (src))
 SELECT doc_id, size, source_size, target,
-    (floor(rate) + CASE WHEN {_HASH32.format(f"'{mixing.SEED}|copy|' || coalesce(doc_id::VARCHAR, '')")} / 4294967296.0::DOUBLE
+    (floor(rate) + CASE WHEN {_HASH32.format(f"'{mixing.SEED}|copy|' || key || '|' || number")} / 4294967296.0::DOUBLE
         < rate - floor(rate) THEN 1 ELSE 0 END)::BIGINT * size AS taken
 FROM rated"""
 

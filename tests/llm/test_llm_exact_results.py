@@ -562,6 +562,32 @@ def test_mix_comes_near_its_targets(spark):
     assert all(abs(r["taken"] / r["target"] - 1) < 0.06 for r in taken)
 
 
+@pytest.mark.parametrize("same_text", [True, False])
+def test_mix_of_one_repeated_id_comes_near_its_target(spark, monkeypatch, same_text):
+    """A third of all rows carry one id: each of them draws for itself, reruns agree, runs are parted."""
+    from pyspark.sql import functions as F
+
+    monkeypatch.setattr(mixing, "RUN", 100)
+    words = F.lit("five words are in here") if same_text else F.concat(F.lit("four words and "), (F.col("id") % 700).cast("string"))
+    rows = spark.range(9000).select(
+        F.when(F.col("id") % 3 == 0, 7).otherwise(F.col("id") + 10).alias("doc_id"),
+        F.when(F.col("id") % 3 == 0, words).otherwise(F.lit("five words are in here")).alias("text"),
+        F.when(F.col("id") % 3 == 0, "hot").otherwise(F.concat(F.lit("s"), (F.col("id") % 2).cast("string"))).alias("source"),
+        (F.col("id") % 4).alias("extra"))
+    plan = mixing.mix_plan(rows, weights=(4.0, 2.0, 4.0)).collect()
+    assert len(plan) == 9000
+    hot = [r for r in plan if r["doc_id"] == 7]
+    assert len(hot) == 3000 and 0 < hot[0]["target"] % hot[0]["source_size"]
+    assert abs(sum(r["taken"] for r in hot) / hot[0]["target"] - 1) < 0.05
+    got = mixing.mixed(rows, weights=(4.0, 2.0, 4.0)).collect()
+    again = mixing.mixed(rows.repartition(5), weights=(4.0, 2.0, 4.0)).collect()
+    assert Counter(map(tuple, got)) == Counter(map(tuple, again))
+    want = Counter()
+    for r in plan:
+        want[r["doc_id"]] += r["copies"]
+    assert Counter(r["doc_id"] for r in got) == Counter({k: n for k, n in want.items() if n})
+
+
 def test_mixed_rows_are_the_plan(spark):
     odd = odd_rows.table(spark, clashing=True)
     plan = Counter()
