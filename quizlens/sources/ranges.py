@@ -241,7 +241,11 @@ def records(spark: SparkSession, path: str, kind: str, range_bytes: int = RANGE_
     """
     ship_package(spark)
     ranges = byte_ranges(spark, path, range_bytes)
-    tasks = max(1, ranges.count())
+    chunk_bytes = min(chunk_bytes, range_bytes)
+    # A task a range, or several small ranges a task: as many tasks as the cores and the session's shuffles have.
+    seen = ranges.agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("stop") - F.col("start")).alias("size")).first()
+    width = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism, (seen["size"] or 0) // RANGE_BYTES)
+    tasks = max(1, min(seen["n"], width))
     states = _states(ranges.repartition(tasks), kind, chunk_bytes)
     return states.repartition(tasks).mapInPandas(_records(kind, chunk_bytes), "path string, place long, record string")
 
