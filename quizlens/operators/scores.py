@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from quizlens.functions import text as T
 from quizlens.functions.vectors import cosine
 from quizlens.operators.filters import MAX_BLOCKS, block_count, bloom_filter, false_rate, may_contain
-from quizlens.plans.sizing import DEFAULT_BROADCAST_BYTES, DEFAULT_BROADCAST_ROWS, ROW_OVERHEAD, at_most, cut_lineage
+from quizlens.plans.sizing import DEFAULT_BROADCAST_BYTES, DEFAULT_BROADCAST_ROWS, ROW_OVERHEAD, at_most, broadcast_if_small, cut_lineage
 
 OPTION_LETTERS = ("a", "b", "c", "d")
 
@@ -265,19 +265,34 @@ def trigram_difference(mcqs: DataFrame, sheets: DataFrame, key_col: str = "mcq_i
                        lemmas: dict[str, str] | DataFrame | None = None) -> DataFrame:
     """Question trigrams missing from the question's sheet, one row each.
 
-    Questions whose sheet is absent (or has no text) have no difference set;
-    they are filtered out before any text is exploded, and so are sheets that
-    no question cites.  Rows of several sheets
-    with one id count together.  The anti join runs on ``(id, trigram)``
-    against a stored distinct side, so AQE can split a hot pair.
+    Questions whose sheet is absent (or has no text) have no difference set.
+    Questions and sheets are tokenised once and compared inside the joined
+    row, as in T4; a hot sheet is a skewed join that AQE splits.  Rows of
+    several sheets with one id count together: for such ids alone trigrams
+    are exploded and anti-joined to a stored distinct side on
+    ``(id, trigram)``.  Sheets that no question cites are left out before they
+    are tokenised where the cited ids are few enough to broadcast.
     """
-    cited = mcqs.where(F.col(question_col).isNotNull()).select(id_col).distinct()
-    known = sheets.where(F.col(sheet_col).isNotNull()).join(cited, id_col, "left_semi")
-    present = cut_lineage(known.select(id_col).distinct())
-    asked = mcqs.where(F.col(question_col).isNotNull()).join(present, id_col, "left_semi")
-    qt = trigram_rows(asked, [key_col, id_col], question_col, stop_words, lemmas)
-    st = cut_lineage(trigram_rows(known, [id_col], sheet_col, stop_words, lemmas).distinct())
-    return qt.join(st.hint("merge"), [id_col, "trigram"], "left_anti").select(key_col, "trigram")
+    asked = mcqs.where(F.col(question_col).isNotNull()).select(key_col, id_col, question_col)
+    known = sheets.where(F.col(sheet_col).isNotNull()).select(id_col, sheet_col)
+    cited, few = broadcast_if_small(cut_lineage(asked.select(id_col).distinct()))
+    if few:
+        known = known.join(cited, id_col, "left_semi")
+    several = cut_lineage(known.groupBy(id_col).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select(id_col))
+    table, _ = broadcast_if_small(several)
+
+    q = with_tokens(asked, question_col, stop_words, lemmas, "_qtk").select(key_col, id_col, "_qtk")
+    s = (with_tokens(known.join(table, id_col, "left_anti"), sheet_col, stop_words, lemmas, "_stk")
+         .select(id_col, "_stk"))
+    missing = F.array_except(T.trigram_array("_qtk"), T.trigram_array("_stk"))
+    # explode_outer: see trigram_rows.
+    single = (q.join(s, id_col).select(key_col, missing.alias("_missing"))
+              .select(key_col, F.explode_outer("_missing").alias("trigram")).where(F.col("trigram").isNotNull()))
+    if several.isEmpty():
+        return single
+    qt = trigram_rows(asked.join(table, id_col, "left_semi"), [key_col, id_col], question_col, stop_words, lemmas)
+    st = cut_lineage(trigram_rows(known.join(table, id_col, "left_semi"), [id_col], sheet_col, stop_words, lemmas).distinct())
+    return single.unionByName(qt.join(st.hint("merge"), [id_col, "trigram"], "left_anti").select(key_col, "trigram"))
 
 
 # ---------------------------------------------------------------- vectors

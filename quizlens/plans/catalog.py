@@ -121,7 +121,7 @@ from quizlens.functions import text as TX  # noqa: E402
 from quizlens.operators import lemmas, models, responses, sheets as sheet_ops, tables  # noqa: E402
 from quizlens.plans import jobs, stubs  # noqa: E402
 from quizlens.session import scratch_path  # noqa: E402
-from quizlens.sources import clustered, files, ranges  # noqa: E402
+from quizlens.sources import clustered, files, ranges, sheet_store  # noqa: E402
 
 _S = ", ".join  # column list helper for SQL
 _MCQ_FIELDS = responses.MCQ_FIELDS
@@ -155,6 +155,23 @@ def q_read_sheet_tree(spark, sf):
     return files.read_sheet_tree(spark, _tree_root(spark, sf))
 
 
+@register("refresh_sheets", fx.cte("sheets_raw") + """
+SELECT folder, id, CASE WHEN substring(id, -1) IN ('3', '8') THEN concat(content_raw, chr(10), 'second edition') ELSE content_raw END AS content_raw
+FROM sheets_raw""")
+def q_refresh_sheets(spark, sf):
+    """The whole tree after two refreshes: between them a tenth of the files is added and a fifth is written again."""
+    root, store = scratch_path(spark, "sheet-tree"), scratch_path(spark, "sheet-store")
+    raw = _fx(spark, sf, "sheets_raw")
+    end = F.substring("id", -1, 1)
+    files.write_text_tree(raw.where(end != "7"), root)
+    sheet_store.refresh_sheets(spark, root, store)
+    files.write_text_tree(raw.where(end == "7"), root)
+    second = F.concat("content_raw", F.lit("\nsecond edition")).alias("content_raw")
+    files.write_text_tree(raw.where(end.isin("3", "8")).select("folder", "id", second), root)
+    sheet_store.refresh_sheets(spark, root, store)
+    return sheet_store.read_sheet_store(spark, store)
+
+
 _META_SQL = fx.cte("sheets_raw") + ",\n" + O.metadata_ctes() + f"""
 SELECT folder, id, {O.metadata_select()} FROM md4"""
 

@@ -18,7 +18,7 @@ from quizlens.functions import text as TX
 from quizlens.functions.vectors import cosine
 from quizlens.operators import joins, models, responses, scores, sheets as sheet_ops
 from quizlens.plans.sizing import cut_lineage
-from quizlens.sources import files
+from quizlens.sources import files, sheet_store
 
 OPTION_COLS = ("option_a", "option_b", "option_c", "option_d")
 
@@ -196,16 +196,21 @@ def _vectors_for(mcqs, sk, vectors, embedder, question_col, sheet_col, option_co
 
 
 def ingest_sheets(spark: SparkSession, root: str, completer: models.CompleterFactory | None = None,
-                  drop_multimedia: bool = True, output: str | None = None) -> DataFrame:
+                  drop_multimedia: bool = True, output: str | None = None, store: str | None = None) -> DataFrame:
     """Job B: read the tree, extract metadata, drop multimedia sheets, and
     (with a completer) add the model-cleaned text ``content_gpt``.  A failed
     call leaves NULL; no row is lost.
 
     With ``output`` the result is compacted once into Parquet partitioned by
     folder and read back from there: later jobs scan a few columnar files
-    instead of one small text file per sheet, and folder splits prune.
+    instead of one small text file per sheet, and folder splits prune.  With
+    ``store`` the texts come from a stored copy of the tree, for which only
+    files that are new or changed since the last run are read.
     """
-    df = sheet_ops.extract_sheet_metadata(files.read_sheet_tree(spark, root))
+    if store is not None:
+        sheet_store.refresh_sheets(spark, root, store)
+    raw = files.read_sheet_tree(spark, root) if store is None else sheet_store.read_sheet_store(spark, store)
+    df = sheet_ops.extract_sheet_metadata(raw)
     if drop_multimedia:
         df = sheet_ops.drop_multimedia(df)
     if completer is not None:

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import json
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -28,30 +28,90 @@ CSV_OPTIONS = {"header": "true", "quote": '"', "escape": '"', "multiLine": "true
 
 
 def arrow_fs(uri: str):
-    """(pyarrow filesystem, path) for a local path, ``file:`` URI or remote URI."""
+    """(pyarrow filesystem, path) for a local path, ``file:`` URI or remote URI; names are as they are, not encoded."""
+    from urllib.parse import quote
+
     from pyarrow import fs as pafs
 
     if uri.startswith("file:") and not uri.startswith("file://"):
         uri = "file://" + uri[len("file:"):]
     if "://" not in uri:
         return pafs.LocalFileSystem(), uri
-    return pafs.FileSystem.from_uri(uri)
+    scheme, rest = uri.split("://", 1)
+    scheme = {"s3a": "s3", "s3n": "s3"}.get(scheme, scheme)
+    return pafs.FileSystem.from_uri(f"{scheme}://{quote(rest, safe='/:@?=&,+~')}")
+
+
+LISTING = "folder string, name string, length long, modified long"
+TEXTS = LISTING + ", content_raw string"
+#: Texts a task holds before it passes them on, in bytes.
+BATCH_BYTES = 8 * 1024 * 1024
+
+
+def list_sheets(spark: SparkSession, root: str) -> DataFrame:
+    """``(folder, name, length, modified)`` of every ``<root>/<folder>/<name>`` that ends in ``.txt``, listed by the executors.
+
+    One task lists the root, then each folder is listed by one task.  Names
+    that start with ``_`` or ``.`` and empty files count like others.
+    ``modified`` is in nanoseconds, as exact as the filesystem keeps it.  A
+    root that is not there is an error.
+    """
+    ship_package(spark)
+
+    def infos(inside: str, kind: str):
+        from pyarrow import fs as pafs
+
+        filesystem, base = arrow_fs(root)
+        return [i for i in filesystem.get_file_info(pafs.FileSelector(base + inside)) if i.type == getattr(pafs.FileType, kind)]
+
+    def folders(batches):
+        import pandas as pd
+
+        for pdf in batches:
+            for _ in pdf["id"]:
+                yield pd.DataFrame({"folder": [i.base_name for i in infos("", "Directory")]}, dtype=object)
 
+    def sheets(batches):
+        import pandas as pd
 
-def _qualified(spark: SparkSession, path: str):
-    """(Hadoop filesystem, qualified path) of ``path``."""
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    filesystem = p.getFileSystem(spark._jsc.hadoopConfiguration())
-    return filesystem, filesystem.makeQualified(p)
+        for pdf in batches:
+            for folder in pdf["folder"]:
+                rows = [(folder, i.base_name, i.size, i.mtime_ns or 0) for i in infos(f"/{folder}", "File") if i.base_name.endswith(".txt")]
+                yield pd.DataFrame(rows, columns=["folder", "name", "length", "modified"])
 
+    top = spark.range(0, 1, 1, 1).mapInPandas(folders, "folder string")
+    return top.repartition(spark.sparkContext.defaultParallelism, "folder").mapInPandas(sheets, LISTING)
 
-def _tree_rows(raw: DataFrame, depth: int) -> DataFrame:
-    """folder, id, content_raw from (path, value); files at other depths are left out."""
-    parts = F.split("path", "/")
-    return raw.where(F.size(parts) == depth).select(
-        F.element_at(parts, -2).alias("folder"),
-        F.regexp_replace(F.element_at(parts, -1), r"\.txt$", "").alias("id"),
-        F.regexp_replace("value", "\r\n?", "\n").alias("content_raw"))
+
+def read_listed(listed: DataFrame, root: str) -> DataFrame:
+    """``listed`` (:func:`list_sheets`) with the text of each file, read where its row is; files gone meanwhile are left out."""
+
+    def read(batches):
+        import pandas as pd
+
+        filesystem, base = arrow_fs(root)
+        columns = ["folder", "name", "length", "modified"]
+        for pdf in batches:
+            rows, held = [], 0
+            for row in pdf[columns].itertuples(index=False, name=None):
+                try:
+                    with filesystem.open_input_stream(f"{base}/{row[0]}/{row[1]}") as stream:
+                        content = stream.read()
+                except FileNotFoundError:
+                    continue
+                rows.append((*row, content.decode("utf-8", "replace").replace("\r\n", "\n").replace("\r", "\n")))
+                held += len(content)
+                if held >= BATCH_BYTES:
+                    yield pd.DataFrame(rows, columns=[*columns, "content_raw"])
+                    rows, held = [], 0
+            yield pd.DataFrame(rows, columns=[*columns, "content_raw"])
+
+    return listed.mapInPandas(read, TEXTS)
+
+
+def sheet_id(name_col: str = "name") -> Column:
+    """The name of a sheet without its last extension; a name of nothing else is kept."""
+    return F.regexp_replace(name_col, r"(?s)^(.*[^.].*)\.txt$", "$1")
 
 
 def read_sheet_tree(spark: SparkSession, root: str) -> DataFrame:
@@ -59,45 +119,14 @@ def read_sheet_tree(spark: SparkSession, root: str) -> DataFrame:
 
     Only ``.txt`` files directly inside first-level folders count; the id is
     the file name without its last extension; content is read whole (UTF-8),
-    with ``\\r\\n`` and ``\\r`` as line ends turned into ``\\n``.  Spark lists
-    the folders (by a distributed job where they are many) and packs small
-    files several to a task.
-
-    Spark's own listing passes over names that start with ``_`` or ``.``, of
-    files and of folders.  Those are looked up by name and read beside the
-    others, so no file is lost.
+    with ``\\r\\n`` and ``\\r`` as line ends turned into ``\\n``.  Empty files
+    and names that start with ``_`` or ``.`` are read too, which Spark's own
+    file sources pass over.  Executors list the folders and read the files,
+    dealt by a hash of their names; a task holds a few files at a time.
     """
-    filesystem, base = _qualified(spark, root)
-    # file:/a/b and file:///a/b both give /a/b; the depth is counted on this form.
-    plain = r"^[A-Za-z][A-Za-z0-9+.-]*:(//[^/]*)?"
-    depth = len(base.toUri().getPath().rstrip("/").split("/")) + 2
-    found = (spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.txt")
-             .text(base.toString(), wholetext=True))
-    # The path is percent-encoded; '+' is literal there, so protect it from
-    # the form-decoding rule that would turn it into a space.
-    path = F.url_decode(F.replace(F.regexp_replace(F.col("_metadata.file_path"), plain, ""), F.lit("+"), F.lit("%2B")))
-    rows = _tree_rows(found.select(path.alias("path"), "value"), depth)
-    Path = spark._jvm.org.apache.hadoop.fs.Path
-    hidden = {status.getPath().toString()
-              for pattern in ("[_.]*/*.txt", "*/[_.]*.txt")
-              for status in filesystem.globStatus(Path(base, pattern)) or []}
-    if not hidden:
-        return rows
-    listed = spark.createDataFrame([(h,) for h in sorted(hidden)], "uri string")
-    read = listed.repartition(min(len(hidden), spark.sparkContext.defaultParallelism)).mapInPandas(_read_texts, "uri string, value string")
-    return rows.unionByName(_tree_rows(read.select(F.regexp_replace("uri", plain, "").alias("path"), "value"), depth))
-
-
-def _read_texts(batches):
-    import pandas as pd
-
-    for pdf in batches:
-        texts = []
-        for uri in pdf["uri"]:
-            filesystem, path = arrow_fs(uri)
-            with filesystem.open_input_stream(path) as stream:
-                texts.append(stream.read().decode("utf-8", "replace"))
-        yield pd.DataFrame({"uri": pdf["uri"], "value": texts})
+    width = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    dealt = list_sheets(spark, root).repartition(width, "folder", "name")
+    return read_listed(dealt, root).select("folder", sheet_id().alias("id"), "content_raw")
 
 
 def read_csv_table(spark: SparkSession, path: str, schema: str | T.StructType) -> DataFrame:

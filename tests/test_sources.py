@@ -75,14 +75,14 @@ def test_sheet_tree_reads_every_file(spark, scratch):
     """Names that Spark's listing passes over, line ends, and files at other depths."""
     filesystem, base = files.arrow_fs(scratch)
     tree = {"F1/a.txt": "one\r\ntwo\rthree\n", "F1/_b.txt": "hidden\r\n", "F1/.c.txt": "dot", "_F2/d.txt": "folder",
-            "F1/deep/e.txt": "too deep", "f.txt": "too high", "F1/g.md": "other kind", "F 3/h+i é.txt": "name"}
+            "F1/deep/e.txt": "too deep", "f.txt": "too high", "F1/g.md": "other kind", "F 3/h+i é.txt": "name", "F 3/_j%20 k.txt": "both"}
     for name, text in tree.items():
         filesystem.create_dir(f"{base}/{name}".rsplit("/", 1)[0], recursive=True)
         with filesystem.open_output_stream(f"{base}/{name}") as out:
             out.write(text.encode())
     got = {(r["folder"], r["id"]): r["content_raw"] for r in files.read_sheet_tree(spark, scratch).collect()}
     assert got == {("F1", "a"): "one\ntwo\nthree\n", ("F1", "_b"): "hidden\n", ("F1", ".c"): "dot", ("_F2", "d"): "folder",
-                   ("F 3", "h+i é"): "name"}
+                   ("F 3", "h+i é"): "name", ("F 3", "_j%20 k"): "both"}
 
 
 def test_json_records_stream(spark, scratch):
