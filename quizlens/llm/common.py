@@ -61,29 +61,30 @@ def source_key(col: str) -> Column:
     return F.coalesce(F.concat(F.lit("0"), F.col(col).cast("string")), F.lit("1"))
 
 
-def ranked(df: DataFrame, group: list[str], uniform: str, ties: list[str], out: str,
-           total: str | None = None) -> DataFrame:
-    """Zero-based rank of each row within ``group``, ordered by ``uniform`` and then ``ties``.
-
-    ``uniform`` holds integers spread over [0, 2^32).  Rows are ranked inside
-    (group, slice of that range); slice sizes turn into offsets by a running
-    sum over the small table of counts.  A group that holds a third of all
-    rows, or no grouping at all, is spread over every task.  ``df`` is read
-    twice, so it should be a staged table.  ``total`` names an extra column
-    with the size of the group.  Grouping columns must not be null.
+def ranked(df: DataFrame, group: list[str], order: list[str], out: str, name: str, total: str | None = None) -> DataFrame:
+    """Zero-based rank of each row within ``group`` (no columns: the whole table), by ``order``.
+
+    Rows are sorted by ranges of (group, order) and staged as ``name``; a rank
+    is the place in the range plus the rows of the group in earlier ranges, a
+    sum over the table of (group, range) counts.  A number of the row ends the
+    order, so ranges cut groups, rows that share their whole order, and copies
+    of one row alike: none of them can fill one task.  Such rows take their
+    places in any order.  ``df`` is read twice, so it should be a staged table
+    (the numbers of its rows are then those of its files).  ``total`` names an
+    extra column with the size of the group.  Grouping columns must not be null.
     """
-    slices = 4 * shuffle_width(df.sparkSession)
-    cut = df.withColumn("__slice", F.expr(f"cast(floor({uniform} * {slices} / 4294967296) as int)"))
-    counts = cut.groupBy(*group, "__slice").agg(F.count(F.lit(1)).alias("__n"))
-    running = Window.partitionBy(*group).orderBy("__slice")
-    offsets = counts.select(*group, "__slice", (F.sum("__n").over(running) - F.col("__n")).alias("__off"),
-                            F.sum("__n").over(Window.partitionBy(*group)).alias("__total"))
-    within = F.row_number().over(Window.partitionBy(*group, "__slice").orderBy(uniform, *ties))
-    done = (cut.withColumn("__row", within).join(offsets, [*group, "__slice"])
-            .withColumn(out, F.col("__off") + F.col("__row") - F.lit(1)))
+    numbered = df.withColumn("__row", F.monotonically_increasing_id())
+    placed = staged(numbered.orderBy(*group, *order, "__row").drop("__row").withColumn("__at", F.monotonically_increasing_id()), name)
+    cut = placed.withColumn("__part", F.shiftrightunsigned("__at", 33))
+    counts = cut.groupBy(*group, "__part").agg(F.count(F.lit(1)).alias("__n"), F.min("__at").alias("__first"))
+    running, whole = Window.partitionBy(*group).orderBy("__part"), Window.partitionBy(*group)
+    offsets = counts.select(*group, "__part", "__first", (F.sum("__n").over(running) - F.col("__n")).alias("__off"),
+                            F.sum("__n").over(whole).alias("__total"))
+    offsets, _ = broadcast_if_small(offsets, BROADCAST_PAIRS)
+    done = cut.join(offsets, [*group, "__part"]).withColumn(out, F.col("__off") + F.col("__at") - F.col("__first"))
     if total:
         done = done.withColumn(total, F.col("__total"))
-    return done.drop("__slice", "__row", "__off", "__total")
+    return done.drop("__at", "__part", "__first", "__off", "__total")
 
 
 def ordered_ranks(df: DataFrame, order: list, out: str, name: str) -> DataFrame:

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quizlens.llm.common import hash32, ranked, ready, staged
+from quizlens.llm.common import drop_staged, ranked, ready, staged
 from quizlens.llm.tokens import WHOLE, Memory, encoder, tokenizer_path
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -29,7 +29,7 @@ END_ID = 0
 #: Bounds of the search: decisions in all, and steps within the enumeration of one filling.
 MAX_NODES = 20_000
 MAX_STEPS = 400
-#: Fillings tried at one decision.
+#: Fillings tried at one decision in the first turn of the search; each turn tries one more.
 BRANCHES = 3
 
 Plan = list[tuple[tuple[int, ...], int]]  # (lengths, descending; number of sequences so filled)
@@ -84,21 +84,20 @@ def _add(open_, spaces, space, contents, n):
     open_[space][contents] += n
 
 
-def completions(sizes: list[int], counts: dict[int, int], space: int) -> list[tuple[int, ...]]:
-    """Undominated ways to fill ``space``, least waste first, at most ``BRANCHES``.
+def completions(sizes: list[int], counts: dict[int, int], space: int, most: int) -> tuple[list[tuple[int, ...]], bool]:
+    """Undominated ways to fill ``space``, least waste first, at most ``most``, and whether these are all.
 
     ``sizes`` are the lengths left, ascending.  A set is dominated if a piece
-    that is left would still fit, or if one piece can stand for several of
-    its pieces without more waste; so larger pieces are tried first and a set
-    is kept only if it wastes less, or as little with as few pieces, as those
-    before it.  Branches that cannot get below the waste of the sets kept are
-    pruned.
+    that is left would still fit, or if pieces of another set can each stand
+    for one or several of its pieces (:func:`dominates`).  Larger pieces are
+    tried first; a branch is left where it cannot waste less than the sets
+    kept, or as little with fewer pieces.
     """
     kept: list[tuple[int, int, tuple[int, ...]]] = []  # (waste, pieces, set), least first
-    steps = 0
+    steps, whole = 0, True
 
     def extend(chosen: tuple[int, ...], left: int, top: int):
-        nonlocal steps
+        nonlocal steps, whole
         steps += 1
         fits = False
         at = bisect_right(sizes, min(left, top)) - 1
@@ -109,16 +108,24 @@ def completions(sizes: list[int], counts: dict[int, int], space: int) -> list[tu
                 continue
             fits = True
             rest = left - size
-            full = len(kept) == BRANCHES
+            full = len(kept) == most
             if full and (0, len(chosen) + 1) >= kept[-1][:2]:
+                whole = False
                 break  # not even a filling without waste would be kept
             if not full or (rest if rest < sizes[0] else 0, len(chosen) + 1) < kept[-1][:2]:
                 extend((*chosen, size), rest, size)
+            else:
+                whole = False
             if steps >= MAX_STEPS:
+                whole = False
                 return
-        if not fits:
-            insort(kept, (left, len(chosen), chosen))
-            del kept[BRANCHES:]
+        # More room may be left for a smaller piece than ``top`` allows to ask; then this set is not full.
+        if not fits and not any(counts[s] > chosen.count(s) for s in sizes[:bisect_right(sizes, left)]):
+            if not any(dominates(other, chosen) for _, _, other in kept):
+                kept[:] = [k for k in kept if not dominates(chosen, k[2])]
+                insort(kept, (left, len(chosen), chosen))
+                whole &= len(kept) <= most
+                del kept[most:]
 
     extend((), space, space)
     if not kept:  # out of steps before any set was full: the greedy one
@@ -128,74 +135,131 @@ def completions(sizes: list[int], counts: dict[int, int], space: int) -> list[tu
                 chosen, left = (*chosen, sizes[at]), left - sizes[at]
             else:
                 top = sizes[at] - 1
-        return [chosen]
-    return [c for _, _, c in kept]
+        return [chosen], False
+    return [c for _, _, c in kept], whole
+
+
+def dominates(larger: tuple[int, ...], smaller: tuple[int, ...]) -> bool:
+    """True if the pieces of ``smaller`` can be dealt to those of ``larger`` without one overflowing.
+
+    Whatever is packed with ``smaller`` in place can then be packed with
+    ``larger``, by changing the pieces over.  Both are descending; the pieces
+    are dealt first-fit, so some cases are not seen, and none is taken wrongly.
+    """
+    if sum(smaller) > sum(larger):
+        return False
+    rooms = list(larger)
+    for size in smaller:
+        for k in range(len(rooms) - 1, -1, -1):
+            if rooms[k] >= size:
+                rooms[k] -= size
+                break
+        else:
+            return False
+    return True
 
 
 def bin_completion(counts: dict[int, int], capacity: int = CAPACITY, max_nodes: int = MAX_NODES) -> Plan:
     """Fillings that use every piece, in as few sequences as the search finds.
 
     The best-fit plan is the first incumbent.  The search fills a sequence
-    around the largest piece left, as many times as the pieces allow, and goes
-    back over its decisions where the sequences used and a bound on the rest
-    (their sum, rounded up) cannot beat the incumbent.  It ends at the lower
-    bound or after ``max_nodes`` decisions.
+    around the largest piece left and goes back over its decisions where the
+    sequences used and a bound on the rest cannot beat the incumbent.  It is a
+    limited discrepancy search: turn ``d`` tries plans that differ from the
+    first choice (the least waste, taken as often as the pieces allow) in up
+    to ``d`` decisions, with wider choices each turn, so early decisions are
+    revised as readily as late ones.  It ends at the lower bound, when a turn
+    left nothing out, or after ``max_nodes`` decisions.
     """
     incumbent = best_fit(counts, capacity)
     used_best = sum(n for _, n in incumbent)
     bound = lower_bound(counts, capacity)
+    nodes = 0
+    for allowed in range(max_nodes):
+        if used_best <= bound or nodes >= max_nodes:
+            break
+        plan, visited, whole = _turn(counts, capacity, allowed, used_best, bound, max_nodes - nodes)
+        nodes += visited
+        if plan is not None:
+            incumbent, used_best = plan, sum(n for _, n in plan)
+        if whole:
+            break
+    return incumbent
+
+
+def _turn(counts: dict[int, int], capacity: int, allowed: int, used_best: int, bound: int, max_nodes: int) -> tuple[Plan | None, int, bool]:
+    """One turn of the search: a plan of fewer than ``used_best`` sequences if found, decisions made, and whether nothing was left out."""
     left = dict(counts)
     sizes = sorted(left)
     total = sum(s * n for s, n in left.items())
-    used, nodes = 0, 0
+    used, nodes, whole = 0, 0, True
+    found: Plan | None = None
     path: Plan = []
+    spent = 0  # discrepancies on the path
+    costs: list[int] = []
     stack: list[Iterator] = []
+    most = BRANCHES + allowed
 
     def choices():
+        nonlocal whole
         largest = sizes[-1]
         left[largest] -= 1
-        options = completions(sizes, left, capacity - largest)
+        options, all_of_them = completions(sizes, left, capacity - largest, most)
         left[largest] += 1
-        return iter([(largest, *c) for c in options])
-
-    def take(filling, sign, times):
+        whole &= all_of_them
+        fillings = [(largest, *c) for c in options]
+        times = [min(left[s] // n for s, n in Counter(f).items()) for f in fillings]
+        ranked_choices = [*zip(fillings, times), *((f, 1) for f, n in zip(fillings, times) if n > 1)]
+        if len(ranked_choices) > 1 and spent >= allowed:
+            whole = False
+            ranked_choices = ranked_choices[:1]
+        return iter([(f, n, int(k > 0)) for k, (f, n) in enumerate(ranked_choices)])
+
+    def take(filling, times):
         nonlocal total, used
         for size, n in Counter(filling).items():
-            left[size] -= sign * n * times
+            left[size] -= n * times
             at = bisect_left(sizes, size)
             there = at < len(sizes) and sizes[at] == size
             if left[size] and not there:
                 sizes.insert(at, size)
             elif not left[size] and there:
                 sizes.pop(at)
-        total -= sign * sum(filling) * times
-        used += sign * times
+        total -= sum(filling) * times
+        used += times
+
+    def back():
+        nonlocal spent
+        filling, times = path.pop()
+        take(filling, -times)
+        spent -= costs.pop()
 
-    if used_best > bound and sizes:
+    if sizes:
         stack.append(choices())
-    while stack and nodes < max_nodes and used_best > bound:
-        filling = next(stack[-1], None)
-        if filling is None:
+    while stack:
+        choice = next(stack[-1], None)
+        if choice is None:
             stack.pop()
             if path:
-                take(*_undo(path.pop()))
+                back()
             continue
+        if nodes >= max_nodes:
+            return found, nodes, False
         nodes += 1
-        times = min(left[s] // n for s, n in Counter(filling).items())
-        take(filling, 1, times)
+        filling, times, cost = choice
+        take(filling, times)
         path.append((filling, times))
+        costs.append(cost)
+        spent += cost
         if not sizes and used < used_best:
-            incumbent, used_best = list(path), used
+            found, used_best = list(path), used
+            if used_best <= bound:
+                return found, nodes, True
         if not sizes or used + -(-total // capacity) >= used_best:
-            take(*_undo(path.pop()))
+            back()
             continue
         stack.append(choices())
-    return incumbent
-
-
-def _undo(step):
-    filling, times = step
-    return filling, -1, times
+    return found, nodes, whole
 
 
 def plan_table(plan: Plan) -> dict[str, np.ndarray]:
@@ -278,7 +342,7 @@ def packed(docs: DataFrame, tokenizer: str | None = None, cut: str | None = "spa
     # At most `capacity` rows, however many documents there are.
     counts = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}
     table = plan_table(bin_completion(counts, capacity))
-    keyed = pieces.withColumn("__u", hash32(F.col("doc_id").cast("string"), F.col("piece").cast("string")))
-    places = ranked(keyed, ["length"], "__u", ["doc_id", "piece", "ids_crc32"], "rank").drop("__u")
+    places = ranked(pieces, ["length"], ["doc_id", "piece", "ids_crc32"], "rank", "pack-ranks")
+    drop_staged(pieces)
     return places.select("doc_id", "piece", "start", "length", "ids_crc32", "rank").mapInPandas(
         _placer(table), PIECE_SCHEMA + ", sequence_id long, offset long")

@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quizlens.llm.common import hash32, ranked, source_key, staged
+from quizlens.llm.common import drop_staged, hash32, ranked, source_key, staged
 
 SHARDS = 16
 SEED = 20
@@ -35,16 +35,16 @@ def stratified_shards(docs: DataFrame, shards: int = SHARDS, seed: int = SEED, i
                        F.crc32(text.cast("binary")).alias("text_crc32"),
                        hash32(seed, F.col(id_col).cast("string")).alias("h"))
     rows = staged(rows, "shard-rows")
-    by_source = ranked(rows, ["src"], "h", ["doc_id", "text_crc32", "size"], "rank", total="n")
+    by_source = ranked(rows, ["src"], ["h", "doc_id", "text_crc32", "size"], "rank", "shard-sources", total="n")
+    drop_staged(rows)
     # Each source starts at its own fraction of a step, so that many sources
     # of one row each do not all meet at the same place of the order.
     start = hash32(seed, F.lit("start"), F.col("src")) / F.lit(4294967296.0)
     fraction = (F.col("rank") + start) / F.col("n")
-    placed = by_source.withColumn("frac", fraction).select(
-        "doc_id", "size", "text_crc32", "src", "rank", "frac",
-        F.floor(F.col("frac") * F.lit(4294967296.0)).cast("long").alias("f32"))
+    placed = by_source.withColumn("frac", fraction).select("doc_id", "size", "text_crc32", "src", "rank", "frac")
     placed = staged(placed, "shard-fractions")
-    order = ranked(placed, [], "f32", ["frac", "src", "rank"], "pos", total="n")
+    order = ranked(placed, [], ["frac", "src", "rank"], "pos", "shard-order", total="n")
+    drop_staged(placed)
     return order.select("doc_id", "size", "text_crc32",
                         F.expr(f"cast(pos * {shards} div n as int)").alias("shard"),
                         F.expr(f"pos - ((pos * {shards} div n) * n + {shards - 1}) div {shards}").alias("slot"))
