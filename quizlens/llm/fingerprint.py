@@ -142,16 +142,29 @@ _SCHEMA = pa.schema([("doc_id", pa.int64()), ("n_chars", pa.int64())] + [
 
 
 def _parted(rows: DataFrame, parts: int) -> DataFrame:
-    """``rows`` with ``part``, the range of its id; bounds are quantiles of the ids (one number a range)."""
-    bounds = np.unique(rows.approxQuantile("doc_id", [k / parts for k in range(1, parts)], 0.2 / parts)).astype("int64")
+    """``rows`` with ``part``, the range of its id and ``tie``; bounds are quantiles of the ids (one number a range).
+
+    An id that is a bound several times holds that many ranges' worth of rows:
+    they are cut by ``tie``, the hash of the text, into as many ranges.
+    """
+    bounds, cuts = np.unique(rows.approxQuantile("doc_id", [k / parts for k in range(1, parts)], 0.2 / parts), return_counts=True)
+    bounds, last = bounds.astype("int64"), np.concatenate([[0], np.cumsum(cuts)])  # range after the last cut of a bound
 
     @F.pandas_udf("int")
-    def part(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for ids in batches:
+    def part(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        for ids, ties in batches:
             known = ids.notna()
-            yield pd.Series(np.where(known, np.searchsorted(bounds, ids.fillna(0).astype("int64"), side="right"), 0))
-
-    return rows.withColumn("part", part("doc_id"))
+            values = ids.fillna(0).astype("int64").to_numpy()
+            at = np.searchsorted(bounds, values, side="right")
+            out = last[at]
+            if len(bounds):
+                before = np.maximum(at - 1, 0)
+                share = (ties.to_numpy().astype("float64") / 2.0 ** 64 + 0.5) * cuts[before]
+                own = last[before] + 1 + np.minimum(share.astype("int64"), cuts[before] - 1)
+                out = np.where((at > 0) & (bounds[before] == values), own, out)
+            yield pd.Series(np.where(known, out, 0))
+
+    return rows.withColumn("part", part("doc_id", "tie"))
 
 
 def compared(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
