@@ -20,7 +20,7 @@ from functools import lru_cache
 import numpy as np
 import pandas as pd
 import zstandard
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quizlens.llm.common import hash32, ready
@@ -33,6 +33,8 @@ THRESHOLD = 0.3
 #: The fit's sample: most labelled documents of each class for the dictionaries, most for the
 #: calibration, and the longest text that is used to fit.  Scores are given to every whole text.
 TOXIC_SAMPLE, ORDINARY_SAMPLE, CALIBRATION_SAMPLE, LONGEST_SAMPLE = 2_000, 4_000, 6_000, 100_000
+#: Characters of the sample for each document it may have; the sample ends where they are used up.
+MEAN_SAMPLE = 5_000
 #: A characteristic word: contexts in its class at least, log odds at least, and those in standard errors.
 MIN_CONTEXTS, MIN_LOG_ODDS, MIN_ERRORS, MIN_LENGTH = 5, 2.5, 3.0, 4
 SEED = 9
@@ -168,25 +170,32 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 
     Remainders 0 and 1 of :func:`fold` make the dictionaries, remainder 3
     calibrates.  Repeated labels of an id count once (toxic if any says so),
-    null labels not at all.  Without labels of both classes the score is the
-    share of toxic labels, or 0.
+    null labels not at all.  Of the texts of a repeated id the one with the
+    least hash is read.  Without labels of both classes the score is the share
+    of toxic labels, or 0.
     """
     known = (labels.where(F.col("toxic").isNotNull()).select(F.col(id_col).cast("long").alias("id"), "toxic")
              .groupBy("id").agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
              .withColumns({"fold": fold("id"), "order": hash32(SEED, F.col("id").cast("string"))}))
 
-    def some(rows: DataFrame, part: str, n: int) -> DataFrame:
-        return rows.orderBy("order", "id").limit(n).select("id", "toxic", F.lit(part).alias("part"))
+    def some(rows: DataFrame, kind: int, n: int) -> DataFrame:
+        return rows.orderBy("order", "id").limit(n).select("id", "toxic", "order", F.lit(kind).alias("kind"), F.lit(n).alias("most"))
 
-    ids = (some(known.where("fold in (0, 1) and toxic = 1"), "dictionary", TOXIC_SAMPLE)
-           .union(some(known.where("fold in (0, 1) and toxic = 0"), "dictionary", ORDINARY_SAMPLE))
-           .union(some(known.where("fold = 3"), "calibration", CALIBRATION_SAMPLE)))
+    made = known.where("fold in (0, 1)")
     # At most TOXIC_SAMPLE + ORDINARY_SAMPLE + CALIBRATION_SAMPLE ids.
+    ids = (some(made.where("toxic = 1"), 1, TOXIC_SAMPLE).union(some(made.where("toxic = 0"), 0, ORDINARY_SAMPLE))
+           .union(some(known.where("fold = 3"), 2, CALIBRATION_SAMPLE)))
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), text.alias("text"))
-    sample = rows.join(F.broadcast(ids), "id").where(F.length("text") <= LONGEST_SAMPLE).toPandas()
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), text.alias("text")).withColumn("h", F.xxhash64("text"))
+    # One text an id, then as many as the characters allow: both are settled before any text is collected.
+    one = (rows.where(F.length("text") <= LONGEST_SAMPLE).join(F.broadcast(ids), "id").groupBy("id", "toxic", "order", "kind", "most")
+           .agg(F.min(F.struct("h", F.length("text").alias("chars"))).alias("text")))
+    held = F.sum("text.chars").over(Window.partitionBy("kind").orderBy("order", "id"))
+    chosen = one.withColumn("held", held).where(F.col("held") <= F.col("most") * MEAN_SAMPLE).select("id", "toxic", "kind", F.col("text.h").alias("h"))
+    sample = rows.join(F.broadcast(chosen), ["id", "h"]).dropDuplicates(["id", "h"]).drop("h").toPandas()
+    sample["part"] = np.where(sample.pop("kind") == 2, "calibration", "dictionary")
     # A fixed order, whatever order the rows came in.
-    return train(sample.sort_values(["part", "id", "text"]).drop_duplicates(["id", "text"]))
+    return train(sample.sort_values(["part", "id", "text"]))
 
 
 def score_column(model: Model, text_col: str = "text") -> Column:
