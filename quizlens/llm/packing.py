@@ -29,6 +29,8 @@ END_ID = 0
 #: Bounds of the search: decisions in all, and steps within the enumeration of one filling.
 MAX_NODES = 20_000
 MAX_STEPS = 400
+#: Lengths left, added up over the decisions: a decision on a table of many lengths costs more than one on few.
+MAX_LENGTHS = 2_000_000
 #: Fillings tried at one decision in the first turn of the search; each turn tries one more.
 BRANCHES = 3
 
@@ -164,41 +166,48 @@ def bin_completion(counts: dict[int, int], capacity: int = CAPACITY, max_nodes:
 
     The best-fit plan is the first incumbent.  The search fills a sequence
     around the largest piece left and goes back over its decisions where the
-    sequences used and a bound on the rest cannot beat the incumbent.  It is a
-    limited discrepancy search: turn ``d`` tries plans that differ from the
-    first choice (the least waste, taken as often as the pieces allow) in up
-    to ``d`` decisions, with wider choices each turn, so early decisions are
-    revised as readily as late ones.  It ends at the lower bound, when a turn
-    left nothing out, or after ``max_nodes`` decisions.
+    sequences used and a bound on the rest cannot beat the incumbent.  The
+    first turn goes back over the last decisions first, which is what large
+    tables need.  The turns after it are a limited discrepancy search: each
+    tries plans that differ from the first choices (the least waste, taken as
+    often as the pieces allow) in one decision more than the turn before, among
+    one choice more, a filling taken once included; so early decisions are
+    revised as readily as late ones.  The search ends at the lower bound, when
+    a turn left nothing out, after ``max_nodes`` decisions of the first turn
+    and as many of the others, or when those have met ``MAX_LENGTHS`` lengths.
     """
     incumbent = best_fit(counts, capacity)
     used_best = sum(n for _, n in incumbent)
     bound = lower_bound(counts, capacity)
-    nodes = 0
-    for allowed in range(max_nodes):
-        if used_best <= bound or nodes >= max_nodes:
+    nodes = met = 0
+    for turn in range(max_nodes):
+        if used_best <= bound or met >= MAX_LENGTHS:
             break
-        plan, visited, whole = _turn(counts, capacity, allowed, used_best, bound, max_nodes - nodes)
-        nodes += visited
+        if turn == 0:
+            plan, _, _, whole = _turn(counts, capacity, max_nodes, BRANCHES, False, used_best, bound, max_nodes, max_nodes * capacity)
+        else:
+            plan, visited, lengths, whole = _turn(counts, capacity, turn - 1, BRANCHES + turn - 1, True, used_best, bound,
+                                                  max_nodes - nodes, MAX_LENGTHS - met)
+            nodes, met = nodes + visited, met + lengths
         if plan is not None:
             incumbent, used_best = plan, sum(n for _, n in plan)
-        if whole:
+        if whole or nodes >= max_nodes:
             break
     return incumbent
 
 
-def _turn(counts: dict[int, int], capacity: int, allowed: int, used_best: int, bound: int, max_nodes: int) -> tuple[Plan | None, int, bool]:
-    """One turn of the search: a plan of fewer than ``used_best`` sequences if found, decisions made, and whether nothing was left out."""
+def _turn(counts: dict[int, int], capacity: int, allowed: int, most: int, single: bool, used_best: int, bound: int,
+          max_nodes: int, max_lengths: int) -> tuple[Plan | None, int, int, bool]:
+    """One turn of the search: a plan of fewer than ``used_best`` sequences if found, decisions made, lengths met, and whether nothing was left out."""
     left = dict(counts)
     sizes = sorted(left)
     total = sum(s * n for s, n in left.items())
-    used, nodes, whole = 0, 0, True
+    used, nodes, met, whole = 0, 0, 0, True
     found: Plan | None = None
     path: Plan = []
     spent = 0  # discrepancies on the path
     costs: list[int] = []
     stack: list[Iterator] = []
-    most = BRANCHES + allowed
 
     def choices():
         nonlocal whole
@@ -209,7 +218,11 @@ def _turn(counts: dict[int, int], capacity: int, allowed: int, used_best: int, b
         whole &= all_of_them
         fillings = [(largest, *c) for c in options]
         times = [min(left[s] // n for s, n in Counter(f).items()) for f in fillings]
-        ranked_choices = [*zip(fillings, times), *((f, 1) for f, n in zip(fillings, times) if n > 1)]
+        ranked_choices = [*zip(fillings, times)]
+        if single:
+            ranked_choices += [(f, 1) for f, n in ranked_choices if n > 1]
+        else:
+            whole &= max(times) == 1
         if len(ranked_choices) > 1 and spent >= allowed:
             whole = False
             ranked_choices = ranked_choices[:1]
@@ -243,9 +256,9 @@ def _turn(counts: dict[int, int], capacity: int, allowed: int, used_best: int, b
             if path:
                 back()
             continue
-        if nodes >= max_nodes:
-            return found, nodes, False
-        nodes += 1
+        if nodes >= max_nodes or met >= max_lengths:
+            return found, nodes, met, False
+        nodes, met = nodes + 1, met + len(sizes)
         filling, times, cost = choice
         take(filling, times)
         path.append((filling, times))
@@ -254,12 +267,12 @@ def _turn(counts: dict[int, int], capacity: int, allowed: int, used_best: int, b
         if not sizes and used < used_best:
             found, used_best = list(path), used
             if used_best <= bound:
-                return found, nodes, True
+                return found, nodes, met, True
         if not sizes or used + -(-total // capacity) >= used_best:
             back()
             continue
         stack.append(choices())
-    return found, nodes, whole
+    return found, nodes, met, whole
 
 
 def plan_table(plan: Plan) -> dict[str, np.ndarray]:
