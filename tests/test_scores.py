@@ -94,6 +94,20 @@ def test_lemma_table_size_changes_no_result(spark, rows, monkeypatch):
     assert got == {0: 0.0, 1: None, 2: 0.0}
 
 
+def test_a_small_lemma_table_moves_no_text(spark):
+    """The lemmas come to the rows: neither the texts nor their tokens are shuffled or regrouped."""
+    df = spark.createDataFrame([(0, "Cats eat fishes daily"), (1, None), (2, ""), (3, "the of"), (4, "no form, cats"), (5, "Cats eat fishes daily")],
+                               "i long, t string").repartition(1).cache()
+    lem = spark.createDataFrame([("cats", "cat"), ("cats", "cattle"), ("fishes", "fish"), ("form", None), (None, "x")], "form string, lemma string")
+    out = scores.with_tokens(df, "t", lemmas=lem)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan.split("InMemoryTableScan")[0] and "Generate" not in plan
+    want = {0: ["cat", "eat", "fish", "daily"], 1: None, 2: [], 3: [], 4: ["form", "cat"], 5: ["cat", "eat", "fish", "daily"]}
+    assert {r["i"]: r["_tokens"] for r in out.collect()} == want
+    assert {r["i"]: r["_tokens"] for r in out.where("i > 2").collect()} == {k: v for k, v in want.items() if k > 2}
+    assert scores.with_tokens(df, "t", lemmas=lem.limit(0)).where("i = 0").first()["_tokens"] == ["cats", "eat", "fishes", "daily"]
+
+
 @pytest.mark.parametrize("bound", [10**9, 0])  # broadcast plan and sort-merge plan
 def test_corpus_le_paired_min(spark, bound):
     m, s = _mcq_sheet(spark, PAIRS[:7])
