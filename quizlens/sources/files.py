@@ -168,29 +168,25 @@ def write_json_records(df: DataFrame, path: str) -> int:
     ship_package(df.sparkSession)
     rows = df.select(F.to_json(F.struct(*df.columns)).alias("_json"))
 
-    def write(batches):
-        import pandas as pd
-        from pyspark import TaskContext
-
+    def write(partition, records):
         n, out = 0, None
         # One file per partition, named by the partition: a retried or
         # speculative attempt rewrites the same file, never adds one.  Rows
-        # are streamed into it batch by batch.
-        for pdf in batches:
-            for record in pdf["_json"]:
-                if out is None:
-                    filesystem, base = arrow_fs(path)
-                    filesystem.create_dir(base, recursive=True)
-                    out = filesystem.open_output_stream(f"{base}/part-{TaskContext.get().partitionId():05d}.json")
-                out.write((("[\n" if n == 0 else ",\n") + record).encode("utf-8"))
-                n += 1
+        # are streamed into it; an RDD hands them over in batches of some MB,
+        # where Arrow would hold a fixed number of rows, however long.
+        for row in records:
+            if out is None:
+                filesystem, base = arrow_fs(path)
+                filesystem.create_dir(base, recursive=True)
+                out = filesystem.open_output_stream(f"{base}/part-{partition:05d}.json")
+            out.write((("[\n" if n == 0 else ",\n") + row["_json"]).encode("utf-8"))
+            n += 1
         if out is not None:
             out.write(b"\n]\n")
             out.close()
-        yield pd.DataFrame({"n": [n]})
+        yield n
 
-    counts = rows.mapInPandas(write, "n long")
-    return int(counts.agg(F.sum("n")).first()[0] or 0)
+    return rows.rdd.mapPartitionsWithIndex(write).sum()
 
 
 def _small_document(spark: SparkSession, path: str, kind: type):

@@ -92,6 +92,41 @@ def test_json_records_stream(spark, scratch):
     assert sorted(map(tuple, back.collect())) == sorted(map(tuple, df.collect()))
 
 
+def test_json_writer_holds_few_long_records(spark, scratch):
+    """The memory of a writing task follows a batch of some MB, not a fixed number of rows."""
+    import threading
+
+    import psutil
+
+    def held():
+        total = 0
+        for p in psutil.Process().children(recursive=True):
+            try:
+                total += p.memory_info().rss if "python" in p.name() else 0
+            except psutil.Error:
+                pass
+        return total
+
+    rows = 400
+    df = spark.range(0, rows, 1, 1).selectExpr("cast(id as string) id", "repeat('x', 1000000) question")
+    before, peak, done = held(), [0], threading.Event()
+
+    def watch():
+        while not done.wait(0.02):
+            peak[0] = max(peak[0], held())
+
+    watcher = threading.Thread(target=watch, daemon=True)
+    watcher.start()
+    try:
+        assert files.write_json_records(df, scratch) == rows
+    finally:
+        done.set()
+        watcher.join()
+    assert peak[0] - before < 300e6     # all the rows are 400 MB, in Arrow and in pandas once more
+    back = files.read_json_records(spark, scratch, "id string, question string")
+    assert back.selectExpr("count(*)", "sum(length(question))").first() == (rows, rows * 1000000)
+
+
 def test_a_cluster_needs_a_shared_folder():
     from quizlens.session import is_one_machine
 
