@@ -269,7 +269,7 @@ def in_place(table: DataFrame) -> DataFrame:
 
 
 def score_csv_job(spark: SparkSession, mcqs_path: str, sheets_path: str | None, output: str, id_col: str = "id",
-                  merge: bool = True, **options) -> None:
+                  merge: bool = True, compression: str | None = None, **options) -> None:
     """The toolkit's command: question and sheet CSV files in, scored questions as CSV out, in the order of the input.
 
     The question file's columns are those of its header, and all of them are
@@ -277,11 +277,12 @@ def score_csv_job(spark: SparkSession, mcqs_path: str, sheets_path: str | None,
     with ``merge=False`` no sheet file is needed.  ``options`` go to
     :func:`score_questions`.  The result's files, read in the order of their
     names, hold the rows in the order of the input (file by file); they are
-    written by ranges, in parallel.
+    written by ranges, in parallel, and compressed where ``compression`` names
+    a codec (``gzip``); compressed input files are read by their extension.
     """
     mcqs = in_place(files.read_csv_header(spark, mcqs_path))
     sheets = None
     if merge:
         sheets = joins.semi_join_sheets(files.read_csv_table(spark, sheets_path, files.SHEETS_SCHEMA), mcqs, id_col)
     scored = score_questions(mcqs, sheets, merge=merge, key_col="_place", sheet_id_col=id_col, **options)
-    files.write_csv_table(scored, output, order_by=PLACE)
+    files.write_csv_table(scored, output, order_by=PLACE, compression=compression)

@@ -1,5 +1,6 @@
 """G11 with an answer store, halving of failed batches, the shipped scoring command, and noun lemmas by rule."""
 
+import csv
 import glob
 import os
 import random
@@ -177,6 +178,26 @@ def test_scored_files_keep_the_order_of_the_input(spark, scratch):
     assert [r["question"] for r in written(scratch + "/out")] == [f"Question {k}?" for k in range(n)]
 
 
+def test_compressed_csv_files_give_the_same_table(spark, scratch):
+    """gzip files in and out: the rows and their order are those of plain files."""
+    import gzip
+
+    mcqs = spark.createDataFrame([(f"s{k * 31 % 13}", f"Question {k},\n\"two\" lines?", "a", None, "c", " d ", "a") for k in range(300)], files.MCQS_SCHEMA)
+    sheets = spark.createDataFrame([("f", f"s{k}", f"Sheet {k}.") for k in range(11)], files.SHEETS_SCHEMA)
+    for kind in (None, "gzip"):
+        files.write_csv_table(mcqs.coalesce(1), f"{scratch}/mcqs-{kind}", compression=kind)
+        files.write_csv_table(sheets, f"{scratch}/sheets-{kind}", compression=kind)
+        jobs.score_csv_job(spark, f"{scratch}/mcqs-{kind}", f"{scratch}/sheets-{kind}", f"{scratch}/out-{kind}", compression=kind,
+                           compute_relevance=False, compute_ambiguity=False)
+    packed = sorted(glob.glob(scratch.removeprefix("file:") + "/out-gzip/part-*"))
+    assert packed and all(f.endswith(".csv.gz") for f in packed)
+    got = []
+    for f in packed:
+        with gzip.open(f, "rt", newline="", encoding="utf-8") as fh:
+            got += list(csv.DictReader(fh))
+    assert got == written(f"{scratch}/out-None") and len(got) == 300
+
+
 def test_no_sheet_column_without_merge(spark):
     m = spark.createDataFrame([(1, "s1", "Why?", "a", "b", "c", "d", "a")],
                               "mcq_id long, id string, question string, option_a string, option_b string, option_c string, option_d string, correct_option string")
