@@ -135,3 +135,14 @@ def test_stored_answers_are_made_once(spark, scratch):
     assert len(os.listdir(base)) == 30
     again = models.llm_map(df, "prompt", "answer", factory, temperature=0.7, store=scratch, partitions=3)
     assert sorted(map(tuple, again.collect())) == first and len(os.listdir(base)) == 30
+
+
+def test_texts_do_not_travel_past_the_prompts(spark):
+    """Job A, all criteria: what the prompts alone need is dropped before the scores are joined."""
+    from quizlens.plans import catalog as C
+
+    plan = C.QUERIES["score_questions_full"](spark, SF_SMALL)._jdf.queryExecution().executedPlan().toString()
+    above = plan[:plan.index("ArrowEvalPython")]      # parents come first
+    assert "SortMergeJoin" in above and "Exchange" in above
+    for node in above.split("\n"):
+        assert "Exchange" not in node or ("content_gpt" not in node and "question#" not in node and "option_d" not in node), node
