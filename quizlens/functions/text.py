@@ -220,11 +220,10 @@ def content_tokens(c: str | Column, stop_words=ENGLISH_STOP_WORDS,
 def trigram_array(tokens: str | Column) -> Column:
     """Distinct consecutive token triples of an array column, as 'a b c' strings.
 
-    Built from three ``slice`` calls zipped together; ``tokens`` should be an
-    already-projected column so the token pipeline runs once per row.
+    Each token that two others follow is joined to them by its place;
+    ``tokens`` should be an already-projected column so the token pipeline
+    runs once per row.
     """
     t = _col(tokens)
-    m = F.greatest(F.size(t) - 2, F.lit(0))
-    zipped = F.arrays_zip(F.slice(t, 1, m), F.slice(t, 2, m), F.slice(t, 3, m))
-    return F.array_distinct(
-        F.transform(zipped, lambda z: F.concat_ws(" ", z.getField("0"), z.getField("1"), z.getField("2"))))
+    first = F.slice(t, 1, F.greatest(F.size(t) - 2, F.lit(0)))
+    return F.array_distinct(F.transform(first, lambda w, i: F.concat(w, F.lit(" "), t[i + 1], F.lit(" "), t[i + 2])))

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from quizlens.functions import text as T
 from quizlens.functions.vectors import cosine
-from quizlens.operators.filters import MAX_BLOCKS, block_count, bloom_filter, false_rate, may_contain
+from quizlens.operators.filters import MAX_BLOCKS, WORD_BITS, WORDS, block_count, bloom_filter, false_rate, may_contain
 from quizlens.plans.sizing import DEFAULT_BROADCAST_BYTES, DEFAULT_BROADCAST_ROWS, ROW_OVERHEAD, at_most, broadcast_if_small, cut_lineage
 from quizlens.session import ship_package
 
@@ -192,6 +192,10 @@ def corpus_counts(questions: DataFrame, corpus: DataFrame, key_col: str = "mcq_i
 
 # A filter that lets more of the absent trigrams pass is not worth its probes.
 MAX_FALSE_RATE = 0.5
+# Nor is one worth building where its bound is so far above its bits: texts hold
+# about a fifth of the trigrams that their length allows, and at that share it
+# would let more pass than the rate above.
+MAX_BOUND_A_BIT = 2
 
 
 def asked_trigrams(qt: DataFrame, ct: DataFrame, bound: int, max_blocks: int = MAX_BLOCKS) -> DataFrame:
@@ -199,9 +203,13 @@ def asked_trigrams(qt: DataFrame, ct: DataFrame, bound: int, max_blocks: int = M
 
     A Bloom filter of the question trigrams, sized for ``bound`` of them, is
     probed before the corpus is shuffled.  Its rate of false positives is
-    measured; a filter that has become too full is not used.
+    measured; a filter that has become too full is not used, and one that the
+    bound shows to become so is not built.  Either way the join that follows
+    decides, so the result is the same.
     """
     blocks = block_count(bound, max_blocks)
+    if bound > MAX_BOUND_A_BIT * blocks * WORDS * WORD_BITS:
+        return ct
     table = cut_lineage(bloom_filter(qt, "trigram", blocks))
     if false_rate(table, blocks) > MAX_FALSE_RATE:
         return ct

@@ -82,3 +82,15 @@ def test_filtered_plan_probes_before_the_shuffle_and_scores_are_equal(spark):
     assert not any(n in plan for n in ("Python", "CartesianProduct", "BroadcastNestedLoopJoin"))
     pick = lambda df: {r["mcq_id"]: r["originality_corpus"] for r in df.collect()}
     assert pick(scores.originality_corpus(m, s, broadcast_rows=0)) == pick(scores.originality_corpus(m, s, broadcast_rows=10**9))
+
+
+def test_a_filter_that_must_fill_up_is_not_built(spark, monkeypatch):
+    """A bound far above the largest filter's bits: the questions are not read for it, and the scores stay."""
+    m, s = fx.load(spark, SF_SMALL, "mcqs"), fx.load(spark, SF_SMALL, "sheets")
+    pick = lambda df: {r["mcq_id"]: r["originality_corpus"] for r in df.collect()}
+    want = pick(scores.originality_corpus(m, s, broadcast_rows=0))
+    built = []
+    monkeypatch.setattr(scores, "bloom_filter", lambda *a: built.append(a))
+    real = scores.asked_trigrams
+    monkeypatch.setattr(scores, "asked_trigrams", lambda qt, ct, bound: real(qt, ct, bound, max_blocks=1))
+    assert pick(scores.originality_corpus(m, s, broadcast_rows=0)) == want and not built
